@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from driftloom.llm.endings import with_endings
 from driftloom.llm.textunits import TOKEN, is_blank
@@ -138,7 +139,7 @@ def is_refusal(response: str, templates: list[list[str]]) -> bool:
     return False
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _aligned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The defect found by alignment. Prompts come for candidates of a copy only, as does the mark of refusal cues."""
     templates = [_tokens(t.replace("*", " ")) for t in REFUSALS]
