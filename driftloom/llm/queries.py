@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import conversations, mixing, packing, pairs, target_sample, truncation
+from driftloom.llm import conversations, mixing, packing, pairs, pii, target_sample, truncation
 from driftloom.llm.textunits import with_token_counts
 from driftloom.session import small_rows, table
 
@@ -53,6 +53,14 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.kinds_found(table(spark, d, "turns"), "msg_id", "text", table(spark, d, "name_list"))
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "turns"), "msg_id", "text", table(spark, d, "name_list"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.dropped_dialogues(table(spark, d, "turns"), table(spark, d, "sender_forms"))
 
@@ -102,7 +110,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p3_sample, p5_found, p5_conversations, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p3_sample, p4_found, p4_masked, p5_found, p5_conversations, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
