@@ -60,3 +60,12 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, size: str, out: str
     inside = W.partitionBy(*keys).orderBy(order, *tie).rowsBetween(W.unboundedPreceding, -1)
     b = b.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     return b.join(sums, keys).withColumn(out, F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, such as one small file, spread over them by hash of ``key``.
+
+    Larger inputs have more splits than that and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
