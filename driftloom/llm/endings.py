@@ -55,9 +55,11 @@ def ngram_counts(texts: DataFrame, text: str) -> DataFrame:
     """(gram, seen, ends): for each n-gram of 1 to 3 tokens inside the texts, how often it stands and a sentence ends after it."""
     # notes of a cut are no sentence ends
     own = texts.where(F.col(text).isNotNull()).select(tokens_of(_bare(F.col(text))).alias("t")).where("size(t) > 3")
-    each = own.select(F.explode(F.expr(f"""transform(sequence(2, size(t) - 2), i -> named_struct(
-        'a', t[i - 2], 'b', t[i - 1], 'c', t[i], 'e', {_ends('t[i + 1]')}))""")).alias("p")).select("p.*")
-    grams = each.select("e", F.explode(F.array(F.xxhash64("c"), F.xxhash64("b", "c"), F.xxhash64("a", "b", "c"))).alias("gram"))
+    # tokens become hashes once; a gram is a hash of hashes
+    hashed = own.select(F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr(f"transform(t, x -> {_ends('x')})").alias("e"))
+    grams = hashed.select(F.explode(F.expr("""flatten(transform(sequence(2, size(h) - 2), i -> array(
+        struct(xxhash64(h[i]) AS gram, e[i + 1] AS e), struct(xxhash64(h[i - 1], h[i]) AS gram, e[i + 1] AS e),
+        struct(xxhash64(h[i - 2], h[i - 1], h[i]) AS gram, e[i + 1] AS e))))""")).alias("p")).select("p.*")
     return grams.groupBy("gram").agg(F.count("*").alias("seen"), F.sum(F.col("e").cast("long")).alias("ends"))
 
 
@@ -75,7 +77,7 @@ def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None
         F.col("_x").rlike(OPEN_END).alias("_open"), F.col("_x").rlike(INSIDE_MARKUP).alias("_inside"), F.col("_x").rlike(CLOSED_END).alias("_closed"),
         F.slice(F.concat(F.array(F.lit("\n")), tokens_of(F.regexp_replace("_x", FINAL_MARK, ""))), -3, 3).alias("_t"),
     )
-    a, b, c = (F.col("_t")[i] for i in range(3))
+    a, b, c = (F.xxhash64(F.col("_t")[i]) for i in range(3))
     grams = F.array(F.xxhash64(a, b, c), F.xxhash64(b, c), F.xxhash64(c), F.xxhash64(a, b))
     each = own.select("_id", "_same", F.posexplode(grams).alias("_level", "gram"))
     # repeated texts are one case of an ending

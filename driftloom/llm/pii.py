@@ -43,7 +43,7 @@ _SPELLED = re.compile(rf"(?i)\b(?:(?:double|triple)?[\s-]?(?:{'|'.join(DIGIT_WOR
 _AT, _DOT = r"(?:\s?@\s?|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?)", r"(?:\.|\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?)"
 _EMAIL = re.compile(
     rf"(?i)[\w+-]+(?:{_DOT}[\w+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[a-z]{{2,}}\b"
-    r"|(?<![\w+-])[\w+-]+(?:(?: dot |\.)[\w+-]+)*\s(?:at|arroba)\s[\w-]+(?:(?: dot |\.)[\w-]+)* (?:dot|punto|punkt|point) [a-z]{2,}\b"
+    r"|(?<![\w+-])[\w+-]+(?:(?: dot | underscore | plus | dash | hyphen | minus |\.)[\w+-]+)*\s(?:at|arroba)\s[\w-]+(?:(?: dot |\.)[\w-]+)* (?:dot|punto|punkt|point) [a-z]{2,}\b"
 )
 _NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\(|(?!ID |NO )[A-Z]{1,2} |[A-Za-z]{1,3}-?)?\d+(?:(?:[ ./-]|\)[ -]?| ?\(0?\)? ?|\()[A-Z]{0,2}\d+)*(?:-?[A-Za-z]{1,3}\d*)?(?:\s*(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w@])")
 #: Kinds of street (fixed values).
@@ -101,7 +101,7 @@ def spans_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, str, s
         if free(m.start(), end):
             taken.append((m.start(), end))
             item = "".join(DIGIT_WORDS.get(w, "") for w in re.findall(r"[a-z]+", m.group().lower()))
-            yield "number", m.start(), end, item, "phone form", *around(m.start(), end)
+            yield "number", m.start(), end, item, "phone", *around(m.start(), end)
     for m in _NUMBER.finditer(text):
         raw, (a, b) = m.group(), m.span()
         digits = re.sub(r"\D", "", re.sub(r"(?i)\s*(?:ext\.?|extension|x)\s?\d{1,5}$", "", raw))
@@ -117,7 +117,7 @@ def spans_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, str, s
         if re.match(r"(?i)(rma|tk|pl|ref)-?\d", raw):
             own = "other"
         if _phone_form(raw, digits) and (own is None or raw[0] in "+(" or own == "other" and near[0] > 2):
-            own = "phone form"
+            own = "phone" if raw[0] in "+(" else "phone form"
         yield "number", a, b, re.sub(r"\W", "", raw).upper(), own, *around(a, b)
 
 
@@ -163,13 +163,15 @@ def form_items(texts: DataFrame, key: str, text: str) -> DataFrame:
     label = F.when(F.col("own") == "phone form", "phone").otherwise(F.col("own"))
     votes = numbers.where("own IS NOT NULL").groupBy("item", label.alias("label")).agg(F.max(F.when(F.col("own") == "phone form", 1).otherwise(2)).alias("w"))
     seeds = votes.groupBy("item").agg(F.max_by("label", "w").alias("label"))
-    edges = numbers.select("item", F.explode("patterns").alias("pattern")).distinct()
+    told_by_words = r"\p{L}"  # marks alone, or the start of a text, tell nothing
+    edges = numbers.select("item", F.explode("patterns").alias("pattern")).where(F.col("pattern").rlike(told_by_words)).distinct()
     patterns, instances = score_patterns(edges, cut_lineage(seeds), 2)
     # forms that identity numbers have; where nothing else speaks, the form does
     forms = numbers.where("own IN ('identity', 'other', 'phone')").groupBy("form").agg((F.count_if(F.col("own") == "identity") / F.count("*")).alias("_identity"), F.count("*").alias("_n"))
     forms = forms.where((F.col("_identity") >= IDENTITY_FORM) & (F.col("_n") >= LEAST_INSTANCES)).select("form", F.lit("identity").alias("_by_form"))
     open_numbers = numbers.where("own IS NULL OR own = 'phone form'")
-    by_pattern = open_numbers.select("key", "start", F.explode("patterns").alias("pattern")).join(broadcast_if_small(patterns, BROADCAST_ROWS), "pattern")
+    # a phone's form is overruled by the words before it only
+    by_pattern = open_numbers.select("key", "start", F.explode(F.when(F.col("own").isNull(), F.col("patterns")).otherwise(F.slice("patterns", 1, 2))).alias("pattern")).join(broadcast_if_small(patterns, BROADCAST_ROWS), "pattern")
     by_pattern = by_pattern.groupBy("key", "start").agg(F.max_by("label", F.col("agree") * F.log1p(F.col("n").cast("double"))).alias("_by_pattern"))
     told = open_numbers.join(by_pattern, ["key", "start"], "left").join(instances.withColumnRenamed("label", "_by_item"), "item", "left").join(broadcast_if_small(forms, BROADCAST_ROWS), "form", "left")
     # what the words around say goes before the number's form; a form with few doubles as other things stands otherwise
@@ -250,7 +252,9 @@ def name_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> Data
     beside = F.coalesce("_ln", "_rn", F.lit(False))
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     doubtful = F.col("ambiguous") & F.col("capital") & (beside | F.col("_l").isNotNull() | F.col("_r").isNotNull())
-    unknown = F.col("ambiguous").isNull() & both
+    # a capital word on no list: in two name patterns, after a name, or before one inside a sentence
+    inside = ~F.col("left1").isin("|", ".", "!", "?", ":", "\n")
+    unknown = F.col("ambiguous").isNull() & (both | F.coalesce("_ln", F.lit(False)) | (F.coalesce("_rn", F.lit(False)) & inside))
     hits = rows.where("NOT ambiguous").where(~street).select("key", "at", "shape").unionByName(judged.where((F.coalesce(doubtful, F.lit(False)) | unknown) & ~street).select("key", "at", "shape"))
     # offsets: the joined length of the pieces before
     spot = hits.join(places.select("key", "pieces"), "key").withColumn("start", F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("at")), "")))

@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 from driftloom.llm import conversations, mixing, packing, pairs, pii, target_sample, truncation
 from driftloom.llm.textunits import with_token_counts
-from driftloom.session import small_rows, table
+from driftloom.session import small_rows, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.broken_pairs(table(spark, d, "responses"), "pair_id", "prompt", "response", "should_respond")
+    return pairs.broken_pairs(spread(table(spark, d, "responses").select("pair_id", "prompt", "response", "should_respond"), "pair_id"), "pair_id", "prompt", "response", "should_respond")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_texts(table(spark, d, "documents"), "doc_id", "text", "source").select("doc_id")
+    return truncation.cut_texts(_documents(spark, d, "source"), "doc_id", "text", "source").select("doc_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_report(table(spark, d, "documents"), "doc_id", "text", "source")
+    return truncation.cut_report(_documents(spark, d, "source"), "doc_id", "text", "source")
 
 
 def _fields(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -38,6 +38,14 @@ def _reports(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFram
     return {f: (rows, target_sample.quota_report(rows, targets.where(F.col("target_field") == f))) for f, rows in _fields(spark, d).items()}
 
 
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "turns").select("msg_id", "text"), "msg_id")
+
+
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", *columns, "text"), "doc_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     a, b = (r.where("missed").select("target_field", "category") for _, r in _reports(spark, d).values())
     return a.unionByName(b)
@@ -54,11 +62,11 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.kinds_found(table(spark, d, "turns"), "msg_id", "text", table(spark, d, "name_list"))
+    return pii.kinds_found(_turns(spark, d), "msg_id", "text", table(spark, d, "name_list"))
 
 
 def p4_masked(spark: SparkSession, d: str) -> DataFrame:
-    return pii.masked(table(spark, d, "turns"), "msg_id", "text", table(spark, d, "name_list"))
+    return pii.masked(_turns(spark, d), "msg_id", "text", table(spark, d, "name_list"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +78,7 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", *columns, "text")
-    return with_token_counts(docs, "text", "tokens").drop("text")
+    return with_token_counts(_documents(spark, d, *columns), "text", "tokens").drop("text")
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
