@@ -64,7 +64,7 @@ class Feature:
     def typed(self, raw: Column) -> Column:
         """A raw value as this feature's type: integers are clipped to 64 bits, categories beyond the list become ``_other_``."""
         if self.kind == "int":
-            return F.least(F.greatest(raw, F.lit(INT64_MIN)), F.lit(INT64_MAX)).cast("bigint")
+            return F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(INT64_MIN)), F.lit(INT64_MAX)).cast("bigint"))
         if self.kind == "category":
             return F.when(raw == "", F.lit(None)).when(~raw.isin(list(self.categories)), F.lit(OTHER)).otherwise(raw)
         return raw.cast(SQL_TYPES[self.kind])

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import portable_hash
+from driftloom.session import prefix_sums
 
 
 @dataclass(frozen=True)
@@ -98,13 +99,21 @@ class Conversations:
     content: str
     tie: str
 
-    def get(self, ids: DataFrame, id: str) -> DataFrame:
+    def rows(self) -> DataFrame:
+        """All messages with ``position`` from 0 in their conversation, whatever its length."""
+        timed = self.table.where(F.col(self.at).isNotNull() & F.col(self.id).isNotNull())
+        return positions(timed, [self.id], self.at, self.tie, "position")
+
+    def get(self, ids: DataFrame, id: str, longest: int = 5000) -> DataFrame:
         """``ids`` with ``messages``, an array ordered by time (ties by ``tie``); null where there is no conversation.
 
-        The array is built per id, so this is for conversations that fit a row; longer ones stay rows.
+        Conversations of more than ``longest`` messages don't become one value (null too); ``rows`` has them.
         """
         item = F.struct(F.col(self.at).alias("at"), F.col(self.tie).alias("tie"), F.col(self.role).alias("role"), F.col(self.content).alias("content"))
-        built = self.table.join(ids.select(F.col(id).alias(self.id)).distinct(), self.id, "left_semi").groupBy(self.id).agg(F.array_sort(F.collect_list(item)).alias("messages"))
+        timed = self.table.where(F.col(self.at).isNotNull())
+        short = timed.groupBy(self.id).agg(F.count("*").alias("_n")).where(F.col("_n") <= longest)
+        fit = timed.join(short, self.id, "left_semi").join(ids.select(F.col(id).alias(self.id)).distinct(), self.id, "left_semi")
+        built = fit.groupBy(self.id).agg(F.array_sort(F.collect_list(item)).alias("messages"))
         return ids.join(built.withColumnRenamed(self.id, "_id"), F.col(id) == F.col("_id"), "left").drop("_id")
 
     def exist(self, ids: DataFrame, id: str) -> DataFrame:
@@ -116,6 +125,23 @@ class Conversations:
         return ids.join(self.table.select(F.col(self.id).alias(id)), id, "left_semi")
 
 
+def positions(df: DataFrame, group: list[str], at: str, tie: str, out: str) -> DataFrame:
+    """``out``: how many rows of the group come before, by time then ``tie``; counted in hours, so groups of any size are safe."""
+    return prefix_sums(df.withColumn("_one", F.lit(1)), group, at, "_one", out, F.date_trunc("hour", F.col(at)), [tie]).drop("_one").withColumn(out, F.col(out).cast("bigint"))
+
+
+def with_next(df: DataFrame, group: list[str], at: str, tie: str, columns: list[str]) -> DataFrame:
+    """``df`` with ``next_…`` of each column from the following row of the group; found in hours, then from hour to hour."""
+    own = df.withColumn("_block", F.date_trunc("hour", F.col(at)))
+    value = F.struct(at, tie, *columns)
+    inside = W.partitionBy(*group, "_block").orderBy(at, tie)
+    first = own.groupBy(*group, "_block").agg(F.min(value).alias("_first"))
+    following = first.select(*group, "_block", F.lead("_first").over(W.partitionBy(*group).orderBy("_block")).alias("_after"))
+    both = own.withColumn("_next", F.lead(value).over(inside)).join(following, [*group, "_block"])
+    both = both.withColumn("_next", F.coalesce("_next", "_after"))
+    return both.select(*df.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+
+
 Strategy = Lookup | TimeSeries | Conversations
 
 

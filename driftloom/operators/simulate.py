@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.session import small_rows
+from driftloom.operators.joins import positions, with_next
+from driftloom.session import prefix_sums, small_rows
 
 
 def outcome_distribution(df: DataFrame, outcome: str) -> DataFrame:
@@ -48,27 +49,23 @@ def accuracy(df: DataFrame, correct: Column) -> DataFrame:
     return df.agg(F.count(correct).alias("valid"), F.count_if(correct).alias("correct"), F.avg(correct.cast("int")).alias("accuracy"))
 
 
-def prefixes(messages: DataFrame, conversation: str, order: list[str], role: str, content: str) -> DataFrame:
-    """One row per message: its place, the conversation up to it as text, and role and content of the next message."""
-    w = W.partitionBy(conversation).orderBy(*order)
-    line = F.concat(F.initcap(role), F.lit(": "), F.col(content))
-    history = F.array_join(F.collect_list(line).over(w.rowsBetween(W.unboundedPreceding, 0)), "\n")
-    return messages.select(
-        conversation, (F.row_number().over(w) - 1).alias("at"), F.col(role).alias("role"), history.alias("history"),
-        F.lead(role).over(w).alias("next_role"), F.lead(content).over(w).alias("next_content"),
-    ).withColumn("finished", F.col("next_role").isNull())
-
+def prefixes(messages: DataFrame, conversation: str, at: str, tie: str, role: str, content: str, longest: int = 500) -> DataFrame:
+    """One row per message: its place, the conversation up to it as text, and role and content of the next message.
 
-def next_messages(messages: DataFrame, conversation: str, order: list[str], role: str, content: str) -> DataFrame:
-    """As ``prefixes`` without the growing text, for conversations of any length."""
-    w = W.partitionBy(conversation).orderBy(*order)
-    return messages.select(conversation, (F.row_number().over(w) - 1).alias("at"), F.col(role).alias("role"), F.lead(role).over(w).alias("next_role"), F.lead(content).over(w).alias("next_content"))
+    The text of prefixes grows with the square of a conversation's length, so those of more than ``longest`` messages have
+    no ``history``; all the rest is given for every message.
+    """
+    placed = positions(with_next(messages, [conversation], at, tie, [role, content]), [conversation], at, tie, "at_no")
+    short = messages.groupBy(conversation).agg(F.count("*").alias("_n")).where(F.col("_n") <= longest)
+    line = F.concat(F.initcap(role), F.lit(": "), F.col(content))
+    upto = W.partitionBy(conversation).orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
+    texts = messages.join(short, conversation, "left_semi").select(F.col(tie).alias("_t"), F.array_join(F.collect_list(line).over(upto), "\n").alias("history"))
+    both = placed.join(texts, F.col(tie) == F.col("_t"), "left")
+    return both.select(conversation, tie, F.col("at_no"), F.col(role).alias("role"), "history", F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"))
 
 
 def dense_scenarios(df: DataFrame, order: str, keep: Column) -> DataFrame:
     """``df`` of the kept rows with ``scenario_id`` = scenario_0, scenario_1, … in key order, counted in buckets of the key's range."""
-    from driftloom.session import prefix_sums
-
     numbered = prefix_sums(df.where(keep).withColumn("_one", F.lit(1)), [], order, "_one", "_at", F.substring(F.col(order).cast("string"), 1, 6), [])
     return numbered.withColumn("scenario_id", F.concat(F.lit("scenario_"), F.col("_at").cast("string"))).drop("_one", "_at")
 

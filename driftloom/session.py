@@ -21,13 +21,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     The folder is shared by all executors, so the rows outlive any one of them. Only where the
     session names none (local tests) is a temporary folder set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder all executors share: the checkpoint folder of the session."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The configured number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
