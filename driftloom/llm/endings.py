@@ -11,19 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.session import cut_lineage
+
 #: Notes that mark a cut, in brackets at the end (fixed values).
 CUT_NOTE_WORDS = r"truncated|trunc|cut|cut off|snip|snipped|more|continued|cont|to be continued|eos|eof|eot|end of text|text too long|message too long|gekürzt|abgeschnitten|fortsetzung folgt|tronqué|coupé|suite|truncado|cortado|continúa|sigue"
 #: A note in so many words, and marks that may be one.
 PLAIN_NOTE = rf"(?iU)\s*[\[(<{{][\s.…]*(?:{CUT_NOTE_WORDS}|\.{{2,}}|…)[\s.…]*[\])>}}]?$"
 MARK_NOTE = r"(?iU)\s*(?:\.\.\.+|…+|&hellip;|>>+|\\[nrt]?)$"
 #: The end stands inside markup or an escape: an entity, a tag, a quoted JSON string, a link.
-INSIDE_MARKUP = r"(?iU)(?:&#?\w{0,8}|<[/!]?(?:[a-z][^<>]{0,40})?|\{\s*\"[^{}]*|\\u?[0-9a-f]{0,4}|https?:/{0,2})$"
+INSIDE_MARKUP = r"(?iU)(?:&#?\w{0,8}|<[/!]?(?:[a-z][^<>]{0,40})?|\{\s*\"[^{}]{0,200}|\\u?[0-9a-f]{0,4}|https?:/{0,2})$"
 #: Marks after which something must follow.
 OPEN_END = r"(?U)[,:;(\[{<«„“¿¡&+/=\\\-–—]$"
 FINAL_MARK = r"(?U)[.!?。！？][\s\"'»”’)\]*_]*$"
 #: Ends that need no final mark: smileys, emoji, a closed bracket, rules of asterisks.
 CLOSED_END = r"(?U)(?:[:;]-?[)D(]|[\p{So}\x{FE0F}]|\([^()]{1,60}\)|\[[^\[\]]{1,60}\]|\*{2,}|</[a-zA-Z]+>)$"
 
+#: Characters at the end of a text that hold any note, mark or markup that ends it.
+TAIL = 256
 _TOKENS = r"[\p{L}\p{M}\p{N}]+|\n|[^\s\p{Z}]"
 #: Weight of the shorter context when a longer one has few cases.
 BACKOFF = 1.0
@@ -44,23 +48,42 @@ def _ends(token: str) -> str:
     return f"{token} IN ('.', '!', '?', '\\n')"
 
 
+def _replaced_at_end(text: Column, pattern: str) -> Column:
+    """``text`` without a match of a pattern that ends it and is shorter than the tail."""
+    tail = F.right(text, F.lit(TAIL))
+    return F.concat(F.left(text, F.greatest(F.length(text) - TAIL, F.lit(0))), F.regexp_replace(tail, pattern, ""))
+
+
 def _bare(text: Column) -> Column:
     """The text without white space and notes of a cut at its end."""
-    for pattern in (r"(?U)\s+$", PLAIN_NOTE, MARK_NOTE):
-        text = F.regexp_replace(text, pattern, "")
+    for pattern in (PLAIN_NOTE, MARK_NOTE):
+        text = _replaced_at_end(F.rtrim(text), pattern)
     return text
 
 
+def _unmarked(text: Column) -> Column:
+    return _replaced_at_end(text, FINAL_MARK)
+
+
 def ngram_counts(texts: DataFrame, text: str) -> DataFrame:
     """(gram, seen, ends): for each n-gram of 1 to 3 tokens inside the texts, how often it stands and a sentence ends after it."""
     # notes of a cut are no sentence ends
     own = texts.where(F.col(text).isNotNull()).select(tokens_of(_bare(F.col(text))).alias("t")).where("size(t) > 3")
     # tokens become hashes once; a gram is a hash of hashes
     hashed = own.select(F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr(f"transform(t, x -> {_ends('x')})").alias("e"))
-    grams = hashed.select(F.explode(F.expr("""flatten(transform(sequence(2, size(h) - 2), i -> array(
-        struct(xxhash64(h[i]) AS gram, e[i + 1] AS e), struct(xxhash64(h[i - 1], h[i]) AS gram, e[i + 1] AS e),
-        struct(xxhash64(h[i - 2], h[i - 1], h[i]) AS gram, e[i + 1] AS e))))""")).alias("p")).select("p.*")
-    return grams.groupBy("gram").agg(F.count("*").alias("seen"), F.sum(F.col("e").cast("long")).alias("ends"))
+    each = hashed.select(F.explode(F.expr("""transform(sequence(2, size(h) - 2), i -> struct(
+        xxhash64(h[i - 2], h[i - 1], h[i]) AS g3, xxhash64(h[i - 1], h[i]) AS g2, xxhash64(h[i]) AS g1, e[i + 1] AS e))""")).alias("p")).select("p.*")
+    # counted by the longest gram first; the shorter ones are sums over the distinct longest
+    longest = each.groupBy("g3", "g2", "g1").agg(F.count("*").alias("seen"), F.count_if("e").alias("ends"))
+    grams = longest.select("seen", "ends", F.explode(F.array("g1", "g2", "g3")).alias("gram"))
+    return grams.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+
+
+def _last_tokens(text: Column, n: int) -> Column:
+    """The last tokens of a text; read from its tail where that holds enough of them, else from the whole."""
+    tail = tokens_of(F.right(text, F.lit(TAIL)))
+    # the tail's first token may be a part of one, and two breaks are put before it
+    return F.slice(F.when((F.length(text) > TAIL) & (F.size(tail) > n + 3), tail).otherwise(F.concat(F.array(F.lit("\n")), tokens_of(text))), -n, n)
 
 
 def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
@@ -71,12 +94,14 @@ def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None
     counts = ngram_counts(corpus if corpus is not None else texts.select(F.col(text).alias("text")), "text")
     own = texts.select(F.col(key).alias("_id"), F.regexp_replace(F.col(text), r"(?U)\s+$", "").alias("_x")).where("_x <> ''")
     # a note is read away, so that what stands before it is judged
-    own = own.select("_id", F.xxhash64("_x").alias("_same"), F.col("_x").rlike(PLAIN_NOTE).alias("_plain"), F.col("_x").rlike(MARK_NOTE).alias("_mark"), _bare(F.col("_x")).alias("_x"))
-    own = own.select(
-        "_id", "_same", "_plain", "_mark", F.least(F.regexp_count("_x", F.lit(MARKED_STYLE)), F.lit(STYLE_MOST)).alias("_styled"), F.col("_x").rlike(FINAL_MARK).alias("_final"), F.col("_x").rlike(r"\p{N}\.$").alias("_number"),
-        F.col("_x").rlike(OPEN_END).alias("_open"), F.col("_x").rlike(INSIDE_MARKUP).alias("_inside"), F.col("_x").rlike(CLOSED_END).alias("_closed"),
-        F.slice(F.concat(F.array(F.lit("\n")), tokens_of(F.regexp_replace("_x", FINAL_MARK, ""))), -3, 3).alias("_t"),
-    )
+    end = F.right("_x", F.lit(TAIL))
+    own = own.select("_id", F.xxhash64("_x").alias("_same"), end.rlike(PLAIN_NOTE).alias("_plain"), end.rlike(MARK_NOTE).alias("_mark"), _bare(F.col("_x")).alias("_x"))
+    end = F.right("_x", F.lit(TAIL))
+    own = cut_lineage(own.select(
+        "_id", "_same", "_plain", "_mark", F.least(F.regexp_count("_x", F.lit(MARKED_STYLE)), F.lit(STYLE_MOST)).alias("_styled"), end.rlike(FINAL_MARK).alias("_final"), end.rlike(r"\p{N}\.$").alias("_number"),
+        end.rlike(OPEN_END).alias("_open"), end.rlike(INSIDE_MARKUP).alias("_inside"), end.rlike(CLOSED_END).alias("_closed"),
+        _last_tokens(_unmarked(F.col("_x")), 3).alias("_t"),
+    ))
     a, b, c = (F.xxhash64(F.col("_t")[i]) for i in range(3))
     grams = F.array(F.xxhash64(a, b, c), F.xxhash64(b, c), F.xxhash64(c), F.xxhash64(a, b))
     each = own.select("_id", "_same", F.posexplode(grams).alias("_level", "gram"))
