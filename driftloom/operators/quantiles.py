@@ -20,8 +20,11 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities:
     slack = MARGIN / ACCURACY
     low, high = ([min(max(p + s, 0.0), 1.0) for p in probabilities] for s in (-slack, slack))
     sketch = own.groupBy(*group).agg(
-        F.percentile_approx("_v", low, ACCURACY).alias("_lo"), F.percentile_approx("_v", high, ACCURACY).alias("_hi"), F.count("*").alias("_n")
+        F.percentile_approx("_v", low, ACCURACY).alias("_lo"), F.percentile_approx("_v", high, ACCURACY).alias("_hi"), F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
     )
+    # of few values the bracket is all of them: the neighbours of a rank may lie outside any narrower one
+    few = F.col("_n") <= ACCURACY
+    sketch = sketch.select(*group, "_n", F.when(few, F.transform("_lo", lambda x: F.col("_min"))).otherwise(F.col("_lo")).alias("_lo"), F.when(few, F.transform("_hi", lambda x: F.col("_max"))).otherwise(F.col("_hi")).alias("_hi"))
     # null-safe group keys, on the small side of the join
     on = [F.col(f"_l.{g}").eqNullSafe(F.col(f"_r.{g}")) for g in group]
     both = own.alias("_l").join(F.broadcast(sketch.alias("_r")) if not group else sketch.alias("_r"), on or F.lit(True))
