@@ -33,9 +33,10 @@ _TOKENS = r"[\p{L}\p{M}\p{N}]+|\n|[^\s\p{Z}]"
 BACKOFF = 1.0
 #: Share of sentence ends after a word of which nothing is known, and after any word.
 UNKNOWN_ENDS, BASE_ENDS = 0.02, 0.1
-#: An inner sentence that ends with its mark; each of them, up to STYLE_MOST, adds to the log odds that a missing last mark was cut off.
-STYLE_ODDS, STYLE_MOST = 2.0, 3
-MARKED_STYLE = r"(?U)[.!?][\"'»”’)\]]*\s+[\"'«“‘¿¡(\[\p{N}:]*\s*\p{Lu}"
+#: An inner sentence of three words or more that ends with its mark, before a capital. A text with such sentences marks its
+#: last one too: the log odds of a cut where it doesn't, for the first of them and each further one up to STYLE_MOST.
+MARKED_STYLE = r"(?U)\w+\W+\w+\W+\w+[.!?][\"'»”’)\]]*\s+[\"'«“‘¿¡(\[\p{N}:]*\s*\p{Lu}"
+STYLE_ODDS, STYLE_MORE, STYLE_MOST = 6.0, 1.0, 3
 
 
 def tokens_of(text: Column) -> Column:
@@ -99,7 +100,7 @@ def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None
     end = F.right("_x", F.lit(TAIL))
     own = cut_lineage(own.select(
         "_id", "_same", "_plain", "_mark", F.least(F.regexp_count("_x", F.lit(MARKED_STYLE)), F.lit(STYLE_MOST)).alias("_styled"), end.rlike(FINAL_MARK).alias("_final"), end.rlike(r"\p{N}\.$").alias("_number"),
-        end.rlike(OPEN_END).alias("_open"), end.rlike(INSIDE_MARKUP).alias("_inside"), end.rlike(CLOSED_END).alias("_closed"),
+        end.rlike(OPEN_END).alias("_open"), end.rlike(INSIDE_MARKUP).alias("_inside"), end.rlike(CLOSED_END).alias("_closed"), end.rlike(r"[)\]]$").alias("_bracket"),
         _last_tokens(_unmarked(F.col("_x")), 3).alias("_t"),
     ))
     a, b, c = (F.xxhash64(F.col("_t")[i]) for i in range(3))
@@ -121,9 +122,11 @@ def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None
     # a word that never followed these well-known words is a fragment, unless many texts end just so
     shared = (F.col("_seen0") == 0) & (finals_n > others) & (finals_n > 1)
     fragment = F.when(F.col("_seen0") == 0, 0.7 * F.log1p(others)).otherwise(0.0)
-    styled = STYLE_ODDS * F.col("_styled")
+    styled = F.when(F.col("_styled") > 0, STYLE_ODDS + STYLE_MORE * (F.col("_styled") - 1)).otherwise(0.0)
     words = F.when(shared, -2 - 2 * F.log(finals_n)).otherwise(F.log(F.lit(BASE_ENDS) / rate) + fragment + styled)
+    # a closed bracket after which the text always went on, such as a speaker's label, ends nothing
+    goes_on = F.col("_bracket") & (F.col("_seen0") >= 5) & (F.col("_ends0") < 0.02 * F.col("_seen0"))
     marked = F.when(F.col("_number") & (F.col("_seen0") >= 5) & (F.col("_ends0") == 0), F.lit(4.0)).otherwise(F.lit(-6.0))
-    judged = F.when(F.col("_open") | F.col("_inside"), F.lit(7.0)).when(F.col("_final"), marked).when(F.col("_closed"), F.lit(-6.0)).otherwise(words)
+    judged = F.when(F.col("_open") | F.col("_inside"), F.lit(7.0)).when(F.col("_final"), marked).when(F.col("_closed") & ~goes_on, F.lit(-6.0)).otherwise(words)
     evidence = F.when(F.col("_plain"), F.lit(12.0)).otherwise(judged + F.when(F.col("_mark"), F.lit(5.0)).otherwise(0.0))
     return own.join(facts, "_id").select(F.col("_id").alias(key), F.round(evidence, 6).alias("cut_evidence"))

@@ -150,14 +150,19 @@ def _aligned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
         ], dtype=object)
 
 
+#: Letters with accents and the ones without (fixed values), as accents are often left out.
+ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync"
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\p{L}\p{M}]+'?)"), F.lit(1))
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    return F.regexp_extract_all(plain, F.lit(r"(?U)([\p{L}\p{M}]+'?)"), F.lit(1))
 
 
 def _language_scores(text: Column) -> Column:
     """Words of each language in a text, as an array in the order of LANGUAGE_WORDS."""
     words = _words(text)
-    return F.array(*(F.size(F.array_intersect(words, F.array(*map(F.lit, dict.fromkeys(w))))) for w in LANGUAGE_WORDS.values()))
+    return F.array(*(F.size(F.array_intersect(words, F.array(*map(F.lit, dict.fromkeys(x.translate(str.maketrans(ACCENTED, PLAIN)) for x in w))))) for w in LANGUAGE_WORDS.values()))
 
 
 def _other_language() -> Column:
