@@ -33,10 +33,10 @@ BROADCAST_ROWS = 200_000
 #: Words that say what a number is (fixed values).
 IDENTITY_WORDS = r"social security|social insurance|ssn|passport|tax id|tax number|tax no|taxpayer|tin|national id|national identity|national insurance|identity card|identity number|identity check|id card|id number|driver.?s licen[cs]e|driving licen[cs]e|licen[cs]e number|nhs number|steuer-?id|steuernummer|steueridentifikationsnummer|sozialversicherungsnummer|reisepass|personalausweis|ausweisnummer|führerschein|dni|nif|nie|pasaporte|seguridad social|carnet de identidad|permiso de conducir|passeport|sécurité sociale|carte d.identité|permis de conduire|numéro fiscal"
 PHONE_WORDS = r"phone|telephone|mobile|landline|cell|tel|fax|call|reach|text me|whatsapp|pick up|handy|telefon|rufnummer|meine nummer|teléfono|móvil|mi número|téléphone|portable|mon numéro"
-OTHER_WORDS = r"order|invoice|bill|policy|serial|reference|ref|ticket|case|rma|tk|meter|reading|version|tracking|parcel|account|customer number|contract number|error|measured|amount|price|costs?|total|model|part number|item|isbn|iban|pin|code|bestell\w*|rechnung\w*|pedido|factura|commande|facture"
+OTHER_WORDS = r"order|invoice|bill|policy|serial|reference|ref|ticket|case|rma|tk|meter|reading|version|tracking|parcel|account|customer number|contract number|error|measured|model|part number|item|isbn|iban|pin|code|bestell\w*|rechnung\w*|pedido|factura|commande|facture"
 _LABEL = re.compile(rf"(?i)\b(?:(?P<identity>{IDENTITY_WORDS})|(?P<phone>{PHONE_WORDS})|(?P<other>{OTHER_WORDS}))\b")
-#: Words between a number and its label at most.
-REACH = {"identity": 6, "phone": 6, "other": 4}
+#: Words between a number and its label at most; papers and cases are named right before their numbers.
+REACH, REACH_OTHER = 6, {"order": 3, "invoice": 3, "bill": 3, "policy": 3, "reference": 3, "ref": 3, "ticket": 3, "case": 3, "account": 3, "parcel": 3, "code": 3, "error": 3}
 #: Words for digits (fixed values).
 DIGIT_WORDS = {"zero": "0", "oh": "0", "o": "0", "nought": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _SPELLED = re.compile(rf"(?i)\b(?:(?:double|triple)?[\s-]?(?:{'|'.join(DIGIT_WORDS)})\b[\s,-]*){{7,}}")
@@ -45,14 +45,14 @@ _EMAIL = re.compile(
     rf"(?i)[\w+-]+(?:{_DOT}[\w+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[a-z]{{2,}}\b"
     r"|(?<![\w+-])[\w+-]+(?:(?: dot | underscore | plus | dash | hyphen | minus |\.)[\w+-]+)*\s(?:at|arroba)\s[\w-]+(?:(?: dot |\.)[\w-]+)* (?:dot|punto|punkt|point) [a-z]{2,}\b"
 )
-_NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\(|(?!ID |NO )[A-Z]{1,2} |[A-Za-z]{1,3}-?)?\d+(?:(?:[ ./-]|\)[ -]?| ?\(0?\)? ?|\()[A-Z]{0,2}\d+)*(?:-?[A-Za-z]{1,3}\d*)?(?:\s*(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w@])")
+_NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\(|(?!ID |NO )[A-Z]{1,2} |[A-Za-z]{1,3}-?)?\d+(?:(?:[ ./-]|\)[ -]?| ?\(0?\)? ?|\()[A-Z]{0,2}\d+)*(?:-?[A-Za-z]{1,3}\d*|(?<=\b\d{8}) (?![AIOU]\b)[A-Z]\b)?(?:\s*(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w@])")
 #: Kinds of street (fixed values).
 STREET_WORDS = r"street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|way|place|pl|boulevard|blvd|terrace|crescent|square|row|hill|gardens|grove|mews|walk"
 _ADDRESS = re.compile(
-    rf"(?i)\b(?:(?:no|nr)\.?\s*)?\d{{1,5}}\s?[a-f]?,?\s+(?P<name>(?:[^\W\d_][\w'’-]{{2,}}\s+){{1,3}}?)(?:{STREET_WORDS})\b(?:\s(?:hill|road|street|lane|drive|close|ave|avenue|st)\b)?\.?(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s?\w{{1,5}}\b)?"
+    rf"(?i)\b(?:(?:no|nr)\.?\s*)?\d{{1,5}}\s?[a-f]?,?\s+(?P<name>(?:[^\W\d_][\w'’-]{{2,}}\s+){{1,3}}?)(?:{STREET_WORDS})\b(?:\s(?:hill|road|street|lane|drive|close|ave|avenue|st)\b)?(?:(?<=\b(?:st|rd|ln|dr|ct|pl))\.|(?<=\bave)\.|(?<=\bblvd)\.)?(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s?\w{{1,5}}\b)?"
     r"|\b\d{1,5}\s?[a-f]?(?:\s?bis)?,?\s+(?:rue|avenue|boulevard|chemin|allée|impasse|place)\s+(?:de la |de l['’]|des |du |de )?[\w'’-]+"
     r"|\b(?:calle|avenida|paseo|carrer|plaza)\s+(?:del |de la |de los |de )?[\w'’-]+(?:\s[^\W\d_]+)?,?\s+\d{1,5}\b(?:,\s?\d{1,2}\.?º?\s?[A-Z]\b)?"
-    r"|\b[^\W\d_]+(?:weg|straße|strasse|str\.|gasse|allee|damm|ufer)\s+\d{1,5}\s?[a-f]?\b"
+    r"|\b[^\W\d_]+(?:weg|straße|strasse|str\.|gasse|allee|damm|ufer)\s+\d{1,5}(?:\s?[a-f]\b)?\b"
 )
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\s\w]")
 _MAYBE = r"(?iU)\d|@|\bat\b|\barroba\b|zero|\boh\b|five|seven|eight|nine|three|four"
@@ -109,10 +109,10 @@ def spans_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, str, s
             continue
         before = re.split(r"[.!?]\s+(?=[A-Z])|\n", text[max(0, a - 60) : a])[-1]
         # labels by their distance in words; a label may also be joined to the number or follow it
-        labels = [(len(before[x.end() :].split()), k != "identity", k) for x in _LABEL.finditer(before) for k, v in x.groupdict().items() if v]
+        labels = [(len(before[x.end() :].split()), k != "identity", k, v.lower()) for x in _LABEL.finditer(before) for k, v in x.groupdict().items() if v]
         after = re.split(r"[.!?]|\n", text[b : b + 40])[0]
-        labels += [(len(after[: x.start()].split()), k != "identity", k) for x in _LABEL.finditer(after) for k, v in x.groupdict().items() if v and k == "identity"]
-        near = min((x for x in labels if x[0] <= REACH[x[2]]), default=None)
+        labels += [(len(after[: x.start()].split()), k != "identity", k, v.lower()) for x in _LABEL.finditer(after) for k, v in x.groupdict().items() if v and k == "identity"]
+        near = min((x for x in labels if x[0] <= REACH_OTHER.get(x[3], REACH)), default=None)
         own = near[2] if near else None
         if re.match(r"(?i)(rma|tk|pl|ref)-?\d", raw):
             own = "other"
@@ -263,7 +263,12 @@ def name_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> Data
 
 def find_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
     """(key, kind, start, end) of every item; ``key`` as text."""
-    return form_items(texts, key, text).unionByName(name_items(texts, key, text, listed))
+    forms = cut_lineage(form_items(texts, key, text))
+    around = forms.where("kind IN ('email', 'address')").select("key", F.col("start").alias("_a"), F.col("end").alias("_b"))
+    names = name_items(texts, key, text, listed)
+    # names inside e-mail addresses and of streets are parts of those
+    alone = names.join(around, (names["key"] == around["key"]) & (names["start"] < around["_b"]) & (names["end"] > around["_a"]), "left_anti")
+    return forms.unionByName(alone)
 
 
 def kinds_found(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
