@@ -152,8 +152,7 @@ def ordered_target_stats(df: DataFrame, key: str, category: str, target: Column,
     each = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = reduce(lambda a, p: F.when(F.col("_p") == p, portable_hash(F.col(key), p)).otherwise(a), range(permutations), F.lit(None).cast("bigint"))
     each = each.withColumn("_h", order).withColumn("_one", F.lit(1)).withColumn("_b", F.shiftright("_h", 48))
-    done = prefix_sums(each, [category, "_p"], "_h", "_y", "_sum", F.col("_b"), [key])
-    done = prefix_sums(done, [category, "_p"], "_h", "_one", "_n", F.col("_b"), [key])
+    done = prefix_sums(each, [category, "_p"], "_h", ["_y", "_one"], ["_sum", "_n"], F.col("_b"), [key])
     value = (F.col("_sum") + prior * F.col("_mean")) / (F.col("_n") + prior)
     return done.join(F.broadcast(mean), F.lit(True)).groupBy(key).agg(F.avg(value).alias("encoded"))
 

@@ -51,20 +51,23 @@ def small_rows(df: DataFrame, max_rows: int = 10_000) -> list[Row]:
     return rows
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: str, size: str, out: str, bucket: Column, tie: list[str]) -> DataFrame:
-    """``out``: the sum of ``size`` over all rows of the group before this one, in ``order``, ties by ``tie``.
+def prefix_sums(df: DataFrame, group: list[str], order: str, size: str | list[str], out: str | list[str], bucket: Column, tie: list[str]) -> DataFrame:
+    """``out``: the sum of ``size`` over all rows of the group before this one, in ``order``, ties by ``tie``; several at once as lists.
 
     Safe for a group of any size: ``bucket`` is a coarse form of ``order`` (equal or rising with it), so sums run within
     (group, bucket), and only one row per (group, bucket) is summed up over the whole group.
     """
+    sizes, outs = ([size], [out]) if isinstance(size, str) else (size, out)
     b = df.withColumn("_bucket", bucket)
     keys = [*group, "_bucket"]
-    sums = b.groupBy(*keys).agg(F.sum(size).alias("_in_bucket"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = b.groupBy(*keys).agg(*(F.sum(s).alias(f"_in{i}") for i, s in enumerate(sizes)))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_before"))
+    sums = sums.select(*keys, *(zero(F.sum(f"_in{i}").over(before)).alias(f"_before{i}") for i in range(len(sizes))))
     inside = W.partitionBy(*keys).orderBy(order, *tie).rowsBetween(W.unboundedPreceding, -1)
-    b = b.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return b.join(sums, keys).withColumn(out, F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
+    b = b.withColumns({f"_inside{i}": zero(F.sum(s).over(inside)) for i, s in enumerate(sizes)})
+    done = b.join(sums, keys).withColumns({o: F.col(f"_before{i}") + F.col(f"_inside{i}") for i, o in enumerate(outs)})
+    return done.drop("_bucket", *(f"_{w}{i}" for i in range(len(sizes)) for w in ("before", "inside")))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -310,3 +310,43 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_text_features(spark):
+    from driftloom.operators import text_features as tf
+
+    df = spark.createDataFrame([(i, f"call {i} about the {'router' if i % 2 else 'invoice'}") for i in range(60)] + [(99, None)], "id int, t string")
+    oracle = ft.keyword_oracle()
+    made = tf.develop(df, "id", "t", {"topic": "About: router, invoice", "words": "How many words", "never": "Which: zebra"}, ft.TextOracle(lambda q, t: "" if "zebra" in q else oracle.answer(q, t)))
+    assert {f.name: f.kind for f in made} == {"topic": "category", "words": "int"}
+    rows = {r["id"]: (r["topic"], r["words"]) for r in tf.answer(df, "t", made, oracle).collect()}
+    assert rows[1] == ("router", 5) and rows[99] == (None, None)
+
+
+def test_simulation_session(spark, tmp_path):
+    from driftloom.operators import simulation_session as ss
+
+    openings = spark.createDataFrame([("a", "I want to cancel", "cancelled"), ("b", "hello", "resolved"), ("c", " ", None)], "conversation_id string, intent string, outcome string")
+    run = ss.Session(("cancelled", "resolved")).with_replies(lambda role, said: "it is resolved" if len(said) == 1 else None).with_most_messages(5).run(openings)
+    run.save(str(tmp_path / "run"))
+    back = ss.load(spark, str(tmp_path / "run"))
+    assert {r["scenario_id"] for r in back.scenarios.collect()} == {"scenario_0", "scenario_1"}
+    assert {r["outcome"]: (r["real"], r["simulated"]) for r in back.comparison().collect()} == {"cancelled": (1, 0), "resolved": (1, 2)}
+    with pytest.raises(ValueError):
+        ss.Session(("x",)).run(openings)
+
+
+def test_prompts_and_progress(spark):
+    from driftloom import progress
+    from driftloom.functions import prompts
+
+    assert "more likely" in prompts.goal("t", "classification", "a", ("a", "b"))
+    for bad in (lambda: prompts.goal("t", "regression", None), lambda: prompts.goal("t", "regression", "a"), lambda: prompts.goal("t", "classification", "z", ("a", "b"))):
+        with pytest.raises(ValueError):
+            bad()
+    assert "| id | bigint |" in prompts.tables({"t": spark.range(2)})
+    told = []
+    with progress.reporting(lambda what, s: told.append((what, s.name))), progress.stage("run", 2) as run:
+        with progress.stage("part"):
+            run.advance()
+    assert [x for x, _ in told] == ["began", "began", "moved", "ended", "ended"] and run.lines()[0].startswith("run 1/2")
