@@ -191,30 +191,35 @@ def _places(texts: DataFrame, key: str, text: str) -> DataFrame:
     return own.withColumn("words", F.expr("transform(at, i -> pieces[i])"))
 
 
-def _word_rows(places: DataFrame) -> DataFrame:
-    """(key, at, word, shape, capital, left1, left, right1, right) of the letter words of the texts; parts of addresses and codes aren't words."""
+def _word_rows(places: DataFrame, capitals: bool) -> DataFrame:
+    """(key, at, word, shape, left1, right1) of the letter words of the texts; parts of addresses and codes aren't words.
+
+    Of capital words only, where asked, with the patterns ``left`` and ``right`` of the two words on each side.
+    """
     c = lambda i: f"if(i + {i} >= 0 AND i + {i} < size(words), if(words[i + {i}] RLIKE '^[0-9]', '0', lower(words[i + {i}])), '|')"
-    row = f"""transform(filter(sequence(0, size(words) - 1), i -> size(words) > 0 AND words[i] RLIKE '^\\\\p{{L}}'
+    more = f", 'left2', {c(-2)}, 'right2', {c(2)}" if capitals else ""
+    row = f"""transform(filter(sequence(0, size(words) - 1), i -> size(words) > 0 AND words[i] RLIKE '^{"\\\\p{Lu}" if capitals else "\\\\p{L}"}'
             AND NOT coalesce(get(pieces, at[i] - 1), '') RLIKE '[@_+0-9]' AND NOT coalesce(get(pieces, at[i] + 1), '') RLIKE '[@_+0-9]'
             AND NOT (coalesce(get(pieces, at[i] - 1), '') IN ('.', '-') AND coalesce(get(pieces, at[i] - 2), ' ') RLIKE '^[a-z0-9@]')
             AND NOT (coalesce(get(pieces, at[i] + 1), '') IN ('.', '-') AND coalesce(get(pieces, at[i] + 2), ' ') RLIKE '^[a-z0-9]')),
-        i -> named_struct('at', at[i], 'word', lower(words[i]), 'shape', words[i], 'left2', {c(-2)}, 'left1', {c(-1)}, 'right1', {c(1)}, 'right2', {c(2)}))"""
+        i -> named_struct('at', at[i], 'word', lower(words[i]), 'shape', words[i], 'left1', {c(-1)}, 'right1', {c(1)}{more}))"""
     rows = places.select("key", F.explode(F.expr(row)).alias("r")).select("key", "r.*")
-    capital = F.col("shape").rlike(r"^\p{Lu}")
-    return rows.withColumn("capital", capital).withColumn("left", F.concat(F.lit("< "), "left2", F.lit(" "), "left1")).withColumn("right", F.concat(F.lit("> "), "right1", F.lit(" "), "right2"))
+    if not capitals:
+        return rows
+    return rows.withColumn("left", F.concat(F.lit("< "), "left2", F.lit(" "), "left1")).withColumn("right", F.concat(F.lit("> "), "right1", F.lit(" "), "right2"))
 
 
-def learn_names(words: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(names: word, ambiguous, share), (patterns: pattern, agree). ``words``: capital words; ``listed``: word.
+def learn_names(words: DataFrame, capitals: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names: word, ambiguous), (patterns: pattern, agree). ``words``: all words, ``capitals``: those with patterns; ``listed``: word.
 
     Listed words that are also ordinary words are ambiguous: they teach nothing and need their surroundings to be a name.
     """
-    uses = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("capital")).alias("low"))
+    uses = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("shape").rlike(r"^\p{Lu}")).alias("low"))
     kinds = uses.join(listed.withColumn("on_list", F.lit(True)), "word", "left").select("word", "n", "on_list", (F.col("low") / F.col("n") >= ORDINARY).alias("ordinary"))
     kinds = cut_lineage(kinds)
     label = F.when(F.col("on_list") & ~F.col("ordinary"), "name").when(F.col("ordinary") & F.col("on_list").isNull(), "word")
     seeds = kinds.select(F.col("word").alias("item"), label.alias("label")).where("label IS NOT NULL")
-    each = words.where("capital").select(F.col("word").alias("item"), F.explode(F.array("left", "right")).alias("pattern"))
+    each = capitals.select(F.col("word").alias("item"), F.explode(F.array("left", "right")).alias("pattern"))
     edges = cut_lineage(each.groupBy("item", "pattern").agg(F.count("*").alias("n")))
     known = seeds
     for _ in range(ROUNDS):
@@ -239,11 +244,12 @@ def name_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> Data
     """(key, 'name', start, end) of given and family names. ``listed``: person_name."""
     places = _places(texts, key, text)
     own = listed.where(F.col("person_name").isNotNull()).select(F.explode(F.regexp_extract_all(F.lower("person_name"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word")).distinct()
-    names, patterns = learn_names(_word_rows(places), own)
+    words, capitals = _word_rows(places, False), _word_rows(places, True)
+    names, patterns = learn_names(words, capitals, own)
     names, patterns = cut_lineage(names), cut_lineage(patterns)
-    rows = _word_rows(places).join(broadcast_if_small(names, BROADCAST_ROWS), "word", "left")
+    sure = words.join(broadcast_if_small(names.where("NOT ambiguous"), BROADCAST_ROWS), "word")
     near = broadcast_if_small(names.where("NOT ambiguous").select(F.col("word").alias("_near")), BROADCAST_ROWS)
-    maybe = rows.where("ambiguous OR (ambiguous IS NULL AND capital)")
+    maybe = capitals.join(broadcast_if_small(names, BROADCAST_ROWS), "word", "left").where("ambiguous OR ambiguous IS NULL")
     left = broadcast_if_small(patterns.where("pattern LIKE '< %'").select(F.col("pattern").alias("left"), F.col("agree").alias("_l")), BROADCAST_ROWS)
     right = broadcast_if_small(patterns.where("pattern LIKE '> %'").select(F.col("pattern").alias("right"), F.col("agree").alias("_r")), BROADCAST_ROWS)
     judged = maybe.join(left, "left", "left").join(right, "right", "left")
@@ -251,14 +257,16 @@ def name_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> Data
     street = F.col("right1").rlike(rf"^(?:{STREET_WORDS})$") | (F.col("left1") == "0") | (F.col("right1") == "&") | (F.col("left1") == "&")
     beside = F.coalesce("_ln", "_rn", F.lit(False))
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    doubtful = F.col("ambiguous") & F.col("capital") & (beside | F.col("_l").isNotNull() | F.col("_r").isNotNull())
+    doubtful = F.col("ambiguous") & (beside | F.col("_l").isNotNull() | F.col("_r").isNotNull())
     # a capital word on no list: in two name patterns, after a name, or before one inside a sentence
     inside = ~F.col("left1").isin("|", ".", "!", "?", ":", "\n")
     unknown = F.col("ambiguous").isNull() & (both | F.coalesce("_ln", F.lit(False)) | (F.coalesce("_rn", F.lit(False)) & inside))
-    hits = rows.where("NOT ambiguous").where(~street).select("key", "at", "shape").unionByName(judged.where((F.coalesce(doubtful, F.lit(False)) | unknown) & ~street).select("key", "at", "shape"))
-    # offsets: the joined length of the pieces before
-    spot = hits.join(places.select("key", "pieces"), "key").withColumn("start", F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("at")), "")))
-    return spot.select("key", F.lit("name").alias("kind"), F.col("start").cast("int").alias("start"), (F.col("start") + F.length("shape")).cast("int").alias("end"))
+    hits = sure.where(~street).select("key", "at", "shape").unionByName(judged.where((F.coalesce(doubtful, F.lit(False)) | unknown) & ~street).select("key", "at", "shape"))
+    # offsets are the joined length of the pieces before; only texts with a hit are taken apart again
+    grouped = hits.distinct().groupBy("key").agg(F.collect_list(F.struct("at", "shape")).alias("_hits"))
+    spot = texts.select(F.col(key).cast("string").alias("key"), F.col(text).alias("_text")).join(grouped, "key").withColumn("pieces", F.regexp_extract_all("_text", F.lit(f"({_PIECES})"), F.lit(1)))
+    spot = spot.select("key", F.explode(F.transform("_hits", lambda h: F.struct(F.length(F.array_join(F.slice("pieces", F.lit(1), h["at"]), "")).alias("start"), F.length(h["shape"]).alias("n")))).alias("s"))
+    return spot.select("key", F.lit("name").alias("kind"), F.col("s.start").cast("int").alias("start"), (F.col("s.start") + F.col("s.n")).cast("int").alias("end"))
 
 
 def find_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
