@@ -33,51 +33,76 @@ def with_roles(turns: DataFrame, sender_forms: DataFrame) -> DataFrame:
     return own.join(broadcast_if_small(forms), "_form", "left").drop("_form")
 
 
-def block_facts(messages: DataFrame) -> DataFrame:
-    """One row per (dialogue, block) with all that the judgement of a dialogue needs; combined by min, max and sum."""
-    said = ~F.col("_blank")
-    role = lambda r: said & (F.col("_role") == r)
-    return messages.groupBy("dialogue_id", "_block").agg(
-        F.max(said & (F.col("_role").isNull() | F.col("sent_at").isNull())).alias("unusable"),
-        F.max(F.coalesce(role("agent") | role("customer"), F.lit(False))).alias("spoken"),
-        F.min(F.when(role("customer"), F.col("sent_at"))).alias("first_customer"),
-        F.max(F.when(role("agent"), F.col("sent_at"))).alias("last_agent"),
-    )
-
-
-def _defect(unusable: Column, spoken: Column, first_customer: Column, last_agent: Column) -> Column:
-    replied = F.coalesce(last_agent > first_customer, F.lit(False))
-    return F.when(unusable, "broken").when(~spoken, "empty").when(~replied, "no_reply")
-
-
-def dropped_dialogues(turns: DataFrame, sender_forms: DataFrame) -> DataFrame:
-    """(dialogue_id, defect) of every dialogue to be dropped: ``broken``, ``empty`` or ``no_reply``, the first that applies."""
-    facts = block_facts(with_roles(turns, sender_forms)).groupBy("dialogue_id").agg(
-        F.max("unusable").alias("unusable"), F.max("spoken").alias("spoken"), F.min("first_customer").alias("first_customer"), F.max("last_agent").alias("last_agent")
-    )
-    judged = facts.select("dialogue_id", _defect(*(F.col(c) for c in ("unusable", "spoken", "first_customer", "last_agent"))).alias("defect"))
-    return judged.where("defect IS NOT NULL")
-
-
-def _ordered(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages with their place and gap inside the block, one row per block with what lies before it)."""
+def _placed(messages: DataFrame) -> DataFrame:
+    """Usable messages, each once, with their place and gap inside the block."""
     keys = ["dialogue_id", "_block"]
-    facts = block_facts(messages)
     usable = messages.where(~F.col("_blank") & F.col("_role").isNotNull() & F.col("sent_at").isNotNull())
-    # partitioned by the block once: removing repeats, order inside the block and the facts of the block all reuse it
+    # partitioned by the block once: removing repeats and the order inside the block reuse it
     once = usable.repartition(*keys).groupBy(*keys, "sent_at", "_role", "text").agg(F.min("msg_id").alias("msg_id"))
-    inside = W.partitionBy(*keys).orderBy("sent_at", "msg_id")
-    placed = once.withColumn("_place", F.row_number().over(inside)).withColumn("_gap", F.unix_micros(F.col("sent_at").cast("timestamp")) - F.lag(F.unix_micros(F.col("sent_at").cast("timestamp"))).over(inside))
+    inside, at = W.partitionBy(*keys).orderBy("sent_at", "msg_id"), _micros("sent_at")
+    return once.withColumn("_place", F.row_number().over(inside)).withColumn("_gap", at - F.lag(at).over(inside))
+
+
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """One row per (dialogue, block): messages before it, and the silence before its first message."""
+    keys = ["dialogue_id", "_block"]
     sums = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("sent_at").alias("_first"), F.max("sent_at").alias("_last"))
-    whole, before = W.partitionBy("dialogue_id"), W.partitionBy("dialogue_id").orderBy("_block")
-    blocks = facts.join(sums, keys, "left").select(
-        *keys, "_n", "_first",
-        _defect(F.max("unusable").over(whole), F.max("spoken").over(whole), F.min("first_customer").over(whole), F.max("last_agent").over(whole)).alias("_defect"),
-        F.coalesce(F.sum("_n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.last("_last", ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)).alias("_previous"),
-    ).where("_defect IS NULL AND _n IS NOT NULL").drop("_defect")
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return placed, blocks.withColumn("_step", micros("_first") - micros("_previous")).drop("_first", "_previous")
+    before = W.partitionBy("dialogue_id").orderBy("_block")
+    earlier = F.coalesce(F.sum("_n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumn("_before", earlier).withColumn("_previous", F.lag("_last").over(before)).select(*keys, "_before", (_micros("_first") - _micros("_previous")).alias("_step"))
+
+
+def _numbered(placed: DataFrame, blocks: DataFrame, gap: int) -> DataFrame:
+    """Messages of the given blocks' dialogues with ``position`` in the dialogue and ``session_no``, both from 1."""
+    keys = ["dialogue_id", "_block"]
+    broken = placed.withColumn("_cut", F.coalesce((F.col("_gap") > gap).cast("int"), F.lit(0)))
+    cuts = broken.groupBy(*keys).agg(F.sum("_cut").alias("_cuts"))
+    before = W.partitionBy("dialogue_id").orderBy("_block")
+    starts = blocks.join(cuts, keys).withColumn("_new", F.coalesce((F.col("_step") > gap).cast("int"), F.lit(0)))
+    starts = starts.select(*keys, "_before", (F.sum("_new").over(before) + F.coalesce(F.sum("_cuts").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).alias("_session"))
+    inside = W.partitionBy(*keys).orderBy("_place")
+    return broken.withColumn("_inner", F.sum("_cut").over(inside)).join(starts, keys).select(
+        "dialogue_id", (F.col("_before") + F.col("_place")).cast("bigint").alias("position"), (F.col("_session") + F.col("_inner")).cast("bigint").alias("session_no"),
+        F.col("_role").alias("role"), "sent_at", "text", "msg_id",
+    )
+
+
+def sessions(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
+    """One row per session of each dialogue: messages, first_customer, last_agent, replied (reciprocal: an agent after a customer).
+
+    ``session_no`` 0 stands for the messages that can't be placed, blank or unusable; every dialogue has it. ``unusable``:
+    some message of it isn't blank.
+    """
+    messages = with_roles(turns, sender_forms)
+    placed = _placed(messages)
+    blocks = _blocks(placed)
+    gap = gap_threshold(placed, blocks) if max_gap_micros is None else max_gap_micros
+    talks = _numbered(placed, blocks, gap).groupBy("dialogue_id", "session_no").agg(
+        F.count("*").alias("messages"), F.min(F.when(F.col("role") == "customer", F.col("sent_at"))).alias("first_customer"),
+        F.max(F.when(F.col("role") == "agent", F.col("sent_at"))).alias("last_agent"), F.max(F.col("role").isin("agent", "customer")).alias("spoken"),
+    ).withColumn("unusable", F.lit(False))
+    bad = ~F.col("_blank") & (F.col("_role").isNull() | F.col("sent_at").isNull())
+    never = F.lit(None).cast("timestamp_ntz")
+    rest = messages.groupBy("dialogue_id").agg(F.count_if(F.col("_blank") | bad).alias("messages"), F.max(bad).alias("unusable"))
+    rest = rest.select("dialogue_id", F.lit(0).cast("bigint").alias("session_no"), "messages", never.alias("first_customer"), never.alias("last_agent"), F.lit(False).alias("spoken"), "unusable")
+    return talks.unionByName(rest).withColumn("replied", F.coalesce(F.col("last_agent") > F.col("first_customer"), F.lit(False)))
+
+
+def dropped_dialogues(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
+    """(dialogue_id, defect) of every dialogue to be dropped: ``broken``, ``empty`` or ``no_reply``, the first that applies.
+
+    Judged from its sessions: a reply may come in a later session than the question.
+    """
+    facts = sessions(turns, sender_forms, max_gap_micros).groupBy("dialogue_id").agg(
+        F.max("unusable").alias("unusable"), F.max("spoken").alias("spoken"), F.min("first_customer").alias("first_customer"), F.max("last_agent").alias("last_agent")
+    )
+    replied = F.coalesce(F.col("last_agent") > F.col("first_customer"), F.lit(False))
+    defect = F.when(F.col("unusable"), "broken").when(~F.col("spoken"), "empty").when(~replied, "no_reply")
+    return facts.select("dialogue_id", defect.alias("defect")).where("defect IS NOT NULL")
 
 
 def gap_threshold(placed: DataFrame, blocks: DataFrame) -> int:
@@ -111,16 +136,9 @@ def cut_between_clusters(counts: list[tuple[int, int]]) -> int:
 
 def rebuild(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
     """Messages of all whole conversations: dialogue_id, position (from 1), session_no (from 1), role, sent_at, text, msg_id."""
-    placed, blocks = _ordered(with_roles(turns, sender_forms))
+    placed = _placed(with_roles(turns, sender_forms))
+    blocks = _blocks(placed)
     gap = gap_threshold(placed, blocks) if max_gap_micros is None else max_gap_micros
-    keys = ["dialogue_id", "_block"]
-    broken = placed.withColumn("_cut", F.coalesce((F.col("_gap") > gap).cast("int"), F.lit(0)))
-    cuts = broken.groupBy(*keys).agg(F.sum("_cut").alias("_cuts"))
-    before = W.partitionBy("dialogue_id").orderBy("_block")
-    starts = blocks.join(cuts, keys).withColumn("_new", F.coalesce((F.col("_step") > gap).cast("int"), F.lit(0)))
-    starts = starts.select(*keys, "_before", (F.sum("_new").over(before) + F.coalesce(F.sum("_cuts").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).alias("_session"))
-    inside = W.partitionBy(*keys).orderBy("_place")
-    return broken.withColumn("_inner", F.sum("_cut").over(inside)).join(starts, keys).select(
-        "dialogue_id", (F.col("_before") + F.col("_place")).cast("bigint").alias("position"), (F.col("_session") + F.col("_inner")).cast("bigint").alias("session_no"),
-        F.col("_role").alias("role"), "sent_at", "text", "msg_id",
-    )
+    # dialogues are dropped by their blocks, of which there are few, so a dialogue of any size is safe
+    kept = blocks.join(dropped_dialogues(turns, sender_forms, gap), "dialogue_id", "left_anti")
+    return _numbered(placed, kept, gap)
