@@ -55,7 +55,8 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, size: str | list[st
     """``out``: the sum of ``size`` over all rows of the group before this one, in ``order``, ties by ``tie``; several at once as lists.
 
     Safe for a group of any size: ``bucket`` is a coarse form of ``order`` (equal or rising with it), so sums run within
-    (group, bucket), and only one row per (group, bucket) is summed up over the whole group.
+    (group, bucket), and only one row per (group, bucket) is summed up over the whole group. Rows with a null in the group
+    or in ``order`` have no place; callers leave them out.
     """
     sizes, outs = ([size], [out]) if isinstance(size, str) else (size, out)
     b = df.withColumn("_bucket", bucket)
