@@ -68,7 +68,7 @@ def _later_round(round_no: int):
 def items_of(sized: DataFrame, key: str, size: str, limits: list[tuple[str, int]]) -> DataFrame:
     """(limit_name, capacity, item, part, parts, tokens): every item once per limit, in parts only if it is too large."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("limit_name"), F.lit(c).cast("long").alias("capacity")) for n, c in limits)))
-    rows = sized.select(F.col(key).cast("string").alias("item"), F.col(size).cast("long").alias("size"), each.alias("l")).select("item", "size", "l.limit_name", "l.capacity")
+    rows = sized.select(F.col(key).cast("string").alias("item"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), each.alias("l")).select("item", "size", "l.limit_name", "l.capacity")
     rows = rows.withColumn("parts", F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1)).cast("int"))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.select("limit_name", "capacity", "item", "part", "parts", F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("tokens"))

@@ -59,3 +59,9 @@ def test_threshold_between_clusters():
 
 def test_empty(spark):
     assert cv.dropped_dialogues(*tables(spark, [])).count() == 0 and cv.rebuild(*tables(spark, [])).count() == 0
+
+
+def test_sessions_of_unplaced_messages(spark):
+    got = {(r["dialogue_id"], r["session_no"]): r for r in cv.sessions(*tables(spark, ROWS)).collect()}
+    assert got["blank", 0]["messages"] == 2 and not got["blank", 0]["unusable"] and got["untimed", 0]["unusable"]
+    assert got["ok", 1]["messages"] == 3 and got["ok", 1]["replied"] and not got["early", 1]["replied"]

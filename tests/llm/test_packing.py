@@ -61,3 +61,9 @@ def test_empty_and_single(spark):
     assert run(spark, [], [("a", 10)]) == []
     assert len(run(spark, [0], [("a", 10)])) == 1
     assert len(run(spark, [25], [("a", 10)])) == 3
+
+
+def test_null_sizes_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, None), (1, 4), (None, 3)], "doc_id long, tokens long")
+    rows = packing.pack(df, "doc_id", "tokens", [("a", 10)]).collect()
+    assert sorted(r["tokens"] for r in rows) == [0, 3, 4] and {r["item"] for r in rows} == {1, None}
