@@ -29,13 +29,17 @@ CLOSED_END = r"(?U)(?:[:;]-?[)D(]|[\p{So}\x{FE0F}]|\([^()]{1,60}\)|\[[^\[\]]{1,6
 #: Characters at the end of a text that hold any note, mark or markup that ends it.
 TAIL = 256
 _TOKENS = r"[\p{L}\p{M}\p{N}]+|\n|[^\s\p{Z}]"
+#: Tokens that end a sentence.
+SENTENCE_ENDS = (".", "!", "?", "\n")
 #: Weight of the shorter context when a longer one has few cases.
 BACKOFF = 1.0
 #: Share of sentence ends after a word of which nothing is known, and after any word.
 UNKNOWN_ENDS, BASE_ENDS = 0.02, 0.1
-#: An inner sentence of three words or more that ends with its mark, before a capital. A text with such sentences marks its
-#: last one too: the log odds of a cut where it doesn't, for the first of them and each further one up to STYLE_MOST.
-MARKED_STYLE = r"(?U)\w+\W+\w+\W+\w+[.!?][\"'»”’)\]]*\s+[\"'«“‘¿¡(\[\p{N}:]*\s*\p{Lu}"
+#: An inner sentence that ends with its mark, before a capital, other than a greeting of one or two words at the start. A
+#: text with such sentences marks its last one too: the log odds of a cut where it doesn't, for the first of them and each
+#: further one up to STYLE_MOST.
+MARKED_STYLE = r"[.!?][\"'»”’)\]]*\s+[\"'«“‘¿¡(\[\p{N}:]*\s*\p{Lu}"
+GREETING = r"(?U)^\W*\w+(?:\W+\w+)?[.!?]"
 STYLE_ODDS, STYLE_MORE, STYLE_MOST = 6.0, 1.0, 3
 
 
@@ -45,10 +49,6 @@ def tokens_of(text: Column) -> Column:
     return F.concat(F.array(F.lit("\n"), F.lit("\n")), F.regexp_extract_all(plain, F.lit(f"({_TOKENS})"), F.lit(1)))
 
 
-def _ends(token: str) -> str:
-    return f"{token} IN ('.', '!', '?', '\\n')"
-
-
 def _replaced_at_end(text: Column, pattern: str) -> Column:
     """``text`` without a match of a pattern that ends it and is shorter than the tail."""
     tail = F.right(text, F.lit(TAIL))
@@ -70,10 +70,12 @@ def ngram_counts(texts: DataFrame, text: str) -> DataFrame:
     """(gram, seen, ends): for each n-gram of 1 to 3 tokens inside the texts, how often it stands and a sentence ends after it."""
     # notes of a cut are no sentence ends
     own = texts.where(F.col(text).isNotNull()).select(tokens_of(_bare(F.col(text))).alias("t")).where("size(t) > 3")
-    # tokens become hashes once; a gram is a hash of hashes
-    hashed = own.select(F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr(f"transform(t, x -> {_ends('x')})").alias("e"))
-    each = hashed.select(F.explode(F.expr("""transform(sequence(2, size(h) - 2), i -> struct(
-        xxhash64(h[i - 2], h[i - 1], h[i]) AS g3, xxhash64(h[i - 1], h[i]) AS g2, xxhash64(h[i]) AS g1, e[i + 1] AS e))""")).alias("p")).select("p.*")
+    # tokens become hashes once; a gram is a hash of hashes. Shifted slices side by side give each token its neighbours
+    hashed = own.select(F.expr("transform(t, x -> xxhash64(x))").alias("h"))
+    shifted = (F.slice("h", F.lit(i), F.size("h") - 3).alias(n) for i, n in enumerate("abcd", 1))
+    near = hashed.select(F.inline(F.arrays_zip(*shifted))).toDF("a", "b", "c", "d")
+    after = F.col("d").isin([F.xxhash64(F.lit(m)) for m in SENTENCE_ENDS])
+    each = near.select(F.xxhash64("a", "b", "c").alias("g3"), F.xxhash64("b", "c").alias("g2"), F.xxhash64("c").alias("g1"), after.alias("e"))
     # counted by the longest gram first; the shorter ones are sums over the distinct longest
     longest = each.groupBy("g3", "g2", "g1").agg(F.count("*").alias("seen"), F.count_if("e").alias("ends"))
     grams = longest.select("seen", "ends", F.explode(F.array("g1", "g2", "g3")).alias("gram"))
@@ -99,7 +101,7 @@ def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None
     own = own.select("_id", F.xxhash64("_x").alias("_same"), end.rlike(PLAIN_NOTE).alias("_plain"), end.rlike(MARK_NOTE).alias("_mark"), _bare(F.col("_x")).alias("_x"))
     end = F.right("_x", F.lit(TAIL))
     own = cut_lineage(own.select(
-        "_id", "_same", "_plain", "_mark", F.least(F.regexp_count("_x", F.lit(MARKED_STYLE)), F.lit(STYLE_MOST)).alias("_styled"), end.rlike(FINAL_MARK).alias("_final"), end.rlike(r"\p{N}\.$").alias("_number"),
+        "_id", "_same", "_plain", "_mark", F.least(F.regexp_count("_x", F.lit(MARKED_STYLE)) - F.col("_x").rlike(GREETING).cast("int"), F.lit(STYLE_MOST)).alias("_styled"), end.rlike(FINAL_MARK).alias("_final"), end.rlike(r"\p{N}\.$").alias("_number"),
         end.rlike(OPEN_END).alias("_open"), end.rlike(INSIDE_MARKUP).alias("_inside"), end.rlike(CLOSED_END).alias("_closed"), end.rlike(r"[)\]]$").alias("_bracket"),
         _last_tokens(_unmarked(F.col("_x")), 3).alias("_t"),
     ))
