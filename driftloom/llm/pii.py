@@ -46,6 +46,7 @@ _EMAIL = re.compile(
     r"|(?<![\w+-])[\w+-]+(?:(?: dot | underscore | plus | dash | hyphen | minus |\.)[\w+-]+)*\s(?:at|arroba)\s[\w-]+(?:(?: dot |\.)[\w-]+)* (?:dot|punto|punkt|point) [a-z]{2,}\b"
 )
 _NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\(|(?!ID |NO )[A-Z]{1,2} |[A-Za-z]{1,3}-?)?\d+(?:(?:[ ./-]|\)[ -]?| ?\(0?\)? ?|\()[A-Z]{0,2}\d+)*(?:-?[A-Za-z]{1,3}\d*|(?<=\b\d{8}) (?![AIOU]\b)[A-Z]\b)?(?:\s*(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w@])")
+_DATE = re.compile(r"(?:19|20)\d\d([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2(?:19|20)\d\d")
 #: Kinds of street (fixed values).
 STREET_WORDS = r"street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|way|place|pl|boulevard|blvd|terrace|crescent|square|row|hill|gardens|grove|mews|walk"
 _ADDRESS = re.compile(
@@ -105,7 +106,7 @@ def spans_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, str, s
     for m in _NUMBER.finditer(text):
         raw, (a, b) = m.group(), m.span()
         digits = re.sub(r"\D", "", re.sub(r"(?i)\s*(?:ext\.?|extension|x)\s?\d{1,5}$", "", raw))
-        if not 7 <= len(digits) <= 16 or not free(a, b):
+        if not 7 <= len(digits) <= 16 or not free(a, b) or _DATE.fullmatch(raw.strip()):
             continue
         before = re.split(r"[.!?]\s+(?=[A-Z])|\n", text[max(0, a - 60) : a])[-1]
         # labels by their distance in words; a label may also be joined to the number or follow it

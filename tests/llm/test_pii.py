@@ -15,7 +15,7 @@ CASES = [
     (1006, "call me on +44 20 7946 0110 please", {"phone"}), (1007, "my number is 555-0132", {"phone"}), (1008, "five five eight five five five zero one nine three", {"phone"}), (1009, "(818) 555-0143 is fine", {"phone"}),
     (1010, "SSN: 952-88-2554", {"identity"}), (1011, "My passport number on file is X 3234330.", {"identity"}), (1012, "tax id 13684302659", {"identity"}), (1013, "Invoice 984-50-1763 was paid.", set()), (1014, "pls use KL2114505 for the identity check", {"identity"}),
     (1015, "I live at 18c Tanner's Lane", {"address"}), (1016, "we moved to Lindenweg 28 in April", {"address"}), (1017, "the letter went to Calle del Olmo 47, 2 B", {"address"}), (1018, "It is a 55 hour road service.", set()), (1019, "Our shop on Larkfield Road is closed", set()),
-    (1020, "i spoke to zyra about it", {"name"}), (1021, "ELENA is here", {"name"}), (1022, "", set()), (1023, None, set()), (1024, "I will mark it", set()),
+    (1020, "i spoke to zyra about it", {"name"}), (1021, "ELENA is here", {"name"}), (1022, "", set()), (1023, None, set()), (1024, "I will mark it", set()), (1025, "call me on 2024-05-01 or 01.05.2024", set()), (1026, "my mail is ravik underscore sarn at webpost dot invalid", {"email"}),
 ]
 
 
