@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.llm.textunits import is_blank, trimmed
-from driftloom.session import broadcast_if_small
+from driftloom.session import broadcast_if_small, cut_lineage
 
 #: Bins of the gap histogram for each doubling of the gap.
 BINS_PER_OCTAVE = 4
@@ -77,8 +77,9 @@ def sessions(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | No
     ``session_no`` 0 stands for the messages that can't be placed, blank or unusable; every dialogue has it. ``unusable``:
     some message of it isn't blank.
     """
-    messages = with_roles(turns, sender_forms)
-    placed = _placed(messages)
+    # of the texts only their hashes are needed here, to tell repeats
+    messages = with_roles(turns, sender_forms).withColumn("text", F.xxhash64("text"))
+    placed = cut_lineage(_placed(messages))
     blocks = _blocks(placed)
     gap = gap_threshold(placed, blocks) if max_gap_micros is None else max_gap_micros
     talks = _numbered(placed, blocks, gap).groupBy("dialogue_id", "session_no").agg(
