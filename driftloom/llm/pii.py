@@ -195,15 +195,16 @@ def _places(texts: DataFrame, key: str, text: str) -> DataFrame:
 def _word_rows(places: DataFrame, capitals: bool) -> DataFrame:
     """(key, at, word, shape, left1, right1) of the letter words of the texts; parts of addresses and codes aren't words.
 
-    Of capital words only, where asked, with the patterns ``left`` and ``right`` of the two words on each side.
+    Neighbours are as they stand, ``|`` beyond the ends. Of capital words only, where asked, with plain neighbours and the patterns ``left`` and ``right`` of the two words on each side.
     """
-    c = lambda i: f"if(i + {i} >= 0 AND i + {i} < size(words), if(words[i + {i}] RLIKE '^[0-9]', '0', lower(words[i + {i}])), '|')"
-    more = f", 'left2', {c(-2)}, 'right2', {c(2)}" if capitals else ""
-    row = f"""transform(filter(sequence(0, size(words) - 1), i -> size(words) > 0 AND words[i] RLIKE '^{"\\\\p{Lu}" if capitals else "\\\\p{L}"}'
-            AND NOT coalesce(get(pieces, at[i] - 1), '') RLIKE '[@_+0-9]' AND NOT coalesce(get(pieces, at[i] + 1), '') RLIKE '[@_+0-9]'
-            AND NOT (coalesce(get(pieces, at[i] - 1), '') IN ('.', '-') AND coalesce(get(pieces, at[i] - 2), ' ') RLIKE '^[a-z0-9@]')
-            AND NOT (coalesce(get(pieces, at[i] + 1), '') IN ('.', '-') AND coalesce(get(pieces, at[i] + 2), ' ') RLIKE '^[a-z0-9]')),
-        i -> named_struct('at', at[i], 'word', lower(words[i]), 'shape', words[i], 'left1', {c(-1)}, 'right1', {c(1)}{more}))"""
+    near = lambda i: f"coalesce(get(words, i + {i}), '|')"
+    plain = lambda i: f"if({near(i)} RLIKE '^[0-9]', '0', lower({near(i)}))" if capitals else near(i)
+    piece = lambda i: f"coalesce(get(pieces, at[i] + {i}), ' ')"
+    # most words stand between blanks, which is looked at first
+    free = lambda i: f"({piece(i)} = ' ' OR NOT ({piece(i)} RLIKE '[@_+0-9]' OR {piece(i)} IN ('.', '-') AND {piece(2 * i)} RLIKE '{'^[a-z0-9@]' if i < 0 else '^[a-z0-9]'}'))"
+    more = f", 'left2', {plain(-2)}, 'right2', {plain(2)}" if capitals else ""
+    row = f"""transform(filter(sequence(0, size(words) - 1), i -> size(words) > 0 AND words[i] RLIKE '^{"\\\\p{Lu}" if capitals else "\\\\p{L}"}' AND {free(-1)} AND {free(1)}),
+        i -> named_struct('at', at[i], 'word', lower(words[i]), 'shape', words[i], 'left1', {plain(-1)}, 'right1', {plain(1)}{more}))"""
     rows = places.select("key", F.explode(F.expr(row)).alias("r")).select("key", "r.*")
     if not capitals:
         return rows
@@ -255,7 +256,7 @@ def name_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> Data
     right = broadcast_if_small(patterns.where("pattern LIKE '> %'").select(F.col("pattern").alias("right"), F.col("agree").alias("_r")), BROADCAST_ROWS)
     judged = maybe.join(left, "left", "left").join(right, "right", "left")
     judged = judged.join(near.withColumnRenamed("_near", "left1").withColumn("_ln", F.lit(True)), "left1", "left").join(near.withColumnRenamed("_near", "right1").withColumn("_rn", F.lit(True)), "right1", "left")
-    street = F.col("right1").rlike(rf"^(?:{STREET_WORDS})$") | (F.col("left1") == "0") | (F.col("right1") == "&") | (F.col("left1") == "&")
+    street = F.col("right1").rlike(rf"(?i)^(?:{STREET_WORDS})$") | F.col("left1").rlike("^[0-9]") | (F.col("right1") == "&") | (F.col("left1") == "&")
     beside = F.coalesce("_ln", "_rn", F.lit(False))
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     doubtful = F.col("ambiguous") & (beside | F.col("_l").isNotNull() | F.col("_r").isNotNull())
