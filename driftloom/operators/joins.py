@@ -104,18 +104,44 @@ class Conversations:
         timed = self.table.where(F.col(self.at).isNotNull() & F.col(self.id).isNotNull())
         return positions(timed, [self.id], self.at, self.tie, "position")
 
-    def get(self, ids: DataFrame, id: str, longest: int = 5000) -> DataFrame:
+    def get(self, ids: DataFrame, id: str, longest: int | None = None) -> DataFrame:
         """``ids`` with ``messages``, an array ordered by time (ties by ``tie``); null where there is no conversation.
 
-        Conversations of more than ``longest`` messages don't become one value (null too); ``rows`` has them.
+        Each conversation becomes one value, whatever its length; ``rows`` and ``chunks`` have those too long for that.
+        Only if ``longest`` is given are conversations of more messages null too.
         """
         item = F.struct(F.col(self.at).alias("at"), F.col(self.tie).alias("tie"), F.col(self.role).alias("role"), F.col(self.content).alias("content"))
         timed = self.table.where(F.col(self.at).isNotNull())
-        short = timed.groupBy(self.id).agg(F.count("*").alias("_n")).where(F.col("_n") <= longest)
-        fit = timed.join(short, self.id, "left_semi").join(ids.select(F.col(id).alias(self.id)).distinct(), self.id, "left_semi")
+        if longest is not None:
+            short = timed.groupBy(self.id).agg(F.count("*").alias("_n")).where(F.col("_n") <= longest)
+            timed = timed.join(short, self.id, "left_semi")
+        fit = timed.join(ids.select(F.col(id).alias(self.id)).distinct(), self.id, "left_semi")
         built = fit.groupBy(self.id).agg(F.array_sort(F.collect_list(item)).alias("messages"))
         return ids.join(built.withColumnRenamed(self.id, "_id"), F.col(id) == F.col("_id"), "left").drop("_id")
 
+    def chunks(self, dated: bool = False, size: int = 65_536) -> DataFrame:
+        """(id, chunk_no, text): the text of every conversation, whatever its length, in chunks of whole lines.
+
+        The texts of a conversation put together in the order of ``chunk_no`` are ``dated_lines`` or ``role_lines`` of all its
+        messages. A chunk holds the lines that begin in its ``size`` characters; numbers rise from 0 and skip those inside a longer line.
+        """
+        timed = self.table.where(F.col(self.at).isNotNull() & F.col(self.id).isNotNull())
+        if dated:
+            # the day changes exactly where the first message of a day stands
+            timed = timed.withColumn("_day", F.to_date(self.at))
+            first = timed.groupBy(self.id, "_day").agg(F.min(F.struct(self.at, self.tie)).alias("_first"))
+            timed = timed.join(first, [self.id, "_day"])
+            header = F.when(F.col(self.tie) == F.col(f"_first.{self.tie}"), F.concat(F.lit("Date: "), F.date_format(self.at, "yyyy-MM-dd"), F.lit("\n"))).otherwise("")
+            line = F.concat(header, F.lit("["), F.date_format(self.at, "HH:mm:ss"), F.lit("] ["), self.role, F.lit("] "), self.content)
+        else:
+            line = F.concat(F.initcap(self.role), F.lit(": "), self.content)
+        lines = timed.select(self.id, self.at, self.tie, line.alias("_line")).where(F.col("_line").isNotNull()).withColumns({"_one": F.lit(1), "_size": F.length("_line") + 1})
+        placed = prefix_sums(lines, [self.id], self.at, ["_one", "_size"], ["_at", "_from"], F.date_trunc("hour", F.col(self.at)), [self.tie])
+        piece = F.concat("_line", F.lit("\n")) if dated else F.concat(F.when(F.col("_at") > 0, "\n").otherwise(""), "_line")
+        numbered = placed.select(self.id, F.floor(F.col("_from") / size).alias("chunk_no"), F.struct(F.col(self.at).alias("at"), F.col(self.tie).alias("tie"), piece.alias("piece")).alias("_item"))
+        built = numbered.groupBy(self.id, "chunk_no").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+        return built.select(self.id, "chunk_no", F.array_join(F.col("_items.piece"), "").alias("text"))
+
     def exist(self, ids: DataFrame, id: str) -> DataFrame:
         """``ids`` with ``id_exists``."""
         known = self.table.select(F.col(self.id).alias("_id")).distinct()

@@ -110,7 +110,20 @@ def conversation_assemble(spark: SparkSession, d: str) -> DataFrame:
     from driftloom.functions.text import role_lines
 
     ids = table(spark, d, "conversations").where("conversation_id IS NOT NULL").select("conversation_id").distinct()
-    return talks(spark, d).get(ids, "conversation_id").select("conversation_id", role_lines(F.col("messages")).alias("lines"))
+    return talks(spark, d).get(ids, "conversation_id", longest=5000).select("conversation_id", role_lines(F.col("messages")).alias("lines"))
+
+
+@query(f"""
+WITH {MESSAGES_SQL},
+l AS (SELECT dialogue_id, sent_at, msg_id, upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text AS line FROM messages),
+c AS (SELECT dialogue_id, sent_at, msg_id, CASE WHEN row_number() OVER w > 1 THEN chr(10) ELSE '' END || line AS piece,
+  CAST(coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536 AS BIGINT) AS chunk_no FROM l WINDOW w AS (PARTITION BY dialogue_id ORDER BY sent_at, msg_id))
+SELECT i.conversation_id, chunk_no, string_agg(piece, '' ORDER BY sent_at, msg_id) AS lines
+FROM (SELECT DISTINCT conversation_id FROM conversations WHERE conversation_id IS NOT NULL) i LEFT JOIN c ON dialogue_id = conversation_id GROUP BY ALL""")
+def conversation_assemble_chunks(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "conversations").where("conversation_id IS NOT NULL").select("conversation_id").distinct()
+    chunks = talks(spark, d).chunks()
+    return ids.join(chunks, F.col("conversation_id") == F.col("dialogue_id"), "left").select("conversation_id", "chunk_no", F.col("text").alias("lines"))
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT *, row_number() OVER (PARTITION BY dialogue_id ORDER BY sent_at, msg_id) - 1 AS position FROM messages")

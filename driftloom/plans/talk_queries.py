@@ -21,7 +21,17 @@ SELECT dialogue_id, string_agg(line, chr(10) ORDER BY sent_at, msg_id) || chr(10
 def format_conversation(spark: SparkSession, d: str) -> DataFrame:
     t = talks(spark, d)
     ids = t.table.select("dialogue_id").distinct()
-    return t.get(ids, "dialogue_id").where("messages IS NOT NULL").select("dialogue_id", dated_lines(F.col("messages")).alias("talk"))
+    return t.get(ids, "dialogue_id", longest=5000).where("messages IS NOT NULL").select("dialogue_id", dated_lines(F.col("messages")).alias("talk"))
+
+
+@query(f"""
+WITH {MESSAGES_SQL},
+l AS (SELECT dialogue_id, sent_at, msg_id, CASE WHEN row_number() OVER (PARTITION BY dialogue_id, CAST(sent_at AS DATE) ORDER BY sent_at, msg_id) = 1 THEN 'Date: ' || strftime(sent_at, '%Y-%m-%d') || chr(10) ELSE '' END
+  || '[' || strftime(sent_at, '%H:%M:%S') || '] [' || role || '] ' || text AS line FROM messages),
+c AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY dialogue_id ORDER BY sent_at, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536 AS BIGINT) AS chunk_no FROM l)
+SELECT dialogue_id, chunk_no, string_agg(line || chr(10), '' ORDER BY sent_at, msg_id) AS text FROM c GROUP BY ALL""")
+def format_conversation_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return talks(spark, d).chunks(dated=True)
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT msg_id, role, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM messages WINDOW w AS (PARTITION BY dialogue_id ORDER BY sent_at, msg_id)")

@@ -106,6 +106,20 @@ def test_conversations(spark):
     assert talk.get(ids, "id", longest=3).where("messages IS NOT NULL").count() == 0
 
 
+def test_long_conversations_are_whole(spark):
+    from driftloom.functions.text import dated_lines, role_lines
+
+    t = spark.range(5101).selectExpr("id AS tie", "if(id < 5001, 1, 2) AS conv", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, 40 * (id DIV 2)) AS at", "if(id % 3 = 0, 'agent', 'customer') AS role", "concat('m', id, repeat('x', id % 50)) AS content")
+    talk = joins.Conversations("t", t.orderBy(F.rand(1)), "conv", "at", "role", "content", "tie")
+    whole = talk.get(spark.createDataFrame([(1,), (2,)], "id int"), "id").select("id", F.size("messages").alias("n"), dated_lines(F.col("messages")).alias("dated"), role_lines(F.col("messages")).alias("plain"))
+    whole = {r["id"]: r for r in whole.collect()}
+    assert {k: r["n"] for k, r in whole.items()} == {1: 5001, 2: 100}
+    for dated in (True, False):
+        got = sorted(talk.chunks(dated, size=10_000).collect())
+        assert all(len(r["text"]) < 10_100 for r in got) and len(got) > 10
+        assert all("".join(r["text"] for r in got if r["conv"] == k) == w["dated" if dated else "plain"] for k, w in whole.items())
+
+
 def test_strategies_by_table():
     a, b = joins.Lookup("x", None, "k", ()), joins.Lookup("y", None, "k", ())
     assert set(joins.by_table([("t", a), ("u", a), ("t", b)])["t"]) == {"x", "y"}
