@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.operators.joins import positions, with_next
+from driftloom.operators.joins import with_next
 from driftloom.session import prefix_sums, small_rows
 
 
@@ -49,19 +49,34 @@ def accuracy(df: DataFrame, correct: Column) -> DataFrame:
     return df.agg(F.count(correct).alias("valid"), F.count_if(correct).alias("correct"), F.avg(correct.cast("int")).alias("accuracy"))
 
 
+def prefix_lengths(messages: DataFrame, conversation: str, at: str, tie: str, role: str, content: str) -> DataFrame:
+    """One row per message of any conversation: its place, the characters of the conversation up to it as text, and role and
+    content of the next message.
+
+    The prefix itself is the rows up to ``at_no`` of the conversation (``Conversations.rows``).
+    """
+    own = with_next(messages, [conversation], at, tie, [role, content]).withColumns({"_one": F.lit(1), "_line": F.length(_line(role, content)) + 1})
+    placed = prefix_sums(own, [conversation], at, ["_one", "_line"], ["at_no", "_from"], F.date_trunc("hour", F.col(at)), [tie])
+    # each line but the last is followed by one more character
+    return placed.select(conversation, tie, F.col("at_no").cast("bigint").alias("at_no"), F.col(role).alias("role"), (F.col("_from") + F.col("_line") - 1).cast("bigint").alias("history_length"), F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"))
+
+
 def prefixes(messages: DataFrame, conversation: str, at: str, tie: str, role: str, content: str, longest: int = 500) -> DataFrame:
-    """One row per message: its place, the conversation up to it as text, and role and content of the next message.
+    """``prefix_lengths`` with ``history``, the conversation up to each message as text.
 
     The text of prefixes grows with the square of a conversation's length, so those of more than ``longest`` messages have
-    no ``history``; all the rest is given for every message.
+    no ``history``; all the rest, with ``history_length``, is given for every message.
     """
-    placed = positions(with_next(messages, [conversation], at, tie, [role, content]), [conversation], at, tie, "at_no")
+    placed = prefix_lengths(messages, conversation, at, tie, role, content)
     short = messages.groupBy(conversation).agg(F.count("*").alias("_n")).where(F.col("_n") <= longest)
-    line = F.concat(F.initcap(role), F.lit(": "), F.col(content))
     upto = W.partitionBy(conversation).orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
-    texts = messages.join(short, conversation, "left_semi").select(F.col(tie).alias("_t"), F.array_join(F.collect_list(line).over(upto), "\n").alias("history"))
+    texts = messages.join(short, conversation, "left_semi").select(F.col(tie).alias("_t"), F.array_join(F.collect_list(_line(role, content)).over(upto), "\n").alias("history"))
     both = placed.join(texts, F.col(tie) == F.col("_t"), "left")
-    return both.select(conversation, tie, F.col("at_no"), F.col(role).alias("role"), "history", F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"))
+    return both.select(conversation, tie, "at_no", "role", "history", "history_length", "next_role", "next_content", "finished")
+
+
+def _line(role: str, content: str) -> Column:
+    return F.concat(F.initcap(role), F.lit(": "), F.col(content))
 
 
 def dense_scenarios(df: DataFrame, order: str, keep: Column) -> DataFrame:

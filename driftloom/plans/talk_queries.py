@@ -46,7 +46,16 @@ SELECT dialogue_id, msg_id, row_number() OVER w - 1 AS at_no, role, lead(role) O
 FROM messages WINDOW w AS (PARTITION BY dialogue_id ORDER BY sent_at, msg_id)""")
 def prefix_documents(spark: SparkSession, d: str) -> DataFrame:
     found = simulate.prefixes(messages(spark, d), "dialogue_id", "sent_at", "msg_id", "role", "text", 100)
-    return found.withColumn("history", F.length("history").cast("bigint"))
+    return found.withColumn("history", F.length("history").cast("bigint")).drop("history_length")
+
+
+@query(f"""
+WITH {MESSAGES_SQL}
+SELECT dialogue_id, msg_id, row_number() OVER w - 1 AS at_no, role, lead(role) OVER w AS next_role, lead(text) OVER w AS next_content, lead(role) OVER w IS NULL AS finished,
+  CAST(sum(length(role || ': ' || text)) OVER (w ROWS UNBOUNDED PRECEDING) + row_number() OVER w - 1 AS BIGINT) AS history_length
+FROM messages WINDOW w AS (PARTITION BY dialogue_id ORDER BY sent_at, msg_id)""")
+def prefix_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return simulate.prefix_lengths(messages(spark, d), "dialogue_id", "sent_at", "msg_id", "role", "text")
 
 
 @query("SELECT outcome, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM conversations), 6) AS percent FROM conversations GROUP BY 1")

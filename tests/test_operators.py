@@ -120,6 +120,17 @@ def test_long_conversations_are_whole(spark):
         assert all("".join(r["text"] for r in got if r["conv"] == k) == w["dated" if dated else "plain"] for k, w in whole.items())
 
 
+def test_prefixes_of_long_conversations_have_lengths(spark):
+    t = spark.range(60).selectExpr("id AS tie", "if(id < 50, 1, 2) AS conv", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 7 * (id DIV 2), 0) AS at", "if(id % 3 = 0, 'agent', 'customer') AS role", "concat('m', repeat('x', id % 50)) AS content")
+    own = (t.orderBy(F.rand(1)), "conv", "at", "tie", "role", "content")
+    texts = {r["tie"]: r for r in simulate.prefixes(*own, longest=50).collect()}
+    assert len(texts) == 60 and all(r["history_length"] == len(r["history"]) for r in texts.values())
+    cut = {r["tie"]: r for r in simulate.prefixes(*own, longest=10).collect()}
+    assert [r["history"] is None for _, r in sorted(cut.items())] == [True] * 50 + [False] * 10
+    for got in (cut, {r["tie"]: r for r in simulate.prefix_lengths(*own).collect()}):
+        assert {k: (r["at_no"], r["history_length"]) for k, r in got.items()} == {k: (r["at_no"], r["history_length"]) for k, r in texts.items()}
+
+
 def test_strategies_by_table():
     a, b = joins.Lookup("x", None, "k", ()), joins.Lookup("y", None, "k", ())
     assert set(joins.by_table([("t", a), ("u", a), ("t", b)])["t"]) == {"x", "y"}
