@@ -101,10 +101,10 @@ def stream_enrich(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
-@query()
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     stream = streams.read_files(spark, d, table(spark, d, "events").schema, pattern="events.parquet")
     out = _place(spark, "windows")
     counted = streams.windowed_counts(stream.where("ts IS NOT NULL"), "ts", "event_type", "1 day").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-    streams.write_all(counted, f"{out}/rows", f"{out}/state")
+    streams.write_latest(counted, f"{out}/rows", f"{out}/state")
     return spark.read.schema("start timestamp_ntz, event_type string, n long").parquet(f"{out}/rows")

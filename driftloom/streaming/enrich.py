@@ -37,7 +37,18 @@ def write_all(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def write_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the whole result of an aggregated stream, open windows too, over the folder's content and ends; a later call
+    goes on from there. Groups are kept for good, so that no row is too late.
+    """
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Rows and sums per window of event time; rows later than ``late`` are no longer counted."""
+    """Rows per window of event time. ``write_latest`` counts all of them; ``write_all`` writes closed windows only, and rows
+    later than ``late`` are no longer counted there.
+    """
     timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
     return timed.groupBy(F.window("_at", width), by).agg(F.count("*").alias("n"))

@@ -131,6 +131,25 @@ def test_prefixes_of_long_conversations_have_lengths(spark):
         assert {k: (r["at_no"], r["history_length"]) for k, r in got.items()} == {k: (r["at_no"], r["history_length"]) for k, r in texts.items()}
 
 
+def test_stream_counts_open_windows_and_late_files(spark, tmp_path):
+    from driftloom.streaming import enrich as streams
+
+    def add(name, day, n):
+        rows = spark.range(n).selectExpr(f"TIMESTAMP '2024-01-{day} 10:00:00' AS ts", "if(id % 2 = 0, 'a', 'b') AS kind").coalesce(1)
+        rows.write.mode("append").parquet(f"{tmp_path}/{name}")
+        return rows.schema
+
+    def run(schema):
+        stream = streams.read_files(spark, f"{tmp_path}/in", schema, files_at_once=1)
+        streams.write_latest(streams.windowed_counts(stream, "ts", "kind", "1 day").select(F.dayofmonth("window.start").alias("day"), "kind", "n"), f"{tmp_path}/rows", f"{tmp_path}/state")
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/rows").collect()))
+
+    schema = [add("in", day, n) for day, n in (("09", 10), ("03", 4))][0]
+    assert run(schema) == [(3, "a", 2), (3, "b", 2), (9, "a", 5), (9, "b", 5)]
+    add("in", "03", 2)
+    assert run(schema) == run(schema) == [(3, "a", 3), (3, "b", 3), (9, "a", 5), (9, "b", 5)]
+
+
 def test_strategies_by_table():
     a, b = joins.Lookup("x", None, "k", ()), joins.Lookup("y", None, "k", ())
     assert set(joins.by_table([("t", a), ("u", a), ("t", b)])["t"]) == {"x", "y"}
