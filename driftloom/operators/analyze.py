@@ -76,17 +76,19 @@ class Analysis:
 
 
 def analyze(df: DataFrame, key: str, target: str, features: Sequence[Feature] | None = None, tables: dict[str, DataFrame] | None = None, most: int = 10, least_defined: int = 30, train_fraction: float = 0.8, search_rows: int = 10_000, eval_rows: int = 100_000) -> Analysis:
-    """The whole run. Candidates come from the search rows; they are computed, filled, chosen and described on the evaluation rows."""
+    """The whole run. Candidates come from the search rows; they are computed, filled and chosen on the evaluation rows.
+    The relations of the chosen ones to the target are counted over all training rows.
+    """
     flagged = split.split(df, key, train_fraction, search_rows, eval_rows)
-    search, evaluation = split.part(flagged, "feature_search"), split.part(flagged, "feature_eval")
-    problem = discover_problem(split.part(flagged, "train"), target)
+    search, evaluation, train = split.part(flagged, "feature_search"), split.part(flagged, "feature_eval"), split.part(flagged, "train")
+    problem = discover_problem(train, target)
     bad = target_violations(evaluation, target).first()
     if bad["missing"] or bad["not_finite"]:
         raise ValueError(f"{bad['missing']} missing and {bad['not_finite']} non-finite targets")
     found = list(features) if features is not None else [f for f in original_columns(search, target) if f.name != key]
     enriched = enrich(evaluation, found, key, [key, target], tables).cache()
     renamed = [c for c in enriched.columns if c not in (key, target)]
-    found = [replace(f, name=n) for f, n in zip(found, renamed)]
+    raw, found = found, [replace(f, name=n) for f, n in zip(found, renamed)]
     numeric = [f for f in found if f.kind in ("int", "float")]
     defined = {r["feature"]: r["defined"] for r in stats.defined_counts(enriched, [f.name for f in numeric]).collect()} if numeric else {}
     others = [f.name for f in found if f.kind not in ("int", "float")]
@@ -117,4 +119,5 @@ def analyze(df: DataFrame, key: str, target: str, features: Sequence[Feature] |
     if not names:
         empty = enriched.sparkSession.createDataFrame([], "feature string")
         return Analysis(problem, kept, chosen, empty, empty, empty)
-    return Analysis(problem, kept, chosen, stats.feature_stats(base, names), stats.relationship_stats(base, names, target), stats.explained(ready, {n: numbers[n] for n in names}, targets))
+    trained = enrich(train, raw, key, [key, target], tables).select(key, target, *(f"`{n}`" for n in names))
+    return Analysis(problem, kept, chosen, stats.feature_stats(base, names), stats.relationship_stats(trained, names, target), stats.explained(ready, {n: numbers[n] for n in names}, targets))

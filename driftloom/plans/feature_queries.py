@@ -144,5 +144,5 @@ def oracle_feature(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def analyze_run(spark: SparkSession, d: str) -> DataFrame:
-    done = analyze(table(spark, d, "orders").drop("o_orderdate"), "o_orderkey", "o_orderstatus", search_rows=2000, eval_rows=10_000)
+    done = analyze(table(spark, d, "orders").drop("o_orderdate"), "o_orderkey", "o_orderstatus")
     return done.relations.join(done.chosen, "feature").select("rank", "feature", "category", "class", "n", F.round("lift", 6).alias("lift"))

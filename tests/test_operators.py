@@ -260,6 +260,14 @@ def test_analyze_twice_gives_the_same(spark):
     assert runs[0] == runs[1] and any(r[1] == "c" for r in runs[0])
 
 
+def test_relations_count_all_training_rows(spark):
+    df = spark.range(1, 1000).selectExpr("id", "double(id % 10) x", "if(id % 3 = 0, 'p', 'q') c", "id % 3 target")
+    train = split.part(split.split(df, "id"), "train").count()
+    done = analyze(df, "id", "target", search_rows=100, eval_rows=300)
+    got = {r["feature"]: r["n"] for r in done.relations.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    assert got and train > 300 and set(got.values()) == {train}
+
+
 def test_types_and_schemas():
     schema = T.StructType([types.enum_field("e", ["a", "b"]), types.field("u", "uint64"), types.array_field("a", T.IntegerType(), 3), types.field("j", "json")])
     assert types.from_text(types.to_text(schema)) == schema
