@@ -41,9 +41,18 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT pair_id, prompt, response FROM responses WHERE response IS NOT NULL AND response <> ''")
 def csv_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path, df = _place(spark, "csv"), table(spark, d, "responses").where("response IS NOT NULL AND response <> ''").select("pair_id", "prompt", "response")
-    df.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    return readers.from_csv(spark, path, df.schema, multi_line=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _csv_texts(spark, d).where("response IS NOT NULL AND response <> ''")
+
+
+@query("SELECT pair_id, prompt, response FROM responses")
+def csv_all_texts_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _csv_texts(spark, d)
+
+
+def _csv_texts(spark: SparkSession, d: str) -> DataFrame:
+    path, df = _place(spark, "csv"), table(spark, d, "responses").select("pair_id", "prompt", "response")
+    sinks.into_csv(df, path, exact=True)
+    return readers.from_csv(spark, path, df.schema, exact=True)
 
 
 @query(_ORDERS)

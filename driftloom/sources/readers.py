@@ -16,6 +16,8 @@ from driftloom.types import check_schema, strip_time_zones
 
 #: Rows of one batch where batches are asked for.
 BATCH_ROWS = 10_000
+#: Null in CSV of exact texts.
+NULL_TEXT = "\x1fnull\x1f"
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -25,8 +27,14 @@ def checked(df: DataFrame) -> DataFrame:
     return df
 
 
-def from_csv(spark: SparkSession, path: str | list[str] | StringIO, schema: T.StructType | str | None = None, *, header: bool = True, sep: str = ",", quote: str = '"', escape: str = '"', null_value: str = "", date_format: str | None = None, timestamp_format: str | None = None, skip_bad: bool = False, multi_line: bool = False, **options: Any) -> DataFrame:
-    """CSV of a path, several paths or a text in memory. Without a schema the types are inferred by one pass over the data."""
+def from_csv(spark: SparkSession, path: str | list[str] | StringIO, schema: T.StructType | str | None = None, *, header: bool = True, sep: str = ",", quote: str = '"', escape: str = '"', null_value: str = "", date_format: str | None = None, timestamp_format: str | None = None, skip_bad: bool = False, multi_line: bool = False, exact: bool = False, **options: Any) -> DataFrame:
+    """CSV of a path, several paths or a text in memory. Without a schema the types are inferred by one pass over the data.
+
+    ``exact`` is for the files that ``into_csv`` writes with it.
+    """
+    if exact:
+        null_value, multi_line = NULL_TEXT, True
+        options = {"emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxCharsPerColumn": -1} | options
     opts = {"header": header, "sep": sep, "quote": quote, "escape": escape, "nullValue": null_value, "mode": "DROPMALFORMED" if skip_bad else "PERMISSIVE", "multiLine": multi_line, "preferDate": "true", **options}
     opts |= {k: v for k, v in (("dateFormat", date_format), ("timestampFormat", timestamp_format)) if v}
     reader = spark.read.options(**opts)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from driftloom.sources.readers import NULL_TEXT
+
 REPLACE, APPEND, FAIL = "replace", "append", "fail"
 
 
@@ -32,8 +34,12 @@ def into_table(df: DataFrame, name: str, if_exists: str = FAIL, create: bool = T
     writer.saveAsTable(name)
 
 
-def into_csv(df: DataFrame, path: str, *, header: bool = True, sep: str = ",", partition_by: tuple[str, ...] = (), compression: str = "none", mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(header=header, sep=sep, compression=compression, escape='"').partitionBy(*partition_by).csv(path)
+def into_csv(df: DataFrame, path: str, *, header: bool = True, sep: str = ",", partition_by: tuple[str, ...] = (), compression: str = "none", mode: str = "overwrite", exact: bool = False) -> None:
+    """A folder of CSV. Space at the ends of texts is dropped and '' can't be told from null, unless the texts are to be ``exact``;
+    such files are read by ``from_csv`` with ``exact`` too, and only a text that is ``NULL_TEXT`` itself becomes null.
+    """
+    kept = {"quoteAll": True, "nullValue": NULL_TEXT, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} if exact else {}
+    df.write.mode(mode).options(header=header, sep=sep, compression=compression, escape='"', **kept).partitionBy(*partition_by).csv(path)
 
 
 def into_parquet(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = (), compression: str = "zstd", mode: str = "overwrite") -> None:

@@ -320,6 +320,15 @@ def test_sources_in_memory(spark):
         readers.union_all(spark.range(1), spark.range(1).withColumnRenamed("id", "x"))
 
 
+def test_csv_keeps_texts_exactly(spark, tmp_path):
+    texts = [None, "", " ", " a ", "\ta\n", "a\nb", "a\r\nb", "\r", '"', '""', 'a "b", c', ",", "\\", "\\N", "\\\"", "#x", "null", "\u00a0x\u00a0"]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id int, a string, b string")
+    for own in (df, df.select("a")):
+        sinks.into_csv(own, str(tmp_path / "t"), exact=True)
+        got = readers.from_csv(spark, str(tmp_path / "t"), own.schema, exact=True).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, own.collect()))
+
+
 def test_inferred_kinds(spark):
     rows = [(str(i % 2), str(i), str(i / 4), "abc"[i % 3], f"text {i}", "") for i in range(120)]
     got = {r["column"]: r["kind"] for r in generate.infer_kinds(spark.createDataFrame(rows, "b string, i string, f string, c string, t string, e string"), list("bifcte")).collect()}
