@@ -201,4 +201,4 @@ def pairwise_select(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tree_select(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    return _rounded(select.tree_select(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 3, trees=5), "importance")
+    return _rounded(select.tree_select(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 3), "importance")

@@ -10,6 +10,7 @@ from driftloom.operators import generate, joins, quantiles, recommend, sampling,
 from driftloom.operators.analyze import Problem, analyze, discover_problem
 from driftloom.session import prefix_sums
 from driftloom.sources import catalog, readers, sinks
+from oracle import SF
 
 
 def test_prefix_sums_of_a_hot_group(spark):
@@ -185,6 +186,14 @@ def test_greedy_choice_by_brute_force(spark):
     assert got[0] in ("a", "e") and got[1] == "b"
 
 
+def test_tree_query_takes_all_trees(spark, monkeypatch):
+    from driftloom.plans import registry
+
+    taken, plain = [], select.tree_select
+    monkeypatch.setattr(select, "tree_select", lambda *a, **k: taken.append(k) or plain(*a, **k))
+    assert registry.queries()["tree_select"](spark, SF).count() == 3 and taken == [{}]
+
+
 def test_constant_features_are_never_chosen(spark):
     df = spark.createDataFrame([(1.0, float(i), float(i % 2)) for i in range(50)], "k double, x double, y double")
     assert [r["feature"] for r in select.pairwise_select(df, {"k": F.col("k"), "x": F.col("x")}, [("y", F.col("y"))]).collect()] in ([], ["x"])
