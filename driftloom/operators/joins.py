@@ -104,17 +104,14 @@ class Conversations:
         timed = self.table.where(F.col(self.at).isNotNull() & F.col(self.id).isNotNull())
         return positions(timed, [self.id], self.at, self.tie, "position")
 
-    def get(self, ids: DataFrame, id: str, longest: int | None = None) -> DataFrame:
+    def get(self, ids: DataFrame, id: str) -> DataFrame:
         """``ids`` with ``messages``, an array ordered by time (ties by ``tie``); null where there is no conversation.
 
-        Each conversation becomes one value, whatever its length; ``rows`` and ``chunks`` have those too long for that.
-        Only if ``longest`` is given are conversations of more messages null too.
+        For the conversations of a few ids: each becomes one value, whatever its length. Whole tables take ``rows`` or
+        ``chunks``, whose values are bounded.
         """
         item = F.struct(F.col(self.at).alias("at"), F.col(self.tie).alias("tie"), F.col(self.role).alias("role"), F.col(self.content).alias("content"))
         timed = self.table.where(F.col(self.at).isNotNull())
-        if longest is not None:
-            short = timed.groupBy(self.id).agg(F.count("*").alias("_n")).where(F.col("_n") <= longest)
-            timed = timed.join(short, self.id, "left_semi")
         fit = timed.join(ids.select(F.col(id).alias(self.id)).distinct(), self.id, "left_semi")
         built = fit.groupBy(self.id).agg(F.array_sort(F.collect_list(item)).alias("messages"))
         return ids.join(built.withColumnRenamed(self.id, "_id"), F.col(id) == F.col("_id"), "left").drop("_id")

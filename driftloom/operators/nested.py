@@ -6,7 +6,7 @@ flattening itself is one narrow JVM stage per table (VARIANT expressions, no shu
 
 Defined cases: a null payload, text that is no JSON and JSON with anything after the first value give no row. A repeated
 key keeps its last value. A list may be an array, a lone object or text that holds either. Nulls and plain values
-inside a list are skipped and not counted. Objects with no list give a parent row and no child row. Field names that
+inside a list are skipped and not counted. Lists of one name that a record holds in several places are one list, in the order of the places. Objects with no list give a parent row and no child row. Field names that
 clash with the key columns, or with each other after flattening, get a ``_`` appended.
 """
 
@@ -62,9 +62,9 @@ def _step(m: str, route: tuple[str, ...]) -> str:
 
 
 def _children(m: str, level: Level, depth: int) -> str:
-    """SQL: the objects of ``level`` inside the map ``m``; the first route with any object holds."""
+    """SQL: the objects of ``level`` inside the map ``m``, those of all its routes one after another, shorter routes first."""
     lists = [_list(_step(m, r), depth) for r in level.routes]
-    return lists[0] if len(lists) == 1 else "coalesce(" + ", ".join(f"if(size({x}) > 0, {x}, NULL)" for x in lists) + ")"
+    return lists[0] if len(lists) == 1 else "concat(" + ", ".join(f"coalesce({x}, array())" for x in lists) + ")"
 
 
 def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,13 +113,14 @@ def infer_merged_schema(df: DataFrame, payload: str, max_paths: int = 10_000) ->
     """
     rows = (
         df.select(payload).where(F.col(payload).isNotNull()).mapInPandas(_kinds, "path string, kind string, n long")
-        .groupBy("path", "kind").agg(F.sum("n").alias("n")).limit(4 * max_paths + 1).collect()
+        .groupBy("path", "kind").agg(F.sum("n").alias("n"))
     )
-    merged: dict[tuple[str, ...], dict[str, int]] = {}
-    for r in rows:
-        merged.setdefault(tuple(json.loads(r["path"])), {})[r["kind"]] = r["n"]
-    if len(merged) > max_paths:
+    by_path = rows.groupBy("path").agg(F.collect_list(F.struct("kind", "n")).alias("kinds")).limit(max_paths + 1).collect()  # at most seven kinds a path
+    if len(by_path) > max_paths:
         raise ValueError(f"more than {max_paths} paths in {payload}: its keys look like data")
+    merged: dict[tuple[str, ...], dict[str, int]] = {}
+    for r in by_path:
+        merged[tuple(json.loads(r["path"]))] = {x["kind"]: x["n"] for x in r["kinds"]}
     return dict(sorted(merged.items()))
 
 

@@ -61,18 +61,22 @@ def prefix_lengths(messages: DataFrame, conversation: str, at: str, tie: str, ro
     return placed.select(conversation, tie, F.col("at_no").cast("bigint").alias("at_no"), F.col(role).alias("role"), (F.col("_from") + F.col("_line") - 1).cast("bigint").alias("history_length"), F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"))
 
 
-def prefixes(messages: DataFrame, conversation: str, at: str, tie: str, role: str, content: str, longest: int = 500) -> DataFrame:
-    """``prefix_lengths`` with ``history``, the conversation up to each message as text.
+def prefixes(messages: DataFrame, conversation: str, at: str, tie: str, role: str, content: str, size: int = 4096) -> DataFrame:
+    """``prefix_lengths`` with the conversation up to each message as text, whatever its length: the texts of its chunks before
+    ``chunk_no`` (``Conversations.chunks`` of the same ``size``), put together, and then ``tail``.
 
-    The text of prefixes grows with the square of a conversation's length, so those of more than ``longest`` messages have
-    no ``history``; all the rest, with ``history_length``, is given for every message.
+    All prefixes in full would grow with the square of a conversation's length; so each row holds ``size`` characters and a line at most.
     """
-    placed = prefix_lengths(messages, conversation, at, tie, role, content)
-    short = messages.groupBy(conversation).agg(F.count("*").alias("_n")).where(F.col("_n") <= longest)
-    upto = W.partitionBy(conversation).orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
-    texts = messages.join(short, conversation, "left_semi").select(F.col(tie).alias("_t"), F.array_join(F.collect_list(_line(role, content)).over(upto), "\n").alias("history"))
-    both = placed.join(texts, F.col(tie) == F.col("_t"), "left")
-    return both.select(conversation, tie, "at_no", "role", "history", "history_length", "next_role", "next_content", "finished")
+    line = _line(role, content)
+    own = with_next(messages, [conversation], at, tie, [role, content]).withColumns({"_one": F.lit(1), "_line": F.length(line) + 1})
+    placed = prefix_sums(own, [conversation], at, ["_one", "_line"], ["at_no", "_from"], F.date_trunc("hour", F.col(at)), [tie])
+    placed = placed.withColumn("chunk_no", F.floor(F.col("_from") / size))
+    upto = W.partitionBy(conversation, "chunk_no").orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
+    piece = F.concat(F.when(F.col("at_no") > 0, "\n").otherwise(""), line)
+    return placed.select(
+        conversation, tie, F.col("at_no").cast("bigint").alias("at_no"), F.col(role).alias("role"), "chunk_no", F.array_join(F.collect_list(piece).over(upto), "").alias("tail"),
+        (F.col("_from") + F.col("_line") - 1).cast("bigint").alias("history_length"), F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"),
+    )
 
 
 def _line(role: str, content: str) -> Column:

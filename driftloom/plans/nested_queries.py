@@ -31,7 +31,7 @@ def _level(source: str, field: str, path: str) -> str:
 _NODES = f"""
 WITH root AS (SELECT record_id, CAST(payload AS JSON) AS node FROM raw_dialogues WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
 pairs AS (SELECT record_id, {_objects("json_extract(node, '$.turns')")} AS a, {_objects("json_extract(node, '$.conversation.turns')")} AS b FROM root),
-turns AS (SELECT record_id, CAST(NULL AS VARCHAR) AS parent, n, CAST(n AS VARCHAR) AS path, node FROM (SELECT record_id, unnest(range(len(l))) AS n, unnest(l) AS node FROM (SELECT record_id, CASE WHEN len(a) > 0 THEN a ELSE b END AS l FROM pairs))),
+turns AS (SELECT record_id, CAST(NULL AS VARCHAR) AS parent, n, CAST(n AS VARCHAR) AS path, node FROM (SELECT record_id, unnest(range(len(l))) AS n, unnest(l) AS node FROM (SELECT record_id, list_concat(a, b) AS l FROM pairs))),
 attachments AS (SELECT *, parent || '.' || n AS path FROM ({_level("turns", "attachments", "path")})),
 labels AS (SELECT *, parent || '.' || n AS path FROM ({_level("attachments", "labels", "path")})),
 edits AS (SELECT *, parent || '.' || n AS path FROM ({_level("turns", "edits", "path")}))"""

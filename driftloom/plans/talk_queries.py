@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.functions.text import dated_lines
 from driftloom.operators import recommend, simulate
 from driftloom.operators.joins import with_next
 from driftloom.plans.common import MESSAGES_SQL, messages, talks
@@ -13,24 +12,13 @@ from driftloom.plans.registry import query
 from driftloom.session import table
 
 
-@query(f"""
-WITH {MESSAGES_SQL},
-l AS (SELECT dialogue_id, sent_at, msg_id, CASE WHEN row_number() OVER (PARTITION BY dialogue_id, CAST(sent_at AS DATE) ORDER BY sent_at, msg_id) = 1 THEN 'Date: ' || strftime(sent_at, '%Y-%m-%d') || chr(10) ELSE '' END
-  || '[' || strftime(sent_at, '%H:%M:%S') || '] [' || role || '] ' || text AS line FROM messages)
-SELECT dialogue_id, string_agg(line, chr(10) ORDER BY sent_at, msg_id) || chr(10) AS talk FROM l GROUP BY 1 HAVING count(*) <= 5000""")
-def format_conversation(spark: SparkSession, d: str) -> DataFrame:
-    t = talks(spark, d)
-    ids = t.table.select("dialogue_id").distinct()
-    return t.get(ids, "dialogue_id", longest=5000).where("messages IS NOT NULL").select("dialogue_id", dated_lines(F.col("messages")).alias("talk"))
-
-
 @query(f"""
 WITH {MESSAGES_SQL},
 l AS (SELECT dialogue_id, sent_at, msg_id, CASE WHEN row_number() OVER (PARTITION BY dialogue_id, CAST(sent_at AS DATE) ORDER BY sent_at, msg_id) = 1 THEN 'Date: ' || strftime(sent_at, '%Y-%m-%d') || chr(10) ELSE '' END
   || '[' || strftime(sent_at, '%H:%M:%S') || '] [' || role || '] ' || text AS line FROM messages),
 c AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY dialogue_id ORDER BY sent_at, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536 AS BIGINT) AS chunk_no FROM l)
 SELECT dialogue_id, chunk_no, string_agg(line || chr(10), '' ORDER BY sent_at, msg_id) AS text FROM c GROUP BY ALL""")
-def format_conversation_chunks(spark: SparkSession, d: str) -> DataFrame:
+def format_conversation(spark: SparkSession, d: str) -> DataFrame:
     return talks(spark, d).chunks(dated=True)
 
 
@@ -40,13 +28,14 @@ def next_message(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {MESSAGES_SQL}
-SELECT dialogue_id, msg_id, row_number() OVER w - 1 AS at_no, role, lead(role) OVER w AS next_role, lead(text) OVER w AS next_content, lead(role) OVER w IS NULL AS finished,
-  CASE WHEN count(*) OVER (PARTITION BY dialogue_id) <= 100 THEN length(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10)) OVER (PARTITION BY dialogue_id ORDER BY sent_at, msg_id ROWS UNBOUNDED PRECEDING)) END AS history
-FROM messages WINDOW w AS (PARTITION BY dialogue_id ORDER BY sent_at, msg_id)""")
+WITH {MESSAGES_SQL},
+p AS (SELECT *, row_number() OVER w - 1 AS at_no, lead(role) OVER w AS next_role, lead(text) OVER w AS next_content, upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text AS line FROM messages WINDOW w AS (PARTITION BY dialogue_id ORDER BY sent_at, msg_id)),
+l AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY dialogue_id ORDER BY at_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM p),
+c AS (SELECT *, (upto - length(line) - 1) // 4096 AS chunk_no FROM l)
+SELECT dialogue_id, msg_id, at_no, role, chunk_no, string_agg(CASE WHEN at_no > 0 THEN chr(10) ELSE '' END || line, '') OVER (PARTITION BY dialogue_id, chunk_no ORDER BY at_no ROWS UNBOUNDED PRECEDING) AS tail,
+  upto - 1 AS history_length, next_role, next_content, next_role IS NULL AS finished FROM c""")
 def prefix_documents(spark: SparkSession, d: str) -> DataFrame:
-    found = simulate.prefixes(messages(spark, d), "dialogue_id", "sent_at", "msg_id", "role", "text", 100)
-    return found.withColumn("history", F.length("history").cast("bigint")).drop("history_length")
+    return simulate.prefixes(messages(spark, d), "dialogue_id", "sent_at", "msg_id", "role", "text")
 
 
 @query(f"""

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: A portable hash has 60 bits; its first 16 are its bucket.
+HASH_SHIFT = 44
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name; column pruning and filters reach this parquet scan."""
@@ -18,18 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is shared by all executors, so the rows outlive any one of them. Only where the
-    session names none (local tests) is a temporary folder set.
+    The folder is shared by all executors, so the rows outlive any one of them.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def drop_checkpoint(df: DataFrame) -> None:
+    """Removes the files of a checkpoint that nothing reads any more, such as the last round's of a loop."""
+    sc, rdd = df.sparkSession.sparkContext, df._jdf.queryExecution().analyzed().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder all executors share: the checkpoint folder of the session."""
+    """A folder all executors share: the checkpoint folder of the session.
+
+    A session of one machine (master ``local`` or ``local[n]``) that names none gets a temporary folder; any other must name it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -71,6 +88,49 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, size: str | list[st
     return done.drop("_bucket", *(f"_{w}{i}" for i in range(len(sizes)) for w in ("before", "inside")))
 
 
+def placed(df: DataFrame, order: list, sizes: dict[str, str | None]) -> DataFrame:
+    """For each entry (out, size) the sum of ``size`` over all rows before this one in ``order``; a size of None counts rows.
+
+    ``order`` must be total (end with a unique column) to give the same on every run. The rows are sorted over the whole
+    cluster by range, so nothing depends on how the keys are spread; only a row per partition is summed up in one place.
+    """
+    named = df.withColumns({f"_size{i}": F.coalesce(F.col(s).cast("bigint"), F.lit(0)) for i, s in enumerate(sizes.values()) if s is not None})
+    # the sorted rows are kept, so a row's partition and place in it are the same wherever they are read
+    own = cut_lineage(named.sort(*order).withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    sums = own.groupBy("_part").agg(F.count("*").alias("_rows"), *(F.sum(f"_size{i}").alias(f"_sum{i}") for i, s in enumerate(sizes.values()) if s is not None))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    first = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = sums.select("_part", *((first("_rows") if s is None else first(f"_sum{i}")).alias(f"_start{i}") for i, s in enumerate(sizes.values())))
+    inside = W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
+    place = lambda i, s: F.expr("_id & 8589934591") if s is None else F.coalesce(F.sum(f"_size{i}").over(inside), F.lit(0))
+    done = own.join(F.broadcast(starts), "_part").withColumns({o: F.col(f"_start{i}") + place(i, s) for i, (o, s) in enumerate(sizes.items())})
+    return done.drop("_id", "_part", *(f"_{w}{i}" for i in range(len(sizes)) for w in ("size", "start")))
+
+
+def least_rows(df: DataFrame, hash: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of the least (hash, key); ``hash`` is a non-negative portable hash.
+
+    A histogram of the hash finds the bucket with the n-th row; rows below it are taken where they lie and only that one
+    bucket is ordered, so no task gets ``n`` rows of every partition.
+    """
+    below, edge, rest = hash_edge(df, hash, n)
+    if edge is None:
+        return df.where(F.col(hash).isNotNull())
+    sure = df.where(F.shiftright(hash, HASH_SHIFT) < edge)
+    return sure.unionByName(df.where(F.shiftright(hash, HASH_SHIFT) == edge).orderBy(hash, key).limit(rest))
+
+
+def hash_edge(df: DataFrame, hash: str, n: int) -> tuple[int, int | None, int]:
+    """(rows below, bucket, rows of it still needed) for the ``n`` rows of least hash; bucket None: there are no more than ``n``."""
+    counts = df.where(F.col(hash).isNotNull()).groupBy(F.shiftright(hash, HASH_SHIFT).alias("b")).agg(F.count("*").alias("c"))  # at most 65,536 buckets
+    upto = counts.withColumn("_to", F.sum("c").over(W.orderBy("b")))
+    first = upto.where(F.col("_to") >= n).orderBy("b").limit(1).collect()
+    if not first or n < 1:
+        return 0, None if n >= 1 else 0, 0
+    before = first[0]["_to"] - first[0]["c"]
+    return before, first[0]["b"], n - before
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A scan of fewer partitions than the cluster has cores, such as one small file, spread over them by hash of ``key``.
 

@@ -28,7 +28,7 @@ def by_hand(rows):
         if not isinstance(o, dict):
             continue
         inner = o.get("conversation") if isinstance(o.get("conversation"), dict) else {}
-        for i, turn in enumerate(as_list(o.get("turns")) or as_list(inner.get("turns"))):
+        for i, turn in enumerate(as_list(o.get("turns")) + as_list(inner.get("turns"))):
             out.add((rid, "turn", f"{i}"))
             out |= {(rid, "edit", f"{i}.{j}") for j, _ in enumerate(as_list(turn.get("edits")))}
             for j, a in enumerate(as_list(turn.get("attachments"))):
@@ -52,6 +52,7 @@ CASES = [
     (12, '{"turns": [{"attachments": [{"labels": "no json"}, "see mail"]}], "turns": [{"text": "the last one counts"}]}'),
     (13, '<html>502</html>'),
     (14, '{"a": 1}] "x'),
+    (15, '{"turns": [{"text": "a"}], "conversation": {"turns": [{"text": "b", "edits": {"old_text": "c"}}]}}'),
 ]
 
 
@@ -96,3 +97,6 @@ def test_too_many_paths(spark):
     df = spark.createDataFrame([(1, json.dumps({f"k{i}": i for i in range(50)}))], "record_id long, payload string")
     with pytest.raises(ValueError):
         nested.infer_merged_schema(df, "payload", max_paths=10)
+    kinds = [(i, json.dumps({f"k{j}": [1, None, "x", [1], {"a": 1}, "[1]", [{"b": 2}]][i] for j in range(4)})) for i in range(7)]
+    found = nested.infer_merged_schema(spark.createDataFrame(kinds, "record_id long, payload string"), "payload", max_paths=20)
+    assert all(len(found[f"k{j}",]) >= 6 for j in range(4))

@@ -104,7 +104,6 @@ def test_conversations(spark):
     assert {(r["conv"], r["content"], r["position"]) for r in talk.rows().collect()} == {(c, f"{c}-{m}", m) for c in range(5) for m in range(6)}
     following = {r["tie"]: r["next_content"] for r in joins.with_next(t, ["conv"], "at", "tie", ["content"]).collect()}
     assert following[0] == "0-1" and following[5] is None
-    assert talk.get(ids, "id", longest=3).where("messages IS NOT NULL").count() == 0
 
 
 def test_long_conversations_are_whole(spark):
@@ -121,15 +120,45 @@ def test_long_conversations_are_whole(spark):
         assert all("".join(r["text"] for r in got if r["conv"] == k) == w["dated" if dated else "plain"] for k, w in whole.items())
 
 
-def test_prefixes_of_long_conversations_have_lengths(spark):
+def test_prefixes_are_whole(spark):
     t = spark.range(60).selectExpr("id AS tie", "if(id < 50, 1, 2) AS conv", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 7 * (id DIV 2), 0) AS at", "if(id % 3 = 0, 'agent', 'customer') AS role", "concat('m', repeat('x', id % 50)) AS content")
     own = (t.orderBy(F.rand(1)), "conv", "at", "tie", "role", "content")
-    texts = {r["tie"]: r for r in simulate.prefixes(*own, longest=50).collect()}
-    assert len(texts) == 60 and all(r["history_length"] == len(r["history"]) for r in texts.values())
-    cut = {r["tie"]: r for r in simulate.prefixes(*own, longest=10).collect()}
-    assert [r["history"] is None for _, r in sorted(cut.items())] == [True] * 50 + [False] * 10
-    for got in (cut, {r["tie"]: r for r in simulate.prefix_lengths(*own).collect()}):
-        assert {k: (r["at_no"], r["history_length"]) for k, r in got.items()} == {k: (r["at_no"], r["history_length"]) for k, r in texts.items()}
+    chunks = {(r["conv"], r["chunk_no"]): r["text"] for r in joins.Conversations("t", t, "conv", "at", "role", "content", "tie").chunks(size=100).collect()}
+    said = {}
+    for r in sorted(t.collect(), key=lambda r: (r["conv"], r["at"], r["tie"])):
+        said.setdefault(r["conv"], []).append((r["tie"], f"{r['role'].capitalize()}: {r['content']}"))
+    want = {t: "\n".join(x for _, x in lines[: i + 1]) for lines in said.values() for i, (t, _) in enumerate(lines)}
+    got = simulate.prefixes(*own, size=100).collect()
+    assert {r["tie"]: "".join(x for (c, n), x in sorted(chunks.items()) if c == r["conv"] and n < r["chunk_no"]) + r["tail"] for r in got} == want
+    assert all(r["history_length"] == len(want[r["tie"]]) and len(r["tail"]) < 200 for r in got)
+    assert {r["tie"]: r["history_length"] for r in simulate.prefix_lengths(*own).collect()} == {r["tie"]: r["history_length"] for r in got}
+
+
+def test_places_over_all_rows(spark):
+    from driftloom.functions.hashing import portable_hash
+    from driftloom.session import least_rows, placed
+
+    t = spark.range(500).selectExpr("id", "if(id % 3 = 0, 7, id * id * 1000003 % 977) AS v", "if(id % 5 = 0, NULL, id % 11) AS n")
+    got = {r["id"]: (r["at"], r["before"]) for r in placed(t.repartition(7), ["v", "id"], {"at": None, "before": "n"}).collect()}
+    rows, want, before = sorted(t.collect(), key=lambda r: (r["v"], r["id"])), {}, 0
+    for i, r in enumerate(rows):
+        want[r["id"]] = (i, before)
+        before += r["n"] or 0
+    assert got == want and placed(t.limit(0), ["id"], {"at": None}).count() == 0
+    hashed = t.withColumn("h", portable_hash(F.col("id")))
+    least = [r["id"] for r in hashed.orderBy("h", "id").collect()]
+    for n in (1, 100, 500, 900):
+        assert {r["id"] for r in least_rows(hashed, "h", "id", n).collect()} == set(least[:n])
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from driftloom.session import shared_folder
+
+    made = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda _: None)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=made, conf=SimpleNamespace(get=lambda *_: None)))
 
 
 def test_stream_counts_open_windows_and_late_files(spark, tmp_path):
