@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.session import prefix_sums
+from driftloom.session import placed
 
 
 def cache_key(*parts: Column) -> Column:
@@ -14,10 +14,8 @@ def cache_key(*parts: Column) -> Column:
 
 def evict(cache: DataFrame, used_at: str, value: str, key: str, most_bytes: int) -> DataFrame:
     """The entries that stay: the last used ones whose lengths add up to at most ``most_bytes``; ties by key."""
-    order = -F.unix_micros(F.col(used_at).cast("timestamp"))
-    sized = cache.withColumn("_o", order).withColumn("_s", F.length(value).cast("bigint"))
-    sums = prefix_sums(sized, [], "_o", "_s", "_before", F.floor(F.col("_o") / 3_600_000_000), [key])
-    return sums.where(F.col("_before") + F.col("_s") <= most_bytes).drop("_o", "_s", "_before")
+    sums = placed(cache.withColumn("_s", F.length(value).cast("bigint")), [F.desc(used_at), key], {"_before": "_s"})
+    return sums.where(F.col("_before") + F.coalesce("_s", F.lit(0)) <= most_bytes).drop("_s", "_before")
 
 
 def missing_from(cache: DataFrame, prompts: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.session import broadcast_if_small, cut_lineage, placed
+
 #: Rank error of the sketch is about 1/ACCURACY; the bracket is wider by MARGIN times that.
 ACCURACY, MARGIN = 1000, 4
 
@@ -25,9 +27,10 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities:
     # of few values the bracket is all of them: the neighbours of a rank may lie outside any narrower one
     few = F.col("_n") <= ACCURACY
     sketch = sketch.select(*group, "_n", F.when(few, F.transform("_lo", lambda x: F.col("_min"))).otherwise(F.col("_lo")).alias("_lo"), F.when(few, F.transform("_hi", lambda x: F.col("_max"))).otherwise(F.col("_hi")).alias("_hi"))
+    sketch = broadcast_if_small(cut_lineage(sketch)) if group else F.broadcast(sketch)
     # null-safe group keys, on the small side of the join
     on = [F.col(f"_l.{g}").eqNullSafe(F.col(f"_r.{g}")) for g in group]
-    both = own.alias("_l").join(F.broadcast(sketch.alias("_r")) if not group else sketch.alias("_r"), on or F.lit(True))
+    both = own.alias("_l").join(sketch.alias("_r"), on or F.lit(True))
     both = both.select(*(F.col(f"_l.{g}").alias(g) for g in group), "_v", "_lo", "_hi", "_n")
     # per value and quantile: 0 below the bracket, 1 inside; below is only counted
     each = both.select(*group, "_n", "_v", F.explode(F.expr("filter(transform(_lo, (l, i) -> struct(i AS q, CASE WHEN _v < l THEN 0 WHEN _v <= _hi[i] THEN 1 ELSE 2 END AS side)), x -> x.side < 2)")).alias("_x"))
@@ -44,13 +47,6 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities:
 
 
 def rank_averages(df: DataFrame, value: str, out: str) -> DataFrame:
-    """(value, out): the average rank of each distinct value, ties averaged, without a global sort in one task."""
+    """(value, out): the average rank of each distinct value, ties averaged; values are sorted by range over the whole cluster."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    edges = counts.agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
-    width = F.when(F.col("_max") > F.col("_min"), (F.col("_max") - F.col("_min")) / 4096).otherwise(F.lit(1.0))
-    placed = counts.join(F.broadcast(edges), F.lit(True)).withColumn("_bucket", F.floor((F.col(value) - F.col("_min")) / width)).drop("_min", "_max")
-    sums = placed.groupBy("_bucket").agg(F.sum("_c").alias("_s"))
-    before = sums.select("_bucket", F.coalesce(F.sum("_s").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("_c").over(W.partitionBy("_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = placed.withColumn("_inside", inside).join(F.broadcast(before), "_bucket")  # at most 4097 rows
-    return ranked.select(value, (F.col("_before") + F.col("_inside") + (F.col("_c") + 1) / 2).alias(out))
+    return placed(counts, [value], {"_before": "_c"}).select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))

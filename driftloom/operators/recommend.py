@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.session import placed
+
 
 def ranked(stats: DataFrame, name: str = "feature", r2: str = "r_squared") -> DataFrame:
     """(display_no, name, r_squared): features from the most explained variance down, numbered from 1; ties by name."""
@@ -23,12 +25,18 @@ def feature_lines(stats: DataFrame, most: int = 60, name: str = "feature", r2: s
 def look_up_r2(names: DataFrame, stats: DataFrame, asked: str, name: str = "feature", r2: str = "r_squared") -> DataFrame:
     """``names`` with ``r_squared``: of the feature of that name, else of the first whose name begins with it or begins it, else 0.
 
-    The statistics have a row per feature, so each name is compared with that small set.
+    Three equi-joins: on the name, on the beginnings of the known names and on the beginnings of the asked ones.
     """
-    known = stats.agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("n"), F.col(r2).alias("r")))).alias("_all"))
-    exact = F.get(F.filter("_all", lambda x: x["n"] == F.col(asked)), 0)["r"]
-    near = F.get(F.filter("_all", lambda x: x["n"].startswith(F.col(asked)) | F.col(asked).startswith(x["n"])), 0)["r"]
-    return names.join(F.broadcast(known), F.lit(True)).withColumn("r_squared", F.coalesce(exact, near, F.lit(0.0))).drop("_all")
+    known = stats.select(F.col(name).alias("_n"), F.col(r2).alias("_r")).where("_n IS NOT NULL")
+    asking = names.select(F.col(asked).alias("_q")).where("_q IS NOT NULL").distinct()
+    starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, F.lit(1), i))).alias("_p")
+    first = F.min(F.struct("_n", "_r")).alias("_f")
+    longer = known.select("_n", "_r", starts(F.col("_n"))).groupBy("_p").agg(first).select(F.col("_p").alias("_q"), "_f")
+    shorter = asking.select("_q", starts(F.col("_q"))).join(known, F.col("_p") == F.col("_n")).groupBy("_q").agg(first)
+    near = longer.join(asking, "_q", "left_semi").unionByName(shorter).groupBy("_q").agg(F.min("_f").alias("_f")).select("_q", F.col("_f._r").alias("_near"))
+    exact = known.groupBy("_n").agg(F.min("_r").alias("_exact"))
+    both = names.join(exact, F.col(asked) == F.col("_n"), "left").drop("_n").join(near, F.col(asked) == F.col("_q"), "left").drop("_q")
+    return both.withColumn("r_squared", F.coalesce("_exact", "_near", F.lit(0.0))).drop("_exact", "_near")
 
 
 def drop_unexplained(recommendations: DataFrame, features: str) -> DataFrame:
@@ -44,9 +52,8 @@ def referenced(recommendations: DataFrame, key: str, numbers: str, shown: DataFr
 
 def within_budget(df: DataFrame, order: str, tokens: str, budget: int, least: int = 5) -> DataFrame:
     """The first rows whose tokens fit a budget, ``least`` at any rate; for the few examples of one prompt."""
-    w = W.orderBy(order)
-    fits = (F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, 0)) <= budget) | (F.row_number().over(w) <= least)
-    return df.withColumn("_fits", fits).where("_fits").drop("_fits")
+    both = placed(df, [order], {"_at": None, "_before": tokens})
+    return both.where((F.col("_before") + F.coalesce(F.col(tokens), F.lit(0)) <= budget) | (F.col("_at") < least)).drop("_at", "_before")
 
 
 def dashboard(explained: DataFrame, stats: DataFrame) -> DataFrame:

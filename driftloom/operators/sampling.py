@@ -13,7 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import portable_hash
-from driftloom.session import prefix_sums, small_rows
+from driftloom.session import least_rows, placed, small_rows
+
+#: First rows up to which every partition may send as many to one task.
+TOP_K = 10_000
 
 
 def _check(df: DataFrame, n: int, *columns: str) -> None:
@@ -24,27 +27,30 @@ def _check(df: DataFrame, n: int, *columns: str) -> None:
 
 
 def head(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows: a top-k where k is small, else by their places in a sort over the whole cluster."""
+    return _first(df, key, F.col(key), n)
+
+
+def _first(df: DataFrame, key: str, order: Column, n: int) -> DataFrame:
     _check(df, n, key)
-    return df.orderBy(key).limit(n)
+    return df.orderBy(order).limit(n) if n <= TOP_K else placed(df, [order], {"_at": None}).where(F.col("_at") < n).drop("_at")
 
 
 def tail(df: DataFrame, key: str, n: int) -> DataFrame:
-    _check(df, n, key)
-    return df.orderBy(F.desc(key)).limit(n)
+    return _first(df, key, F.desc(key), n)
 
 
 def random_start(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows that follow each other in the order of an integer key, from a seeded random place."""
+    """``n`` rows that follow each other in the order of a unique key, from a seeded random place."""
     _check(df, n, key)
     first = random.Random(seed).randint(0, max(0, df.count() - n))
-    ranked = prefix_sums(df.withColumn("_one", F.lit(1)), [], key, "_one", "_at", F.floor(F.col(key) / 4096), [])
-    return ranked.where(F.col("_at").between(first, first + n - 1)).drop("_one", "_at")
+    return placed(df, [key], {"_at": None}).where(F.col("_at").between(first, first + n - 1)).drop("_at")
 
 
 def uniform(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows (all, if there are fewer) with the least hashes."""
     _check(df, n, key)
-    return df.orderBy(portable_hash(F.col(key), seed), key).limit(n)
+    return least_rows(df.withColumn("_h", portable_hash(F.col(key), seed)), "_h", key, n).drop("_h")
 
 
 def _first_of_each(df: DataFrame, key: str, group: Column, quota: Column, most: int, seed: int) -> DataFrame:
@@ -86,10 +92,8 @@ def by_range(df: DataFrame, key: str, column: str, n: int, bins: int = 5, balanc
         bin_no = F.greatest(F.ceil((F.col(column) - F.lit(ends["lo"])) / F.lit((ends["hi"] - ends["lo"]) / bins)), F.lit(1))
         return _first_of_each(own, key, F.least(bin_no, F.lit(bins)), F.lit(n // bins), n // bins, seed)
     total = own.count()
-    ends = own.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    width = ((ends["hi"] - ends["lo"]) / 4096) if total and ends["hi"] > ends["lo"] else 1
-    placed = prefix_sums(own.withColumn("_one", F.lit(1)), [], column, "_one", "_at", F.floor((F.col(column) - F.lit(ends["lo"] or 0)) / F.lit(float(width))), [key])
+    ranked = placed(own, [column, key], {"_at": None})
     # bin i holds the positions [i·total/bins, (i+1)·total/bins), integer division
     bin_no = sum((F.when(F.col("_at") >= (i * total) // bins, 1).otherwise(0) for i in range(1, bins)), F.lit(0))
     each, rest = divmod(n, bins)
-    return _first_of_each(placed, key, bin_no, F.when(bin_no < rest, each + 1).otherwise(each), each + 1, seed).drop("_one", "_at")
+    return _first_of_each(ranked, key, bin_no, F.when(bin_no < rest, each + 1).otherwise(each), each + 1, seed).drop("_at")

@@ -1,12 +1,14 @@
 """Choosing a small set of features that add to each other.
 
-One distributed pass computes the Gram matrix of all features and targets (with a column of ones); the greedy choice then
-works on that small matrix in the driver, whatever the number of rows.
+One distributed pass computes the centred Gram matrix of all features and targets (with a column of ones); the greedy choice
+then works on that small matrix in the driver, whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import RandomForestClassifier
@@ -17,42 +19,72 @@ from pyspark.sql import types as T
 LEAST_GAIN = 1e-8
 #: Features of one Gram matrix; it is this number squared that reaches the driver.
 MOST_FEATURES = 5000
-#: Products computed by one aggregate, which keeps generated code small.
-PRODUCTS_AT_ONCE = 400
+#: Partial matrices added up by one task.
+PARTS_AT_ONCE = 64
 
 
 def gram_matrix(df: DataFrame, columns: list[Column]) -> np.ndarray:
-    """Sums of all products of the columns and 1, over rows where all are finite; the row of ones is the last."""
+    """Sums of the products of the columns around their means, over rows where all are finite; the last row and column hold
+    the means and, in the corner, the number of rows.
+
+    One pass: every partition multiplies its batches with themselves, and the partial matrices are added row by row in a tree.
+    Columns are taken around their first finite row, so that large means don't swallow the differences.
+    """
     if len(columns) > MOST_FEATURES:
         raise ValueError(f"more than {MOST_FEATURES} columns")
-    wide = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)), F.lit(1.0).alias(f"c{len(columns)}"))
-    n = len(columns) + 1
-    for i in range(n - 1):
-        wide = wide.where(F.col(f"c{i}").isNotNull() & ~F.isnan(f"c{i}") & (F.abs(F.col(f"c{i}")) != float("inf")))
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    out = np.zeros((n, n))
-    for at in range(0, len(pairs), PRODUCTS_AT_ONCE):
-        some = pairs[at : at + PRODUCTS_AT_ONCE]
-        row = wide.agg(*(F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in some)).first()
-        for (i, j), v in zip(some, row):
-            out[i, j] = out[j, i] = v or 0.0
+    n = len(columns)
+    wide = df.select(F.array(*(c.cast("double") for c in columns)).alias("v"))
+    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    wide = wide.where(F.coalesce(finite, F.lit(False)))
+    first = wide.first()
+    if first is None:
+        return np.zeros((n + 1, n + 1))
+    around = np.array(first["v"])
+
+    def multiply(batches):
+        total = np.zeros((n + 1, n + 1))
+        for pdf in batches:
+            if len(pdf):
+                m = np.hstack([np.stack(pdf["v"].to_numpy()) - around, np.ones((len(pdf), 1))])
+                total += m.T @ m
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame({"i": np.arange(n + 1, dtype="int32"), "part": np.full(n + 1, part, dtype="int32"), "row": list(total)})
+
+    def add(pdf):
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "part": pdf["part"].iloc[:1] // PARTS_AT_ONCE, "row": [np.stack(pdf["row"].to_numpy()).sum(axis=0)]})
+
+    schema = "i int, part int, row array<double>"
+    sums = wide.mapInPandas(multiply, schema)
+    for _ in range(2):
+        sums = sums.groupBy("i", F.floor(F.col("part") / PARTS_AT_ONCE).alias("_p")).applyInPandas(add, schema)
+    out = np.zeros((n + 1, n + 1))
+    for r in sums.toLocalIterator():
+        out[r["i"]] += r["row"]
+    return _centred(out, around)
+
+
+def _centred(g: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """From sums of columns taken around a point: products around the means; the last row has the means and the number of rows."""
+    n, s = g[-1, -1], g[-1, :-1]
+    out = np.zeros_like(g)
+    if n:
+        out[:-1, :-1] = g[:-1, :-1] - np.outer(s, s) / n
+        out[-1, :-1] = out[:-1, -1] = around + s / n
+    out[-1, -1] = n
     return out
 
 
 def _residual(g: np.ndarray, xs: list[int], y: int) -> float:
-    """Sum of squared residuals of y on the columns xs and 1; a singular system predicts nothing (zeros)."""
-    basis = [*xs, len(g) - 1]
+    """Sum of squared residuals of y on the columns xs and 1. A singular system of one column predicts the mean, of two nothing (zeros)."""
     try:
-        beta = np.linalg.solve(g[np.ix_(basis, basis)], g[basis, y])
+        beta = np.linalg.solve(g[np.ix_(xs, xs)], g[xs, y])
     except np.linalg.LinAlgError:
-        beta = np.zeros(len(basis))
-        if len(xs) == 1 and g[-1, -1]:
-            beta[-1] = g[-1, y] / g[-1, -1]
-    return float(beta @ g[np.ix_(basis, basis)] @ beta - 2 * beta @ g[basis, y] + g[y, y])
+        return float(g[y, y] + (0 if len(xs) == 1 else g[-1, -1] * g[-1, y] ** 2))
+    return float(g[y, y] - beta @ g[xs, y])
 
 
 def greedy_choice(g: np.ndarray, names: list[str], targets: int, most: int) -> list[tuple[str, float]]:
-    """(name, score) in order of choice from a Gram matrix whose columns are the features, the targets and ones.
+    """(name, score) in order of choice from the centred products of the features, then the targets (``gram_matrix``).
 
     The first is the feature that alone lowers the residual deviation most. Each further candidate is scored by the least
     it added to any feature chosen so far, measured in baseline deviations; ties go to the larger name.
@@ -62,7 +94,7 @@ def greedy_choice(g: np.ndarray, names: list[str], targets: int, most: int) -> l
     if n < 2:
         return []
     deviation = lambda sse: float(np.sqrt(max(sse, 0.0) / n))
-    base = [deviation(g[y, y] - g[-1, y] ** 2 / n) for y in ys]
+    base = [deviation(g[y, y]) for y in ys]
     alone = {i: [deviation(_residual(g, [i], y)) for y in ys] for i in range(p)}
     score = {i: float(np.mean([b - a for b, a in zip(base, alone[i])])) for i in range(p)}
     left = [i for i in score if score[i] > 0 and score[i] >= LEAST_GAIN]

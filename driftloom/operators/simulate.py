@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.operators.joins import with_next
-from driftloom.session import prefix_sums, small_rows
+from driftloom.session import placed, prefix_sums
 
 
 def outcome_distribution(df: DataFrame, outcome: str) -> DataFrame:
@@ -56,9 +56,9 @@ def prefix_lengths(messages: DataFrame, conversation: str, at: str, tie: str, ro
     The prefix itself is the rows up to ``at_no`` of the conversation (``Conversations.rows``).
     """
     own = with_next(messages, [conversation], at, tie, [role, content]).withColumns({"_one": F.lit(1), "_line": F.length(_line(role, content)) + 1})
-    placed = prefix_sums(own, [conversation], at, ["_one", "_line"], ["at_no", "_from"], F.date_trunc("hour", F.col(at)), [tie])
+    numbered = prefix_sums(own, [conversation], at, ["_one", "_line"], ["at_no", "_from"], F.date_trunc("hour", F.col(at)), [tie])
     # each line but the last is followed by one more character
-    return placed.select(conversation, tie, F.col("at_no").cast("bigint").alias("at_no"), F.col(role).alias("role"), (F.col("_from") + F.col("_line") - 1).cast("bigint").alias("history_length"), F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"))
+    return numbered.select(conversation, tie, F.col("at_no").cast("bigint").alias("at_no"), F.col(role).alias("role"), (F.col("_from") + F.col("_line") - 1).cast("bigint").alias("history_length"), F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"))
 
 
 def prefixes(messages: DataFrame, conversation: str, at: str, tie: str, role: str, content: str, size: int = 4096) -> DataFrame:
@@ -69,11 +69,11 @@ def prefixes(messages: DataFrame, conversation: str, at: str, tie: str, role: st
     """
     line = _line(role, content)
     own = with_next(messages, [conversation], at, tie, [role, content]).withColumns({"_one": F.lit(1), "_line": F.length(line) + 1})
-    placed = prefix_sums(own, [conversation], at, ["_one", "_line"], ["at_no", "_from"], F.date_trunc("hour", F.col(at)), [tie])
-    placed = placed.withColumn("chunk_no", F.floor(F.col("_from") / size))
+    numbered = prefix_sums(own, [conversation], at, ["_one", "_line"], ["at_no", "_from"], F.date_trunc("hour", F.col(at)), [tie])
+    numbered = numbered.withColumn("chunk_no", F.floor(F.col("_from") / size))
     upto = W.partitionBy(conversation, "chunk_no").orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
     piece = F.concat(F.when(F.col("at_no") > 0, "\n").otherwise(""), line)
-    return placed.select(
+    return numbered.select(
         conversation, tie, F.col("at_no").cast("bigint").alias("at_no"), F.col(role).alias("role"), "chunk_no", F.array_join(F.collect_list(piece).over(upto), "").alias("tail"),
         (F.col("_from") + F.col("_line") - 1).cast("bigint").alias("history_length"), F.col(f"next_{role}").alias("next_role"), F.col(f"next_{content}").alias("next_content"), F.col(f"next_{role}").isNull().alias("finished"),
     )
@@ -84,9 +84,9 @@ def _line(role: str, content: str) -> Column:
 
 
 def dense_scenarios(df: DataFrame, order: str, keep: Column) -> DataFrame:
-    """``df`` of the kept rows with ``scenario_id`` = scenario_0, scenario_1, … in key order, counted in buckets of the key's range."""
-    numbered = prefix_sums(df.where(keep).withColumn("_one", F.lit(1)), [], order, "_one", "_at", F.substring(F.col(order).cast("string"), 1, 6), [])
-    return numbered.withColumn("scenario_id", F.concat(F.lit("scenario_"), F.col("_at").cast("string"))).drop("_one", "_at")
+    """``df`` of the kept rows with ``scenario_id`` = scenario_0, scenario_1, … in the order of a unique key."""
+    numbered = placed(df.where(keep), [order], {"_at": None})
+    return numbered.withColumn("scenario_id", F.concat(F.lit("scenario_"), F.col("_at").cast("string"))).drop("_at")
 
 
 def top_similar(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, keep: Column | None = None, block: int = 1024) -> DataFrame:
@@ -171,7 +171,3 @@ def simulate_turns(scenarios: DataFrame, key: str, opening: str, replies: Callab
 def coin(key: Column, seed: int = 42) -> Column:
     """A seeded toss for each key, 0 or 1: which of two conversations is shown first."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2))
-
-
-def session_summary(real: DataFrame, simulated: DataFrame, outcome: str) -> list:
-    return small_rows(compare_outcomes(real, simulated, outcome).orderBy("outcome"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import portable_hash
+from driftloom.session import HASH_SHIFT, hash_edge
 
 FLAGS = ("_is_train", "_is_feature_search", "_is_feature_eval")
 BUCKETS = 1000
@@ -15,7 +16,7 @@ def split(df: DataFrame, key: str, train_fraction: float = 0.8, search_rows: int
     """``df`` with three flags. Train is decided by the key's hash; search and eval are the first train rows in hash order,
     so the smaller of them lies within the larger. ``key`` must be unique.
 
-    The n-th smallest (hash, key) of the train rows is found by a distributed top-n, and the flags compare with it.
+    The n-th smallest (hash, key) of the train rows is found in the one bucket of the hash that holds it, and the flags compare with it.
     """
     if not 0 < train_fraction <= 1:
         raise ValueError("train_fraction must be in (0, 1]")
@@ -23,7 +24,10 @@ def split(df: DataFrame, key: str, train_fraction: float = 0.8, search_rows: int
     hashed = df.withColumn("_h", h).withColumn("_is_train", F.col("_h") % BUCKETS < int(train_fraction * BUCKETS))
     bounds = {}
     for name, n in (("_is_feature_search", search_rows), ("_is_feature_eval", eval_rows)):
-        first = hashed.where("_is_train").select("_h", F.col(key).alias("_k")).orderBy("_h", "_k").limit(n)
+        train = hashed.where("_is_train").select("_h", F.col(key).alias("_k"))
+        _, edge, rest = hash_edge(train, "_h", n)
+        # only the bucket with the n-th row is ordered; without one all rows are among the first
+        first = train.agg(F.max(F.struct("_h", "_k")).alias("_e")).select("_e.*") if edge is None else train.where(F.shiftright("_h", HASH_SHIFT) == edge).orderBy("_h", "_k").limit(rest)
         bounds[name] = first.agg(F.max_by(F.struct("_h", "_k"), F.struct("_h", "_k")).alias(name))
     for name, edge in bounds.items():  # one row each
         hashed = hashed.join(F.broadcast(edge), how="left", on=F.lit(True)).withColumn(name, F.col("_is_train") & F.coalesce(F.struct("_h", F.col(key).alias("_k")) <= F.col(name), F.lit(False)))

@@ -160,8 +160,13 @@ def ordered_target_stats(df: DataFrame, key: str, category: str, target: Column,
 def correlations(df: DataFrame, feature: str, target: str) -> DataFrame:
     """One row (n, pearson, spearman) over rows with a finite feature and a target; tied ranks are averaged."""
     own = df.select(F.col(feature).cast("double").alias("x"), F.col(target).cast("double").alias("y")).where(finite(F.col("x")) & F.col("y").isNotNull())
-    rx, ry = rank_averages(own, "x", "rx"), rank_averages(own, "y", "ry")
-    return own.join(rx, "x").join(ry, "y").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    # ties are counted before the joins, so a value that half the rows have is a few rows there
+    pairs = own.groupBy("x", "y").agg(F.count("*").cast("double").alias("c"))
+    ranked = pairs.join(rank_averages(own, "x", "rx"), "x").join(rank_averages(own, "y", "ry"), "y")
+    whole = own.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"))
+    a, b = (F.col(r) - (F.col("n") + 1) / 2 for r in ("rx", "ry"))  # ranks around their mean
+    sums = ranked.join(F.broadcast(whole), F.lit(True)).agg(F.sum(F.col("c") * a * b).alias("ab"), F.sum(F.col("c") * a * a).alias("aa"), F.sum(F.col("c") * b * b).alias("bb"))
+    return whole.join(F.broadcast(sums), F.lit(True)).select("n", "pearson", F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias("spearman"))
 
 
 def defaults(df: DataFrame, columns: dict[str, str]) -> DataFrame:

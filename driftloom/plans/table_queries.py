@@ -11,7 +11,7 @@ from driftloom.operators.cache import cache_key, evict, missing_from
 from driftloom.operators.features import OTHER, Feature
 from driftloom.plans.common import MESSAGES_SQL, hash_sql, messages, talks
 from driftloom.plans.registry import query
-from driftloom.session import prefix_sums, table
+from driftloom.session import placed, table
 from driftloom.sources import readers
 from driftloom.sources.catalog import alter_types
 
@@ -152,9 +152,9 @@ def pair_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderkey - (SELECT min(o_orderkey) FROM orders) AS gap, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders")
 def row_index(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "orders").select("o_orderkey").withColumn("_one", F.lit(1))
+    own = table(spark, d, "orders").select("o_orderkey")
     low = own.agg(F.min("o_orderkey").alias("_low"))
-    numbered = prefix_sums(own, [], "o_orderkey", "_one", "row_index", F.floor(F.col("o_orderkey") / 4096), [])
+    numbered = placed(own, ["o_orderkey"], {"row_index": None})
     return numbered.join(F.broadcast(low), F.lit(True)).select("o_orderkey", (F.col("o_orderkey") - F.col("_low")).alias("gap"), "row_index")
 
 

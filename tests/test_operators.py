@@ -151,6 +151,20 @@ def test_places_over_all_rows(spark):
         assert {r["id"] for r in least_rows(hashed, "h", "id", n).collect()} == set(least[:n])
 
 
+def test_gram_matrix_of_large_means_and_many_columns(spark):
+    import time
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 300)) + 1e7
+    m[:, 1] = m[:, 0]
+    df = spark.createDataFrame([(float(i), r.tolist()) for i, r in enumerate(m)], "k double, v array<double>").repartition(70)
+    began = time.monotonic()
+    g = select.gram_matrix(df, [F.get("v", F.lit(i)) for i in range(300)])
+    want = (m - m.mean(0)).T @ (m - m.mean(0))
+    assert np.allclose(g[:-1, :-1], want, atol=1e-5) and np.allclose(g[-1, :-1], m.mean(0)) and g[-1, -1] == 400 and time.monotonic() - began < 60
+    assert not select.gram_matrix(df.limit(0), [F.col("k")]).any()
+
+
 def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
     from types import SimpleNamespace
 
