@@ -5,7 +5,7 @@ A dialogue may hold any share of all rows, so no dialogue is ever sorted or coll
 
 Defined cases: blank messages are left out of the conversation but their dialogue is still judged; messages without a
 dialogue id belong to no dialogue; a message delivered twice (same dialogue, sender, time and text) counts once, under its
-least msg_id; equal times keep the order of msg_id. An empty table gives empty results.
+least msg_id; equal times keep the order of msg_id; msg_id must be unique. An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -71,18 +71,17 @@ def _numbered(placed: DataFrame, blocks: DataFrame, gap: int) -> DataFrame:
     )
 
 
-def sessions(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
-    """One row per session of each dialogue: messages, first_customer, last_agent, replied (reciprocal: an agent after a customer).
-
-    ``session_no`` 0 stands for the messages that can't be placed, blank or unusable; every dialogue has it. ``unusable``:
-    some message of it isn't blank.
-    """
-    # of the texts only their hashes are needed here, to tell repeats
+def _sessionized(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(all messages, usable ones with position and session_no, the gap). Of the texts only hashes are kept, to tell repeats."""
     messages = with_roles(turns, sender_forms).withColumn("text", F.xxhash64("text"))
     placed = cut_lineage(_placed(messages))
     blocks = _blocks(placed)
     gap = gap_threshold(placed, blocks) if max_gap_micros is None else max_gap_micros
-    talks = _numbered(placed, blocks, gap).groupBy("dialogue_id", "session_no").agg(
+    return messages, _numbered(placed, blocks, gap), gap
+
+
+def _sessions(messages: DataFrame, numbered: DataFrame) -> DataFrame:
+    talks = numbered.groupBy("dialogue_id", "session_no").agg(
         F.count("*").alias("messages"), F.min(F.when(F.col("role") == "customer", F.col("sent_at"))).alias("first_customer"),
         F.max(F.when(F.col("role") == "agent", F.col("sent_at"))).alias("last_agent"), F.max(F.col("role").isin("agent", "customer")).alias("spoken"),
     ).withColumn("unusable", F.lit(False))
@@ -93,19 +92,34 @@ def sessions(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | No
     return talks.unionByName(rest).withColumn("replied", F.coalesce(F.col("last_agent") > F.col("first_customer"), F.lit(False)))
 
 
-def dropped_dialogues(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
-    """(dialogue_id, defect) of every dialogue to be dropped: ``broken``, ``empty`` or ``no_reply``, the first that applies.
+def sessions(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
+    """One row per session of each dialogue: messages, first_customer, last_agent, replied (reciprocal: an agent after a customer).
 
-    Judged from its sessions: a reply may come in a later session than the question.
+    ``session_no`` 0 stands for the messages that can't be placed, blank or unusable; every dialogue has it. ``unusable``:
+    some message of it isn't blank.
     """
-    facts = sessions(turns, sender_forms, max_gap_micros).groupBy("dialogue_id").agg(
-        F.max("unusable").alias("unusable"), F.max("spoken").alias("spoken"), F.min("first_customer").alias("first_customer"), F.max("last_agent").alias("last_agent")
+    return _sessions(*_sessionized(turns, sender_forms, max_gap_micros)[:2])
+
+
+def _dropped(judged: DataFrame) -> DataFrame:
+    facts = judged.groupBy("dialogue_id").agg(
+        F.max("unusable").alias("unusable"), F.max("spoken").alias("spoken"), F.max("replied").alias("replied"), F.min("first_customer").alias("first_customer"), F.max("last_agent").alias("last_agent")
     )
-    replied = F.coalesce(F.col("last_agent") > F.col("first_customer"), F.lit(False))
-    defect = F.when(F.col("unusable"), "broken").when(~F.col("spoken"), "empty").when(~replied, "no_reply")
+    # dialogues without any session that was replied to are candidates; a reply in a later session saves them
+    later = F.coalesce(F.col("last_agent") > F.col("first_customer"), F.lit(False))
+    defect = F.when(F.col("unusable"), "broken").when(~F.col("spoken"), "empty").when(~F.col("replied") & ~later, "no_reply")
     return facts.select("dialogue_id", defect.alias("defect")).where("defect IS NOT NULL")
 
 
+def dropped_dialogues(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
+    """(dialogue_id, defect) of every dialogue to be dropped: ``broken``, ``empty`` or ``no_reply``, the first that applies.
+
+    Judged from its sessions: one with a reciprocal reply keeps its dialogue; without any, a reply may still come in a later
+    session than the question.
+    """
+    return _dropped(sessions(turns, sender_forms, max_gap_micros))
+
+
 def gap_threshold(placed: DataFrame, blocks: DataFrame) -> int:
     """Microseconds of silence that end a session, calibrated on all gaps.
 
@@ -113,7 +127,7 @@ def gap_threshold(placed: DataFrame, blocks: DataFrame) -> int:
     threshold is the cut of minimum classification error under a normal model of each. Only the histogram, of
     bounded size, reaches the driver.
     """
-    gaps = placed.select("dialogue_id", "_block", F.col("_gap").alias("gap")).join(blocks.select("dialogue_id", "_block"), ["dialogue_id", "_block"]).select("gap").unionByName(blocks.select(F.col("_step").alias("gap")))
+    gaps = placed.select(F.col("_gap").alias("gap")).unionByName(blocks.select(F.col("_step").alias("gap")))
     bins = gaps.where("gap > 0").groupBy(F.floor(F.log2("gap") * BINS_PER_OCTAVE).cast("int").alias("bin")).count().collect()
     return cut_between_clusters(sorted((r["bin"], r["count"]) for r in bins))
 
@@ -135,11 +149,19 @@ def cut_between_clusters(counts: list[tuple[int, int]]) -> int:
     return int(2 ** ((counts[i - 1][0] + 1 + counts[i][0]) / 2 / BINS_PER_OCTAVE))
 
 
-def rebuild(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None) -> DataFrame:
-    """Messages of all whole conversations: dialogue_id, position (from 1), session_no (from 1), role, sent_at, text, msg_id."""
-    placed = _placed(with_roles(turns, sender_forms))
-    blocks = _blocks(placed)
-    gap = gap_threshold(placed, blocks) if max_gap_micros is None else max_gap_micros
-    # dialogues are dropped by their blocks, of which there are few, so a dialogue of any size is safe
-    kept = blocks.join(dropped_dialogues(turns, sender_forms, gap), "dialogue_id", "left_anti")
-    return _numbered(placed, kept, gap)
+def rebuild(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | None = None, replied_only: bool = False) -> DataFrame:
+    """Messages of all whole conversations: dialogue_id, position (from 1), session_no (from 1), session_replied, role, sent_at, text, msg_id.
+
+    ``session_replied`` tells the sessions with a reciprocal reply; ``replied_only`` drops the messages of all others, which
+    leaves parts of conversations.
+    """
+    messages, numbered, _ = _sessionized(turns, sender_forms, max_gap_micros)
+    numbered = cut_lineage(numbered.drop("text"))
+    judged = cut_lineage(_sessions(messages, numbered))
+    # sessions and dialogues are joined before the messages, of which a dialogue may hold any share; AQE splits such a key
+    kept = judged.where("session_no > 0").join(_dropped(judged), "dialogue_id", "left_anti").select("dialogue_id", "session_no", F.col("replied").alias("session_replied"))
+    if replied_only:
+        kept = kept.where("session_replied")
+    # each text is shuffled once, to its message
+    rows = numbered.join(kept, ["dialogue_id", "session_no"]).join(turns.select("msg_id", "text"), "msg_id")
+    return rows.select("dialogue_id", "position", "session_no", "session_replied", "role", "sent_at", "text", "msg_id")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.functions.hashing import portable_hash
 from driftloom.session import prefix_sums, small_rows
 
 #: Fractional part of the golden ratio.
@@ -42,7 +43,8 @@ def source_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
         need = (r["target_share"] or 0.0) * (r["budget_frac"] or 0.0) * total
         granted = int(min(math.ceil(need), repeats * have))
         out.append((r["source"], r["target_share"], repeats, have, need, granted, -(-granted // have) if have else 0, repeats * have < need))
-    return spark.createDataFrame(out, "source string, target_share double, max_repeats int, tokens long, needed double, granted long, passes int, short boolean")
+    budgets = [float((r["budget_frac"] or 0.0) * total) for r in wanted]
+    return spark.createDataFrame([(*o, b) for o, b in zip(out, budgets)], "source string, target_share double, max_repeats int, tokens long, needed double, granted long, passes int, short boolean, budget double")
 
 
 def schedule(plan: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -69,8 +71,8 @@ def mix(sized: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS, see
     rows = sized.select("doc_id", "source", "tokens").where("tokens > 0").join(chosen, "source")
     rows = rows.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     # each pass over a source has its own shuffle; a bucket is the top of the random key
-    rows = rows.withColumn("_key", F.xxhash64("doc_id", "repeat_no", F.lit(seed)))
-    rows = prefix_sums(rows, ["source", "repeat_no"], "_key", "tokens", "_start", F.shiftright("_key", 52), ["doc_id"])
+    rows = rows.withColumn("_key", portable_hash(F.concat_ws(":", "doc_id", "repeat_no"), seed))
+    rows = prefix_sums(rows, ["source", "repeat_no"], "_key", "tokens", "_start", F.shiftright("_key", 48), ["doc_id"])
     rows = rows.withColumn("_start", F.col("_start") + F.col("repeat_no") * F.col("_all")).where("_start < granted")
     rows = rows.withColumn("nth", F.floor(F.col("_start") / block_tokens).cast("long"))
     # a block for which the points left no slot would come after all others
@@ -79,8 +81,12 @@ def mix(sized: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS, see
 
 
 def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan with the tokens and the share each source really reached."""
+    """The plan with the tokens each source really got, their share of the mix (``actual_share``) and of the budget (``budget_share``).
+
+    ``reached`` tells whether the source got what it needed.
+    """
     used = mixed.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.count("*").alias("used_documents"))
     both = plan.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0))).withColumn("used_documents", F.coalesce("used_documents", F.lit(0)))
     everything = W.partitionBy()  # a row per target
-    return both.withColumn("actual_share", F.coalesce(F.round(F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(everything)), 6), F.lit(0.0)))
+    share = lambda whole: F.coalesce(F.round(F.try_divide(F.col("used_tokens"), whole), 6), F.lit(0.0))
+    return both.withColumns({"actual_share": share(F.sum("used_tokens").over(everything)), "budget_share": share(F.col("budget")), "reached": F.col("used_tokens") >= F.col("needed")})

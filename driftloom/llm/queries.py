@@ -47,13 +47,13 @@ def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (r.where("missed").select("target_field", "category") for _, r in _reports(spark, d).values())
+    a, b = (target_sample.sample_report(*x).where("short").select("target_field", "category") for x in _reports(spark, d).values())
     return a.unionByName(b)
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (r for _, r in _reports(spark, d).values())
-    return a.unionByName(b).withColumn("wanted", F.round("wanted", 6))
+    a, b = (target_sample.sample_report(*x) for x in _reports(spark, d).values())
+    return a.unionByName(b).withColumn("wanted", F.round("wanted", 6)).drop("missed")
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,8 @@ def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(spark, d)[1].where("short").select("source")
+    sized, plan = _plan(spark, d)
+    return mixing.mix_report(mixing.mix(sized, plan), plan).where("NOT reached").select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +114,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     sized, plan = _plan(spark, d)
-    return mixing.mix_report(mixing.mix(sized, plan), plan).select("source", "target_share", "tokens", F.round("needed", 3).alias("needed"), "short", "used_tokens", "used_documents", "actual_share")
+    return mixing.mix_report(mixing.mix(sized, plan), plan).select("source", "target_share", "tokens", F.round("needed", 3).alias("needed"), "reached", "used_tokens", "used_documents", "actual_share", "budget_share")
 
 
 def queries() -> dict[str, Query]:

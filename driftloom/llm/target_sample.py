@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.functions.hashing import portable_hash
 from driftloom.llm.textunits import trimmed
 from driftloom.session import small_rows
 
@@ -74,8 +75,8 @@ def quota_report(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def draw(rows: DataFrame, report: DataFrame, seed: int = 42) -> DataFrame:
     """(id, category): of each category of the report its quota of rows, those with the least random keys."""
     quota = F.broadcast(report.select(F.lower(trimmed(F.col("category"))).alias("category"), "quota").where("quota > 0"))  # a row per target
-    keyed = rows.join(quota, "category").withColumn("_key", F.xxhash64("id", F.lit(seed)))
-    keyed = keyed.withColumn("_bucket", F.shiftrightunsigned("_key", 52).cast("int")).withColumn("_key", F.expr("_key & 4503599627370495"))
+    # a portable hash of 60 bits, its first 12 the bucket
+    keyed = rows.join(quota, "category").withColumn("_key", portable_hash(F.col("id"), seed)).withColumn("_bucket", F.shiftright("_key", 48).cast("int"))
     counts = keyed.groupBy("category", "quota", "_bucket").agg(F.count("*").alias("_n"))
     upto = W.partitionBy("category").orderBy("_bucket")
     left = counts.withColumn("_left", F.col("quota") - F.coalesce(F.sum("_n").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -84,3 +85,14 @@ def draw(rows: DataFrame, report: DataFrame, seed: int = 42) -> DataFrame:
     sure = near.where("_n <= _left").select("id", "category")
     ranked = near.where("_n > _left").withColumn("_rank", F.row_number().over(W.partitionBy("category").orderBy("_key", "id")))
     return sure.unionByName(ranked.where("_rank <= _left").select("id", "category"))
+
+
+def sample_report(rows: DataFrame, report: DataFrame, seed: int = 42) -> DataFrame:
+    """The report with ``sampled``, the rows of each category really drawn, ``sampled_share``, and ``short``: fewer than wanted were
+    drawn, and no more could be.
+    """
+    drawn = draw(rows, report, seed).groupBy("category").agg(F.count("*").alias("sampled")).withColumnRenamed("category", "_c")
+    both = report.join(F.broadcast(drawn), F.lower(trimmed(F.col("category"))) == F.col("_c"), "left").drop("_c").withColumn("sampled", F.coalesce("sampled", F.lit(0)))  # a row per target
+    share = F.coalesce(F.try_divide(F.col("sampled"), F.sum("sampled").over(W.partitionBy())), F.lit(0.0))
+    # the draw tells who comes short; the count of what there is tells rounding from want
+    return both.withColumn("sampled_share", F.round(share, 6)).withColumn("short", (F.col("sampled") < F.col("wanted")) & F.col("missed"))

@@ -65,3 +65,16 @@ def test_sessions_of_unplaced_messages(spark):
     got = {(r["dialogue_id"], r["session_no"]): r for r in cv.sessions(*tables(spark, ROWS)).collect()}
     assert got["blank", 0]["messages"] == 2 and not got["blank", 0]["unusable"] and got["untimed", 0]["unusable"]
     assert got["ok", 1]["messages"] == 3 and got["ok", 1]["replied"] and not got["early", 1]["replied"]
+
+
+def test_sessions_without_reply_are_told_and_can_be_dropped(spark):
+    rows = [
+        (1, "d", "customer", "2024-01-01 10:00:00", "a"), (2, "d", "agent", "2024-01-01 10:01:00", "b"), (3, "d", "customer", "2024-01-05 10:00:00", "alone"), (4, "d", "customer", "2024-01-09 10:00:00", "c"), (5, "d", "agent", "2024-01-09 10:02:00", "d"),
+        (6, "late", "customer", "2024-01-01 10:00:00", "q"), (7, "late", "agent", "2024-01-03 10:00:00", "r"), (8, "never", "agent", "2024-01-01 10:00:00", "r"), (9, "never", "customer", "2024-01-03 10:00:00", "q"),
+    ]
+    turns, forms = tables(spark, rows)
+    hour = 3600 * 1_000_000
+    got = {r["msg_id"]: (r["session_no"], r["session_replied"]) for r in cv.rebuild(turns, forms, hour).collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (2, False), 4: (3, True), 5: (3, True), 6: (1, False), 7: (2, False)}
+    assert {r["msg_id"] for r in cv.rebuild(turns, forms, hour, replied_only=True).collect()} == {1, 2, 4, 5}
+    assert {(r["dialogue_id"], r["defect"]) for r in cv.dropped_dialogues(turns, forms, hour).collect()} == {("never", "no_reply")}
