@@ -2,10 +2,15 @@
 
 Per source a right-censored log-normal distribution of the lengths is fitted by maximum likelihood. Lengths at which far
 more values lie than the fit allows are candidate limits; a value there is censored with a posterior probability, a value
-elsewhere with the source's rate of other cuts. These prior odds are combined with the evidence of the text's ending.
-
-Defined cases: null and blank texts are complete; a null source is a source of its own; sources with fewer than MIN_FIT
-texts get no limits, only the basic rate; repeated texts are judged each; an empty table gives no rows.
+elsewhere with the rate of other cuts. The posteriors are used twice. They teach what an ending weighs: texts at limits are
+mostly cut, the others mostly not, so the log odds of every degree of ending evidence follow from how often it stands among
+both (expectation maximisation over a histogram of bounded size). And they are the prior odds of each text, unclipped, to
+which its ending's log odds are added.
+
+Defined cases: null and blank texts are complete; a text that ends as only complete ones do is complete, at a limit too; a
+null source is a source of its own; sources with fewer than MIN_FIT texts get no limits, only the common rate; where no source
+has a limit, nothing teaches the weights and only sure marks of a cut count (SURE_EVIDENCE); repeated texts are judged each; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +22,16 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.endings import with_endings
 from driftloom.llm.textunits import is_blank
+from driftloom.session import broadcast_if_small, cut_lineage
 
 MIN_FIT, FIT_ROUNDS = 20, 12
-#: Prior probability of a cut away from any limit, and the bounds of the prior log odds.
-OTHER_CUTS, PRIOR_BOUNDS = 0.03, (-3.5, 2.5)
+#: Share of cut texts away from any limit, to begin with.
+OTHER_CUTS = 0.03
+#: Degrees of ending evidence: bins of this width between these ends. Rounds of the estimate, and texts each degree has from the start.
+DEGREE, LEAST_DEGREE, MOST_DEGREE = 1.0, -8, 13
+WEIGHT_ROUNDS, WEIGHT_START = 20, 0.5
+#: Evidence that needs no limit to be believed: notes, open ends, ends inside markup.
+SURE_EVIDENCE, SURE_WEIGHT = 7, 9.0
 #: A candidate limit holds at least so many values and so many times those expected around it.
 LIMIT_VALUES, LIMIT_RATIO = 5, 4.0
 
@@ -85,16 +96,54 @@ def limit_posteriors(texts: DataFrame, text: str, source: str) -> DataFrame:
     return histogram.groupBy("source").applyInPandas(fit, "source string, length int, posterior double")
 
 
+def ending_weights(counts: list[tuple[int, float | None, bool, int]]) -> tuple[dict[int, float], float]:
+    """(log odds of a cut by degree of evidence, rate of cuts away from limits) from (degree, posterior or None, complete, texts).
+
+    Begins with what the limits alone say; texts that end as only complete ones do are whole at any length. Log odds never
+    fall with the evidence.
+    """
+    degrees = np.arange(LEAST_DEGREE, MOST_DEGREE + 1)
+    if not any(p is not None for _, p, _, _ in counts):
+        return {int(d): 30.0 if d >= SURE_EVIDENCE else -30.0 for d in degrees}, 0.5
+    at, free, whole = (np.array([x(c) for c in counts]) for x in (lambda c: c[0] - LEAST_DEGREE, lambda c: c[1] is None, lambda c: c[2]))
+    n = np.array([c[3] for c in counts], dtype=float)
+    fixed = np.array([0.0 if p is None else min(max(p, 1e-6), 1 - 1e-6) for _, p, _, _ in counts])
+    rate, weight = OTHER_CUTS, np.zeros(len(degrees))
+    for _ in range(WEIGHT_ROUNDS):
+        prior = np.where(free, rate, fixed)
+        cut = np.where(whole, 0.0, 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + weight[at]))))
+        among_cut, among_whole = (np.bincount(at, weights=n * x, minlength=len(degrees)) + WEIGHT_START for x in (cut, 1 - cut))
+        weight = _rising(np.log(among_cut / among_cut.sum()) - np.log(among_whole / among_whole.sum()), among_cut + among_whole)
+        rate = min(max((n * cut)[free].sum() / max(n[free].sum(), 1), 1e-4), 0.5)
+    # sure marks stand away from limits too, where nothing teaches them
+    return {int(d): float(max(w, SURE_WEIGHT) if d >= SURE_EVIDENCE else w) for d, w in zip(degrees, weight)}, float(rate)
+
+
+def _rising(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The closest values that never fall: neighbours that do are averaged."""
+    parts: list[list[float]] = []
+    for v, s in zip(values, sizes):
+        parts.append([v, s, 1])
+        while len(parts) > 1 and parts[-2][0] > parts[-1][0]:
+            (a, x, i), (b, y, j) = parts[-2:]
+            parts[-2:] = [[(a * x + b * y) / (x + y), x + y, i + j]]
+    return np.concatenate([np.full(int(k), v) for v, _, k in parts])
+
+
 def judge(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, length, limit_posterior, cut_probability) of every non-blank text. ``key`` must be unique."""
+    """(key, source, length, limit_posterior, cut_probability, cut_evidence) of every non-blank text. ``key`` must be unique."""
     evidence = with_endings(texts, key, text)
     own = texts.where(~is_blank(F.col(text))).select(key, F.col(source).alias("source"), F.length(text).alias("length"))
-    limits = limit_posteriors(texts, text, source).withColumnRenamed("source", "_s").withColumnRenamed("length", "_l")
-    prior = own.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_l")), "left")
-    p = F.coalesce("posterior", F.lit(OTHER_CUTS))
-    odds = F.least(F.greatest(F.log(p / (1 - p)), F.lit(PRIOR_BOUNDS[0])), F.lit(PRIOR_BOUNDS[1]))
-    both = prior.join(evidence, key)
-    return both.select(key, "source", "length", F.col("posterior").alias("limit_posterior"), F.round(1 / (1 + F.exp(-(odds + F.col("cut_evidence")))), 6).alias("cut_probability"))
+    limits = broadcast_if_small(cut_lineage(limit_posteriors(texts, text, source).withColumnRenamed("source", "_s").withColumnRenamed("length", "_l")))
+    prior = own.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_l")), "left").drop("_s", "_l")
+    degree = F.greatest(F.least(F.round(F.col("cut_evidence") / DEGREE), F.lit(MOST_DEGREE)), F.lit(LEAST_DEGREE)).cast("int")
+    both = cut_lineage(prior.join(evidence, key).withColumn("_degree", degree))
+    counts = both.groupBy("_degree", F.round("posterior", 2).alias("p"), "complete").agg(F.count("*").alias("n")).collect()  # degrees times 101 times 2 at most
+    weights, rate = ending_weights([(r["_degree"], r["p"], r["complete"], r["n"]) for r in counts])
+    weight = F.element_at(F.array(*(F.lit(weights[d]) for d in sorted(weights))), F.col("_degree") - LEAST_DEGREE + 1)
+    p = F.coalesce("posterior", F.lit(rate))
+    probability = F.when(F.col("complete"), 0.0).otherwise(F.round(1 / (1 + F.exp(-(F.log(p / (1 - p)) + weight))), 6))
+    return both.select(key, "source", "length", F.col("posterior").alias("limit_posterior"), probability.alias("cut_probability"), "cut_evidence")
 
 
 def cut_texts(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:

@@ -67,3 +67,22 @@ def test_report_and_empty_table(spark):
     assert sum(r["documents"] for r in report.values()) == len(rows) + 1 and report[None]["cut"] == 0
     empty = df.limit(0)
     assert truncation.cut_texts(empty, "doc_id", "text", "source").count() == 0 and truncation.cut_report(empty, "doc_id", "text", "source").count() == 0
+
+
+def test_limits_teach_what_endings_weigh():
+    # degree 3 stands at limits only, degree -3 never; whole texts count as whole wherever they stand
+    counts = [(3, 0.95, False, 90), (3, None, False, 5), (-3, 0.95, False, 5), (-3, None, False, 900), (-6, 0.95, True, 60), (-6, None, True, 3000)]
+    weights, rate = truncation.ending_weights(counts)
+    assert weights[3] > 2 and weights[-3] < -2 and weights[-6] < weights[3] and 0 < rate < 0.05
+    assert all(weights[d] <= weights[d + 1] for d in range(-8, 13)) and weights[13] >= truncation.SURE_WEIGHT
+    # without any limit only sure marks count
+    weights, _ = truncation.ending_weights([(3, None, False, 90), (12, None, False, 4)])
+    assert weights[6] < 0 < weights[7]
+
+
+def test_json_is_open_however_long_ago_it_began():
+    from driftloom.llm.endings import _inside_json, _tail_tokens
+
+    long = 'Read this: {"text": "' + "word " * 500
+    assert _inside_json(long) and not _inside_json(long + '"}') and not _inside_json("no json") and _inside_json('{"a": {"b": 1}, "c": [1, 2')
+    assert _tail_tokens("x " * 400 + "I paid 12.50 Euro", 3) == ["paid", "0", "euro"] and _tail_tokens("", 3) == ["\n"] * 3
