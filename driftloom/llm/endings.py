@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm import bloom
+from driftloom.llm.bloom import mixed
 from driftloom.session import cut_lineage
 
 #: Notes that mark a cut, in brackets at the end (fixed values).
@@ -50,8 +52,6 @@ UNKNOWN_ENDS, BASE_ENDS = 0.02, 0.1
 MARKED_STYLE = re.compile(r"[.!?][\"'»”’)\]]*\s+[\"'«“‘¿¡(\[\d:]*\s*(\w)")
 GREETING = re.compile(r"\W*\w+(?:\W+\w+)?[.!?]")
 STYLE_ODDS, STYLE_MORE, STYLE_MOST = 6.0, 1.0, 3
-#: Bits of the Bloom filter of ending n-grams, whatever the number of texts.
-FILTER_BITS = 1 << 26
 
 _ENDING = "_id string, _same long, _plain boolean, _mark boolean, _styled int, _final boolean, _number boolean, _open boolean, _inside boolean, _closed boolean, _bracket boolean, g0 long, g1 long, g2 long, g3 long"
 
@@ -98,17 +98,6 @@ def _styled(text: str) -> int:
     return min(n - (GREETING.match(text) is not None), STYLE_MOST)
 
 
-def _mix(*parts: np.ndarray) -> np.ndarray:
-    """One hash of several columns of hashes."""
-    h = np.full(len(parts[0]), 0x9E3779B97F4A7C15, dtype=np.uint64)
-    for p in parts:
-        h = (h ^ p) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        h = h * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-    return h
-
-
 def _hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token, and whether it ends a sentence; each distinct token is hashed once."""
     codes, distinct = pd.factorize(np.array(tokens, dtype=object))
@@ -133,40 +122,11 @@ def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = _hashes(last)[0].reshape(-1, 3)
         a, b, c = h[:, 0], h[:, 1], h[:, 2]
         out["_same"] = pd.util.hash_array(out["_same"].to_numpy(dtype=object), categorize=False).view(np.int64) if len(out) else np.zeros(0, np.int64)
-        for name, g in zip(("g0", "g1", "g2", "g3"), (_mix(a, b, c), _mix(b, c), _mix(c), _mix(a, b))):
+        for name, g in zip(("g0", "g1", "g2", "g3"), (mixed(a, b, c), mixed(b, c), mixed(c), mixed(a, b))):
             out[name] = g.view(np.int64)
         yield out
 
 
-def _bits(grams: np.ndarray) -> list[np.ndarray]:
-    """Three places of the filter for each hash."""
-    g = grams.view(np.uint64)
-    mask = np.uint64(FILTER_BITS - 1)
-    return [g & mask, (g >> np.uint64(20)) & mask, (g >> np.uint64(38)) & mask]
-
-
-def _filter(endings: DataFrame) -> np.ndarray:
-    """A Bloom filter of the n-grams of all endings: made in every partition, put together by place; its size is fixed."""
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for pdf in batches:
-            for g in ("g0", "g1", "g2", "g3"):
-                for at in _bits(pdf[g].to_numpy()):
-                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        used = np.flatnonzero(bits.reshape(-1, 4096).any(axis=1))
-        yield pd.DataFrame({"place": used, "bits": [b.tobytes() for b in bits.reshape(-1, 4096)[used]]})
-
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"place": pdf["place"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["bits"]]).tobytes()]})
-
-    parts = endings.select("g0", "g1", "g2", "g3").mapInPandas(fill, "place long, bits binary").groupBy("place").applyInPandas(both, "place long, bits binary")
-    out = np.zeros((FILTER_BITS // 8 // 4096, 4096), dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        out[r["place"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out.ravel()
-
-
 def ngram_counts(texts: DataFrame, text: str, wanted: np.ndarray | None = None) -> DataFrame:
     """(gram, seen, ends): for each n-gram of 1 to 3 tokens inside the texts, how often it stands and a sentence end follows.
 
@@ -190,12 +150,8 @@ def ngram_counts(texts: DataFrame, text: str, wanted: np.ndarray | None = None)
             inner = document[:-3] == document[3:]
             e, out = ends[3:][inner], []
             a, b, c = h[:n][inner], h[1 : n + 1][inner], h[2 : n + 2][inner]
-            for g in (_mix(a, b, c), _mix(b, c), _mix(c)):
-                keep = slice(None)
-                if bits is not None:
-                    keep = np.ones(len(g), bool)
-                    for at in _bits(g):
-                        keep &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for g in (mixed(a, b, c), mixed(b, c), mixed(c)):
+                keep = slice(None) if bits is None else bloom.holds(bits, g)
                 distinct, which, seen = np.unique(g[keep], return_inverse=True, return_counts=True)
                 out.append(pd.DataFrame({"gram": distinct.view(np.int64), "seen": seen, "ends": np.bincount(which, weights=e[keep], minlength=len(distinct)).astype(np.int64)}))
             yield pd.concat(out)
@@ -212,7 +168,7 @@ def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None
     """
     own = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     own = cut_lineage(own.mapInPandas(_endings, _ENDING))
-    counts = ngram_counts(corpus if corpus is not None else texts.select(F.col(text).alias("text")), "text", _filter(own))
+    counts = ngram_counts(corpus if corpus is not None else texts.select(F.col(text).alias("text")), "text", bloom.build(own, "g0", "g1", "g2", "g3"))
     # an ending is judged once, however many texts share it; repeated texts are one case of it
     endings = own.groupBy("g0", "g1", "g2", "g3").agg(F.count_distinct("_same").alias("_finals"))
     each = endings.select("g0", "g3", "_finals", F.posexplode(F.array("g0", "g1", "g2", "g3")).alias("_level", "gram"))

@@ -1,42 +1,55 @@
 """Personal information in free text: found by bootstrapped contextual extraction, replaced by typed placeholders.
 
-Items with a form of their own (e-mail addresses, labelled numbers, streets with house numbers, listed names) are seeds. They
-and the words around them form a graph of instances and patterns: patterns are scored by the seeds that stand in them,
-instances by their patterns, in rounds; patterns of high confidence then decide about what has no form of its own: a number
-nobody labelled, a name on no list, a street in lower case. Only edges, combined before the shuffle, are scored.
+One pass takes every text apart into mentions: what has the form of an e-mail address, a street with house number or a long
+number, and every capitalised word. Each mention belongs to an instance (its normalised text) and stands in patterns: the words
+before and after it, the words near it, its form, its domain or street. A few mentions are seeds: plain addresses, numbers right
+after one of a few labels, listed names. Instances and patterns of all kinds form one graph that is scored in rounds: a pattern
+gets the label most of its labelled instances have, an instance the label of the patterns it mostly stands in. High-confidence
+patterns then decide about every mention that is no seed: disguised addresses, numbers with other labels or none, names on no list,
+streets in lower case. Only hashes of distinct (instance, pattern) are shuffled.
 
 Defined cases: null and blank texts hold nothing and stay as they are; overlapping items are masked as the first and longest
 of them; the same kind twice in a message is one row; repeated messages are searched each; an empty name list or an empty
-table gives what the other seeds find, or nothing.
+table gives what the other seeds find, or nothing. Keys must be unique and not null.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.session import broadcast_if_small, cut_lineage
+from driftloom.llm import bloom
+from driftloom.session import broadcast_if_small, cut_lineage, drop_checkpoint
 
 #: Rounds of scoring; share of a pattern's labelled instances that must agree; distinct instances it needs.
 ROUNDS, AGREE, LEAST_INSTANCES = 3, 0.8, 3
-#: A word is ordinary if at least this share of its uses is in lower case; a name has at least that share of its uses in name patterns.
+#: Share of all instances of a pattern, labelled or not, that must have its label.
+COVER = 0.4
+#: Share of the labelled numbers of a form that must be phone or identity numbers for the form to tell where nothing else does.
+PERSONAL_FORM = 0.2
+#: A word is ordinary if at least this share of its uses is in lower case; an instance has at least that share of its uses in patterns of its label.
 ORDINARY, IN_PATTERNS = 0.3, 0.25
-#: Share of a form's labelled numbers that must be identity numbers for the form alone to tell.
-IDENTITY_FORM = 0.2
-#: Rows up to which a table of learned words or patterns is broadcast; larger ones are joined by shuffle.
+#: Rows up to which a table of learned patterns is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
-
-#: Words that say what a number is (fixed values).
-IDENTITY_WORDS = r"social security|social insurance|ssn|passport|tax id|tax number|tax no|taxpayer|tin|national id|national identity|national insurance|identity card|identity number|identity check|id card|id number|driver.?s licen[cs]e|driving licen[cs]e|licen[cs]e number|nhs number|steuer-?id|steuernummer|steueridentifikationsnummer|sozialversicherungsnummer|reisepass|personalausweis|ausweisnummer|führerschein|dni|nif|nie|pasaporte|seguridad social|carnet de identidad|permiso de conducir|passeport|sécurité sociale|carte d.identité|permis de conduire|numéro fiscal"
-PHONE_WORDS = r"phone|telephone|mobile|landline|cell|tel|fax|call|reach|text me|whatsapp|pick up|handy|telefon|rufnummer|meine nummer|teléfono|móvil|mi número|téléphone|portable|mon numéro"
-OTHER_WORDS = r"order|invoice|bill|policy|serial|reference|ref|ticket|case|rma|tk|meter|reading|version|tracking|parcel|account|customer number|contract number|error|measured|model|part number|item|isbn|iban|pin|code|bestell\w*|rechnung\w*|pedido|factura|commande|facture"
-_LABEL = re.compile(rf"(?i)\b(?:(?P<identity>{IDENTITY_WORDS})|(?P<phone>{PHONE_WORDS})|(?P<other>{OTHER_WORDS}))\b")
-#: Words between a number and its label at most; papers and cases are named right before their numbers.
-REACH, REACH_OTHER = 6, {"order": 3, "invoice": 3, "bill": 3, "policy": 3, "reference": 3, "ref": 3, "ticket": 3, "case": 3, "account": 3, "parcel": 3, "code": 3, "error": 3}
+#: Words before and after a number that are patterns of it.
+NEAR_BEFORE, NEAR_AFTER, LONG_WORD = 6, 5, 5
+
+#: Labels that make the number right after them a seed (fixed values); all others are learned.
+SEED_LABELS = {
+    "identity": r"social security|ssn|passport|tax id|tax number|id card|identity card|identity check|driver s licence",
+    "phone": r"phone|call|mobile|reach me|landline",
+    "other": r"order|invoice|policy|serial|reference|ticket|case|reading|version|contract|account",
+}
+_SEED = re.compile("(?i)" + "|".join(rf"\b(?P<{k}>{v})\b" for k, v in SEED_LABELS.items()))
+#: Words between such a label and its number at most.
+SEED_REACH = 5
 #: Words for digits (fixed values).
 DIGIT_WORDS = {"zero": "0", "oh": "0", "o": "0", "nought": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _SPELLED = re.compile(rf"(?i)\b(?:(?:double|triple)?[\s-]?(?:{'|'.join(DIGIT_WORDS)})\b[\s,-]*){{7,}}")
@@ -46,6 +59,8 @@ _EMAIL = re.compile(
     r"|(?<![\w+-])[\w+-]+(?:(?: dot | underscore | plus | dash | hyphen | minus |\.)[\w+-]+)*\s(?:at|arroba)\s[\w-]+(?:(?: dot |\.)[\w-]+)* (?:dot|punto|punkt|point) [a-z]{2,}\b"
 )
 _NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\(|(?!ID |NO )[A-Z]{1,2} |[A-Za-z]{1,3}-?)?\d+(?:(?:[ ./-]|\)[ -]?| ?\(0?\)? ?|\()[A-Z]{0,2}\d+)*(?:-?[A-Za-z]{1,3}\d*|(?<=\b\d{8}) (?![AIOU]\b)[A-Z]\b)?(?:\s*(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w@])")
+#: Where the form stands among the patterns of a number.
+FORM_AT = 0
 _DATE = re.compile(r"(?:19|20)\d\d([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2(?:19|20)\d\d")
 #: Kinds of street (fixed values).
 STREET_WORDS = r"street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|way|place|pl|boulevard|blvd|terrace|crescent|square|row|hill|gardens|grove|mews|walk"
@@ -55,39 +70,81 @@ _ADDRESS = re.compile(
     r"|\b(?:calle|avenida|paseo|carrer|plaza)\s+(?:del |de la |de los |de )?[\w'’-]+(?:\s[^\W\d_]+)?,?\s+\d{1,5}\b(?:,\s?\d{1,2}\.?º?\s?[A-Z]\b)?"
     r"|\b[^\W\d_]+(?:weg|straße|strasse|str\.|gasse|allee|damm|ufer)\s+\d{1,5}(?:\s?[a-f]\b)?\b"
 )
-_WORD = re.compile(r"[^\W\d_]+|\d+|[^\s\w]")
-_MAYBE = r"(?iU)\d|@|\bat\b|\barroba\b|zero|\boh\b|five|seven|eight|nine|three|four"
+_WORD = re.compile(r"[^\W\d_]+|\d+|[^\s\w]|_")
+_MAYBE = r"(?i)\d|@|\bat\b|\barroba\b|zero|\boh\b|five|seven|eight|nine|three|four"
+_SENTENCE = re.compile(r"[!?]\s|\n|(?<=[^\W\d_]{4})\.\s|\.\s+(?=[A-Z])")
+_STREET = re.compile(rf"(?i)^(?:{STREET_WORDS})$")
+#: Characters beside a word that make it a part of an address or a code.
+_JOINED = set("@_+0123456789")
 
-_SPANS = "key string, kind string, start int, end int, item string, own string, before string, after string"
+#: Rows of kind ``count`` hold a word's uses in ``start`` and those in lower case in ``end``.
+_MENTION = "key string, kind string, start int, end int, item long, seed string, patterns array<long>, left1 long, right1 long, barred boolean"
 
 
-def _context(words: list[str]) -> str:
-    return " ".join("0" if w[0].isdigit() else w.lower() for w in words)
+def _plain(word: str) -> str:
+    return "0" if word[0].isdigit() else word.lower()
 
 
-def _phone_form(raw: str, digits: str) -> bool:
-    """Forms that only phone numbers have, or that they have unless something speaks against it."""
+def _sure_phone(raw: str, digits: str) -> bool:
     s = raw.strip()
-    return bool(
-        s[:1] == "+" and 9 <= len(digits) <= 15 or re.match(r"\(\d{2,4}\)\s?\d", s) or re.match(r"00\d{2}\D?\d", s) and len(digits) >= 11
-        or re.fullmatch(r"\d{3}[-. ]\d{4}", s) or re.fullmatch(r"\d{3}([-. ])\d{3}\1\d{4}", s) or re.match(r"0\d{2,4} \d{3,4} ?\d", s) and 10 <= len(digits) <= 14
-        or re.search(r"(?i)ext|\dx\d", s) and len(digits) >= 9 or re.fullmatch(r"1\d{10}|0\d{9,10}", s)
-    )
-
-
-def spans_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, str, str]]:
-    """(kind, start, end, item, own label, words before, words after) of what has the form of an item."""
+    return bool(s[:1] == "+" and 9 <= len(digits) <= 15 or re.match(r"\(\d{2,4}\)\s?\d", s))
+
+
+class _Text:
+    """A text's words with their places; what stands around a span is told in words, however long they are."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        found = list(_WORD.finditer(text))
+        self.words = [m.group() for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+
+    def around(self, a: int, b: int) -> tuple[list[str], list[str]]:
+        """Up to three plain words before the span and two after it."""
+        i, j = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        return ["|"] * max(0, 2 - i) + [_plain(w) for w in self.words[max(0, i - 2) : i]], [_plain(w) for w in self.words[j : j + 2]] + ["|"] * max(0, 2 - len(self.words) + j)
+
+    def near(self, a: int, b: int) -> tuple[list[str], list[str]]:
+        """Letter words of the same sentence before the span, nearest first, and after it."""
+        i, j, before, after = bisect_right(self.ends, a) - 1, bisect_left(self.starts, b), [], []
+        last = a
+        while i >= 0 and len(before) < NEAR_BEFORE and not _SENTENCE.search(self.text, self.ends[i] - 1, last + (last < a)):
+            if self.words[i][0].isalpha():
+                before.append(self.words[i].lower())
+            last = self.starts[i]
+            i -= 1
+        while j < len(self.words) and len(after) < NEAR_AFTER and self.words[j] not in ".!?":
+            if self.words[j][0].isalpha():
+                after.append(self.words[j].lower())
+            j += 1
+        return before, after
+
+
+def _contexts(words: _Text, a: int, b: int) -> list[str]:
+    before, after = words.around(a, b)
+    return ["< " + " ".join(before[-2:]), "< " + before[-1], "> " + " ".join(after)]
+
+
+def mentions_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, list[str]]]:
+    """(kind, start, end, item, seed label, patterns) of what has the form of an item."""
     taken: list[tuple[int, int]] = []
+    words: _Text | None = None
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    def around(a: int, b: int) -> tuple[str, str]:
-        return _context(_WORD.findall(text[max(0, a - 60) : a])[-3:]), _context(_WORD.findall(text[b : b + 40])[:2])
+    def context(a: int, b: int) -> list[str]:
+        nonlocal words
+        words = words or _Text(text)
+        return _contexts(words, a, b)
 
     for m in _EMAIL.finditer(text):
         taken.append(m.span())
-        yield "email", *m.span(), re.sub(r"\s", "", m.group().lower()), "email", *around(*m.span())
+        raw = m.group()
+        plain = re.fullmatch(r"[\w.+-]+@[\w.-]+", raw) is not None
+        item = re.sub(r"[\s()\[\]{}]", "", re.sub(r"(?i)\s(?:at|arroba)\s|[\[({]\s?at\s?[\])}]", "@", re.sub(r"(?i)\s(?:dot|punto|punkt|point)\s|[\[({]\s?dot\s?[\])}]", ".", re.sub(r"(?i)\sunderscore\s", "_", raw))).lower())
+        form = re.sub(r"[^\W_]+", lambda w: w.group().lower() if w.group().lower() in ("at", "dot", "arroba", "punto", "underscore") else "A", raw)
+        yield "email", *m.span(), item, "email" if plain else None, [*context(*m.span()), "# " + re.sub(r"(?:A[-_.+ ]?)+", "A", form), "@ " + item.rpartition("@")[2], "@ ." + item.rpartition(".")[2]]
     for m in _ADDRESS.finditer(text):
         if not free(*m.span()):
             continue
@@ -96,186 +153,240 @@ def spans_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, str, s
         sure = name is None or all(w[:1].isupper() for w in re.findall(r"[^\W\d_][\w'’-]*", name))
         if sure:
             taken.append(m.span())
-        yield "address", *m.span(), re.sub(r"[^\w]+", " ", (name or m.group()).lower()).strip(), "address" if sure else None, *around(*m.span())
+        item = re.sub(r"[^\w]+", " ", (name or m.group()).lower()).strip()
+        yield "address", *m.span(), item, "address" if sure else None, [*context(*m.span()), "# " + item]
     for m in _SPELLED.finditer(text):
         end = m.start() + len(m.group().rstrip(" ,-"))
         if free(m.start(), end):
             taken.append((m.start(), end))
             item = "".join(DIGIT_WORDS.get(w, "") for w in re.findall(r"[a-z]+", m.group().lower()))
-            yield "number", m.start(), end, item, "phone", *around(m.start(), end)
+            yield "number", m.start(), end, item, None, ["# spelled", *context(m.start(), end)]
     for m in _NUMBER.finditer(text):
         raw, (a, b) = m.group(), m.span()
         digits = re.sub(r"\D", "", re.sub(r"(?i)\s*(?:ext\.?|extension|x)\s?\d{1,5}$", "", raw))
         if not 7 <= len(digits) <= 16 or not free(a, b) or _DATE.fullmatch(raw.strip()):
             continue
-        before = re.split(r"[.!?]\s+(?=[A-Z])|\n", text[max(0, a - 60) : a])[-1]
-        # labels by their distance in words; a label may also be joined to the number or follow it
-        labels = [(len(before[x.end() :].split()), k != "identity", k, v.lower()) for x in _LABEL.finditer(before) for k, v in x.groupdict().items() if v]
-        after = re.split(r"[.!?]|\n", text[b : b + 40])[0]
-        labels += [(len(after[: x.start()].split()), k != "identity", k, v.lower()) for x in _LABEL.finditer(after) for k, v in x.groupdict().items() if v and k == "identity"]
-        near = min((x for x in labels if x[0] <= REACH_OTHER.get(x[3], REACH)), default=None)
-        own = near[2] if near else None
-        if re.match(r"(?i)(rma|tk|pl|ref)-?\d", raw):
-            own = "other"
-        if _phone_form(raw, digits) and (own is None or raw[0] in "+(" or own == "other" and near[0] > 2):
-            own = "phone" if raw[0] in "+(" else "phone form"
-        yield "number", a, b, re.sub(r"\W", "", raw).upper(), own, *around(a, b)
-
-
-def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["key", "kind", "start", "end", "item", "own", "before", "after"]
-    for pdf in batches:
-        rows = [(k, *span) for k, text in zip(pdf["key"], pdf["text"]) for span in spans_of(text)]
-        yield pd.DataFrame(rows, columns=names).astype({c: object for c in names if c not in ("start", "end")} | {"start": "int32", "end": "int32"})
+        around = context(a, b)
+        before, after = words.near(a, b)
+        label = " ".join(reversed(before[: SEED_REACH + 2]))
+        found = [(len(label[x.end() :].split()), k) for x in _SEED.finditer(label) for k, v in x.groupdict().items() if v]
+        found += [(len(" ".join(after)[: x.start()].split()), k) for x in _SEED.finditer(" ".join(after)) for k, v in x.groupdict().items() if v and k == "identity"]
+        seed = min((k for k in found if k[0] <= SEED_REACH), default=(0, None))[1]
+        if _sure_phone(raw, digits) and seed != "identity":
+            seed = "phone"
+        form = re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "0", raw))
+        letters = re.match(r"[A-Za-z]+", raw)
+        marks = ["# " + form, "#0 " + form + digits[:1], *(["#a " + letters.group().upper()] if letters else []), *(["# ext"] if re.search(r"(?i)ext|\dx\d", raw) else [])]
+        yield "number", a, b, re.sub(r"\W", "", raw).upper(), seed, [marks[0], *(p for p in around if re.search(r"[^\W\d_]", p)), *marks[1:], *_near_words("~", before[::-1]), *_near_words("~>", after)]
+
+
+def _near_words(mark: str, words: list[str]) -> list[str]:
+    """Patterns of the words near a number: pairs, and single ones that are long enough to mean something by themselves."""
+    return list(dict.fromkeys([f"{mark} {a} {b}" for a, b in zip(words, words[1:])] + [f"{mark} {w}" for w in words if len(w) >= LONG_WORD]))
+
+
+def _capitals(words: _Text) -> Iterator[tuple[int, int, str, list[str], str, str, bool]]:
+    """(start, end, word, patterns, word before, word after, barred) of the capitalised words; ``barred``: beside a house number, a street word or an &."""
+    text, ws = words.text, words.words
+    for i, w in enumerate(ws):
+        if not w[0].isupper():
+            continue
+        a, b = words.starts[i], words.ends[i]
+        if _joined(text, a, b):
+            continue
+        near = [_plain(ws[k]) if 0 <= k < len(ws) else "|" for k in (i - 2, i - 1, i + 1, i + 2)]
+        street = bool(_STREET.match(near[2])) or near[1] == "0" or "&" in (near[1], near[2])
+        yield a, b, w.lower(), [f"< {near[0]} {near[1]}", f"> {near[2]} {near[3]}"], near[1], near[2], street
+
+
+def _joined(text: str, a: int, b: int) -> bool:
+    """The word is a part of an address or a code."""
+    left, right = text[a - 1 : a], text[b : b + 1]
+    if left in _JOINED and left or right in _JOINED and right:
+        return True
+    return left in (".", "-") and a > 1 and bool(re.match(r"[a-z0-9@]", text[a - 2])) or right in (".", "-") and bool(re.match(r"[a-z0-9]", text[b + 1 : b + 2]))
+
 
+def _barred(words: _Text, i: int) -> bool:
+    before, after = (_plain(words.words[k]) if 0 <= k < len(words.words) else "|" for k in (i - 1, i + 1))
+    return bool(_STREET.match(after)) or before == "0" or "&" in (before, after)
 
-def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(patterns: pattern, label, agree, n), (instances: item, label) after rounds over the instance-pattern graph.
 
-    ``edges``: item, pattern (distinct); ``seeds``: item, label (one label an item). In each round a pattern gets the label
-    most of its labelled instances have, if enough of them agree, and an instance without label the one most of its
-    patterns have. Seeds keep theirs.
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All mentions of the texts, and how often each word stands in each case."""
+    names = [c.split()[0] for c in _MENTION.split(", ")]
+    maybe = re.compile(_MAYBE)
+    for pdf in batches:
+        rows, items, patterns, sizes, beside = [], [], [], [], []
+        uses: Counter = Counter()
+        low: Counter = Counter()
+        for key, text in zip(pdf["key"], pdf["text"]):
+            if maybe.search(text):
+                for kind, a, b, item, seed, own in mentions_of(text):
+                    rows.append((key, kind, a, b, seed, False))
+                    items.append(f"{kind} {item}")
+                    patterns += [f"{kind} {p}" for p in own]
+                    sizes.append(len(own))
+                    beside += ["", ""]
+            words = _Text(text)
+            for i, w in enumerate(words.words):
+                if w[0].isalpha() and not _joined(text, words.starts[i], words.ends[i]):
+                    uses[w.lower()] += 1
+                    low[w.lower()] += not w[0].isupper()
+            for a, b, word, own, left, right, barred in _capitals(words):
+                rows.append((key, "word", a, b, None, barred))
+                items.append(f"word {word}")
+                patterns += [f"word {p}" for p in own]
+                sizes.append(2)
+                beside += [f"word {left}", f"word {right}"]
+        for word, n in uses.items():
+            rows.append((None, "count", n, low[word], None, False))
+            items.append(f"word {word}")
+            sizes.append(0)
+            beside += ["", ""]
+        out = pd.DataFrame(rows, columns=["key", "kind", "start", "end", "seed", "barred"]).astype({"key": object, "kind": object, "seed": object, "start": "int32", "end": "int32", "barred": bool})
+        out["item"] = bloom.text_hashes(items).view(np.int64)
+        out["patterns"] = np.split(bloom.text_hashes(patterns).view(np.int64), np.cumsum(sizes)[:-1]) if sizes else []
+        near = bloom.text_hashes(beside).view(np.int64).reshape(-1, 2)
+        out["left1"], out["right1"] = near[:, 0], near[:, 1]
+        yield out[names]
+
+
+def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(patterns: kind, pattern, label, odds), (instances: kind, item, label) after rounds over the instance-pattern graph.
+
+    ``edges``: kind, item, pattern, n (distinct; how often); ``seeds``: kind, item, label, fixed (one label an item). In each
+    round a pattern gets the label most of its labelled instances have, if enough of them agree and make up enough of all its
+    instances; an instance gets the label of the patterns it mostly stands in. Fixed seeds keep theirs; the
+    others do so only where they are hardly met.
     """
-    known = seeds.select("item", "label")
-    patterns = None
-    for r in range(rounds):
-        votes = edges.join(known, "item").groupBy("pattern", "label").agg(F.count("*").alias("n"))
-        sums = votes.groupBy("pattern").agg(F.sum("n").alias("all"), F.max_by("label", "n").alias("label"), F.max("n").alias("n"))
-        patterns = sums.select("pattern", "label", (F.col("n") / F.col("all")).alias("agree"), "n").where((F.col("agree") >= AGREE) & (F.col("n") >= LEAST_INSTANCES))
-        patterns = cut_lineage(patterns)
-        if r + 1 < rounds:
-            grown = edges.join(patterns.select("pattern", "label"), "pattern").groupBy("item", "label").agg(F.count("*").alias("n"))
-            best = grown.groupBy("item").agg(F.max_by("label", "n").alias("label"))
-            known = cut_lineage(seeds.select("item", "label").unionByName(best.join(seeds, "item", "left_anti").select("item", "label")))
+    known, patterns = seeds.select("kind", "item", "label"), None
+    for _ in range(rounds):
+        votes = edges.join(known, ["kind", "item"], "left").groupBy("kind", "pattern", "label").agg(F.count("*").alias("n"))
+        sums = votes.groupBy("kind", "pattern").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("label").isNotNull(), F.col("n"))).alias("labelled"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("best"))
+        agree = F.col("best.n") / F.col("labelled")
+        good = (F.col("best.n") >= LEAST_INSTANCES) & (agree >= AGREE) & (F.col("best.n") >= COVER * F.col("all")) & ((F.col("kind") != "word") | (F.col("best.label") == "name"))
+        odds = F.log((F.col("best.n") + 0.5) / (F.col("labelled") - F.col("best.n") + 0.5))
+        found = cut_lineage(sums.where(good).select("kind", "pattern", F.col("best.label").alias("label"), odds.alias("odds")))
+        if patterns is not None:
+            drop_checkpoint(patterns)
+        patterns = found
+        held = edges.join(patterns.select("kind", "pattern", "label"), ["kind", "pattern"], "left").groupBy("kind", "item", "label").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        held = held.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label", "kinds"))).alias("best"))
+        fits = (F.col("best.n") / F.col("n") >= IN_PATTERNS) & ((F.col("kind") != "word") | (F.col("best.kinds") >= 2))
+        both = held.join(seeds.select("kind", "item", F.col("label").alias("seed"), "fixed"), ["kind", "item"], "full_outer")
+        kept = F.col("fixed") | F.col("n").isNull() | (F.col("n") < 2 * LEAST_INSTANCES)
+        label = F.when(F.col("seed").isNotNull() & kept, F.col("seed")).when(fits, F.col("best.label"))
+        known = cut_lineage(both.select("kind", "item", label.alias("label")).where("label IS NOT NULL"))
     return patterns, known
 
 
-def form_items(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, start, end) of e-mail addresses, phone and identity numbers and street addresses."""
-    own = texts.where(F.col(text).isNotNull() & F.col(text).rlike(_MAYBE)).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    spans = cut_lineage(own.mapInPandas(_find, _SPANS))
-    sure = spans.where("kind = 'email' OR (kind = 'address' AND own = 'address')").select("key", "kind", "start", "end")
-    # streets written in lower case: those that also stand in capitals somewhere
-    streets = spans.where("kind = 'address' AND own = 'address'").select("item").distinct()
-    lower = spans.where("kind = 'address' AND own IS NULL").join(streets, "item", "left_semi").select("key", "kind", "start", "end")
-    numbers = spans.where("kind = 'number'").withColumn("patterns", F.array(F.concat(F.lit("< "), "before"), F.concat(F.lit("<2 "), F.substring_index("before", " ", -2)), F.concat(F.lit("> "), "after")))
-    form = F.regexp_replace(F.regexp_replace("item", r"[0-9]", "0"), r"\p{L}", "A")
-    numbers = cut_lineage(numbers.withColumn("form", form))
-    label = F.when(F.col("own") == "phone form", "phone").otherwise(F.col("own"))
-    votes = numbers.where("own IS NOT NULL").groupBy("item", label.alias("label")).agg(F.max(F.when(F.col("own") == "phone form", 1).otherwise(2)).alias("w"))
-    seeds = votes.groupBy("item").agg(F.max_by("label", "w").alias("label"))
-    told_by_words = r"\p{L}"  # marks alone, or the start of a text, tell nothing
-    edges = numbers.select("item", F.explode("patterns").alias("pattern")).where(F.col("pattern").rlike(told_by_words)).distinct()
-    patterns, instances = score_patterns(edges, cut_lineage(seeds), 2)
-    # forms that identity numbers have; where nothing else speaks, the form does
-    forms = numbers.where("own IN ('identity', 'other', 'phone')").groupBy("form").agg((F.count_if(F.col("own") == "identity") / F.count("*")).alias("_identity"), F.count("*").alias("_n"))
-    forms = forms.where((F.col("_identity") >= IDENTITY_FORM) & (F.col("_n") >= LEAST_INSTANCES)).select("form", F.lit("identity").alias("_by_form"))
-    open_numbers = numbers.where("own IS NULL OR own = 'phone form'")
-    # a phone's form is overruled by the words before it only
-    by_pattern = open_numbers.select("key", "start", F.explode(F.when(F.col("own").isNull(), F.col("patterns")).otherwise(F.slice("patterns", 1, 2))).alias("pattern")).join(broadcast_if_small(patterns, BROADCAST_ROWS), "pattern")
-    by_pattern = by_pattern.groupBy("key", "start").agg(F.max_by("label", F.col("agree") * F.log1p(F.col("n").cast("double"))).alias("_by_pattern"))
-    told = open_numbers.join(by_pattern, ["key", "start"], "left").join(instances.withColumnRenamed("label", "_by_item"), "item", "left").join(broadcast_if_small(forms, BROADCAST_ROWS), "form", "left")
-    # what the words around say goes before the number's form; a form with few doubles as other things stands otherwise
-    decided = told.withColumn("_kind", F.when(F.col("own") == "phone form", F.when(F.col("_by_pattern") == "identity", "identity").otherwise(F.when(F.col("_by_pattern") == "other", "other").otherwise("phone"))).otherwise(F.coalesce("_by_pattern", "_by_item", "_by_form")))
-    labelled = numbers.where("own IN ('phone', 'identity')").select("key", F.col("own").alias("kind"), "start", "end")
-    found = decided.where("_kind IN ('phone', 'identity')").select("key", F.col("_kind").alias("kind"), "start", "end")
-    return sure.unionByName(lower).unionByName(labelled).unionByName(found)
-
-
-_PIECES = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}]"
-
-
-def _places(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pieces, words, at): pieces of the text that join to it again, and the non-space ones with their index."""
-    own = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.regexp_extract_all(F.col(text), F.lit(f"({_PIECES})"), F.lit(1)).alias("pieces"))
-    own = own.withColumn("at", F.expr(r"filter(sequence(0, size(pieces) - 1), i -> size(pieces) > 0 AND pieces[i] RLIKE '[^\\s\\p{Z}]')"))
-    return own.withColumn("words", F.expr("transform(at, i -> pieces[i])"))
-
-
-def _word_rows(places: DataFrame, capitals: bool) -> DataFrame:
-    """(key, at, word, shape, left1, right1) of the letter words of the texts; parts of addresses and codes aren't words.
-
-    Neighbours are as they stand, ``|`` beyond the ends. Of capital words only, where asked, with plain neighbours and the patterns ``left`` and ``right`` of the two words on each side.
-    """
-    near = lambda i: f"coalesce(get(words, i + {i}), '|')"
-    plain = lambda i: f"if({near(i)} RLIKE '^[0-9]', '0', lower({near(i)}))" if capitals else near(i)
-    piece = lambda i: f"coalesce(get(pieces, at[i] + {i}), ' ')"
-    # most words stand between blanks, which is looked at first
-    free = lambda i: f"({piece(i)} = ' ' OR NOT ({piece(i)} RLIKE '[@_+0-9]' OR {piece(i)} IN ('.', '-') AND {piece(2 * i)} RLIKE '{'^[a-z0-9@]' if i < 0 else '^[a-z0-9]'}'))"
-    more = f", 'left2', {plain(-2)}, 'right2', {plain(2)}" if capitals else ""
-    row = f"""transform(filter(sequence(0, size(words) - 1), i -> size(words) > 0 AND words[i] RLIKE '^{"\\\\p{Lu}" if capitals else "\\\\p{L}"}' AND {free(-1)} AND {free(1)}),
-        i -> named_struct('at', at[i], 'word', lower(words[i]), 'shape', words[i], 'left1', {plain(-1)}, 'right1', {plain(1)}{more}))"""
-    rows = places.select("key", F.explode(F.expr(row)).alias("r")).select("key", "r.*")
-    if not capitals:
-        return rows
-    return rows.withColumn("left", F.concat(F.lit("< "), "left2", F.lit(" "), "left1")).withColumn("right", F.concat(F.lit("> "), "right1", F.lit(" "), "right2"))
-
-
-def learn_names(words: DataFrame, capitals: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(names: word, ambiguous), (patterns: pattern, agree). ``words``: all words, ``capitals``: those with patterns; ``listed``: word.
-
-    Listed words that are also ordinary words are ambiguous: they teach nothing and need their surroundings to be a name.
+def _listed(listed: DataFrame) -> DataFrame:
+    """(item): hashes of the words of the listed names."""
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = [f"word {w.group().lower()}" for n in pdf["person_name"] for w in _WORD.finditer(n) if w.group()[0].isalpha()]
+            yield pd.DataFrame({"item": bloom.text_hashes(words).view(np.int64)})
+
+    return listed.where(F.col("person_name").isNotNull()).select("person_name").mapInPandas(hashes, "item long").distinct()
+
+
+def _graph(mentions: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patterns, instances, words: item, on_list, ordinary) from all mentions."""
+    uses = mentions.where("kind = 'count'").groupBy("item").agg(F.sum("start").alias("n"), F.sum("end").alias("low"))
+    words = cut_lineage(uses.join(_listed(listed).withColumn("on_list", F.lit(True)), "item", "left").select("item", F.coalesce("on_list", F.lit(False)).alias("on_list"), (F.col("low") / F.col("n") >= ORDINARY).alias("ordinary")))
+    # a listed word that is ordinary too teaches nothing; what is ordinary and not listed is no name
+    label = F.when(F.col("on_list") & ~F.col("ordinary"), "name").when(F.col("ordinary") & ~F.col("on_list"), "word")
+    seeds = words.select(F.lit("word").alias("kind"), "item", label.alias("label"), (label == "word").alias("fixed")).where("label IS NOT NULL")
+    own = mentions.where("kind <> 'count'")
+    votes = own.where("seed IS NOT NULL").groupBy("kind", "item", "seed").agg(F.count("*").alias("n")).groupBy("kind", "item").agg(F.max_by("seed", F.struct("n", "seed")).alias("label"))
+    seeds = cut_lineage(seeds.unionByName(votes.withColumn("fixed", F.lit(True))))
+    edges = cut_lineage(own.select("kind", "item", F.explode("patterns").alias("pattern")).groupBy("kind", "item", "pattern").agg(F.count("*").alias("n")))
+    patterns, instances = score_graph(edges, seeds)
+    return patterns, instances, words
+
+
+def form_items(mentions: DataFrame, patterns: DataFrame, instances: DataFrame) -> DataFrame:
+    """(key, kind, start, end) of e-mail addresses, phone and identity numbers and street addresses: seeds as their labels say, all others as
+    their patterns say together, else as their instance is known.
     """
-    uses = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("shape").rlike(r"^\p{Lu}")).alias("low"))
-    kinds = uses.join(listed.withColumn("on_list", F.lit(True)), "word", "left").select("word", "n", "on_list", (F.col("low") / F.col("n") >= ORDINARY).alias("ordinary"))
-    kinds = cut_lineage(kinds)
-    label = F.when(F.col("on_list") & ~F.col("ordinary"), "name").when(F.col("ordinary") & F.col("on_list").isNull(), "word")
-    seeds = kinds.select(F.col("word").alias("item"), label.alias("label")).where("label IS NOT NULL")
-    each = capitals.select(F.col("word").alias("item"), F.explode(F.array("left", "right")).alias("pattern"))
-    edges = cut_lineage(each.groupBy("item", "pattern").agg(F.count("*").alias("n")))
-    known = seeds
-    for _ in range(ROUNDS):
-        votes = edges.join(known, "item", "left").groupBy("pattern").agg(
-            F.count_if(F.col("label") == "name").alias("names"), F.count_if(F.col("label") == "word").alias("plain"), F.count("*").alias("all")
-        )
-        agree = F.col("names") / (F.col("names") + F.col("plain"))
-        patterns = cut_lineage(votes.where((F.col("names") >= LEAST_INSTANCES) & (agree >= AGREE) & (F.col("names") >= 0.4 * F.col("all"))).select("pattern", agree.alias("agree")))
-        held = edges.join(patterns, "pattern", "left").groupBy("item").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("agree").isNotNull(), F.col("n")).otherwise(0)).alias("inside"), F.count("agree").alias("kinds"))
-        inside = cut_lineage(held.select("item", ((F.col("inside") / F.col("n") >= IN_PATTERNS) & (F.col("kinds") >= 2)).alias("fits"), "n"))
-        # words that fit are names from now on; listed words mostly met elsewhere are ambiguous; those hardly met stay as listed
-        fits = inside.where("fits").select("item").join(seeds.where("label = 'word'"), "item", "left_anti")
-        rare = inside.where(F.col("n") < 2 * LEAST_INSTANCES).select("item")
-        kept = seeds.where("label = 'name'").select("item").join(inside.select("item").subtract(rare), "item", "left_anti")
-        known = cut_lineage(seeds.where("label = 'word'").unionByName(fits.union(kept).distinct().select("item", F.lit("name").alias("label"))))
-    sure = known.where("label = 'name'").select(F.col("item").alias("word"), F.lit(False).alias("ambiguous")).join(kinds.where("ordinary"), "word", "left_anti")
-    doubtful = kinds.where("on_list").select("word").join(sure, "word", "left_anti").select("word", F.lit(True).alias("ambiguous"))
-    return sure.unionByName(doubtful), patterns
-
-
-def name_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
-    """(key, 'name', start, end) of given and family names. ``listed``: person_name."""
-    places = _places(texts, key, text)
-    own = listed.where(F.col("person_name").isNotNull()).select(F.explode(F.regexp_extract_all(F.lower("person_name"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word")).distinct()
-    words, capitals = _word_rows(places, False), _word_rows(places, True)
-    names, patterns = learn_names(words, capitals, own)
-    names, patterns = cut_lineage(names), cut_lineage(patterns)
-    sure = words.join(broadcast_if_small(names.where("NOT ambiguous"), BROADCAST_ROWS), "word")
-    near = broadcast_if_small(names.where("NOT ambiguous").select(F.col("word").alias("_near")), BROADCAST_ROWS)
-    maybe = capitals.join(broadcast_if_small(names, BROADCAST_ROWS), "word", "left").where("ambiguous OR ambiguous IS NULL")
-    left = broadcast_if_small(patterns.where("pattern LIKE '< %'").select(F.col("pattern").alias("left"), F.col("agree").alias("_l")), BROADCAST_ROWS)
-    right = broadcast_if_small(patterns.where("pattern LIKE '> %'").select(F.col("pattern").alias("right"), F.col("agree").alias("_r")), BROADCAST_ROWS)
-    judged = maybe.join(left, "left", "left").join(right, "right", "left")
-    judged = judged.join(near.withColumnRenamed("_near", "left1").withColumn("_ln", F.lit(True)), "left1", "left").join(near.withColumnRenamed("_near", "right1").withColumn("_rn", F.lit(True)), "right1", "left")
-    street = F.col("right1").rlike(rf"(?i)^(?:{STREET_WORDS})$") | F.col("left1").rlike("^[0-9]") | (F.col("right1") == "&") | (F.col("left1") == "&")
-    beside = F.coalesce("_ln", "_rn", F.lit(False))
-    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    doubtful = F.col("ambiguous") & (beside | F.col("_l").isNotNull() | F.col("_r").isNotNull())
-    # a capital word on no list: in two name patterns, after a name, or before one inside a sentence
-    inside = ~F.col("left1").isin("|", ".", "!", "?", ":", "\n")
-    unknown = F.col("ambiguous").isNull() & (both | F.coalesce("_ln", F.lit(False)) | (F.coalesce("_rn", F.lit(False)) & inside))
-    hits = sure.where(~street).select("key", "at", "shape").unionByName(judged.where((F.coalesce(doubtful, F.lit(False)) | unknown) & ~street).select("key", "at", "shape"))
-    # offsets are the joined length of the pieces before; only texts with a hit are taken apart again
-    grouped = hits.distinct().groupBy("key").agg(F.collect_list(F.struct("at", "shape")).alias("_hits"))
-    spot = texts.select(F.col(key).cast("string").alias("key"), F.col(text).alias("_text")).join(grouped, "key").withColumn("pieces", F.regexp_extract_all("_text", F.lit(f"({_PIECES})"), F.lit(1)))
-    spot = spot.select("key", F.explode(F.transform("_hits", lambda h: F.struct(F.length(F.array_join(F.slice("pieces", F.lit(1), h["at"]), "")).alias("start"), F.length(h["shape"]).alias("n")))).alias("s"))
-    return spot.select("key", F.lit("name").alias("kind"), F.col("s.start").cast("int").alias("start"), (F.col("s.start") + F.col("s.n")).cast("int").alias("end"))
+    own = mentions.where("kind IN ('email', 'address', 'number')").select("key", "kind", "start", "end", "item", "seed", "patterns")
+    open_ones = own.where("seed IS NULL")
+    told = open_ones.select("key", "kind", "start", F.explode("patterns").alias("pattern")).join(broadcast_if_small(patterns.where("kind <> 'word'"), BROADCAST_ROWS), ["kind", "pattern"])
+    told = told.groupBy("key", "kind", "start", "label").agg(F.sum("odds").alias("w")).groupBy("key", "kind", "start").agg(F.max_by("label", F.struct("w", "label")).alias("_by_pattern"))
+    known = instances.where("kind <> 'word'").withColumnRenamed("label", "_by_item")
+    # numbers of other kinds are named by the words around them; one that nothing names is what its form is mostly, of phone and identity
+    form = F.get("patterns", F.lit(FORM_AT))
+    forms = own.where("kind = 'number'").select("kind", "item", form.alias("_form")).distinct().join(instances, ["kind", "item"]).groupBy("_form", "label").agg(F.count("*").alias("n"))
+    forms = forms.groupBy("_form").agg(F.sum("n").alias("all"), F.max(F.when(F.col("label").isin("phone", "identity"), F.struct("n", "label"))).alias("best"))
+    forms = forms.where((F.col("best.n") >= LEAST_INSTANCES) & (F.col("best.n") >= PERSONAL_FORM * F.col("all"))).select("_form", F.col("best.label").alias("_by_form"))
+    decided = open_ones.withColumn("_form", form).join(told, ["key", "kind", "start"], "left").join(known, ["kind", "item"], "left").join(broadcast_if_small(forms, BROADCAST_ROWS), "_form", "left")
+    decided = decided.select("key", F.coalesce("_by_pattern", "_by_item", "_by_form").alias("kind"), "start", "end")
+    seeded = own.where("seed IS NOT NULL").select("key", F.col("seed").alias("kind"), "start", "end")
+    return seeded.unionByName(decided).where("kind IN ('email', 'address', 'phone', 'identity')")
+
+
+def name_items(texts: DataFrame, mentions: DataFrame, patterns: DataFrame, instances: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, 'name', start, end) of given and family names: words known as names in any case; capitalised ones that may be names by where they stand."""
+    ordinary = words.where("ordinary").select("item")
+    sure = cut_lineage(instances.where("kind = 'word' AND label = 'name'").select("item").join(ordinary, "item", "left_anti"))
+    doubtful = words.where("on_list").select("item").join(sure, "item", "left_anti")
+    names = cut_lineage(sure.withColumn("ambiguous", F.lit(False)).unionByName(doubtful.withColumn("ambiguous", F.lit(True))))
+    own_patterns = patterns.where("kind = 'word'").select("pattern", F.lit(True).alias("_known"))
+    in_names, in_sure, in_patterns = bloom.build(names, "item"), bloom.build(sure, "item"), bloom.build(own_patterns, "pattern")
+    shared = texts.sparkSession.sparkContext.broadcast((in_names, in_sure, in_patterns))
+
+    def maybe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed, known, ways = shared.value
+        for pdf in batches:
+            p = np.array(pdf["patterns"].tolist(), dtype=np.int64).reshape(-1, 2)
+            pdf["left"], pdf["right"] = p[:, 0], p[:, 1]
+            keep = bloom.holds(ways, p[:, 0]) | bloom.holds(ways, p[:, 1]) | bloom.holds(listed, pdf["item"].to_numpy()) | bloom.holds(known, pdf["left1"].to_numpy()) | bloom.holds(known, pdf["right1"].to_numpy())
+            yield pdf[keep].drop(columns="patterns")
+
+    near = mentions.where("kind = 'word' AND NOT barred").select("key", "start", "end", "item", "patterns", "left1", "right1")
+    near = near.mapInPandas(maybe, "key string, start int, end int, item long, left1 long, right1 long, left long, right long")
+
+    def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value[1]
+        for pdf in batches:
+            rows, items = [], []
+            for key, text in zip(pdf["key"], pdf["text"]):
+                own = _Text(text)
+                for i, w in enumerate(own.words):
+                    if w[0].isalpha() and not w[0].isupper():
+                        rows.append((key, own, i))
+                        items.append(f"word {w.lower()}")
+            h = bloom.text_hashes(items).view(np.int64)
+            hits = [(*rows[i], h[i]) for i in np.flatnonzero(bloom.holds(known, h))]
+            out = [(k, o.starts[i], o.ends[i], g) for k, o, i, g in hits if not _joined(o.text, o.starts[i], o.ends[i]) and not _barred(o, i)]
+            yield pd.DataFrame(out, columns=["key", "start", "end", "item"]).astype({"key": object, "start": "int32", "end": "int32", "item": "int64"})
+
+    low = texts.where(F.col("text").isNotNull()).mapInPandas(spoken, "key string, start int, end int, item long").join(sure, "item", "left_semi").select("key", "start", "end")
+    judged = near.join(broadcast_if_small(names, BROADCAST_ROWS), "item", "left")
+    for side in ("left", "right"):
+        judged = judged.join(broadcast_if_small(own_patterns.select(F.col("pattern").alias(side), F.col("_known").alias(f"_{side}")), BROADCAST_ROWS), side, "left")
+        judged = judged.join(broadcast_if_small(sure.select(F.col("item").alias(f"{side}1"), F.lit(True).alias(f"_{side}1")), BROADCAST_ROWS), f"{side}1", "left")
+    is_, no = (lambda c: F.coalesce(c, F.lit(False))), F.col("ambiguous").isNull()
+    left, right, after_name, before_name = (is_(F.col(c)) for c in ("_left", "_right", "_left1", "_right1"))
+    # inside a sentence: what stands before is no start, no end and no colon
+    starts = F.lit(bloom.text_hashes([f"word {w}" for w in ("|", ".", "!", "?", ":")]).view(np.int64).tolist())
+    inside = ~F.array_contains(starts, F.col("left1"))
+    doubtful_fits = is_(F.col("ambiguous")) & (after_name | before_name | left | right)
+    unknown_fits = no & (left & right | after_name | before_name & inside)
+    hits = judged.where((F.col("ambiguous") == F.lit(False)) | doubtful_fits | unknown_fits).select("key", "start", "end")
+    return low.unionByName(hits).distinct().select("key", F.lit("name").alias("kind"), "start", "end")
 
 
 def find_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
     """(key, kind, start, end) of every item; ``key`` as text."""
-    forms = cut_lineage(form_items(texts, key, text))
+    own = texts.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text IS NOT NULL AND key IS NOT NULL")
+    mentions = cut_lineage(own.mapInPandas(_extract, _MENTION))
+    patterns, instances, words = _graph(mentions, listed)
+    forms = cut_lineage(form_items(mentions, patterns, instances))
     around = forms.where("kind IN ('email', 'address')").select("key", F.col("start").alias("_a"), F.col("end").alias("_b"))
-    names = name_items(texts, key, text, listed)
+    names = name_items(own, mentions, patterns, instances, words)
     # names inside e-mail addresses and of streets are parts of those
     alone = names.join(around, (names["key"] == around["key"]) & (names["start"] < around["_b"]) & (names["end"] > around["_a"]), "left_anti")
     return forms.unionByName(alone)

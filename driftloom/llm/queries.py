@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.llm import conversations, mixing, packing, pairs, pii, target_sample, truncation
 from driftloom.llm.textunits import with_token_counts
-from driftloom.session import small_rows, spread, table
+from driftloom.session import cut_lineage, small_rows, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,7 +99,8 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sized = _sized(spark, d, "source")
+    # counted once; the plan and the mix read the sizes only
+    sized = cut_lineage(_sized(spark, d, "source"))
     return sized, mixing.source_plan(sized, table(spark, d, "mix_targets"))
 
 

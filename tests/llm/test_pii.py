@@ -2,11 +2,13 @@ from driftloom.llm import pii
 
 LISTED = ["Anna", "Boris", "Clara", "Dieter", "Elena", "Fritz", "Rose"]
 TEMPLATES = ["My name is {n}, how are you.", "You spoke with {n} yesterday about it.", "Please ask for {n} when you call back.", "The parcel was picked up by {n} on Monday."]
+#: Seeds in the sentences that others use too.
+SEEDED = [*(f"my mail is {u}@{h}.example" for u in ("ab", "cd", "ef", "gh") for h in ("mailbox", "corp")), *(f"my number is +44 20 7946 01{i}0" for i in range(1, 7)), *(f"my number is five five eight five five five zero one nine {w}" for w in ("one", "two", "four", "five")), *(f"call 55{i}-0{i}2{i}" for i in range(3, 8)), *(f"pls use KL21145{i}5 for the identity check" for i in range(10, 15))]
 PLAIN = ["The line is slow and the network is down.", "Our shop is closed on Sunday, sorry.", "Rose and blue are the colours we have.", "you call back when the line is up", "The number on the form is ticket 0054719.", "The order number is 912-39-8402, as printed.", "Version 10.31.53.4 is on the router."]
 
 
 def corpus():
-    rows = [t.format(n=n) for t in TEMPLATES for n in [*LISTED[:6], "Zyra", "Quorin"]] + PLAIN * 6
+    rows = [t.format(n=n) for t in TEMPLATES for n in [*LISTED[:6], "Zyra", "Quorin"]] + PLAIN * 6 + SEEDED
     return [(i, t) for i, t in enumerate(rows)]
 
 
@@ -45,7 +47,7 @@ def test_masked_texts_keep_all_else(spark):
 
 def test_spans_of_very_long_texts():
     t = "nothing here " * 20_000 + "mail a.b@c.example"
-    assert [s[0] for s in pii.spans_of(t)] == ["email"]
+    assert [s[0] for s in pii.mentions_of(t)] == ["email"]
 
 
 def test_overlaps_are_masked_once():
@@ -58,3 +60,17 @@ def test_empty_tables(spark):
     assert pii.kinds_found(texts, "msg_id", "text", listed).count() == 0
     full, _ = tables(spark, [(1, "SSN: 952-88-2554")])
     assert {r["pii_kind"] for r in pii.kinds_found(full, "msg_id", "text", listed.limit(0)).collect()} == {"identity"}
+
+
+def test_the_graph_decides_what_is_no_seed(spark, monkeypatch):
+    texts, listed = tables(spark, corpus() + [c[:2] for c in CASES])
+    none = lambda edges, seeds, rounds=3: (spark.createDataFrame([], "kind string, pattern long, label string, odds double"), seeds.select("kind", "item", "label"))
+    monkeypatch.setattr(pii, "score_graph", none)
+    got = {(r["msg_id"], r["pii_kind"]) for r in pii.kinds_found(texts, "msg_id", "text", listed).collect()}
+    assert (1001, "email") in got and (1010, "identity") in got and not {(1002, "email"), (1007, "phone"), (1008, "phone"), (1020, "name")} & got
+
+
+def test_labels_are_told_in_words_within_the_sentence():
+    seed = lambda t: [m[4] for m in pii.mentions_of(t) if m[0] == "number"]
+    assert seed("Passport no. P 7498501, issued in August.") == ["identity"] and seed("The passport " + "x" * 300 + " is 74985012") == ["identity"]
+    assert seed("Is this the order? 15945550154") == [None] and seed("is 26682548-R your identity card number") == ["identity"] and seed("The serial of the tablet is P4416694.") == ["other"]
