@@ -1,6 +1,6 @@
 """Named access paths to secondary tables: lookup, keyed time series, conversations; batch forms first.
 
-Each is one equi-join on the key. A range on time is a residual condition of that join; AQE splits keys that hold too many rows.
+Each is one equi-join: on the key, or on key and block of time where a range is asked for; AQE splits keys that hold too many rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,13 @@ class Lookup:
         """``keys`` with the looked-up columns, null where absent; repeated keys stay, repeated rows of the table fan out."""
         return keys.join(self.table.select(F.col(self.key).alias("_k"), *self.columns), F.col(key) == F.col("_k"), "left").drop("_k")
 
+    def get_batch(self, values: list) -> DataFrame:
+        """(key, columns…) of the given keys, in their order; repeated keys repeat, absent ones have nulls."""
+        kind = self.table.schema[self.key].dataType.simpleString()
+        asked = self.table.sparkSession.createDataFrame(list(enumerate(values)), f"_at long, `{self.key}` {kind}")
+        found = F.broadcast(asked).join(self.table.select(F.col(self.key).alias("_k"), *self.columns), F.col(self.key) == F.col("_k"), "left")  # the caller's list
+        return found.orderBy("_at", *self.columns).select(self.key, *(c for c in self.columns if c != self.key))
+
 
 @dataclass(frozen=True)
 class Window:
@@ -48,8 +55,10 @@ class Window:
     include_end: bool = False
     cap: int | None = None
 
-    def holds(self, at: Column) -> Column:
-        start, end = (F.expr(x) if isinstance(x, str) else x for x in (self.start, self.end))
+    def ends(self) -> tuple[Column, Column]:
+        return tuple(F.expr(x) if isinstance(x, str) else x for x in (self.start, self.end))
+
+    def holds(self, at: Column, start: Column, end: Column) -> Column:
         return (at >= start if self.include_start else at > start) & (at <= end if self.include_end else at < end)
 
 
@@ -65,26 +74,56 @@ class TimeSeries:
 
     def rows(self, keys: DataFrame, key: str, window: Window, tie: str | None = None) -> DataFrame:
         """``keys`` joined with the rows of their window. Keys without rows stay, with ``key_exists`` telling an empty
-        window of a known key from an unknown key. With a cap, the rows of a key with the least hashes of ``tie`` are kept.
+        window of a known key from an unknown key. With a cap, the rows of a window with the least hashes of ``tie`` are kept.
         """
-        columns = list(dict.fromkeys([*self.columns, *([tie] if tie else [])]))
-        series = self.table.select(F.col(self.key).alias("_k"), F.col(self.at).alias("at"), *columns)
-        known = self.table.select(F.col(self.key).alias("_known")).distinct()
-        joined = keys.join(series, (F.col(key) == F.col("_k")) & window.holds(F.col("at")), "left").drop("_k")
-        joined = joined.join(known, F.col(key) == F.col("_known"), "left").withColumn("key_exists", F.col("_known").isNotNull()).drop("_known")
-        if window.cap is None:
-            return joined
-        if tie is None:
-            raise ValueError("a cap needs a unique column to choose by")
-        place = F.row_number().over(W.partitionBy(key).orderBy(portable_hash(F.col(tie)), tie))
-        return joined.withColumn("_r", place).where(F.col("_r") <= window.cap).drop("_r")
+        own, matched = self._matched(keys, key, window, tie)
+        on = F.col(key).eqNullSafe(F.col("_k")) & F.col("_start").eqNullSafe(F.col("_s")) & F.col("_end").eqNullSafe(F.col("_e"))
+        joined = own.join(matched, on, "left").drop("_k", "_s", "_e", "_start", "_end")
+        return self._with_existence(joined, key)
 
     def series(self, keys: DataFrame, key: str, window: Window, tie: str | None = None) -> DataFrame:
-        """(key, series): null for an unknown key, an empty array for an empty window, else rows ordered by time."""
-        rows = self.rows(keys, key, window, tie)
+        """``keys`` with ``series``: null for an unknown key, an empty array for an empty window, else rows ordered by time."""
+        own, matched = self._matched(keys, key, window, tie)
         item = F.struct("at", *self.columns)
-        grouped = rows.groupBy(key).agg(F.max("key_exists").alias("_e"), F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), item))).alias("_s"))
-        return grouped.select(key, F.when(F.col("_e"), F.col("_s")).alias("series"))
+        lists = matched.groupBy("_k", "_s", "_e").agg(F.sort_array(F.collect_list(item)).alias("_list"))
+        on = F.col(key).eqNullSafe(F.col("_k")) & F.col("_start").eqNullSafe(F.col("_s")) & F.col("_end").eqNullSafe(F.col("_e"))
+        joined = self._with_existence(own.join(lists, on, "left").drop("_k", "_s", "_e", "_start", "_end"), key)
+        return joined.select(*keys.columns, F.when(F.col("key_exists"), F.coalesce("_list", F.array().cast(lists.schema["_list"].dataType))).alias("series"))
+
+    def exist(self, keys: DataFrame, key: str) -> DataFrame:
+        """``keys`` with ``key_exists``."""
+        return self._with_existence(keys, key)
+
+    def _with_existence(self, df: DataFrame, key: str) -> DataFrame:
+        known = self.table.select(F.col(self.key).alias("_known")).distinct()
+        return df.join(known, F.col(key) == F.col("_known"), "left").withColumn("key_exists", F.col("_known").isNotNull()).drop("_known")
+
+    def _matched(self, keys: DataFrame, key: str, window: Window, tie: str | None) -> tuple[DataFrame, DataFrame]:
+        """``keys`` with _start and _end, and (_k, _s, _e, at, columns) of the distinct windows and their rows.
+
+        Time is cut into blocks as long as a window, its length rounded up to a power of two, so a window meets two blocks at
+        most. The join is on key and block: a key that holds any share of the rows is spread over its blocks, and what meets is no
+        more than a few times what matches. Windows of several lengths have blocks of several sizes.
+        """
+        if window.cap is not None and tie is None:
+            raise ValueError("a cap needs a unique column to choose by")
+        start, end = window.ends()
+        own = keys.withColumns({"_start": start, "_end": end})
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        spans = own.select(F.col(key).alias("_k"), F.col("_start").alias("_s"), F.col("_end").alias("_e")).where("_k IS NOT NULL AND _s <= _e").distinct()
+        spans = spans.withColumns({"_a": micros("_s"), "_b": micros("_e")}).withColumn("_level", F.ceil(F.log2(F.greatest(F.col("_b") - F.col("_a"), F.lit(1)).cast("double"))).cast("int"))
+        levels = sorted(r["_level"] for r in spans.select("_level").distinct().collect())  # at most 64
+        columns = list(dict.fromkeys([*self.columns, *([tie] if tie else [])]))
+        series = self.table.select(F.col(self.key).alias("_key"), F.col(self.at).alias("at"), *columns).where("_key IS NOT NULL AND at IS NOT NULL")
+        blocks = F.array(*(F.struct(F.lit(x).alias("l"), F.shiftright(micros("at"), x).alias("b")) for x in levels)) if levels else F.expr("array_repeat(struct(0 AS l, 0L AS b), 0)")
+        series = series.withColumn("_at", F.explode(blocks))
+        spans = spans.select("_k", "_s", "_e", "_level", F.explode(F.sequence(F.expr("shiftright(_a, _level)"), F.expr("shiftright(_b, _level)"))).alias("_block"))
+        same = (F.col("_k") == F.col("_key")) & (F.col("_level") == F.col("_at.l")) & (F.col("_block") == F.col("_at.b"))
+        matched = spans.join(series, same & window.holds(F.col("at"), F.col("_s"), F.col("_e"))).select("_k", "_s", "_e", "at", *columns)
+        if window.cap is not None:
+            place = F.row_number().over(W.partitionBy("_k", "_s", "_e").orderBy(portable_hash(F.col(tie)), tie))
+            matched = matched.withColumn("_r", place).where(F.col("_r") <= window.cap).drop("_r")
+        return own, matched
 
 
 @dataclass(frozen=True)
@@ -179,6 +218,11 @@ def by_table(strategies: list[tuple[str, Strategy]]) -> dict[str, dict[str, Stra
     return out
 
 
+def flat(grouped: dict[str, dict[str, Strategy]]) -> list[tuple[str, Strategy]]:
+    """The strategies of ``by_table`` as a list again, by table and name."""
+    return [(table, grouped[table][name]) for table in sorted(grouped) for name in sorted(grouped[table])]
+
+
 def pair_positions(left: int, right: int, most: int, seed: int = 42) -> str:
     """SQL of the flat index of the n-th pair: all pairs in order, or ``most`` distinct ones spread by a seeded step."""
     total = left * right

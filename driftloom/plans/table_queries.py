@@ -39,7 +39,8 @@ def cast_strict(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey = 7")
 def lookup_point(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where(F.col("c_custkey") == 7).select("c_custkey", "c_mktsegment", "c_acctbal")
+    found = joins.Lookup("customer", table(spark, d, "customer"), "c_custkey", ("c_custkey", "c_mktsegment", "c_acctbal")).get(7)
+    return spark.createDataFrame([found] if found else [], "c_custkey long, c_mktsegment string, c_acctbal double")
 
 
 @query("SELECT o_orderkey, o_custkey, c_mktsegment, c_acctbal, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -86,8 +87,7 @@ def kts_series_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey) AS key_exists FROM customer")
 def kts_key_exists(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "events").select(F.col("user_id").alias("_k")).distinct()
-    return table(spark, d, "customer").select("c_custkey").join(known, F.col("c_custkey") == F.col("_k"), "left").select("c_custkey", F.col("_k").isNotNull().alias("key_exists"))
+    return joins.TimeSeries("events", table(spark, d, "events"), "user_id", "ts", ("value",)).exist(table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
 @query("""
