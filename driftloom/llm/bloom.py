@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 26
+#: Bits of a filter of very many hashes, such as all endings; filters of words and the like take fewer.
+BITS = 1 << 25
 _PAGE = 4096
 
 
@@ -33,27 +34,27 @@ def text_hashes(texts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)[codes] if len(texts) else np.zeros(0, np.uint64)
 
 
-def _places(hashes: np.ndarray) -> list[np.ndarray]:
-    g, mask = hashes.view(np.uint64), np.uint64(BITS - 1)
+def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    g, mask = hashes.view(np.uint64), np.uint64(bits - 1)
     return [g & mask, (g >> np.uint64(20)) & mask, (g >> np.uint64(38)) & mask]
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash may be among those of the filter."""
     keep = np.ones(len(hashes), bool)
-    for at in _places(hashes):
+    for at in _places(hashes, len(bits) * 8):
         keep &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return keep
 
 
-def build(df: DataFrame, *columns: str) -> np.ndarray:
+def build(df: DataFrame, *columns: str, size: int = BITS) -> np.ndarray:
     """The filter of all hashes in the named columns: made in every partition, put together page by page."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(BITS // 8, dtype=np.uint8)
+        bits = np.zeros(size // 8, dtype=np.uint8)
         for pdf in batches:
             for c in columns:
-                for at in _places(pdf[c].to_numpy()):
+                for at in _places(pdf[c].to_numpy(), size):
                     np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         used = np.flatnonzero(bits.reshape(-1, _PAGE).any(axis=1))
         yield pd.DataFrame({"page": used, "bits": [b.tobytes() for b in bits.reshape(-1, _PAGE)[used]]})
@@ -63,7 +64,7 @@ def build(df: DataFrame, *columns: str) -> np.ndarray:
 
     own = df.select(*(F.col(c) for c in columns)).dropna()
     pages = own.mapInPandas(fill, "page long, bits binary").groupBy("page").applyInPandas(both, "page long, bits binary")
-    out = np.zeros((BITS // 8 // _PAGE, _PAGE), dtype=np.uint8)
-    for r in pages.collect():  # BITS / 8 bytes at most
+    out = np.zeros((size // 8 // _PAGE, _PAGE), dtype=np.uint8)
+    for r in pages.collect():  # size / 8 bytes at most
         out[r["page"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out.ravel()

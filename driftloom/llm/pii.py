@@ -38,6 +38,8 @@ PERSONAL_FORM = 0.2
 ORDINARY, IN_PATTERNS = 0.3, 0.25
 #: Rows up to which a table of learned patterns is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of the filters of names and patterns.
+WORD_BITS = 1 << 22
 #: Words before and after a number that are patterns of it.
 NEAR_BEFORE, NEAR_AFTER, LONG_WORD = 6, 5, 5
 
@@ -59,6 +61,8 @@ _EMAIL = re.compile(
     r"|(?<![\w+-])[\w+-]+(?:(?: dot | underscore | plus | dash | hyphen | minus |\.)[\w+-]+)*\s(?:at|arroba)\s[\w-]+(?:(?: dot |\.)[\w-]+)* (?:dot|punto|punkt|point) [a-z]{2,}\b"
 )
 _NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\(|(?!ID |NO )[A-Z]{1,2} |[A-Za-z]{1,3}-?)?\d+(?:(?:[ ./-]|\)[ -]?| ?\(0?\)? ?|\()[A-Z]{0,2}\d+)*(?:-?[A-Za-z]{1,3}\d*|(?<=\b\d{8}) (?![AIOU]\b)[A-Z]\b)?(?:\s*(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w@])")
+#: What every mail and every spelled number holds.
+_MAIL_CUE, _SPELLED_CUE = re.compile(r"(?i)@|\bat\b|arroba"), re.compile(r"(?i)zero|\boh\b|nought|one|two|three|four|five|six|seven|eight|nine")
 #: Where the form stands among the patterns of a number.
 FORM_AT = 0
 _DATE = re.compile(r"(?:19|20)\d\d([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2(?:19|20)\d\d")
@@ -93,11 +97,14 @@ def _sure_phone(raw: str, digits: str) -> bool:
 class _Text:
     """A text's words with their places; what stands around a span is told in words, however long they are."""
 
-    def __init__(self, text: str) -> None:
-        self.text = text
-        found = list(_WORD.finditer(text))
-        self.words = [m.group() for m in found]
-        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+    def __init__(self, text: str, words: list[str] | None = None) -> None:
+        self.text, self.words = text, _WORD.findall(text) if words is None else words
+        self.starts, self.ends, at, find = [], [], 0, text.index
+        for w in self.words:  # between two words is nothing but white space
+            at = find(w, at)
+            self.starts.append(at)
+            at += len(w)
+            self.ends.append(at)
 
     def around(self, a: int, b: int) -> tuple[list[str], list[str]]:
         """Up to three plain words before the span and two after it."""
@@ -138,7 +145,7 @@ def mentions_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, lis
         words = words or _Text(text)
         return _contexts(words, a, b)
 
-    for m in _EMAIL.finditer(text):
+    for m in _EMAIL.finditer(text) if _MAIL_CUE.search(text) else ():
         taken.append(m.span())
         raw = m.group()
         plain = re.fullmatch(r"[\w.+-]+@[\w.-]+", raw) is not None
@@ -155,7 +162,7 @@ def mentions_of(text: str) -> Iterator[tuple[str, int, int, str, str | None, lis
             taken.append(m.span())
         item = re.sub(r"[^\w]+", " ", (name or m.group()).lower()).strip()
         yield "address", *m.span(), item, "address" if sure else None, [*context(*m.span()), "# " + item]
-    for m in _SPELLED.finditer(text):
+    for m in _SPELLED.finditer(text) if _SPELLED_CUE.search(text) else ():
         end = m.start() + len(m.group().rstrip(" ,-"))
         if free(m.start(), end):
             taken.append((m.start(), end))
@@ -187,21 +194,23 @@ def _near_words(mark: str, words: list[str]) -> list[str]:
 
 def _capitals(words: _Text) -> Iterator[tuple[int, int, str, list[str], str, str, bool]]:
     """(start, end, word, patterns, word before, word after, barred) of the capitalised words; ``barred``: beside a house number, a street word or an &."""
-    text, ws = words.text, words.words
-    for i, w in enumerate(ws):
+    text, ws = words.text, ["|", "|", *words.words, "|", "|"]
+    for i, w in enumerate(words.words, 2):
         if not w[0].isupper():
             continue
-        a, b = words.starts[i], words.ends[i]
+        a, b = words.starts[i - 2], words.ends[i - 2]
         if _joined(text, a, b):
             continue
-        near = [_plain(ws[k]) if 0 <= k < len(ws) else "|" for k in (i - 2, i - 1, i + 1, i + 2)]
-        street = bool(_STREET.match(near[2])) or near[1] == "0" or "&" in (near[1], near[2])
-        yield a, b, w.lower(), [f"< {near[0]} {near[1]}", f"> {near[2]} {near[3]}"], near[1], near[2], street
+        near = [_plain(ws[i - 2]), _plain(ws[i - 1]), _plain(ws[i + 1]), _plain(ws[i + 2])]
+        barred = near[1] == "0" or near[1] == "&" or near[2] == "&" or _STREET.match(near[2]) is not None
+        yield a, b, w.lower(), [f"< {near[0]} {near[1]}", f"> {near[2]} {near[3]}"], near[1], near[2], barred
 
 
 def _joined(text: str, a: int, b: int) -> bool:
     """The word is a part of an address or a code."""
-    left, right = text[a - 1 : a], text[b : b + 1]
+    left, right = text[a - 1] if a else "", text[b : b + 1]
+    if left in " \n" and right in " \n":
+        return False
     if left in _JOINED and left or right in _JOINED and right:
         return True
     return left in (".", "-") and a > 1 and bool(re.match(r"[a-z0-9@]", text[a - 2])) or right in (".", "-") and bool(re.match(r"[a-z0-9]", text[b + 1 : b + 2]))
@@ -219,7 +228,6 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows, items, patterns, sizes, beside = [], [], [], [], []
         uses: Counter = Counter()
-        low: Counter = Counter()
         for key, text in zip(pdf["key"], pdf["text"]):
             if maybe.search(text):
                 for kind, a, b, item, seed, own in mentions_of(text):
@@ -228,19 +236,22 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     patterns += [f"{kind} {p}" for p in own]
                     sizes.append(len(own))
                     beside += ["", ""]
-            words = _Text(text)
-            for i, w in enumerate(words.words):
-                if w[0].isalpha() and not _joined(text, words.starts[i], words.ends[i]):
-                    uses[w.lower()] += 1
-                    low[w.lower()] += not w[0].isupper()
-            for a, b, word, own, left, right, barred in _capitals(words):
+            words = _WORD.findall(text)
+            uses.update(words)
+            for a, b, word, own, left, right, barred in _capitals(_Text(text, words)):
                 rows.append((key, "word", a, b, None, barred))
                 items.append(f"word {word}")
                 patterns += [f"word {p}" for p in own]
                 sizes.append(2)
                 beside += [f"word {left}", f"word {right}"]
-        for word, n in uses.items():
-            rows.append((None, "count", n, low[word], None, False))
+        counts: dict[str, list[int]] = {}
+        for form, n in uses.items():
+            if form[0].isalpha():
+                count = counts.setdefault(form.lower(), [0, 0])
+                count[0] += n
+                count[1] += 0 if form[0].isupper() else n
+        for word, (n, low) in counts.items():
+            rows.append((None, "count", n, low, None, False))
             items.append(f"word {word}")
             sizes.append(0)
             beside += ["", ""]
@@ -334,7 +345,7 @@ def name_items(texts: DataFrame, mentions: DataFrame, patterns: DataFrame, insta
     doubtful = words.where("on_list").select("item").join(sure, "item", "left_anti")
     names = cut_lineage(sure.withColumn("ambiguous", F.lit(False)).unionByName(doubtful.withColumn("ambiguous", F.lit(True))))
     own_patterns = patterns.where("kind = 'word'").select("pattern", F.lit(True).alias("_known"))
-    in_names, in_sure, in_patterns = bloom.build(names, "item"), bloom.build(sure, "item"), bloom.build(own_patterns, "pattern")
+    in_names, in_sure, in_patterns = bloom.build(names, "item", size=WORD_BITS), bloom.build(sure, "item", size=WORD_BITS), bloom.build(own_patterns, "pattern", size=WORD_BITS)
     shared = texts.sparkSession.sparkContext.broadcast((in_names, in_sure, in_patterns))
 
     def maybe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,16 +362,15 @@ def name_items(texts: DataFrame, mentions: DataFrame, patterns: DataFrame, insta
     def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value[1]
         for pdf in batches:
-            rows, items = [], []
-            for key, text in zip(pdf["key"], pdf["text"]):
-                own = _Text(text)
-                for i, w in enumerate(own.words):
-                    if w[0].isalpha() and not w[0].isupper():
-                        rows.append((key, own, i))
-                        items.append(f"word {w.lower()}")
-            h = bloom.text_hashes(items).view(np.int64)
-            hits = [(*rows[i], h[i]) for i in np.flatnonzero(bloom.holds(known, h))]
-            out = [(k, o.starts[i], o.ends[i], g) for k, o, i, g in hits if not _joined(o.text, o.starts[i], o.ends[i]) and not _barred(o, i)]
+            found = [_WORD.findall(text) for text in pdf["text"]]
+            forms = [w for w in {w for words in found for w in words} if w[0].isalpha() and not w[0].isupper()]
+            h = bloom.text_hashes([f"word {w.lower()}" for w in forms]).view(np.int64)
+            may = {forms[i]: h[i] for i in np.flatnonzero(bloom.holds(known, h))}
+            out = []
+            for key, text, words in zip(pdf["key"], pdf["text"], found):
+                if not may.keys().isdisjoint(words):
+                    own = _Text(text, words)
+                    out += [(key, own.starts[i], own.ends[i], may[w]) for i, w in enumerate(words) if w in may and not _joined(text, own.starts[i], own.ends[i]) and not _barred(own, i)]
             yield pd.DataFrame(out, columns=["key", "start", "end", "item"]).astype({"key": object, "start": "int32", "end": "int32", "item": "int64"})
 
     low = texts.where(F.col("text").isNotNull()).mapInPandas(spoken, "key string, start int, end int, item long").join(sure, "item", "left_semi").select("key", "start", "end")
