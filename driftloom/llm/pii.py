@@ -79,6 +79,7 @@ _MAYBE = r"(?i)\d|@|\bat\b|\barroba\b|zero|\boh\b|five|seven|eight|nine|three|fo
 _SENTENCE = re.compile(r"[!?]\s|\n|(?<=[^\W\d_]{4})\.\s|\.\s+(?=[A-Z])")
 _STREET = re.compile(rf"(?i)^(?:{STREET_WORDS})$")
 #: Characters beside a word that make it a part of an address or a code.
+_CODE = re.compile(r"\S*[@_+\d]\S*|\w+(?:[.-][a-z0-9]\w*)+")
 _JOINED = set("@_+0123456789")
 
 #: Rows of kind ``count`` hold a word's uses in ``start`` and those in lower case in ``end``.
@@ -237,7 +238,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     sizes.append(len(own))
                     beside += ["", ""]
             words = _WORD.findall(text)
-            uses.update(words)
+            # the parts of addresses and codes are no words
+            uses.update(_WORD.findall(_CODE.sub(" ", text)) if _CODE.search(text) else words)
             for a, b, word, own, left, right, barred in _capitals(_Text(text, words)):
                 rows.append((key, "word", a, b, None, barred))
                 items.append(f"word {word}")
