@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,31 @@ def original_columns(df: DataFrame, target: str, most_categories: int = 9, least
     return out
 
 
+@dataclass(frozen=True)
+class Generated:
+    """A candidate; ``has_good_defaults``: its defaults need no estimate from the data."""
+
+    feature: Feature
+    has_good_defaults: bool = False
+
+
+class OriginalColumns:
+    """Generates ``original_columns``. Any object with such a ``generate`` is a generator."""
+
+    def generate(self, search: DataFrame, target: str, key: str, tables: dict[str, DataFrame]) -> Iterator[Generated]:
+        for f in original_columns(search, target):
+            if f.name != key:
+                yield Generated(f, f.kind in ("bool", "category"))
+
+
+class GivenFeatures:
+    def __init__(self, features: Sequence[Feature]) -> None:
+        self.features = features
+
+    def generate(self, search: DataFrame, target: str, key: str, tables: dict[str, DataFrame]) -> Iterator[Generated]:
+        yield from (Generated(f) for f in self.features)
+
+
 def infer_kinds(df: DataFrame, columns: list[str], errors: float = 0.05, most: int = 9, least_share: float = 0.01, least_coverage: float = 0.9, longest: int = 50) -> DataFrame:
     """(column, kind, categories): what text columns hold: bool, int, float, category or str, the first that fits.
 
@@ -90,9 +116,9 @@ class Finding:
     detail: str
 
 
-def law_and_order(df: DataFrame, feature: Feature, key: str, tables: dict[str, DataFrame] | None = None, longest: int = 50) -> list[Finding]:
-    """The laws a feature breaks: same result again (consistent) and after shuffling the rows (order), not one single value
-    (constant), no overlong categories (length), no columns or tables it didn't declare (access).
+def law_and_order(df: DataFrame, feature: Feature, key: str, tables: dict[str, DataFrame] | None = None, longest: int = 50, rows_alone: int = 5) -> list[Finding]:
+    """The laws a feature breaks: same result again (consistent), in another order and layout of the rows (order), for a row by itself as
+    for all (batch), not one single value (constant), no overlong categories (length), no columns or tables it didn't declare (access).
     """
     found = []
     value = lambda d: enrich(d, [feature], key, [key], tables)
@@ -103,7 +129,13 @@ def law_and_order(df: DataFrame, feature: Feature, key: str, tables: dict[str, D
         return [Finding("access", str(e).splitlines()[0][:200])]
     first = value(df).cache()
     name = next(c for c in first.columns if c != key)
-    for law, other in (("consistent", value(df)), ("order", value(df.orderBy(F.xxhash64(F.col(key)))))):
+    # the rows dealt out by another key, so that batches and partitions hold other rows in another order
+    shuffled = df.repartition(7, F.xxhash64(F.col(key), F.lit(1))).sortWithinPartitions(F.xxhash64(F.col(key), F.lit(2)))
+    tries = [("consistent", value(df)), ("order", value(shuffled))]
+    if feature.query is None:
+        few = df.orderBy(F.xxhash64(F.col(key), F.lit(3))).limit(rows_alone)
+        tries.append(("batch", reduce(DataFrame.unionByName, (value(few.where(F.col(key) == k)) for k in [r[key] for r in few.select(key).collect()]), value(few.limit(0)))))
+    for law, other in tries:
         pair = first.alias("a").join(other.alias("b"), key)
         if pair.where(~F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))).limit(1).count():
             found.append(Finding(law, "values differ"))
@@ -115,10 +147,23 @@ def law_and_order(df: DataFrame, feature: Feature, key: str, tables: dict[str, D
     return found
 
 
-def retry_until_valid(make: Callable[[list[Finding]], Feature | None], check: Callable[[Feature], list[Finding]], tries: int = 3) -> tuple[Feature | None, list[list[Finding]]]:
-    """Lets ``make`` correct a feature by what it broke, up to ``tries`` times. All findings are returned too."""
+@dataclass
+class Budget:
+    """Tries that several features share."""
+
+    left: int
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def retry_until_valid(make: Callable[[list[Finding]], Feature | None], check: Callable[[Feature], list[Finding]], tries: int = 3, budget: Budget | None = None) -> tuple[Feature | None, list[list[Finding]]]:
+    """Lets ``make`` correct a feature by what it broke, up to ``tries`` times and as long as the shared budget lasts. All findings are returned too."""
     history: list[list[Finding]] = []
     for _ in range(tries):
+        if budget is not None and not budget.take():
+            break
         feature = make(history[-1] if history else [])
         if feature is None:
             return None, history

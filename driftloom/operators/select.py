@@ -83,19 +83,19 @@ def _residual(g: np.ndarray, xs: list[int], y: int) -> float:
     return float(g[y, y] - beta @ g[xs, y])
 
 
-def greedy_choice(g: np.ndarray, names: list[str], targets: int, most: int) -> list[tuple[str, float]]:
-    """(name, score) in order of choice from the centred products of the features, then the targets (``gram_matrix``).
+def greedy_choice(g: np.ndarray, names: list[str], columns: list[list[int]], ys: list[int], most: int) -> list[tuple[str, float]]:
+    """(name, score) in order of choice from centred products (``gram_matrix``).
 
-    The first is the feature that alone lowers the residual deviation most. Each further candidate is scored by the least
-    it added to any feature chosen so far, measured in baseline deviations; ties go to the larger name.
+    ``columns``: of each feature its column for each target; ``ys``: the targets' columns. The first is the feature that alone
+    lowers the residual deviation most. Each further candidate is scored by the least it added to any feature chosen so far,
+    measured in baseline deviations; ties go to the larger name.
     """
     n, p = g[-1, -1], len(names)
-    ys = list(range(p, p + targets))
     if n < 2:
         return []
     deviation = lambda sse: float(np.sqrt(max(sse, 0.0) / n))
     base = [deviation(g[y, y]) for y in ys]
-    alone = {i: [deviation(_residual(g, [i], y)) for y in ys] for i in range(p)}
+    alone = {i: [deviation(_residual(g, [columns[i][t]], y)) for t, y in enumerate(ys)] for i in range(p)}
     score = {i: float(np.mean([b - a for b, a in zip(base, alone[i])])) for i in range(p)}
     left = [i for i in score if score[i] > 0 and score[i] >= LEAST_GAIN]
     chosen: list[tuple[int, float]] = []
@@ -105,28 +105,69 @@ def greedy_choice(g: np.ndarray, names: list[str], targets: int, most: int) -> l
         left.remove(best)
         mean_base = float(np.mean(base))
         for i in left:
-            gain = 0.0 if mean_base <= 1e-12 else float(np.mean([(a - deviation(_residual(g, [i, best], y))) / mean_base for a, y in zip(alone[best], ys)]))
+            gain = 0.0 if mean_base <= 1e-12 else float(np.mean([(a - deviation(_residual(g, [columns[i][t], columns[best][t]], y))) / mean_base for t, (a, y) in enumerate(zip(alone[best], ys))]))
             score[i] = min(score[i], gain)
         left = [i for i in left if score[i] >= LEAST_GAIN]
     return [(names[i], s) for i, s in chosen]
 
 
-def pairwise_select(df: DataFrame, features: dict[str, Column], targets: list[tuple[str, Column]], most: int = 10) -> DataFrame:
-    """(rank, feature, score) of the chosen features; impute before, as rows with any missing value are left out."""
-    g = gram_matrix(df, [*features.values(), *(t for _, t in targets)])
-    rows = [(i + 1, n, s) for i, (n, s) in enumerate(greedy_choice(g, list(features), len(targets), most))]
+def pairwise_select(df: DataFrame, features: dict[str, Column | list[Column]], targets: list[tuple[str, Column]], most: int = 10) -> DataFrame:
+    """(rank, feature, score) of the chosen features; impute before, as rows with any missing value are left out.
+
+    A feature is one column, or a list with one for each target, such as a category encoded by class.
+    """
+    flat: list[Column] = []
+    columns = []
+    for c in features.values():
+        own = c if isinstance(c, list) else [c]
+        places = list(range(len(flat), len(flat) + len(own)))
+        columns.append(places if isinstance(c, list) else places * len(targets))
+        flat += own
+    g = gram_matrix(df, [*flat, *(t for _, t in targets)])
+    rows = [(i + 1, n, s) for i, (n, s) in enumerate(greedy_choice(g, list(features), columns, list(range(len(flat), len(flat) + len(targets))), most))]
     return df.sparkSession.createDataFrame(rows, "rank int, feature string, score double")
 
 
+class LinearSelector:
+    """``pairwise_select`` over filled and encoded columns."""
+
+    def select(self, df: DataFrame, numbers: dict[str, Column | list[Column]], target: str, targets: list[tuple[str, Column]], most: int) -> DataFrame:
+        return pairwise_select(df, numbers, targets, most)
+
+
+class TreeSelector:
+    """``tree_select`` over the same columns; a category counts as the sum of its columns' importances."""
+
+    def __init__(self, trees: int = 20, refit: bool = True) -> None:
+        self.trees, self.refit = trees, refit
+
+    def select(self, df: DataFrame, numbers: dict[str, Column | list[Column]], target: str, targets: list[tuple[str, Column]], most: int) -> DataFrame:
+        flat = {(n, i): c for n, cs in numbers.items() for i, c in enumerate(cs if isinstance(cs, list) else [cs])}
+        wide = df.select(F.col(target), *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(flat.values())))
+        found = {r["feature"]: r["importance"] for r in tree_select(wide, [f"_x{i}" for i in range(len(flat))], target, len(flat), self.trees).collect()}
+        sums: dict[str, float] = {}
+        for i, (n, _) in enumerate(flat):
+            sums[n] = sums.get(n, 0.0) + found.get(f"_x{i}", 0.0)
+        kept = sorted((x for x in sums.items() if x[1] > 0), key=lambda x: (-x[1], x[0]))[:most]
+        if self.refit and 0 < len(kept) < len(sums):
+            # once more with the chosen ones only, so that the importances are theirs
+            return TreeSelector(self.trees, refit=False).select(df, {n: numbers[n] for n, _ in kept}, target, targets, most)
+        return df.sparkSession.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(kept)], "rank int, feature string, score double")
+
+
+SELECTORS = {"linear": LinearSelector, "tree": TreeSelector}
+
+
 def tree_select(df: DataFrame, features: list[str], target: str, most: int = 10, trees: int = 20, seed: int = 42) -> DataFrame:
-    """(rank, feature, importance) by the gain of boosted trees, or of a forest for classes."""
+    """(rank, feature, importance) by the gain of boosted trees, or of a forest for classes. Few rows get shallower trees."""
     clean = df.where(F.col(target).isNotNull())
     regression = isinstance(clean.schema[target].dataType, (T.FloatType, T.DoubleType))
+    depth = int(min(6, max(2, np.log2(max(clean.count(), 2)) // 3)))
     ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(clean.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(target).alias("_t")))
     if regression:
-        model = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=4, seed=seed).fit(ready.withColumn("_y", F.col("_t").cast("double")))
+        model = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=min(depth, 4), seed=seed).fit(ready.withColumn("_y", F.col("_t").cast("double")))
     else:
         indexed = StringIndexer(inputCol="_t", outputCol="_y").fit(ready.withColumn("_t", F.col("_t").cast("string"))).transform(ready.withColumn("_t", F.col("_t").cast("string")))
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=6, seed=seed).fit(indexed)
+        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(indexed)
     ranked = sorted(zip(features, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))[:most]
     return df.sparkSession.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(ranked)], "rank int, feature string, importance double")

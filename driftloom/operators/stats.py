@@ -119,22 +119,25 @@ def encoded_targets(df: DataFrame, target: str) -> list[tuple[str, Column]]:
     return [(str(c), (F.col(target) == F.lit(c)).cast("double")) for c in classes]
 
 
-def explained(df: DataFrame, features: dict[str, Column], targets: list[tuple[str, Column]]) -> DataFrame:
+def explained(df: DataFrame, features: dict[str, Column | list[Column]], targets: list[tuple[str, Column]]) -> DataFrame:
     """(feature, n, sse_reduction, r_squared) of one-variable least squares, averaged over the targets.
 
     sse_reduction is the fall of the residual standard deviation. Centred sums (regr_*) keep it stable at any magnitude; rows
-    with a null or non-finite value of the feature are left out for that feature; fewer than two rows give nulls.
+    with a null or non-finite value of the feature are left out for that feature; fewer than two rows give nulls. A feature is one
+    column, or a list with one for each target.
     """
-    wide = df.select(*(t.alias(f"_t{i}") for i, (_, t) in enumerate(targets)), *(c.cast("double").alias(f"_f{i}") for i, c in enumerate(features.values())))
-    long = to_long(wide, {n: F.col(f"_f{i}") for i, n in enumerate(features)}, [f"_t{i}" for i in range(len(targets))])
-    ok = reduce(lambda a, b: a & b, (F.col(f"_t{i}").isNotNull() for i in range(len(targets))), finite(F.col("value")))
+    own = {n: c if isinstance(c, list) else [c] * len(targets) for n, c in features.items()}
+    value = lambda cs: F.struct(*(c.cast("double").alias(f"v{i}") for i, c in enumerate(cs)))
+    wide = df.select(*(t.alias(f"_t{i}") for i, (_, t) in enumerate(targets)), *(value(cs).alias(f"_f{i}") for i, cs in enumerate(own.values())))
+    long = to_long(wide, {n: F.col(f"_f{i}") for i, n in enumerate(own)}, [f"_t{i}" for i in range(len(targets))])
+    ok = reduce(lambda a, b: a & b, (F.col(f"_t{i}").isNotNull() & finite(F.col(f"value.v{i}")) for i in range(len(targets))))
     sums = long.where(ok).groupBy("feature").agg(
-        F.count("*").alias("n"), F.regr_sxx(F.col("_t0"), F.col("value")).alias("sxx"),
-        *(x for i in range(len(targets)) for x in (F.regr_syy(F.col(f"_t{i}"), F.col("value")).alias(f"syy{i}"), F.regr_sxy(F.col(f"_t{i}"), F.col("value")).alias(f"sxy{i}"))),
+        F.count("*").alias("n"),
+        *(f(F.col(f"_t{i}"), F.col(f"value.v{i}")).alias(f"{n}{i}") for i in range(len(targets)) for n, f in (("sxx", F.regr_sxx), ("syy", F.regr_syy), ("sxy", F.regr_sxy))),
     )
     drops, r2 = [], []
     for i in range(len(targets)):
-        syy, gain = F.col(f"syy{i}"), F.coalesce(F.try_divide(F.col(f"sxy{i}") * F.col(f"sxy{i}"), F.col("sxx")), F.lit(0.0))
+        syy, gain = F.col(f"syy{i}"), F.coalesce(F.try_divide(F.col(f"sxy{i}") * F.col(f"sxy{i}"), F.col(f"sxx{i}")), F.lit(0.0))
         drops.append(F.sqrt(syy / F.col("n")) - F.sqrt(F.greatest((syy - gain) / F.col("n"), F.lit(0.0))))
         r2.append(F.least(F.greatest(F.coalesce(F.try_divide(gain, syy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
     mean = lambda xs: reduce(lambda a, b: a + b, xs) / len(xs)
@@ -142,6 +145,21 @@ def explained(df: DataFrame, features: dict[str, Column], targets: list[tuple[st
     return sums.select("feature", "n", F.when(enough, mean(drops)).alias("sse_reduction"), F.when(enough, mean(r2)).alias("r_squared"))
 
 
+def ordered_encodings(df: DataFrame, key: str, categories: list[str], targets: list[Column], permutations: int = 5, prior: float = 5.0) -> DataFrame:
+    """(key, encoded: feature → an encoding for each target) of several categories at once: ``ordered_target_stats`` of all of them, each by
+    every target, in one pass of running sums over (category, value, order).
+    """
+    ys = [f"_y{i}" for i in range(len(targets))]
+    rows = df.select(F.col(key), *(F.col(f"`{c}`").cast("string").alias(f"_c{i}") for i, c in enumerate(categories)), *(t.cast("double").alias(y) for t, y in zip(targets, ys))).dropna(subset=ys)
+    means = rows.agg(*(F.avg(y).alias(f"_m{y}") for y in ys))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias("value")) for i, c in enumerate(categories))))
+    order = reduce(lambda a, p: F.when(F.col("_p") == p, portable_hash(F.col(key), p)).otherwise(a), range(permutations), F.lit(None).cast("bigint"))
+    long = rows.withColumn("_f", each).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumns({"_h": order, "_one": F.lit(1), "_feature": F.col("_f.feature"), "_value": F.col("_f.value")}).drop("_f").where("_value IS NOT NULL")
+    done = prefix_sums(long, ["_feature", "_value", "_p"], "_h", [*ys, "_one"], [f"_s{y}" for y in ys] + ["_n"], F.shiftright("_h", 48), [key]).join(F.broadcast(means), F.lit(True))
+    mean = done.groupBy(key, "_feature").agg(F.array(*(F.avg((F.col(f"_s{y}") + prior * F.col(f"_m{y}")) / (F.col("_n") + prior)) for y in ys)).alias("_e"))
+    return mean.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_feature", "_e"))).alias("encoded"))
+
+
 def ordered_target_stats(df: DataFrame, key: str, category: str, target: Column, permutations: int = 5, prior: float = 5.0) -> DataFrame:
     """(key, encoded): each row's category as the mean target of earlier rows of that category, over several hash orders.
 
@@ -231,3 +249,21 @@ def relationship_stats(df: DataFrame, features: list[str], target: str, bins: in
     grid = counts.select("feature", "category").distinct().join(F.broadcast(labels), "feature").select("feature", "category", F.explode("_classes").alias("class"))
     dense = grid.join(counts, ["feature", "category", "class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return lift_and_shift(dense, ["feature"])
+
+
+def numeric_summary(df: DataFrame, columns: list[str], target: str | None = None, bins: int = 10) -> dict[str, DataFrame]:
+    """What is told about numbers beyond categories: ``counts`` of finite and other values, ``histogram``, and for a numeric target
+    ``correlations`` (feature, n, pearson, spearman).
+    """
+    out = {"counts": finite_counts(df, columns), "histogram": histogram(df, columns, bins)}
+    if target is not None:
+        out["correlations"] = reduce(DataFrame.unionByName, (correlations(df, c, target).select(F.lit(c).alias("feature"), "*") for c in columns))
+    return out
+
+
+def in_class_order(relations: DataFrame, classes: list) -> DataFrame:
+    """``relationship_stats`` with ``class_no``: the problem's classes in their order, then others seen, by name."""
+    known = [str(c) for c in classes]
+    place = F.coalesce(*(F.when(F.col("class") == c, F.lit(i)) for i, c in enumerate(known))) if known else F.lit(None).cast("int")
+    extra = relations.where(~F.col("class").isin(known)).select("class").distinct().withColumn("_no", len(known) + F.row_number().over(W.orderBy("class")) - 1)  # classes are few
+    return relations.join(F.broadcast(extra), "class", "left").withColumn("class_no", F.coalesce(place, F.col("_no")).cast("int")).drop("_no")

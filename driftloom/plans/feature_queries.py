@@ -145,4 +145,5 @@ def oracle_feature(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def analyze_run(spark: SparkSession, d: str) -> DataFrame:
     done = analyze(table(spark, d, "orders").drop("o_orderdate"), "o_orderkey", "o_orderstatus")
-    return done.relations.join(done.chosen, "feature").select("rank", "feature", "category", "class", "n", F.round("lift", 6).alias("lift"))
+    both = done.train.relations.withColumn("split", F.lit("train")).unionByName(done.test.relations.withColumn("split", F.lit("test")))
+    return both.join(done.chosen, "feature").select("split", "rank", "feature", "category", "class", "class_no", "n", F.round("lift", 6).alias("lift"))
