@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.operators import analyze, features, generate, split
 from driftloom.operators.features import Feature, TextOracle, keyword_oracle
+from driftloom.operators.models import Models, default_models
 from driftloom.operators.joins import Conversations, Lookup, TimeSeries
 from driftloom.sources import catalog, readers, sinks
 
@@ -25,16 +26,43 @@ class Defaults:
     most_features: int = 10
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Settings of a session of its own; those left out are Spark's defaults. Named ones go before equal keys of ``more``, the engine's own before all."""
+
+    memory: str | None = None
+    folder: str | None = None
+    threads: int | None = None
+    checkpoints: str | None = None
+    more: dict[str, str] = field(default_factory=dict)
+
+    def to_conf(self) -> dict[str, str]:
+        named = {"spark.driver.memory": self.memory, "spark.local.dir": self.folder, "spark.master": None if self.threads is None else f"local[{self.threads}]", "spark.checkpoint.dir": self.checkpoints}
+        own = {"spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true", "spark.sql.adaptive.enabled": "true"}
+        return {**self.more, **{k: v for k, v in named.items() if v is not None}, **own}
+
+    def session(self) -> SparkSession:
+        return SparkSession.builder.config(map=self.to_conf()).getOrCreate()
+
+
 @dataclass
 class Engine:
     spark: SparkSession
     defaults: Defaults = field(default_factory=Defaults)
     oracle: TextOracle = field(default_factory=keyword_oracle)
+    models: Models = field(default_factory=default_models)
 
     @staticmethod
     def create(spark: SparkSession | None = None, **defaults: Any) -> "Engine":
         return Engine(spark or SparkSession.builder.getOrCreate(), Defaults(**defaults))
 
+    def isolated(self, database: str | None = None) -> "Engine":
+        """An engine whose views and settings are its own, over the same tables."""
+        session = self.spark.newSession()
+        if database is not None:
+            session.catalog.setCurrentDatabase(database)
+        return Engine(session, self.defaults, self.oracle, self.models)
+
     def csv(self, path: Any, **options: Any) -> DataFrame:
         return readers.from_csv(self.spark, path, **options)
 

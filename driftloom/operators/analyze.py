@@ -54,11 +54,15 @@ def discover_problem(df: DataFrame, target: str, kind: str | None = None, desire
         return Problem(target, kind, (), desired, date_column)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         raise ValueError("a float target can't be classified")
-    declared = df.schema[target].metadata.get("enum")
-    classes = declared or [r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().limit(max_classes + 1).collect()]
+    return Problem(target, kind, classes_of(df, target, max_classes), desired, date_column)
+
+
+def classes_of(df: DataFrame, target: str, max_classes: int = 20) -> tuple:
+    """The classes of a target in order: the declared ones of an enum, else those seen."""
+    classes = df.schema[target].metadata.get("enum") or [r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().limit(max_classes + 1).collect()]
     if len(classes) > max_classes:
         raise ValueError(f"{target} has more than {max_classes} classes")
-    return Problem(target, kind, tuple(sorted(classes)), desired, date_column)
+    return tuple(sorted(classes))
 
 
 def target_violations(df: DataFrame, target: str) -> DataFrame:

@@ -164,10 +164,8 @@ class Conversations:
         timed = self.table.where(F.col(self.at).isNotNull() & F.col(self.id).isNotNull())
         if dated:
             # the day changes exactly where the first message of a day stands
-            timed = timed.withColumn("_day", F.to_date(self.at))
-            first = timed.groupBy(self.id, "_day").agg(F.min(F.struct(self.at, self.tie)).alias("_first"))
-            timed = timed.join(first, [self.id, "_day"])
-            header = F.when(F.col(self.tie) == F.col(f"_first.{self.tie}"), F.concat(F.lit("Date: "), F.date_format(self.at, "yyyy-MM-dd"), F.lit("\n"))).otherwise("")
+            timed = with_new_day(timed, [self.id], self.at, self.tie)
+            header = F.when(F.col("new_day"), F.concat(F.lit("Date: "), F.date_format(self.at, "yyyy-MM-dd"), F.lit("\n"))).otherwise("")
             line = F.concat(header, F.lit("["), F.date_format(self.at, "HH:mm:ss"), F.lit("] ["), self.role, F.lit("] "), self.content)
         else:
             line = F.concat(F.initcap(self.role), F.lit(": "), self.content)
@@ -187,6 +185,29 @@ class Conversations:
         return ids.join(self.table.select(F.col(self.id).alias(id)), id, "left_semi")
 
 
+def only_with(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key the other table has."""
+    return df.join(other.select(F.col(other_key).alias(key)), key, "left_semi")
+
+
+def only_without(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key the other table hasn't; a null key is in no table."""
+    return df.join(other.select(F.col(other_key).alias(key)), key, "left_anti")
+
+
+def first_of_equal(df: DataFrame, text: str, order: str) -> DataFrame:
+    """(order, copies): of texts that are equal but for case and outer blanks the first, and how many there are; null texts are left out."""
+    own = df.where(F.col(text).isNotNull()).select(order, F.md5(F.lower(F.trim(text))).alias("_h"))
+    return own.groupBy("_h").agg(F.min(order).alias(order), F.count("*").alias("copies")).drop("_h")
+
+
+def with_new_day(df: DataFrame, group: list[str], at: str, tie: str) -> DataFrame:
+    """``df`` with ``day`` and ``new_day``: the first row of the group on its day, where a date line stands."""
+    own = df.withColumn("day", F.to_date(at))
+    first = own.groupBy(*group, "day").agg(F.min(F.struct(at, tie)).alias("_f"))
+    return own.join(first, [*group, "day"]).withColumn("new_day", F.col(tie) == F.col(f"_f.{tie}")).drop("_f")
+
+
 def positions(df: DataFrame, group: list[str], at: str, tie: str, out: str) -> DataFrame:
     """``out``: how many rows of the group come before, by time then ``tie``; counted in hours, so groups of any size are safe."""
     return prefix_sums(df.withColumn("_one", F.lit(1)), group, at, "_one", out, F.date_trunc("hour", F.col(at)), [tie]).drop("_one").withColumn(out, F.col(out).cast("bigint"))

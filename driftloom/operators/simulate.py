@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.functions.hashing import portable_hash
 from driftloom.operators.joins import with_next
 from driftloom.session import placed, prefix_sums
 
@@ -170,4 +171,4 @@ def simulate_turns(scenarios: DataFrame, key: str, opening: str, replies: Callab
 
 def coin(key: Column, seed: int = 42) -> Column:
     """A seeded toss for each key, 0 or 1: which of two conversations is shown first."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2))
+    return F.pmod(portable_hash(key, seed), F.lit(2))

@@ -8,8 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.functions.text import match_outcome
-from driftloom.operators import simulate
+from driftloom.operators import participants, simulate
 from driftloom.operators.features import TextOracle, keyword_oracle
 
 Replies = Callable[[str, list[tuple[str, str]]], str | None]
@@ -47,6 +46,8 @@ class Session:
     replies: Replies | None = None
     oracle: TextOracle | None = None
     most_messages: int = 20
+    agent: participants.Participant | None = None
+    customer: participants.Participant | None = None
 
     def with_replies(self, replies: Replies) -> "Session":
         return replace(self, replies=replies)
@@ -54,17 +55,25 @@ class Session:
     def with_oracle(self, oracle: TextOracle) -> "Session":
         return replace(self, oracle=oracle)
 
+    def with_participants(self, agent: participants.Participant, customer: participants.Participant) -> "Session":
+        return replace(self, agent=agent, customer=customer)
+
     def with_most_messages(self, n: int) -> "Session":
         return replace(self, most_messages=n)
 
     def run(self, openings: DataFrame) -> Results:
         """``openings``: conversation_id, intent (the customer's first words), outcome. Those without intent are skipped."""
-        if self.replies is None:
-            raise ValueError("no replies")
+        if self.replies is None and (self.agent is None or self.customer is None):
+            raise ValueError("no replies and no participants")
         kept = openings.where("conversation_id IS NOT NULL")
         scenarios = simulate.dense_scenarios(kept, "conversation_id", F.col("intent").isNotNull() & (F.trim("intent") != "")).select("conversation_id", "scenario_id", "intent", "outcome")
-        talks = simulate.simulate_turns(scenarios, "scenario_id", "intent", self.replies, self.most_messages).withColumnRenamed("key", "scenario_id")
+        if self.agent is not None:
+            # all talks at once, by participants that look things up
+            talks = participants.converse(scenarios, "scenario_id", "intent", self.agent, self.customer, self.most_messages)
+        else:
+            talks = simulate.simulate_turns(scenarios, "scenario_id", "intent", self.replies, self.most_messages)
+        talks = talks.withColumnRenamed("key", "scenario_id")
         line = F.struct("at", F.concat(F.initcap("role"), F.lit(": "), F.col("content")).alias("line"))  # a talk has at most most_messages lines
         texts = talks.groupBy("scenario_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("talk"))
-        said = (self.oracle or keyword_oracle()).column(texts, "talk", "Which outcome: " + ", ".join(self.outcomes), "said")
-        return Results(scenarios, talks, said.select("scenario_id", match_outcome(F.col("said"), list(self.outcomes)).alias("outcome")))
+        ended = participants.detect_outcomes(texts, "talk", list(self.outcomes), self.oracle or keyword_oracle())
+        return Results(scenarios, talks, ended.select("scenario_id", "outcome"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from driftloom.functions import text as txt
 from driftloom.operators import features as ft
 from driftloom.operators import generate
 from driftloom.operators.analyze import analyze, discover_problem
+from driftloom.operators.cache import refreshed
+from driftloom.operators.recommend import looks_numeric
+from driftloom.plans.common import hash_sql
 from driftloom.plans.registry import query
-from driftloom.session import table
+from driftloom.session import cut_lineage, shared_folder, table
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS short, substr(text, 1, 20) AS preview, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents")
@@ -58,7 +63,10 @@ def json_field_or_null(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_dialogues").select("record_id", txt.json_field(F.col("payload"), "dialogue_id").alias("dialogue_id"))
 
 
-@query("SELECT doc_id, doc_id % 3 <> 0 AS has_block FROM documents WHERE text IS NOT NULL")
+@query("""
+WITH b AS (SELECT doc_id, 'Here:' || chr(10) || '```json' || chr(10) || '{"a": ' || doc_id || '}' || chr(10) || '```' || chr(10) AS block FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN block || block ELSE block END, '(?s)```json\\s*(.*?)\\s*```', 1) AS found FROM b)
+SELECT doc_id, coalesce(len(found) = 1 AND json_extract_string(found[1], '$.a') = CAST(doc_id AS VARCHAR), false) AS has_block FROM a""".replace("\\\\", "\\"))
 def fenced_json(spark: SparkSession, d: str) -> DataFrame:
     block = F.concat(F.lit("Here:\n```json\n{\"a\": "), F.col("doc_id"), F.lit("}\n```\n"))
     answer = F.when(F.col("doc_id") % 3 == 0, F.concat(block, block)).otherwise(block)
@@ -105,7 +113,15 @@ def sql_feature(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('count', 'int', NULL), ('share', 'float', NULL), ('flag', 'bool', NULL), ('status', 'category', ['F', 'O', 'P'])) v("column", kind, categories)""")
+WITH w AS (SELECT CAST(o_custkey AS VARCHAR) AS count, CAST(round(o_totalprice, 2) AS VARCHAR) AS share, CASE WHEN o_totalprice > 1000 THEN 'Yes' ELSE 'no' END AS flag, o_orderstatus AS status FROM orders),
+l AS (UNPIVOT w ON count, share, flag, status INTO NAME "column" VALUE value), c AS (SELECT "column", value, count(*) AS n FROM l GROUP BY ALL),
+b AS (SELECT "column", sum(n) AS rows, coalesce(sum(n) FILTER (lower(value) IN ('true', 't', 'yes', 'y', '1', 'false', 'f', 'no', 'n', '0')), 0) AS bools,
+  coalesce(sum(n) FILTER (TRY_CAST(value AS DOUBLE) = floor(TRY_CAST(value AS DOUBLE)) AND NOT contains(value, '.')), 0) AS ints, coalesce(sum(n) FILTER (TRY_CAST(value AS DOUBLE) IS NOT NULL), 0) AS floats FROM c GROUP BY 1),
+t AS (SELECT "column", value, n FROM c JOIN b USING ("column") WHERE n >= floor(rows * 0.01) QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) <= 9),
+s AS (SELECT "column", sum(n) AS covered, bool_or(value = '' OR length(value) > 50) AS odd, list(value ORDER BY value) AS categories FROM t GROUP BY 1),
+k AS (SELECT b."column", CASE WHEN bools >= rows * 0.95 THEN 'bool' WHEN rows - ints <= rows * 0.05 THEN 'int' WHEN rows - floats <= rows * 0.05 THEN 'float' WHEN NOT coalesce(odd, true) AND covered / rows >= 0.9 THEN 'category' ELSE 'str' END AS kind, categories
+  FROM b LEFT JOIN s USING ("column"))
+SELECT "column", kind, CASE WHEN kind = 'category' THEN categories END AS categories FROM k""")
 def type_inference(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("count"), F.round("o_totalprice", 2).cast("string").alias("share"), F.when(F.col("o_totalprice") > 1000, "Yes").otherwise("no").alias("flag"), F.col("o_orderstatus").alias("status"))
     return generate.infer_kinds(own, own.columns)
@@ -116,7 +132,9 @@ def empty_answers(spark: SparkSession, d: str) -> DataFrame:
     return generate.empty_shares(table(spark, d, "responses"), ["response", "reasoning"]).withColumn("empty_share", F.round("empty_share", 6))
 
 
-@query("SELECT * FROM (VALUES ('age', 'int'), ('contract_type', 'category'), ('customer_id', 'int'), ('gender', 'category'), ('service_plan', 'category')) v(name, kind)")
+@query(" UNION ALL ".join(
+    [f"SELECT '{c}' AS name, 'int' AS kind FROM telco_main HAVING count(DISTINCT {c}) + CAST(bool_or({c} IS NULL) AS INT) > 1" for c in ("age", "customer_id")]
+    + [f"SELECT '{c}', 'category' FROM telco_main HAVING count(DISTINCT {c}) + CAST(bool_or({c} IS NULL) AS INT) > 1 AND (SELECT sum(n) FROM (SELECT count(*) AS n FROM telco_main WHERE {c} <> '' GROUP BY {c} ORDER BY n DESC LIMIT 9)) / count(*) >= 0.5" for c in ("contract_type", "gender", "service_plan")]))
 def original_columns(spark: SparkSession, d: str) -> DataFrame:
     found = generate.original_columns(table(spark, d, "telco_main"), "churn_status")
     return spark.createDataFrame([(f.name, f.kind) for f in found], "name string, kind string")
@@ -136,7 +154,10 @@ def law_and_order(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, law string")
 
 
-@query()
+_TOPIC = "CASE WHEN contains(lower(prompt), 'invoice') THEN 'invoice' WHEN contains(lower(prompt), 'router') THEN 'router' WHEN contains(lower(prompt), 'contract') THEN 'contract' WHEN prompt IS NOT NULL THEN 'none' END AS topic"
+
+
+@query(f"SELECT pair_id, {_TOPIC} FROM responses")
 def oracle_feature(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "responses").select("pair_id", "prompt")
     return ft.keyword_oracle().column(own, "prompt", "What is it about: invoice, router, contract", "topic").drop("prompt")
@@ -147,3 +168,104 @@ def analyze_run(spark: SparkSession, d: str) -> DataFrame:
     done = analyze(table(spark, d, "orders").drop("o_orderdate"), "o_orderkey", "o_orderstatus")
     both = done.train.relations.withColumn("split", F.lit("train")).unionByName(done.test.relations.withColumn("split", F.lit("test")))
     return both.join(done.chosen, "feature").select("split", "rank", "feature", "category", "class", "class_no", "n", F.round("lift", 6).alias("lift"))
+
+
+@query(f"SELECT pair_id, {_TOPIC} FROM responses")
+def cached_oracle(spark: SparkSession, d: str) -> DataFrame:
+    """The answers about one side's prompts are kept; of the other's only those not known yet are asked."""
+    own, question, oracle = table(spark, d, "responses").select("pair_id", "participant", "prompt"), "What is it about: invoice, router, contract", ft.keyword_oracle()
+    kept = cut_lineage(oracle.answers(own.where("participant = 'agent'"), "prompt", question))
+    return oracle.column(own, "prompt", question, "topic", kept).select("pair_id", "topic")
+
+
+@query("""
+WITH m AS (SELECT DISTINCT md5(prompt) AS k, length(prompt) AS n FROM responses WHERE prompt IS NOT NULL)
+SELECT count(*) AS entries, count(*) = (SELECT count(*) FROM m) AS whole FROM m""")
+def refreshed_cache(spark: SparkSession, d: str) -> DataFrame:
+    own, question, oracle = table(spark, d, "responses").select("participant", "prompt"), "What is it about: invoice, router, contract", ft.keyword_oracle()
+    old = oracle.answers(own.where("participant = 'agent'"), "prompt", question).withColumn("used_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    kept = refreshed(cut_lineage(old), oracle.answers(own, "prompt", question, old), F.lit("2024-01-02").cast("timestamp_ntz"), 1 << 40)
+    return kept.agg(F.count("*").alias("entries"), (F.count_if(F.expr("used_at = TIMESTAMP_NTZ '2024-01-02'")) == F.count("*")).alias("whole"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 1.1, 6) AS gross, length(o_orderpriority) AS letters, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE '_other_' END AS status FROM orders")
+def python_features(spark: SparkSession, d: str) -> DataFrame:
+    made = [
+        ft.Feature("gross", "float", params=("o_totalprice",), row=lambda price: price * 1.1),
+        ft.Feature("letters", "int", params=("o_orderpriority",), batch=lambda frame: frame["o_orderpriority"].str.len()),
+        ft.Feature("status", "category", params=("o_orderstatus",), row=lambda s: s, categories=("F", "O")),
+    ]
+    return ft.enrich(table(spark, d, "orders"), made, keep=["o_orderkey"]).withColumn("gross", F.round("gross", 6))
+
+
+@query("SELECT event_id, CASE WHEN value <> floor(value) AND value >= 1 THEN CAST(floor(value) AS BIGINT) END AS whole FROM events")
+def python_feature_safe(spark: SparkSession, d: str) -> DataFrame:
+    def whole(value: float | None) -> int:
+        if value is None or value < 1 or value == int(value):
+            raise ValueError("no number")
+        return int(value)
+
+    return ft.enrich(table(spark, d, "events"), [ft.Feature("whole", "int", params=("value",), row=whole)], keep=["event_id"], safe=True)
+
+
+@query("SELECT o_orderkey, CAST(least(CAST(o_orderkey AS HUGEINT) * 1000000000000000, 9223372036854775807) AS BIGINT) AS big FROM orders")
+def int_clipped(spark: SparkSession, d: str) -> DataFrame:
+    return ft.enrich(table(spark, d, "orders"), [ft.Feature("big", "int", "o_orderkey * 1000000000000000BD")], keep=["o_orderkey"])
+
+
+@query("""
+SELECT o_orderkey, round(o_totalprice / 1000, 6) AS price_k, o_orderpriority LIKE '1%' AS urgent, year(o_orderdate) AS order_year,
+  CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE '_other_' END AS status, o_orderkey % 7 AS o_orderkey_ FROM orders""")
+def enrich_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Features written two a table and joined by key."""
+    place = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex[:12]}"
+
+    def write(i: int, part: DataFrame) -> DataFrame:
+        part.write.parquet(f"{place}/{i}")
+        return spark.read.parquet(f"{place}/{i}")
+
+    return ft.enrich_tables(table(spark, d, "orders"), _FEATURES, "o_orderkey", write, at_once=2, defaults=True).withColumn("price_k", F.round("price_k", 6))
+
+
+@query("SELECT o_orderkey, c_acctbal AS balance FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def sql_feature_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Tried for one row per row within a time limit, then joined; one that gives more rows is refused."""
+    orders, customer = table(spark, d, "orders"), {"customer": table(spark, d, "customer")}
+    good = ft.sql_feature(orders, "balance", "SELECT _row_key, c_acctbal FROM primary_table LEFT JOIN customer ON o_custkey = c_custkey", "o_orderkey", customer)
+    bad = ft.sql_feature(orders, "twice", "SELECT _row_key, c_acctbal FROM primary_table LEFT JOIN customer ON o_custkey = c_custkey UNION ALL SELECT _row_key, 0D FROM primary_table", "o_orderkey", customer)
+    try:
+        ft.enrich(orders, [bad], "o_orderkey", ["o_orderkey"], customer, check_seconds=600)
+    except ft.FeatureError as e:
+        if e.code != "height":
+            raise
+        return ft.enrich(orders, [good], "o_orderkey", ["o_orderkey"], customer, check_seconds=600)
+    raise AssertionError("a feature of two rows a row was taken")
+
+
+_SPLIT = f"(SELECT *, CASE WHEN {hash_sql('o_orderkey')} % 1000 < 800 THEN 'train' ELSE 'test' END AS split FROM orders)"
+
+
+@query(f"""
+WITH g AS (SELECT k.split, k.category, s.class, count(o.o_orderkey) AS n FROM (SELECT DISTINCT split, o_orderpriority AS category FROM {_SPLIT}) k JOIN (SELECT DISTINCT split, o_orderstatus AS class FROM {_SPLIT}) s USING (split)
+  LEFT JOIN {_SPLIT} o ON o.split = k.split AND o_orderpriority = category AND o_orderstatus = class GROUP BY ALL)
+SELECT split, 'o_orderpriority' AS feature, category, class, CAST(dense_rank() OVER (ORDER BY class) - 1 AS INT) AS class_no, n, round((n / sum(n) OVER (PARTITION BY split, category)) / (sum(n) OVER (PARTITION BY split, class) / sum(n) OVER (PARTITION BY split)), 6) AS lift FROM g""")
+def analyze_given(spark: SparkSession, d: str) -> DataFrame:
+    """A run with a given feature and selector, described on both splits."""
+
+    class All:
+        def select(self, df, numbers, target, targets, most):
+            return spark.createDataFrame([(i + 1, n, 0.0) for i, n in enumerate(numbers)], "rank int, feature string, score double")
+
+    kinds = tuple(sorted(r[0] for r in table(spark, d, "orders").select("o_orderpriority").distinct().collect()))
+    done = analyze(table(spark, d, "orders").drop("o_orderdate"), "o_orderkey", "o_orderstatus", [ft.Feature("o_orderpriority", "category", "o_orderpriority", categories=kinds)], selector=All())
+    both = done.train.relations.withColumn("split", F.lit("train")).unionByName(done.test.relations.withColumn("split", F.lit("test")))
+    return both.select("split", "feature", "category", "class", "class_no", "n", F.round("lift", 6).alias("lift"))
+
+
+@query("""
+WITH l AS (SELECT o_orderpriority AS label FROM orders UNION SELECT CAST(o_totalprice AS VARCHAR) FROM orders UNION SELECT '(-inf, 0.5]')
+SELECT count(*) FILTER (regexp_matches(label, '[\\[\\]()\\-]|inf') OR TRY_CAST(label AS DOUBLE) IS NOT NULL) AS numeric, count(*) AS labels FROM l""".replace("\\\\", "\\"))
+def numeric_labels(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    labels = o.select(F.col("o_orderpriority").alias("label")).union(o.select(F.col("o_totalprice").cast("string"))).union(spark.createDataFrame([("(-inf, 0.5]",)], "label string")).distinct()
+    return labels.agg(F.count_if(looks_numeric(F.col("label"))).alias("numeric"), F.count("*").alias("labels"))

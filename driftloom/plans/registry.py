@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from driftloom.plans import feature_queries, io_queries, nested_queries, sample_queries, statistic_queries, table_queries, talk_queries  # noqa: F401
+    from driftloom.plans import feature_queries, io_queries, nested_queries, runtime_queries, sample_queries, simulation_queries, statistic_queries, table_queries, talk_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

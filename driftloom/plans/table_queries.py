@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.operators import joins
-from driftloom.operators.analyze import target_violations
+from driftloom.operators.analyze import classes_of, target_violations
 from driftloom.operators.cache import cache_key, evict, missing_from
 from driftloom.operators.features import OTHER, Feature
 from driftloom.plans.common import MESSAGES_SQL, hash_sql, messages, talks
@@ -129,7 +129,7 @@ def ids_exist(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT dialogue_id FROM turns WHERE dialogue_id IS NOT NULL AND dialogue_id NOT IN (SELECT conversation_id FROM conversations WHERE conversation_id IS NOT NULL)")
 def ids_without_conversation(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "turns").where("dialogue_id IS NOT NULL").select("dialogue_id").distinct()
-    return ids.join(table(spark, d, "conversations").select(F.col("conversation_id").alias("dialogue_id")), "dialogue_id", "left_anti")
+    return joins.only_without(ids, "dialogue_id", table(spark, d, "conversations"), "conversation_id")
 
 
 @query("SELECT n_name AS left_n_name, r_name AS right_r_name FROM nation CROSS JOIN region")
@@ -165,7 +165,7 @@ def target_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT o_orderpriority FROM orders")
 def distinct_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderpriority").distinct()
+    return spark.createDataFrame([(c,) for c in classes_of(table(spark, d, "orders"), "o_orderpriority")], "o_orderpriority string")
 
 
 @query("SELECT event_id, CASE WHEN event_type = '' THEN NULL WHEN event_type NOT IN ('click', 'view') THEN '_other_' ELSE event_type END AS category FROM events")
@@ -190,14 +190,12 @@ def union_schema_checked(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(lower(trim(text, ' ')))")
 def text_dedup(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.lower(F.trim("text"))).alias("_h"))
-    return own.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("_h")
+    return joins.first_of_equal(table(spark, d, "documents"), "text", "doc_id")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def semi_join_filter(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(wanted, "o_custkey", "left_semi")
+    return joins.only_with(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), "c_custkey")
 
 
 @query("SELECT p_type, count(*) AS n FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') OR p_size BETWEEN 10 AND 20 GROUP BY p_type")
@@ -231,7 +229,4 @@ def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
 WITH {MESSAGES_SQL}
 SELECT msg_id, CAST(sent_at AS DATE) AS day, row_number() OVER (PARTITION BY dialogue_id, CAST(sent_at AS DATE) ORDER BY sent_at, msg_id) = 1 AS new_day FROM messages""")
 def date_headers(spark: SparkSession, d: str) -> DataFrame:
-    # the day changes exactly where the first message of a day stands
-    own = messages(spark, d).select("msg_id", "dialogue_id", F.to_date("sent_at").alias("day"), "sent_at")
-    first = own.groupBy("dialogue_id", "day").agg(F.min(F.struct("sent_at", "msg_id")).alias("_f"))
-    return own.join(first, ["dialogue_id", "day"]).select("msg_id", "day", (F.col("msg_id") == F.col("_f.msg_id")).alias("new_day"))
+    return joins.with_new_day(messages(spark, d), ["dialogue_id"], "sent_at", "msg_id").select("msg_id", "day", "new_day")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -55,6 +56,34 @@ def scratch_database(spark: SparkSession) -> Iterator[str]:
         drop_database(spark, name)
 
 
+def sweep_scratch(spark: SparkSession) -> list[str]:
+    """Drops scratch databases that earlier sessions left behind; for the start of a session that is alone with its catalog."""
+    left = [d for d in databases(spark) if re.fullmatch(r"scratch_[0-9a-f]{12}", d)]
+    for d in left:
+        drop_database(spark, d)
+    return left
+
+
+def attach(spark: SparkSession, name: str, folder: str) -> list[str]:
+    """A database over the Parquet files and folders of a folder, a table each; the files stay where they are."""
+    create_database(spark, name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    tables = []
+    for f in files:
+        at = f.getPath()
+        if at.getName().endswith(".parquet") or f.isDirectory() and not at.getName().startswith((".", "_")):
+            tables.append(at.getName().removesuffix(".parquet"))
+            kinds = spark.read.parquet(str(at.toString())).schema.toDDL()
+            spark.sql(f"CREATE TABLE {quoted(name, tables[-1])} ({kinds}) USING parquet LOCATION '{at.toString()}'")
+    return sorted(tables)
+
+
+def detach(spark: SparkSession, name: str) -> None:
+    """The database is gone from the catalog; attached files stay."""
+    drop_database(spark, name)
+
+
 def scratch_view(df: DataFrame) -> str:
     name = f"view_{uuid.uuid4().hex[:12]}"
     df.createOrReplaceTempView(name)
