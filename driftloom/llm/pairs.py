@@ -1,8 +1,8 @@
 """Broken prompt and response pairs: empty, refused, copied, in another language, truncated.
 
-Emptiness, language and the candidates of copies and refusals are found by JVM expressions; only candidates are aligned in
-Python (Arrow batches, bit-parallel longest common subsequence, so very long texts cost little). Truncation is judged by
-the endings of all prompts and responses.
+Emptiness, language and the candidates of copies are found by JVM expressions; candidates are aligned in Python (Arrow batches,
+bit-parallel longest common subsequence, so very long texts cost little), as are sentences with the refusal templates of which
+they have enough words. Truncation is judged by the endings of all prompts and responses.
 
 Defined cases: pairs whose should_respond is false or null are never broken; a null prompt can neither be copied nor give
 a language; repeated pairs are judged each; a pair has at most one defect, the first of empty, refusal, copy,
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,10 +70,26 @@ REFUSALS = [
     "Lo siento, pero no puedo ayudar con esa petición",
     "Como modelo de lenguaje no puedo seguir esta conversación",
     "Debo negarme a escribir esta respuesta",
+    "It would not be appropriate for me to simulate *",
+    "My instructions do not allow me to answer as *",
+    "This request falls outside what I may answer",
+    "Being a virtual assistant I neither own nor use *",
+    "Being a virtual model I neither * nor can I *",
+    "Eine solche Antwort muss ich leider ablehnen",
+    "Meine Anweisungen erlauben mir nicht, als * zu antworten",
+    "Es wäre nicht angemessen, wenn ich * spielte",
+    "Mes instructions ne me permettent pas de répondre comme *",
+    "Il ne serait pas approprié que je simule *",
+    "Mis instrucciones no me permiten responder como *",
+    "No sería apropiado que yo simulara *",
+    "Let's talk about something else, this is not something I can support",
+    "Let's change the subject, this is not something I can help with",
+    "I am an automated system and have no opinion to give on this",
+    "I am only a program and cannot have an opinion on this",
+    "No me está permitido responder en nombre de *",
+    "Es ist mir nicht gestattet, im Namen von * zu antworten",
+    "Il ne m'est pas permis de répondre au nom de *",
 ]
-#: Any refusal holds one of these; responses without are not aligned.
-REFUSAL_CUE = r"(?iU)can.?t\b|cannot|can not|won.?t\b|will not|unable|not able|not allowed|permitted|declin|refus|comfortable|rather not|language model|\bai\b|policy|guidelines|rephrase|impersonat|sprachmodell|\bki\b|nicht|ablehn|ne peux|ne puis|mod[eè]l|no puedo|negarme"
-
 #: Frequent words of each language that tell it from the others (fixed values).
 LANGUAGE_WORDS = {
     "en": "the of and to is you your it for that this with are was were have has had not be by at from or if will would can could should my we our they them there here what which who how when where why because about than then but only just please yes shall every i an did does do been more some any their his her its take takes need want get".split(),
@@ -124,29 +141,44 @@ def is_copy(prompt: str, response: str) -> bool:
     return common / len(a) >= COPY_LIKENESS and cover >= COPY_COVER
 
 
-def is_refusal(response: str, templates: list[list[str]]) -> bool:
-    """Some sentence of the response aligns with a template: nearly all its words, in order, close together."""
-    for sentence in re.split(r"(?<=[.!?])\s+|\n+", response):
-        words = _tokens(sentence)
-        for t in templates:
-            need = len(t)
-            if len(words) < REFUSAL_LIKENESS * need:
-                continue
-            # the template may stand after an opening: align it with the stretches of its own length
-            for start in range(0, max(1, len(words) - need + 1)):
-                if common_subsequence(t, words[start : start + need + 2]) >= max(REFUSAL_LIKENESS * need, min(need, 4)):
+class Templates:
+    """Refusal templates, indexed by word: only templates of which a sentence has enough words are aligned with it, which loses none."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.templates = [_tokens(t.replace("*", " ")) for t in texts]
+        self.needs = [max(REFUSAL_LIKENESS * len(t), min(len(t), 4)) for t in self.templates]
+        self.places: dict[str, Counter[int]] = {}
+        for i, t in enumerate(self.templates):
+            for w in t:
+                self.places.setdefault(w, Counter())[i] += 1
+
+    def holds(self, words: list[str]) -> bool:
+        shared: Counter[int] = Counter()
+        for w in set(words):
+            if w in self.places:
+                shared.update(self.places[w])
+        for i, n in shared.items():
+            if n >= self.needs[i]:
+                t = self.templates[i]
+                # the template may stand after an opening: align it with the stretches of its own length
+                if any(common_subsequence(t, words[at : at + len(t) + 2]) >= self.needs[i] for at in range(max(1, len(words) - len(t) + 1))):
                     return True
-    return False
+        return False
+
+
+def is_refusal(response: str, templates: Templates) -> bool:
+    """Some sentence of the response aligns with a template: nearly all its words, in order, close together."""
+    return any(templates.holds(_tokens(sentence)) for sentence in re.split(r"(?<=[.!?])\s+|\n+", response))
 
 
 @F.pandas_udf(StringType())
-def _aligned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The defect found by alignment. Prompts come for candidates of a copy only, as does the mark of refusal cues."""
-    templates = [_tokens(t.replace("*", " ")) for t in REFUSALS]
-    for prompts, responses, cues in batches:
+def _aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The defect found by alignment. Prompts come for candidates of a copy only."""
+    templates = Templates(REFUSALS)
+    for prompts, responses in batches:
         yield pd.Series([
-            None if r is None else "refusal" if cue and is_refusal(r, templates) else "copy" if p is not None and is_copy(p, r) else None
-            for p, r, cue in zip(prompts.astype(object).where(prompts.notna(), None), responses.astype(object).where(responses.notna(), None), cues)
+            None if r is None else "refusal" if is_refusal(r, templates) else "copy" if p is not None and is_copy(p, r) else None
+            for p, r in zip(prompts.astype(object).where(prompts.notna(), None), responses.astype(object).where(responses.notna(), None))
         ], dtype=object)
 
 
@@ -186,9 +218,7 @@ def broken_pairs(pairs: DataFrame, key: str, prompt: str, response: str, should_
         _language_scores(F.col("_p")).alias("_lp"), _language_scores(F.col("_r")).alias("_lr"), tokens("_p").alias("_tp"), tokens("_r").alias("_tr"),
     )
     candidate = ~F.col("_empty") & (shared >= 0.5)
-    cue = ~F.col("_empty") & F.col("_r").rlike(REFUSAL_CUE)
-    need = candidate | cue
-    scored = scored.withColumn("_aligned", _aligned(F.when(candidate, F.col("_p")), F.when(need, F.col("_r")), cue))
+    scored = scored.withColumn("_aligned", _aligned(F.when(candidate, F.col("_p")), F.when(~F.col("_empty"), F.col("_r"))))
     corpus = pairs.select(F.explode(F.array(p, r)).alias("text"))
     ends = with_endings(due.where(~is_blank(F.col("_r"))), "_id", "_r", corpus)
     first = F.when(F.col("_empty"), "empty").when(F.col("_aligned").isNotNull(), F.col("_aligned")).when(_other_language(), "other_language")

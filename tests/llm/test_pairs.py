@@ -51,3 +51,23 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame([(1, long, long + "x", True), (2, "short?", long, True)], "pair_id long, prompt string, response string, should_respond boolean")
     got = {r["pair_id"]: r["defect"] for r in pairs.broken_pairs(df, "pair_id", "prompt", "response", "should_respond").collect()}
     assert got[1] == "copy"
+
+
+def slow_refusal(response, texts):
+    import re
+
+    templates = [pairs._tokens(t.replace("*", " ")) for t in texts]
+    for sentence in re.split(r"(?<=[.!?])\s+|\n+", response):
+        words = pairs._tokens(sentence)
+        for t in templates:
+            need = max(pairs.REFUSAL_LIKENESS * len(t), min(len(t), 4))
+            if any(pairs.common_subsequence(t, words[i : i + len(t) + 2]) >= need for i in range(max(1, len(words) - len(t) + 1))):
+                return True
+    return False
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("i can not help with that as an ai model write this message please answer the bill . we".split()), max_size=25))
+def test_the_index_of_templates_loses_none(words):
+    text = " ".join(words)
+    assert pairs.is_refusal(text, pairs.Templates(pairs.REFUSALS)) == slow_refusal(text, pairs.REFUSALS)
