@@ -93,11 +93,12 @@ def dense_scenarios(df: DataFrame, order: str, keep: Column) -> DataFrame:
 def top_similar(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, keep: Column | None = None, block: int = 1024) -> DataFrame:
     """(query, key, score): the ``k`` rows of ``base`` most like each query by cosine, ties by key; the filter goes first.
 
+    The exact search, for few queries and to measure ``similar.top_similar`` by, which asks an index.
     Queries are taken in blocks of bounded size; every partition of the base scores a block with one matrix product and
     sends its own best ``k`` only. Null vectors and vectors of zeros are left out.
     """
     rows = (base.where(keep) if keep is not None else base).where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("exists(vector, x -> x <> 0)")
     out = None
     for block_keys, matrix in _blocks(asked, block):
         found = rows.mapInPandas(_scorer(block_keys, matrix, k), "query long, key long, score double")

@@ -191,7 +191,30 @@ def relationship_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.relationship_stats(df, ["service_plan", "contract_type", "age"], "churn_status"), "lift", "mean_shift")
 
 
-@query()
+def _pairwise_sql() -> str:
+    """Greedy choice of three in SQL: least squares on one and on two columns from centred sums."""
+    columns = {"l_quantity": "l_quantity", "l_discount": "l_discount", "l_tax": "l_tax", "l_extendedprice": "l_extendedprice", "l_net": "l_extendedprice * (1 - l_discount)"}
+    classes = ("A", "N", "R")
+    wide = "SELECT " + ", ".join([f"CAST({e} AS DOUBLE) AS {c}" for c, e in columns.items()] + [f"CAST(l_returnflag = '{k}' AS INT)::DOUBLE AS y{k}" for k in classes]) + " FROM lineitem"
+    sums = [f"count(*) * covar_pop({a}, {b}) AS {a}__{b}" for a in columns for b in columns] + [f"count(*) * covar_pop({a}, y{k}) AS {a}__y{k}" for a in columns for k in classes] + [f"count(*) * var_pop(y{k}) AS yy{k}" for k in classes]
+    deviation = lambda sse: f"sqrt(greatest({sse}, 0) / n)"
+    base = {k: deviation(f"yy{k}") for k in classes}
+    alone = {(a, k): deviation(f"yy{k} - {a}__y{k} * {a}__y{k} / {a}__{a}") for a in columns for k in classes}
+    both = lambda a, b, k: deviation(f"yy{k} - ({a}__y{k} * {a}__y{k} * {b}__{b} - 2 * {a}__y{k} * {b}__y{k} * {a}__{b} + {b}__y{k} * {b}__y{k} * {a}__{a}) / ({a}__{a} * {b}__{b} - {a}__{b} * {a}__{b})")
+    mean = lambda xs: "(" + " + ".join(xs) + f") / {len(xs)}"
+    singles = " UNION ALL ".join(f"SELECT '{a}' AS feature, {mean([f'({base[k]} - {alone[a, k]})' for k in classes])} AS score FROM g" for a in columns)
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS chosen, {mean([f'({alone[b, k]} - {both(a, b, k)})' for k in classes])} / ({mean(list(base.values()))}) AS gain FROM g" for a in columns for b in columns if a != b)
+    return f"""
+WITH g AS (SELECT count(*) AS n, {", ".join(sums)} FROM ({wide})), s1 AS (SELECT * FROM ({singles}) WHERE score >= 1e-8), p AS ({pairs}),
+c1 AS (SELECT feature, score FROM s1 ORDER BY score DESC, feature DESC LIMIT 1),
+s2 AS (SELECT s1.feature, least(score, gain) AS score FROM s1 JOIN p USING (feature) WHERE chosen = (SELECT feature FROM c1) AND least(score, gain) >= 1e-8),
+c2 AS (SELECT feature, score FROM s2 ORDER BY score DESC, feature DESC LIMIT 1),
+s3 AS (SELECT s2.feature, least(score, gain) AS score FROM s2 JOIN p USING (feature) WHERE chosen = (SELECT feature FROM c2) AND least(score, gain) >= 1e-8),
+c3 AS (SELECT feature, score FROM s3 ORDER BY score DESC, feature DESC LIMIT 1)
+SELECT CAST(rank AS INT) AS rank, feature, round(score, 6) AS score FROM (SELECT 1 AS rank, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3)"""
+
+
+@query(_pairwise_sql())
 def pairwise_select(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "lineitem")
     features = {c: F.col(c) for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")} | {"l_net": F.col("l_extendedprice") * (1 - F.col("l_discount"))}

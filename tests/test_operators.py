@@ -463,3 +463,160 @@ def test_prompts_and_progress(spark):
         with progress.stage("part"):
             run.advance()
     assert [x for x, _ in told] == ["began", "began", "moved", "ended", "ended"] and run.lines()[0].startswith("run 1/2")
+
+
+def test_range_join_of_a_hot_key_with_windows_of_many_lengths(spark):
+    from datetime import datetime, timedelta
+
+    day0 = datetime(2024, 1, 1)
+    series = [("hot" if i % 3 else f"k{i % 7}", day0 + timedelta(minutes=37 * i), i) for i in range(900)] + [("hot", None, 5000), (None, day0, 5001)]
+    asked = [(i, "hot" if i % 2 else "k1", day0 + timedelta(hours=i), day0 + timedelta(hours=i + (1, 30, 400)[i % 3])) for i in range(40)] + [(90, "none", day0, day0), (91, "hot", day0, None), (92, None, day0, day0), (93, "hot", day0 + timedelta(days=2), day0), (94, "hot", day0, day0 + timedelta(hours=30)), (95, "hot", day0, day0 + timedelta(hours=30))]
+    ts = joins.TimeSeries("t", spark.createDataFrame(series, "k string, at timestamp_ntz, v int"), "k", "at", ("v",))
+    keys = spark.createDataFrame(asked, "id int, key string, a timestamp_ntz, b timestamp_ntz")
+    got: dict = {}
+    for r in ts.rows(keys, "key", joins.Window("a", "b", True, False)).collect():
+        got.setdefault(r["id"], set()).add(r["v"])
+        assert r["key_exists"] == (r["key"] in {k for k, _, _ in series if k})
+    want = {i: {v for k, at, v in series if k is not None and k == key and at is not None and a is not None and b is not None and a <= at < b} or {None} for i, key, a, b in asked}
+    assert got == want
+    capped = {}
+    for r in ts.rows(keys, "key", joins.Window("a", "b", True, False, 2), tie="v").collect():
+        capped.setdefault(r["id"], []).append(r["v"])
+    # each window has its own share, also of one key
+    assert all(len(capped[i]) == min(len(want[i]), 2) and set(capped[i]) <= want[i] for i in want)
+    lists = {r["id"]: r["series"] for r in ts.series(keys, "key", joins.Window("a", "b", True, False)).collect()}
+    assert lists[90] is None and lists[93] == [] and all([x["v"] for x in lists[i]] == sorted(want[i]) for i in range(40) if want[i] != {None})
+
+
+def test_index_of_vectors_with_a_hot_list(spark, monkeypatch):
+    from driftloom.operators import similar
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(1)
+    m = np.concatenate([rng.normal(0, 0.05, (400, 8)) + 1, rng.normal(0, 1, (200, 8)), np.zeros((2, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(900, None)], "id long, v array<double>")
+    asked = df.where("id % 20 = 0")
+    exact = simulate.top_similar(df, asked, "id", "v", 5)
+    whole = similar.top_similar(df, asked, "id", "v", 5, lists=8, probes=8)
+    key = lambda d: sorted((r["query"], r["key"], r["score"]) for r in d.collect())
+    assert key(whole) == key(exact)
+    assert similar.recall(similar.top_similar(df, asked, "id", "v", 5, lists=8, probes=5), exact).first()["recall"] >= 0.9
+    assert similar.top_similar(df.limit(0), asked, "id", "v", 5).count() == 0
+
+
+def test_python_features_fail_or_are_null(spark):
+    df = spark.createDataFrame([(1, 4, "a"), (2, 0, "b"), (3, None, None)], "id int, n int, t string")
+    div = ft.Feature("d", "float", params=("n",), row=lambda n: 8 / n)
+    assert [r["d"] for r in ft.enrich(df, [div], keep=["id"], safe=True).orderBy("id").collect()] == [2.0, None, None]
+    with pytest.raises(Exception, match="division"):
+        ft.enrich(df, [div], keep=["id"]).collect()
+    short = ft.Feature("s", "int", params=("n",), batch=lambda frame: frame["n"].head(0))
+    with pytest.raises(Exception, match="height"):
+        ft.enrich(df, [short], keep=["id"]).collect()
+    kinds = [ft.Feature("big", "int", params=("n",), row=lambda n: 10**30), ft.Feature("c", "category", params=("t",), row=lambda t: t, categories=("a",)), ft.Feature("b", "bool", params=("n",), batch=lambda f: f["n"] == 4)]
+    row = ft.enrich(df, kinds, keep=["id"]).orderBy("id").first()
+    assert (row["big"], row["c"], row["b"]) == (2**63 - 1, "a", True)
+    for bad in ({"row": len}, {"row": len, "batch": len, "params": ("n",)}):
+        with pytest.raises(ft.FeatureError):
+            ft.Feature("x", "int", **bad)
+    with pytest.raises(ft.FeatureError):
+        div.to_dict()
+
+
+def test_memory_joins_equal_calls():
+    import threading
+    import time
+
+    from driftloom.operators.cache import Memory
+
+    memory, calls = Memory(2), []
+
+    def slow(k):
+        calls.append(k)
+        time.sleep(0.05)
+        return k
+
+    threads = [threading.Thread(target=lambda: memory.get("a", lambda: slow("a"))) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert calls == ["a"]
+    with pytest.raises(ZeroDivisionError):
+        memory.get("z", lambda: 1 / 0)
+    for k in "bca":
+        memory.get(k, lambda k=k: slow(k))
+    assert calls == ["a", "b", "c", "a"]
+
+
+def test_models_by_description():
+    from driftloom.operators.models import ModelSpec, default_models
+
+    models, spec = default_models(), ModelSpec("keyword", "any", (("t", "0"),))
+    assert models.get(spec) is models.get(ModelSpec.from_dict(spec.to_dict()))
+    with pytest.raises(KeyError):
+        models.get(ModelSpec("nobody", "x"))
+    with pytest.raises(ValueError):
+        models.register("keyword", lambda s: None)
+
+
+def test_settings_and_sweep(spark):
+    from driftloom.engine import Settings
+
+    conf = Settings(memory="2g", threads=3, more={"spark.master": "yarn", "spark.x": "1", "spark.sql.session.timeZone": "X"}).to_conf()
+    assert conf["spark.master"] == "local[3]" and conf["spark.x"] == "1" and conf["spark.sql.session.timeZone"] == "UTC" and "spark.local.dir" not in conf
+    catalog.create_database(spark, "scratch_0123456789ab")
+    assert catalog.sweep_scratch(spark) == ["scratch_0123456789ab"] and "scratch_0123456789ab" not in catalog.databases(spark)
+
+
+def test_selectors_and_generators(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.normal()), float(rng.normal()), "xyz"[i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c string").withColumn("t", F.when(F.col("a") > 0.4, "up").when(F.col("c") == "x", "mid").otherwise("low"))
+    for kind in ("linear", "tree"):
+        done = analyze(df, "id", "t", selector=kind, most=2)
+        assert {f.name for f in done.features} == {"a", "c"} and done.problem.classes == ("low", "mid", "up")
+        for part in (done.train, done.test):
+            assert {r["feature"] for r in part.explained.collect()} == {"a", "c"} and {r["class"]: r["class_no"] for r in part.relations.collect()} == {"low": 0, "mid": 1, "up": 2}
+            assert set(part.numbers) == {"counts", "histogram"} and part.numbers["histogram"].count() == 10
+    # a category is encoded by every class: its variance explained is the mean over them
+    only = analyze(df, "id", "t", [ft.Feature("c", "category", "c", categories=("x", "y", "z"))])
+    assert only.train.explained.first()["r_squared"] > 0.05
+    with pytest.raises(ValueError):
+        analyze(df.withColumn("t", F.when(F.col("id") % 50 != 7, F.col("t"))), "id", "t")
+    regression = analyze(df.withColumn("y", F.col("a") * 2 + F.col("b")).drop("t"), "id", "y", most=2)
+    assert {"counts", "histogram", "correlations"} == set(regression.test.numbers)
+
+
+def test_laws_of_python_features(spark):
+    df = spark.range(40).selectExpr("id", "id * 2 AS v")
+    seen = generate.law_and_order(df, ft.Feature("mean", "float", params=("v",), batch=lambda f: f["v"] - f["v"].mean()), "id")
+    assert {f.law for f in seen} >= {"batch"}
+    assert generate.law_and_order(df, ft.Feature("ok", "float", params=("v",), batch=lambda f: f["v"] * 0.5), "id") == []
+    budget = generate.Budget(3)
+    bad = lambda *_: ft.Feature("c", "int", "1")
+    for tries in (2, 1, 0):
+        _, history = generate.retry_until_valid(bad, lambda f: [generate.Finding("constant", "")], 2, budget)
+        assert len(history) == tries
+
+
+def test_talks_with_participants(spark):
+    from driftloom.functions.text import role_lines
+    from driftloom.operators import participants as pt
+    from driftloom.operators import simulation_session as ss
+
+    pairs = spark.createDataFrame([(1, "I want to cancel my contract", "may I ask why"), (2, "the router is broken", "please restart it"), (3, None, "x")], "id long, last string, reply string")
+    agent, silent = pt.RetrievalParticipant(pairs, 2, 2), pt.OracleParticipant(ft.TextOracle(lambda q, t: None), "next")
+    openings = spark.createDataFrame([("a", "I want to cancel the contract now", "cancelled"), ("b", "my router is broken", "resolved"), ("c", None, None)], "conversation_id string, intent string, outcome string")
+    run = ss.Session(("cancelled", "resolved")).with_participants(agent, silent).with_most_messages(3).run(openings)
+    said = {(r["scenario_id"], r["at"], r["role"]): r["content"] for r in run.talks.collect()}
+    assert said["scenario_0", 1, "agent"] == "may I ask why" and said["scenario_1", 1, "agent"] == "please restart it" and len([k for k in said if k[2] == "customer"]) == 2
+    m = spark.createDataFrame([([("user", "a"), ("agent", "b"), ("user", "c")],)], "m array<struct<role: string, content: string>>")
+    r = m.select(role_lines(pt.messages_of(F.col("m"), "user")).alias("u"), pt.last_message(F.col("m")).alias("l")).first()
+    assert r["u"] == "User: a\nUser: c" and r["l"]["content"] == "c"
+
+
+def test_conversation_tables_must_be_one(spark):
+    e = spark.createDataFrame([("a", 0.1)], "feature string, r_squared double")
+    with pytest.raises(ValueError):
+        recommend.of_conversations(e, {"a": "x", "b": "y"})
+    for bad in ("no block", "```json\n[]\n``` ```json\n[]\n```"):
+        assert recommend.parse_report(spark.createDataFrame([(bad,)], "answer string"), "answer").count() == 0
