@@ -28,8 +28,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _fields(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
-        "outcome": target_sample.eligible(table(spark, d, "conversations"), "conversation_id", "outcome"),
-        "churn_status": target_sample.eligible(table(spark, d, "telco_main"), "customer_id", "churn_status"),
+        "outcome": cut_lineage(target_sample.eligible(table(spark, d, "conversations"), "conversation_id", "outcome")),
+        "churn_status": cut_lineage(target_sample.eligible(table(spark, d, "telco_main"), "customer_id", "churn_status")),
     }
 
 
