@@ -76,6 +76,12 @@ class TimeSeries:
         """``keys`` joined with the rows of their window. Keys without rows stay, with ``key_exists`` telling an empty
         window of a known key from an unknown key. With a cap, the rows of a window with the least hashes of ``tie`` are kept.
         """
+        if window.cap is None:
+            own = self._leveled(keys, key, window)
+            series = self._blocked(self._levels(own), list(dict.fromkeys([*self.columns, *([tie] if tie else [])])))
+            same = (F.col(key) == F.col("_key")) & (F.col("_level") == F.col("_at.l")) & (F.expr("shiftright(_a, _level)") == F.col("_at.b"))
+            joined = own.join(series, same & window.holds(F.col("at"), F.col("_start"), F.col("_end")), "left").drop("_key", "_at", "_a", "_b", "_level", "_start", "_end")
+            return self._with_existence(joined, key)
         own, matched = self._matched(keys, key, window, tie)
         on = F.col(key).eqNullSafe(F.col("_k")) & F.col("_start").eqNullSafe(F.col("_s")) & F.col("_end").eqNullSafe(F.col("_e"))
         joined = own.join(matched, on, "left").drop("_k", "_s", "_e", "_start", "_end")
@@ -98,32 +104,40 @@ class TimeSeries:
         known = self.table.select(F.col(self.key).alias("_known")).distinct()
         return df.join(known, F.col(key) == F.col("_known"), "left").withColumn("key_exists", F.col("_known").isNotNull()).drop("_known")
 
-    def _matched(self, keys: DataFrame, key: str, window: Window, tie: str | None) -> tuple[DataFrame, DataFrame]:
-        """``keys`` with _start and _end, and (_k, _s, _e, at, columns) of the distinct windows and their rows.
+    # Time is cut into blocks as long as a window, its length rounded up to a power of two (the level), so a window meets no more than
+    # the block it begins in and the next. Each row of the series stands in its own block and in the one before; so a window finds
+    # each of its rows once, by the block it begins in. The join is on key and block: a key that holds any share of the rows is
+    # spread over its blocks, and what meets is no more than a few times what matches.
 
-        Time is cut into blocks as long as a window, its length rounded up to a power of two, so a window meets two blocks at
-        most. The join is on key and block: a key that holds any share of the rows is spread over its blocks, and what meets is no
-        more than a few times what matches. Windows of several lengths have blocks of several sizes.
-        """
-        if window.cap is not None and tie is None:
-            raise ValueError("a cap needs a unique column to choose by")
+    def _leveled(self, keys: DataFrame, key: str, window: Window) -> DataFrame:
+        """``keys`` with _start, _end, _a and _b (both in microseconds) and _level."""
         start, end = window.ends()
-        own = keys.withColumns({"_start": start, "_end": end})
         micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        spans = own.select(F.col(key).alias("_k"), F.col("_start").alias("_s"), F.col("_end").alias("_e")).where("_k IS NOT NULL AND _s <= _e").distinct()
-        spans = spans.withColumns({"_a": micros("_s"), "_b": micros("_e")}).withColumn("_level", F.ceil(F.log2(F.greatest(F.col("_b") - F.col("_a"), F.lit(1)).cast("double"))).cast("int"))
-        levels = sorted(r["_level"] for r in spans.select("_level").distinct().collect())  # at most 64
-        columns = list(dict.fromkeys([*self.columns, *([tie] if tie else [])]))
+        own = keys.withColumns({"_start": start, "_end": end}).withColumns({"_a": micros("_start"), "_b": micros("_end")})
+        return own.withColumn("_level", F.when(F.col("_a") <= F.col("_b"), F.ceil(F.log2(F.greatest(F.col("_b") - F.col("_a"), F.lit(1)).cast("double"))).cast("int")))
+
+    def _levels(self, leveled: DataFrame) -> list[int]:
+        return sorted(r[0] for r in leveled.where("_level IS NOT NULL").select("_level").distinct().collect())  # at most 64
+
+    def _blocked(self, levels: list[int], columns: list[str]) -> DataFrame:
         series = self.table.select(F.col(self.key).alias("_key"), F.col(self.at).alias("at"), *columns).where("_key IS NOT NULL AND at IS NOT NULL")
-        blocks = F.array(*(F.struct(F.lit(x).alias("l"), F.shiftright(micros("at"), x).alias("b")) for x in levels)) if levels else F.expr("array_repeat(struct(0 AS l, 0L AS b), 0)")
-        series = series.withColumn("_at", F.explode(blocks))
-        spans = spans.select("_k", "_s", "_e", "_level", F.explode(F.sequence(F.expr("shiftright(_a, _level)"), F.expr("shiftright(_b, _level)"))).alias("_block"))
+        at = F.unix_micros(F.col("at").cast("timestamp"))
+        blocks = F.array(*(F.struct(F.lit(x).alias("l"), (F.shiftright(at, x) - i).alias("b")) for x in levels for i in (0, 1))) if levels else F.expr("array_repeat(struct(0 AS l, 0L AS b), 0)")
+        return series.withColumn("_at", F.explode(blocks))
+
+    def _matched(self, keys: DataFrame, key: str, window: Window, tie: str | None) -> tuple[DataFrame, DataFrame]:
+        """``keys`` with _start and _end, and (_k, _s, _e, at, columns) of the distinct windows and their rows."""
+        if window.cap is not None and tie is None:
+            raise ValueError("a cap needs a unique column to choose by")
+        own = self._leveled(keys, key, window)
+        columns = list(dict.fromkeys([*self.columns, *([tie] if tie else [])]))
+        spans = own.select(F.col(key).alias("_k"), F.col("_start").alias("_s"), F.col("_end").alias("_e"), "_level", F.expr("shiftright(_a, _level)").alias("_block")).where("_k IS NOT NULL AND _level IS NOT NULL").distinct()
         same = (F.col("_k") == F.col("_key")) & (F.col("_level") == F.col("_at.l")) & (F.col("_block") == F.col("_at.b"))
-        matched = spans.join(series, same & window.holds(F.col("at"), F.col("_s"), F.col("_e"))).select("_k", "_s", "_e", "at", *columns)
+        matched = spans.join(self._blocked(self._levels(own), columns), same & window.holds(F.col("at"), F.col("_s"), F.col("_e"))).select("_k", "_s", "_e", "at", *columns)
         if window.cap is not None:
             place = F.row_number().over(W.partitionBy("_k", "_s", "_e").orderBy(portable_hash(F.col(tie)), tie))
             matched = matched.withColumn("_r", place).where(F.col("_r") <= window.cap).drop("_r")
-        return own, matched
+        return own.drop("_a", "_b", "_level"), matched
 
 
 @dataclass(frozen=True)

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 LEAST_GAIN = 1e-8
 #: Features of one Gram matrix; it is this number squared that reaches the driver.
 MOST_FEATURES = 5000
-#: Partial matrices added up by one task.
-PARTS_AT_ONCE = 64
+#: Numbers of partial matrices that meet in one task, and partitions for which the tree of sums is deep enough.
+PARTIAL_DOUBLES, MOST_PARTS = 8_000_000, 500_000
 
 
 def gram_matrix(df: DataFrame, columns: list[Column]) -> np.ndarray:
@@ -33,10 +33,17 @@ def gram_matrix(df: DataFrame, columns: list[Column]) -> np.ndarray:
     if len(columns) > MOST_FEATURES:
         raise ValueError(f"more than {MOST_FEATURES} columns")
     n = len(columns)
-    wide = df.select(F.array(*(c.cast("double") for c in columns)).alias("v"))
-    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    wide = wide.where(F.coalesce(finite, F.lit(False)))
-    first = wide.first()
+    names = [f"c{i}" for i in range(n)]
+    wide = df.select(*(c.cast("double").alias(name) for c, name in zip(columns, names)))
+    finite = lambda pdf: (lambda m: m[np.isfinite(m).all(axis=1)])(pdf.to_numpy(dtype=np.float64, na_value=np.nan))
+
+    def one(batches):
+        for pdf in batches:
+            if len(m := finite(pdf)):
+                yield pd.DataFrame({"v": [m[0]]})
+                return
+
+    first = wide.mapInPandas(one, "v array<double>").first()
     if first is None:
         return np.zeros((n + 1, n + 1))
     around = np.array(first["v"])
@@ -44,21 +51,25 @@ def gram_matrix(df: DataFrame, columns: list[Column]) -> np.ndarray:
     def multiply(batches):
         total = np.zeros((n + 1, n + 1))
         for pdf in batches:
-            if len(pdf):
-                m = np.hstack([np.stack(pdf["v"].to_numpy()) - around, np.ones((len(pdf), 1))])
-                total += m.T @ m
+            m = finite(pdf) - around
+            m = np.hstack([m, np.ones((len(m), 1))])
+            total += m.T @ m
         part = TaskContext.get().partitionId()
         yield pd.DataFrame({"i": np.arange(n + 1, dtype="int32"), "part": np.full(n + 1, part, dtype="int32"), "row": list(total)})
 
+    # as many partial rows meet in a task as are bounded in bytes
+    at_once = max(64, PARTIAL_DOUBLES // (n + 1))
+
     def add(pdf):
-        return pd.DataFrame({"i": pdf["i"].iloc[:1], "part": pdf["part"].iloc[:1] // PARTS_AT_ONCE, "row": [np.stack(pdf["row"].to_numpy()).sum(axis=0)]})
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "part": pdf["part"].iloc[:1] // at_once, "row": [np.stack(pdf["row"].to_numpy()).sum(axis=0)]})
 
     schema = "i int, part int, row array<double>"
-    sums = wide.mapInPandas(multiply, schema)
-    for _ in range(2):
-        sums = sums.groupBy("i", F.floor(F.col("part") / PARTS_AT_ONCE).alias("_p")).applyInPandas(add, schema)
+    sums, covered = wide.mapInPandas(multiply, schema), 1
+    while covered < MOST_PARTS:
+        sums = sums.groupBy("i", F.floor(F.col("part") / at_once).alias("_p")).applyInPandas(add, schema)
+        covered *= at_once
     out = np.zeros((n + 1, n + 1))
-    for r in sums.toLocalIterator():
+    for r in sums.collect():  # a row per column
         out[r["i"]] += r["row"]
     return _centred(out, around)
 

@@ -58,7 +58,7 @@ SELECT category, class, n,
   round(n / sum(n) OVER (PARTITION BY category) - sum(n) OVER (PARTITION BY class) / sum(n) OVER (), 6) AS mean_shift FROM g""")
 def lift_mean_shift(spark: SparkSession, d: str) -> DataFrame:
     """Which order priority moves the odds of which order status, on the training rows."""
-    train = split.part(split.split(table(spark, d, "orders"), "o_orderkey", 0.8), "train")
+    train = split.part(split.split(table(spark, d, "orders"), "o_orderkey", 0.8, 0, 0), "train")
     return _rounded(stats.lift_and_shift(stats.confusion(train, F.col("o_orderpriority"), F.col("o_orderstatus"))), "lift", "mean_shift")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
@@ -113,22 +114,23 @@ def least_rows(df: DataFrame, hash: str, key: str, n: int) -> DataFrame:
     A histogram of the hash finds the bucket with the n-th row; rows below it are taken where they lie and only that one
     bucket is ordered, so no task gets ``n`` rows of every partition.
     """
-    below, edge, rest = hash_edge(df, hash, n)
+    edge = hash_edges(df, hash, [n])[0]
     if edge is None:
         return df.where(F.col(hash).isNotNull())
-    sure = df.where(F.shiftright(hash, HASH_SHIFT) < edge)
-    return sure.unionByName(df.where(F.shiftright(hash, HASH_SHIFT) == edge).orderBy(hash, key).limit(rest))
+    bucket, rest = edge
+    sure = df.where(F.shiftright(hash, HASH_SHIFT) < bucket)
+    return sure.unionByName(df.where(F.shiftright(hash, HASH_SHIFT) == bucket).orderBy(hash, key).limit(rest))
 
 
-def hash_edge(df: DataFrame, hash: str, n: int) -> tuple[int, int | None, int]:
-    """(rows below, bucket, rows of it still needed) for the ``n`` rows of least hash; bucket None: there are no more than ``n``."""
+def hash_edges(df: DataFrame, hash: str, sizes: list[int]) -> list[tuple[int, int] | None]:
+    """For each of several sizes the bucket of the hash in which the first so many rows end, and how many of its rows are among them; none
+    where there are no more rows than that. One pass.
+    """
     counts = df.where(F.col(hash).isNotNull()).groupBy(F.shiftright(hash, HASH_SHIFT).alias("b")).agg(F.count("*").alias("c"))  # at most 65,536 buckets
     upto = counts.withColumn("_to", F.sum("c").over(W.orderBy("b")))
-    first = upto.where(F.col("_to") >= n).orderBy("b").limit(1).collect()
-    if not first or n < 1:
-        return 0, None if n >= 1 else 0, 0
-    before = first[0]["_to"] - first[0]["c"]
-    return before, first[0]["b"], n - before
+    ends = reduce(lambda a, b: a | b, ((F.col("_to") - F.col("c") < n) & (F.col("_to") >= n) for n in sizes))
+    found = upto.where(ends).collect()  # at most a row per size
+    return [next(((r["b"], n - r["_to"] + r["c"]) for r in found if r["_to"] - r["c"] < n <= r["_to"]), None) for n in sizes]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
