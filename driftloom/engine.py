@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.operators import analyze, features, generate, split
 from driftloom.operators.features import Feature, TextOracle, keyword_oracle
-from driftloom.operators.models import Models, default_models
+from driftloom.operators.models import Models, ModelSpec, default_models
 from driftloom.operators.joins import Conversations, Lookup, TimeSeries
 from driftloom.sources import catalog, readers, sinks
 
@@ -108,6 +108,12 @@ class Engine:
         d = self.defaults
         return analyze.analyze(df, key, target, **{"most": d.most_features, "least_defined": d.least_defined, "train_fraction": d.train_fraction, "search_rows": d.search_rows, "eval_rows": d.eval_rows} | options)
 
+    def model(self, spec: ModelSpec) -> TextOracle:
+        return self.models.get(spec)
+
+    def forget_models(self) -> None:
+        self.models.clear()
+
     def time_limit(self, seconds: float):
         return catalog.time_limit(self.spark, seconds)
 
@@ -116,5 +122,14 @@ def to_json(things: Sequence[Any]) -> str:
     return json.dumps([t.to_dict() for t in things], sort_keys=True)
 
 
+#: What JSON can hold, by its type tag.
+_READ = {"feature": Feature.from_dict, "problem": analyze.Problem.from_dict, "model": ModelSpec.from_dict}
+
+
+def from_json(text: str) -> list[Any]:
+    """Features, problems and models that ``to_json`` wrote; an unknown type is an error."""
+    return [_READ[d["type"]](d) for d in json.loads(text)]
+
+
 def features_from_json(text: str) -> list[Feature]:
-    return [Feature.from_dict(d) for d in json.loads(text) if d.get("type") == "feature"]
+    return [x for x in from_json(text) if isinstance(x, Feature)]

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.operators import select, split, stats
-from driftloom.operators.features import OTHER, Feature, enrich
+from driftloom.operators.features import COMPUTERS, OTHER, Feature, enrich
 from driftloom.functions.text import unique_names
 from driftloom.operators.generate import Generated, GivenFeatures, OriginalColumns
+from driftloom.progress import stage
 from driftloom.session import cut_lineage
 from driftloom.types import is_temporal
 
@@ -30,6 +31,8 @@ class Problem:
     date_column: str | None = None
 
     def __post_init__(self) -> None:
+        if self.kind not in ("classification", "regression") or self.kind == "regression" and (self.classes or self.desired not in (None, "up", "down")):
+            raise ValueError("a classification has classes, a regression a direction at most")
         if self.kind == "classification" and (len(self.classes) < 2 or list(self.classes) != sorted(self.classes)):
             raise ValueError("a classification needs at least two classes, in order")
         if self.kind == "classification" and self.desired is not None and self.desired not in self.classes:
@@ -38,6 +41,10 @@ class Problem:
     def to_dict(self) -> dict:
         return {"type": "problem", **asdict(self)}
 
+    @staticmethod
+    def from_dict(d: dict) -> "Problem":
+        return Problem(**{k: tuple(v) if k == "classes" else v for k, v in d.items() if k != "type"})
+
 
 def discover_problem(df: DataFrame, target: str, kind: str | None = None, desired: Any = None, date_column: str | None = None, max_classes: int = 20) -> Problem:
     """Integers, booleans and strings are classes unless ``desired`` is a direction (up or down); floats are regressed."""
@@ -162,7 +169,7 @@ def filled_features(enriched: DataFrame, candidates: Sequence[Generated], least_
     return out
 
 
-def analyze(df: DataFrame, key: str, target: str, features: Sequence[Feature] | None = None, tables: dict[str, DataFrame] | None = None, most: int = 10, least_defined: int = 30, train_fraction: float = 0.8, search_rows: int = 10_000, eval_rows: int = 100_000, generators: Sequence[Any] | None = None, selector: Any = "linear") -> Analysis:
+def analyze(df: DataFrame, key: str, target: str, features: Sequence[Feature] | None = None, tables: dict[str, DataFrame] | None = None, most: int = 10, least_defined: int = 30, train_fraction: float = 0.8, search_rows: int = 10_000, eval_rows: int = 100_000, generators: Sequence[Any] | None = None, selector: Any = "linear", computers: Sequence[Any] = COMPUTERS) -> Analysis:
     """The whole run. Candidates come from generators looking at the search rows; they are computed, filled and chosen (by the selector
     ``linear`` or ``tree``, or an object with ``select``) on the evaluation rows. The chosen ones are described on all training and on
     all test rows.
@@ -180,17 +187,22 @@ def analyze(df: DataFrame, key: str, target: str, features: Sequence[Feature] |
     names = unique_names([g.feature.name for g in candidates], {key, target})
     raw = [replace(g.feature, name=n) for g, n in zip(candidates, names)]
     candidates = [replace(g, feature=f) for g, f in zip(candidates, raw)]
-    enriched = cut_lineage(enrich(parts["feature_eval"], raw, key, [key, target], tables))
+    with stage("enrich"):
+        enriched = cut_lineage(enrich(parts["feature_eval"], raw, key, [key, target], tables, computers=computers))
     filled = filled_features(enriched, candidates, least_defined)
     ready = enriched.select(key, target, *(f.with_defaults(F.col(f"`{f.name}`")).alias(f.name) for f in filled))
     targets = stats.encoded_targets(ready, target)
     ready, numbers = numbered(ready, key, filled, targets)
     chooser = select.SELECTORS[selector]() if isinstance(selector, str) else selector
-    chosen = chooser.select(ready, numbers, target, targets, most)
+    with stage("select", len(numbers)):
+        chosen = chooser.select(ready, numbers, target, targets, most)
     order = [r["feature"] for r in chosen.orderBy("rank").collect()]
     kept = tuple(f for n in order for f in filled if f.name == n)
     if not kept:
         empty = df.sparkSession.createDataFrame([], "feature string")
         return Analysis(problem, kept, chosen, *(Described(empty, empty, empty, {}) for _ in range(2)))
-    described = (describe(cut_lineage(enrich(parts[n], kept, key, [key, target], tables)), key, target, kept, problem) for n in ("train", "test"))
+    described = []
+    for name in ("train", "test"):
+        with stage(f"describe {name}"):
+            described.append(describe(cut_lineage(enrich(parts[name], kept, key, [key, target], tables, computers=computers)), key, target, kept, problem))
     return Analysis(problem, kept, chosen, *described)

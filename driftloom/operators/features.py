@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from driftloom.functions.text import unique_names
+from driftloom.functions.text import FALSE_WORDS, TRUE_WORDS, as_number, unique_names
 from driftloom.operators.cache import Memory, cache_key
+from driftloom.session import cut_lineage
 from driftloom.sources.catalog import time_limit
 
 OTHER = "_other_"
@@ -43,7 +44,8 @@ class FeatureError(ValueError):
 class Feature:
     """``kind``: int, float, bool or category. One of these defines it: ``expression`` (SQL of the row), ``query`` (SELECT of one
     column over the view ``primary_table``, which has the column ``_row_key``, and the named secondary tables), ``row`` (Python function of
-    the values of ``params`` in one row) and ``batch`` (function of a pandas frame of them that gives a series).
+    the values of ``params`` in one row), ``batch`` (function of a pandas frame of them that gives a series) and ``question`` (put to a text
+    oracle about the text in the column ``params[0]``; what it answers must fit the kind).
     """
 
     name: str
@@ -60,15 +62,16 @@ class Feature:
     params: tuple[str, ...] = ()
     row: Callable | None = None
     batch: Callable[[pd.DataFrame], pd.Series] | None = None
+    question: str | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in SQL_TYPES:
             raise FeatureError("dtype", f"unknown kind {self.kind}")
         if self.kind == "category" and (not self.categories or "" in self.categories or len(set(self.categories)) < len(self.categories)):
             raise FeatureError("illegal", f"categories of {self.name} must be non-empty, distinct and not ''")
-        if sum(x is not None for x in (self.expression, self.query, self.row, self.batch)) != 1:
-            raise FeatureError("illegal", f"{self.name} needs one of expression, query, row and batch")
-        if (self.row or self.batch) and not self.params:
+        if sum(x is not None for x in (self.expression, self.query, self.row, self.batch, self.question)) != 1:
+            raise FeatureError("illegal", f"{self.name} needs one of expression, query, row, batch and question")
+        if (self.row or self.batch or self.question) and not self.params:
             raise FeatureError("illegal", f"{self.name} needs the names of its params")
 
     def typed(self, raw: Column) -> Column:
@@ -189,7 +192,7 @@ class ExpressionComputer:
     """SQL expressions of the row and Python functions: columns of one select."""
 
     def supports(self, feature: Feature) -> bool:
-        return feature.query is None
+        return feature.query is None and feature.question is None
 
     def compute(self, df: DataFrame, features: list[tuple[Feature, str]], carry: list[str], key: str | None, tables: dict[str, DataFrame], safe: bool) -> DataFrame:
         values = []
@@ -233,13 +236,13 @@ def enrich(df: DataFrame, features: Sequence[Feature], key: str | None = None, k
             raise FeatureError("illegal", f"no computer for {f.name}")
         own.append((f, f"_f_{n}"))
     queries = [f for f in features if f.query is not None]
-    if queries and key is None:
-        raise FeatureError("illegal", "SQL features need a key")
+    if (queries or sum(bool(g) for _, g in groups) > 1) and key is None:
+        raise FeatureError("illegal", "SQL features, and features of several kinds, need a key")
     if check_seconds is not None:
         for f in queries:
             check_height(df, f, key, tables, check_seconds)
     out, used = None, [(c, g) for c, g in groups if g]
-    carry = list(dict.fromkeys([*keep, *([key] if queries else [])]))
+    carry = list(dict.fromkeys([*keep, *([key] if key is not None and (queries or len(used) > 1) else [])]))
     for computer, group in used:
         part = computer.compute(df, group, carry if out is None else [key], key, tables or {}, safe)
         out = part if out is None else out.join(part.withColumnRenamed(key, "_k"), F.col(f"`{key}`") == F.col("_k"), "left").drop("_k")
@@ -332,6 +335,41 @@ class TextOracle:
         return known.unionByName(distinct.join(cache.select("key"), "key", "left_anti").mapInPandas(ask, "key string, answer string"))
 
 
+def answer_typed(answer: Column, kind: str, categories: Sequence[str] = ()) -> Column:
+    """A text answer as a kind; what doesn't fit is null, a category beyond the list ``_other_``; kind ``str`` stays text."""
+    if kind == "bool":
+        return F.when(F.lower(answer).isin(*TRUE_WORDS), True).when(F.lower(answer).isin(*FALSE_WORDS), False)
+    if kind in ("int", "float"):
+        return as_number(answer, SQL_TYPES[kind])
+    if kind == "category":
+        return F.when(answer == "", F.lit(None)).when(~answer.isin(list(categories)), F.lit(OTHER)).otherwise(answer)
+    return answer
+
+
+class OracleComputer:
+    """Questions about a text column, by a text oracle; given to ``enrich`` beside ``COMPUTERS``.
+
+    The first question of a text is answered and kept before the others are asked, so a model's cache of the text serves those. An answer
+    that fails is null in its own column only.
+    """
+
+    def __init__(self, oracle: TextOracle, cache: DataFrame | None = None) -> None:
+        self.oracle, self.cache = oracle, cache
+
+    def supports(self, feature: Feature) -> bool:
+        return feature.question is not None
+
+    def compute(self, df: DataFrame, features: list[tuple[Feature, str]], carry: list[str], key: str | None, tables: dict[str, DataFrame], safe: bool) -> DataFrame:
+        texts = list(dict.fromkeys(f.params[0] for f, _ in features))
+        out = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, *texts])))
+        for i, (f, n) in enumerate(features):
+            out = self.oracle.column(out, f.params[0], f.question, n, self.cache)
+            out = out.withColumn(n, answer_typed(F.col(f"`{n}`"), f.kind, f.categories))
+            if i == 0 and len(features) > 1:
+                out = cut_lineage(out)
+        return out.select(*(F.col(f"`{c}`") for c in carry), *(F.col(f"`{n}`") for _, n in features))
+
+
 def keyword_oracle() -> TextOracle:
     """A deterministic stand-in for a model: a question ending in ``: a, b, c`` is answered with the first option the text
     names, else ``none``; any other with the number of words.

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from driftloom.functions.text import FALSE_WORDS, TRUE_WORDS, as_number
 from driftloom.operators.features import OTHER, Feature, enrich
+from driftloom.session import cut_lineage
 from driftloom.types import is_enum, is_nested, is_temporal
 
 
@@ -127,7 +128,7 @@ def law_and_order(df: DataFrame, feature: Feature, key: str, tables: dict[str, D
         enrich(df.select(*dict.fromkeys([key, *declared])), [feature], key, [key], {t: d for t, d in (tables or {}).items() if not feature.tables or t in feature.tables}).schema  # noqa: B018
     except Exception as e:  # noqa: BLE001
         return [Finding("access", str(e).splitlines()[0][:200])]
-    first = value(df).cache()
+    first = cut_lineage(value(df))
     name = next(c for c in first.columns if c != key)
     # the rows dealt out by another key, so that batches and partitions hold other rows in another order
     shuffled = df.repartition(7, F.xxhash64(F.col(key), F.lit(1))).sortWithinPartitions(F.xxhash64(F.col(key), F.lit(2)))
@@ -143,7 +144,6 @@ def law_and_order(df: DataFrame, feature: Feature, key: str, tables: dict[str, D
         found.append(Finding("constant", "one value only"))
     if feature.kind == "category" and any(len(c) > longest for c in feature.categories):
         found.append(Finding("length", f"a category is longer than {longest}"))
-    first.unpersist()
     return found
 
 

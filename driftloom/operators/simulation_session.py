@@ -8,8 +8,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import participants, simulate
+from driftloom.operators import participants, sampling, simulate
 from driftloom.operators.features import TextOracle, keyword_oracle
+from driftloom.progress import stage
+from driftloom.session import cut_lineage
 
 Replies = Callable[[str, list[tuple[str, str]]], str | None]
 
@@ -28,6 +30,20 @@ class Results:
     def lengths(self) -> DataFrame:
         return simulate.message_statistics(self.talks, "scenario_id")
 
+    def analysis(self, real: DataFrame, oracle: TextOracle, most_pairs: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
+        """Outcomes side by side, shares of each, message counts, and how well an oracle tells real talks from simulated ones.
+
+        ``real``: conversation_id, talk (text). Each simulated talk meets the real one it comes from.
+        """
+        line = F.struct("at", F.concat(F.initcap("role"), F.lit(": "), F.col("content")).alias("line"))  # a talk has at most most_messages lines
+        simulated = self.talks.groupBy("scenario_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("simulated"))
+        pairs = self.scenarios.select("scenario_id", "conversation_id").join(simulated, "scenario_id").join(real.select("conversation_id", F.col("talk").alias("real")), "conversation_id")
+        told = participants.tell_real(sampling.uniform(pairs, "scenario_id", most_pairs, seed), "scenario_id", "real", "simulated", oracle, seed)
+        return {
+            "comparison": self.comparison(), "real_outcomes": simulate.outcome_distribution(self.scenarios, "outcome"), "simulated_outcomes": simulate.outcome_distribution(self.outcomes, "outcome"),
+            "lengths": self.lengths(), "adversarial": simulate.accuracy(told, F.col("correct")),
+        }
+
     def save(self, path: str) -> None:
         for name in ("scenarios", "talks", "outcomes"):
             getattr(self, name).write.mode("overwrite").json(f"{path}/{name}")
@@ -72,7 +88,8 @@ class Session:
             talks = participants.converse(scenarios, "scenario_id", "intent", self.agent, self.customer, self.most_messages)
         else:
             talks = simulate.simulate_turns(scenarios, "scenario_id", "intent", self.replies, self.most_messages)
-        talks = talks.withColumnRenamed("key", "scenario_id")
+        with stage("simulate"):
+            talks = cut_lineage(talks.withColumnRenamed("key", "scenario_id"))
         line = F.struct("at", F.concat(F.initcap("role"), F.lit(": "), F.col("content")).alias("line"))  # a talk has at most most_messages lines
         texts = talks.groupBy("scenario_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("talk"))
         ended = participants.detect_outcomes(texts, "talk", list(self.outcomes), self.oracle or keyword_oracle())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import text as txt
 from driftloom.operators import features as ft
-from driftloom.operators import generate
+from driftloom.operators import generate, split
 from driftloom.operators.analyze import analyze, discover_problem
 from driftloom.operators.cache import refreshed
 from driftloom.operators.recommend import looks_numeric
+from driftloom.operators.text_features import OracleQuestions
 from driftloom.plans.common import hash_sql
 from driftloom.plans.registry import query
 from driftloom.session import cut_lineage, shared_folder, table
@@ -269,3 +271,23 @@ def numeric_labels(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     labels = o.select(F.col("o_orderpriority").alias("label")).union(o.select(F.col("o_totalprice").cast("string"))).union(spark.createDataFrame([("(-inf, 0.5]",)], "label string")).distinct()
     return labels.agg(F.count_if(looks_numeric(F.col("label"))).alias("numeric"), F.count("*").alias("labels"))
+
+
+@query("""
+SELECT pair_id, CASE WHEN lower(prompt) LIKE '%invoice%' THEN 'invoice' WHEN lower(prompt) LIKE '%router%' THEN 'router' WHEN lower(prompt) LIKE '%contract%' THEN '_other_' WHEN prompt IS NOT NULL THEN '_other_' END AS topic,
+  length(prompt) > 40 AS long FROM responses""")
+def oracle_features(spark: SparkSession, d: str) -> DataFrame:
+    """Questions as features beside an expression: each kind by its computer."""
+    made = [ft.Feature("topic", "category", question="What is it about: invoice, router, contract", params=("prompt",), categories=("invoice", "router")), ft.Feature("long", "bool", "length(prompt) > 40")]
+    return ft.enrich(table(spark, d, "responses"), made, "pair_id", ["pair_id"], computers=(*ft.COMPUTERS, ft.OracleComputer(ft.keyword_oracle())))
+
+
+@query("SELECT 'About: invoice, router, contract' AS question, 'category' AS kind, count(*) > 0 AS found FROM responses WHERE prompt IS NOT NULL")
+def oracle_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions proposed by a scripted model: one of two equal ones is kept, one that is never answered is dropped."""
+    asked = ["About: invoice, router, contract", " about: Invoice, router, contract", "Nothing"]
+    words = ft.keyword_oracle()
+    scripted = ft.TextOracle(lambda q, t: "```json\n" + json.dumps(asked) + "\n```" if q == "Propose questions" else "" if q == "Nothing" else words.answer(q, t), "scripted")
+    search = split.part(split.split(table(spark, d, "responses").where("should_respond IS NOT NULL").select("pair_id", "prompt", "should_respond"), "pair_id", 0.8, 1000, 0), "feature_search")
+    made = list(OracleQuestions(scripted, "prompt", goal_text="Find out.").generate(search, "should_respond", "pair_id", {}))
+    return spark.createDataFrame([(g.feature.question, g.feature.kind, g.has_good_defaults) for g in made], "question string, kind string, found boolean")

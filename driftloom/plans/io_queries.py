@@ -117,3 +117,15 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     counted = streams.windowed_counts(stream.where("ts IS NOT NULL"), "ts", "event_type", "1 day").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
     streams.write_latest(counted, f"{out}/rows", f"{out}/state")
     return spark.read.schema("start timestamp_ntz, event_type string, n long").parquet(f"{out}/rows")
+
+
+@query("SELECT event_id, coalesce(value > 50, false) AS big, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '_other_' END AS kind FROM events")
+def stream_in_steps(spark: SparkSession, d: str) -> DataFrame:
+    """A bounded number of files at a time: several micro-batches give what one gives."""
+    place, events = _place(spark, "steps"), table(spark, d, "events")
+    events.repartition(4, "event_id").write.parquet(f"{place}/in")
+    stream = streams.read_files(spark, f"{place}/in", events.schema, files_at_once=1)
+    done = streams.write_all(streams.enrich_stream(stream, _STREAMED, ["event_id"], defaults=True), f"{place}/rows", f"{place}/state")
+    if len(done.recentProgress) < 4:
+        raise AssertionError("the files weren't read one at a time")
+    return spark.read.parquet(f"{place}/rows")

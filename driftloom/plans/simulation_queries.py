@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from driftloom.operators import participants, recommend, sampling, similar, simu
 from driftloom.operators.features import TextOracle, keyword_oracle
 from driftloom.plans.common import MESSAGES_SQL, hash_sql, messages
 from driftloom.plans.registry import query
-from driftloom.session import table
+from driftloom.operators.simulation_session import Session, load
+from driftloom.session import shared_folder, table
 
 _ENDS = ["price", "callback", "cancel"]
 
@@ -175,3 +177,17 @@ def conversation_features(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "telco_main").where("churn_status IS NOT NULL")
     explained = stats.explained(df, {"age": F.col("age"), "customer": F.col("customer_id")}, [("churn_status", F.col("churn_status").cast("double"))])
     return recommend.of_conversations(explained, {"age": "talks"}).select("feature", F.round("r_squared", 6).alias("r_squared"))
+
+
+@query("""
+WITH o AS (SELECT conversation_id, min(outcome) AS outcome FROM conversations WHERE conversation_id IS NOT NULL AND outcome IS NOT NULL GROUP BY 1),
+r AS (SELECT lower(trim(outcome, ' ')) AS outcome, count(*) AS real FROM o GROUP BY 1), n AS (SELECT count(*) AS n FROM o)
+SELECT outcome, real, CASE WHEN outcome = 'callback agreed' THEN n ELSE 0 END AS simulated FROM r, n""")
+def session_saved(spark: SparkSession, d: str) -> DataFrame:
+    """A whole simulation, written as JSON and read again; every simulated talk ends with a callback."""
+    own = table(spark, d, "conversations").where("conversation_id IS NOT NULL AND outcome IS NOT NULL").groupBy("conversation_id").agg(F.min("outcome").alias("outcome"))
+    openings = own.select("conversation_id", F.lit("I would like to know the price").alias("intent"), F.lower(F.trim("outcome")).alias("outcome"))
+    run = Session(("price objection", "callback agreed")).with_replies(lambda role, said: "then a callback agreed" if len(said) == 1 else None).with_most_messages(4).run(openings)
+    place = f"{shared_folder(spark)}/session-{uuid.uuid4().hex[:12]}"
+    run.save(place)
+    return load(spark, place).comparison().select("outcome", "real", "simulated")
