@@ -107,6 +107,9 @@ SELECT dialogue_id, CASE WHEN broken THEN 'broken' WHEN NOT spoken THEN 'empty'
 FROM d WHERE broken OR NOT spoken OR NOT coalesce(last_agent > first_customer, false)""",
     "p6_found": f"""
 SELECT limit_name, doc_id FROM documents, pack_limits WHERE {_TOKENS} > capacity_tokens""",
+    "p6_totals": f"""
+SELECT limit_name, CAST(capacity_tokens AS BIGINT) AS capacity, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS documents, count(*) FILTER (n > capacity_tokens) AS split, 0 AS overfull, CAST(ceil(sum(n) / capacity_tokens) AS BIGINT) AS least_containers, true AS close
+FROM (SELECT {_TOKENS} AS n FROM documents), pack_limits GROUP BY limit_name, capacity_tokens""",
     "p7_found": f"""
 WITH t AS (SELECT source, {_TOKENS} AS n FROM documents)
 SELECT m.source FROM mix_targets m

@@ -98,6 +98,16 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p6_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any right packing: nothing lost or split without need, nothing overfull, next to no container too many."""
+    packed = _packed(spark, d)
+    documents = packed.groupBy("limit_name").agg(F.count_if(F.col("part") == 0).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("part") == 0)).alias("split"))
+    bins = packed.groupBy("limit_name", "capacity", "container").agg(F.sum("tokens").alias("fill")).groupBy("limit_name", "capacity").agg(
+        F.sum("fill").alias("tokens"), F.count_if(F.col("fill") > F.col("capacity")).alias("overfull"), F.count("*").alias("_n"), F.ceil(F.sum("fill") / F.col("capacity")).alias("least_containers")
+    )
+    return bins.join(documents, "limit_name").select("limit_name", "capacity", "tokens", "documents", "split", "overfull", "least_containers", (F.col("_n") <= 1.02 * F.col("least_containers") + 1).alias("close"))
+
+
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     # counted once; the plan and the mix read the sizes only
     sized = cut_lineage(_sized(spark, d, "source"))
@@ -119,7 +129,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p3_sample, p4_found, p4_masked, p5_found, p5_conversations, p6_found, p6_containers, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_report, p3_sample, p4_found, p4_masked, p5_found, p5_conversations, p6_found, p6_containers, p6_report, p6_totals, p7_found, p7_mix, p7_report, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
