@@ -53,7 +53,7 @@ MARKED_STYLE = re.compile(r"[.!?][\"'»”’)\]]*\s+[\"'«“‘¿¡(\[\d:]*\s*
 GREETING = re.compile(r"\W*\w+(?:\W+\w+)?[.!?]")
 STYLE_ODDS, STYLE_MORE, STYLE_MOST = 6.0, 1.0, 3
 
-_ENDING = "_id string, _same long, _plain boolean, _mark boolean, _styled int, _final boolean, _number boolean, _open boolean, _inside boolean, _closed boolean, _bracket boolean, g0 long, g1 long, g2 long, g3 long"
+_ENDING = "_id string, _same long, _length int, _plain boolean, _mark boolean, _styled int, _final boolean, _number boolean, _open boolean, _inside boolean, _closed boolean, _bracket boolean, g0 long, g1 long, g2 long, g3 long"
 
 
 def _bare(text: str) -> str:
@@ -116,9 +116,9 @@ def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             end = max(0, len(whole) - 256)
             x = _bare(whole)
             found = lambda p, x=x: p.search(x, max(0, len(x) - 256)) is not None
-            rows.append((key, whole, PLAIN_NOTE.search(whole, end) is not None, MARK_NOTE.search(whole, end) is not None, _styled(x), found(FINAL_MARK), found(NUMBER_END), found(OPEN_END), found(INSIDE_MARKUP) or _inside_json(x), found(CLOSED_END), found(BRACKET_END)))
+            rows.append((key, whole, len(text), PLAIN_NOTE.search(whole, end) is not None, MARK_NOTE.search(whole, end) is not None, _styled(x), found(FINAL_MARK), found(NUMBER_END), found(OPEN_END), found(INSIDE_MARKUP) or _inside_json(x), found(CLOSED_END), found(BRACKET_END)))
             last += _tail_tokens(FINAL_MARK.sub("", x) if found(FINAL_MARK) else x, 3)
-        out = pd.DataFrame(rows, columns=names[:11]).astype({"_id": object, "_styled": "int32"})
+        out = pd.DataFrame(rows, columns=names[:12]).astype({"_id": object, "_styled": "int32", "_length": "int32"})
         h = _hashes(last)[0].reshape(-1, 3)
         a, b, c = h[:, 0], h[:, 1], h[:, 2]
         out["_same"] = pd.util.hash_array(out["_same"].to_numpy(dtype=object), categorize=False).view(np.int64) if len(out) else np.zeros(0, np.int64)
@@ -161,8 +161,8 @@ def ngram_counts(texts: DataFrame, text: str, wanted: np.ndarray | None = None)
 
 
 def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
-    """(key, cut_evidence, complete) of every non-blank text: log odds of a cut against a complete text, from its ending alone, and
-    whether it ends as only complete texts do.
+    """(key, cut_evidence, complete, length, same) of every non-blank text: log odds of a cut against a complete text, from its ending
+    alone; whether it ends as only complete texts do; its characters and its hash.
 
     ``corpus``: the texts to learn from, in a column ``text`` (default: the texts themselves). ``key`` must be unique.
     """
@@ -196,4 +196,4 @@ def with_endings(texts: DataFrame, key: str, text: str, corpus: DataFrame | None
     complete = ~F.col("_plain") & ~F.col("_mark") & ~F.col("_open") & ~F.col("_inside") & (F.col("_final") & ~listing | F.col("_closed") & ~F.col("_final") & ~goes_on)
     # joined by the ending, of which a third of the texts may have the same: AQE splits such a key on the side of the texts
     both = own.join(facts, ["g0", "g3"])
-    return both.select(F.col("_id").cast(texts.schema[key].dataType).alias(key), F.round(evidence, 6).alias("cut_evidence"), complete.alias("complete"))
+    return both.select(F.col("_id").cast(texts.schema[key].dataType).alias(key), F.round(evidence, 6).alias("cut_evidence"), complete.alias("complete"), F.col("_length").alias("length"), F.col("_same").alias("same"))

@@ -85,8 +85,12 @@ def limit_posteriors(texts: DataFrame, text: str, source: str) -> DataFrame:
 
     Repeated texts count once: they would look like limits.
     """
-    sizes = texts.where(~is_blank(F.col(text))).select(F.col(source).alias("source"), F.length(text).alias("length"), F.xxhash64(text).alias("same")).distinct()
-    histogram = sizes.groupBy("source", "length").agg(F.count("*").alias("n"))
+    return _fit_limits(texts.where(~is_blank(F.col(text))).select(F.col(source).alias("source"), F.length(text).alias("length"), F.xxhash64(text).alias("same")))
+
+
+def _fit_limits(sizes: DataFrame) -> DataFrame:
+    """From (source, length, same)."""
+    histogram = sizes.select("source", "length", "same").distinct().groupBy("source", "length").agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("length")
@@ -132,12 +136,13 @@ def _rising(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def judge(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, source, length, limit_posterior, cut_probability, cut_evidence) of every non-blank text. ``key`` must be unique."""
-    evidence = with_endings(texts, key, text)
-    own = texts.where(~is_blank(F.col(text))).select(key, F.col(source).alias("source"), F.length(text).alias("length"))
-    limits = broadcast_if_small(cut_lineage(limit_posteriors(texts, text, source).withColumnRenamed("source", "_s").withColumnRenamed("length", "_l")))
+    # the texts are read twice, for their endings and for the counts; all else needs their sizes only
+    evidence = with_endings(texts, key, text).withColumnRenamed(key, "_key")
+    own = cut_lineage(texts.select(F.col(key), F.col(source).alias("source")).join(evidence, F.col(key) == F.col("_key")).drop("_key"))
+    limits = broadcast_if_small(cut_lineage(_fit_limits(own).withColumnRenamed("source", "_s").withColumnRenamed("length", "_l")))
     prior = own.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_l")), "left").drop("_s", "_l")
     degree = F.greatest(F.least(F.round(F.col("cut_evidence") / DEGREE), F.lit(MOST_DEGREE)), F.lit(LEAST_DEGREE)).cast("int")
-    both = cut_lineage(prior.join(evidence, key).withColumn("_degree", degree))
+    both = prior.withColumn("_degree", degree)
     counts = both.groupBy("_degree", F.round("posterior", 2).alias("p"), "complete").agg(F.count("*").alias("n")).collect()  # degrees times 101 times 2 at most
     weights, rate = ending_weights([(r["_degree"], r["p"], r["complete"], r["n"]) for r in counts])
     weight = F.element_at(F.array(*(F.lit(weights[d]) for d in sorted(weights))), F.col("_degree") - LEAST_DEGREE + 1)

@@ -86,3 +86,14 @@ def test_json_is_open_however_long_ago_it_began():
     long = 'Read this: {"text": "' + "word " * 500
     assert _inside_json(long) and not _inside_json(long + '"}') and not _inside_json("no json") and _inside_json('{"a": {"b": 1}, "c": [1, 2')
     assert _tail_tokens("x " * 400 + "I paid 12.50 Euro", 3) == ["paid", "0", "euro"] and _tail_tokens("", 3) == ["\n"] * 3
+
+
+def test_extra_and_clashing_columns(spark):
+    rows, cut = corpus(n=200)
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = plain.selectExpr("doc_id", "text AS body", "source AS origin", "1 AS length", "'x' AS text", "2.0D AS posterior", "'y' AS source", "3 AS _id", "4 AS same", "5 AS cut_evidence", "6 AS _key")
+    found = lambda d, t, s: {r["doc_id"] for r in truncation.cut_texts(d, "doc_id", t, s).collect()}
+    assert found(odd, "body", "origin") == found(plain, "text", "source")
+    twice = plain.unionByName(plain.withColumn("doc_id", plain["doc_id"] + 10_000))
+    again = found(twice, "text", "source")
+    assert {i + 10_000 for i in again if i < 10_000} == {i for i in again if i >= 10_000}
