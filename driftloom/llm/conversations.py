@@ -5,7 +5,8 @@ A dialogue may hold any share of all rows, so no dialogue is ever sorted or coll
 
 Defined cases: blank messages are left out of the conversation but their dialogue is still judged; messages without a
 dialogue id belong to no dialogue; a message delivered twice (same dialogue, sender, time and text) counts once, under its
-least msg_id; equal times keep the order of msg_id; msg_id must be unique. An empty table gives empty results.
+least msg_id; equal times keep the order of msg_id; msg_ids must be unique, nulls stand for
+messages without one. An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -156,12 +157,14 @@ def rebuild(turns: DataFrame, sender_forms: DataFrame, max_gap_micros: int | Non
     leaves parts of conversations.
     """
     messages, numbered, _ = _sessionized(turns, sender_forms, max_gap_micros)
-    numbered = cut_lineage(numbered.drop("text"))
+    numbered = cut_lineage(numbered.withColumnRenamed("text", "_h"))
     judged = cut_lineage(_sessions(messages, numbered))
     # sessions and dialogues are joined before the messages, of which a dialogue may hold any share; AQE splits such a key
     kept = judged.where("session_no > 0").join(_dropped(judged), "dialogue_id", "left_anti").select("dialogue_id", "session_no", F.col("replied").alias("session_replied"))
     if replied_only:
         kept = kept.where("session_replied")
-    # each text is shuffled once, to its message
-    rows = numbered.join(kept, ["dialogue_id", "session_no"]).join(turns.select("msg_id", "text"), "msg_id")
+    # each text is shuffled once, to its message; messages without an id are told by dialogue, time and text
+    found = numbered.join(kept, ["dialogue_id", "session_no"])
+    nameless = turns.where("msg_id IS NULL").select("dialogue_id", "sent_at", "text", F.xxhash64("text").alias("_h")).dropDuplicates(["dialogue_id", "sent_at", "_h"])
+    rows = found.join(turns.select("msg_id", "text"), "msg_id").unionByName(found.where("msg_id IS NULL").join(nameless, ["dialogue_id", "sent_at", "_h"]))
     return rows.select("dialogue_id", "position", "session_no", "session_replied", "role", "sent_at", "text", "msg_id")

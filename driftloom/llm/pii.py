@@ -10,7 +10,7 @@ streets in lower case. Only hashes of distinct (instance, pattern) are shuffled.
 
 Defined cases: null and blank texts hold nothing and stay as they are; overlapping items are masked as the first and longest
 of them; the same kind twice in a message is one row; repeated messages are searched each; an empty name list or an empty
-table gives what the other seeds find, or nothing. Keys must be unique and not null.
+table gives what the other seeds find, or nothing. Keys must be unique; rows without one are searched and masked too.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ _STREET = re.compile(rf"(?i)^(?:{STREET_WORDS})$")
 _CODE = re.compile(r"\S*[@_+\d]\S*|\w+(?:[.-][a-z0-9]\w*)+")
 _JOINED = set("@_+0123456789")
 
+#: Before the keys made for rows that have none.
+NO_KEY = "\x00"
 #: Rows of kind ``count`` hold a word's uses in ``start`` and those in lower case in ``end``.
 _MENTION = "key string, kind string, start int, end int, item long, seed string, patterns array<long>, left1 long, right1 long, barred boolean"
 
@@ -391,9 +393,18 @@ def name_items(texts: DataFrame, mentions: DataFrame, patterns: DataFrame, insta
     return low.unionByName(hits).distinct().select("key", F.lit("name").alias("kind"), "start", "end")
 
 
+def _keyed(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text); rows without a key have one made of their text, equal texts the same."""
+    return texts.select(F.coalesce(F.col(key).cast("string"), F.concat(F.lit(NO_KEY), F.sha2(F.col(text), 256)), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))
+
+
+def _own_key(texts: DataFrame, key: str):
+    return F.when(~F.col("key").startswith(NO_KEY), F.col("key")).cast(texts.schema[key].dataType).alias(key)
+
+
 def find_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
-    """(key, kind, start, end) of every item; ``key`` as text."""
-    own = texts.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text IS NOT NULL AND key IS NOT NULL")
+    """(key, kind, start, end) of every item; ``key`` as ``_keyed`` gives it."""
+    own = _keyed(texts, key, text).where("text IS NOT NULL")
     mentions = cut_lineage(own.mapInPandas(_extract, _MENTION))
     patterns, instances, words = _graph(mentions, listed)
     forms = cut_lineage(form_items(mentions, patterns, instances))
@@ -407,7 +418,7 @@ def find_items(texts: DataFrame, key: str, text: str, listed: DataFrame) -> Data
 def kinds_found(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
     """(key, pii_kind): one row per text and kind it holds."""
     found = find_items(texts, key, text, listed).select("key", F.col("kind").alias("pii_kind")).distinct()
-    return found.select(F.col("key").cast(texts.schema[key].dataType).alias(key), "pii_kind")
+    return found.select(_own_key(texts, key), "pii_kind")
 
 
 def _mask(text: str, spans: list) -> str:
@@ -432,6 +443,6 @@ def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def masked(texts: DataFrame, key: str, text: str, listed: DataFrame) -> DataFrame:
     """(key, text): every text, its items replaced by typed placeholders, all else unchanged. ``key`` must be unique."""
     spans = find_items(texts, key, text, listed).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))
-    both = texts.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(spans, "key", "left")
+    both = _keyed(texts, key, text).join(spans, "key", "left")
     done = both.where("spans IS NOT NULL").mapInPandas(_masked, "key string, text string").unionByName(both.where("spans IS NULL").select("key", "text"))
-    return done.select(F.col("key").cast(texts.schema[key].dataType).alias(key), F.col("text").alias(text))
+    return done.select(_own_key(texts, key), F.col("text").alias(text))

@@ -78,3 +78,9 @@ def test_sessions_without_reply_are_told_and_can_be_dropped(spark):
     assert got == {1: (1, True), 2: (1, True), 3: (2, False), 4: (3, True), 5: (3, True), 6: (1, False), 7: (2, False)}
     assert {r["msg_id"] for r in cv.rebuild(turns, forms, hour, replied_only=True).collect()} == {1, 2, 4, 5}
     assert {(r["dialogue_id"], r["defect"]) for r in cv.dropped_dialogues(turns, forms, hour).collect()} == {("never", "no_reply")}
+
+
+def test_messages_without_an_id(spark):
+    rows = [(1, "d", "customer", "2024-01-01 10:00:00", "a"), (None, "d", "agent", "2024-01-01 10:01:00", "b"), (None, "d", "agent", "2024-01-01 10:01:00", "b"), (4, "d", "customer", "2024-01-01 10:02:00", "c")]
+    got = [(r["position"], r["text"], r["msg_id"]) for r in cv.rebuild(*tables(spark, rows)).orderBy("position").collect()]
+    assert got == [(1, "a", 1), (2, "b", None), (3, "c", 4)]

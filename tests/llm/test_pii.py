@@ -74,3 +74,13 @@ def test_labels_are_told_in_words_within_the_sentence():
     seed = lambda t: [m[4] for m in pii.mentions_of(t) if m[0] == "number"]
     assert seed("Passport no. P 7498501, issued in August.") == ["identity"] and seed("The passport " + "x" * 300 + " is 74985012") == ["identity"]
     assert seed("Is this the order? 15945550154") == [None] and seed("is 26682548-R your identity card number") == ["identity"] and seed("The serial of the tablet is P4416694.") == ["other"]
+
+
+def test_rows_without_key_and_clashing_columns(spark):
+    texts, listed = tables(spark, corpus() + [c[:2] for c in CASES])
+    nameless = spark.createDataFrame([(None, "SSN: 952-88-2554"), (None, "SSN: 952-88-2554"), (None, None)], "msg_id long, text string")
+    odd = texts.unionByName(nameless).selectExpr("msg_id", "text AS said", "'x' AS text", "1 AS start", "'k' AS kind", "'i' AS item", "2 AS key", "3 AS patterns")
+    got = {(r["msg_id"], r["pii_kind"]) for r in pii.kinds_found(odd, "msg_id", "said", listed).collect()}
+    assert (None, "identity") in got and (1001, "email") in got
+    masked = pii.masked(odd, "msg_id", "said", listed).collect()
+    assert len(masked) == odd.count() and sorted(str(r["said"]) for r in masked if r["msg_id"] is None) == ["None", "SSN: [IDENTITY]", "SSN: [IDENTITY]"]
