@@ -62,7 +62,7 @@ _EMAIL = re.compile(
 )
 _NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\(|(?!ID |NO )[A-Z]{1,2} |[A-Za-z]{1,3}-?)?\d+(?:(?:[ ./-]|\)[ -]?| ?\(0?\)? ?|\()[A-Z]{0,2}\d+)*(?:-?[A-Za-z]{1,3}\d*|(?<=\b\d{8}) (?![AIOU]\b)[A-Z]\b)?(?:\s*(?:ext\.?|extension|x)\s?\d{1,5})?(?![\w@])")
 #: What every mail and every spelled number holds.
-_MAIL_CUE, _SPELLED_CUE = re.compile(r"(?i)@|\bat\b|arroba"), re.compile(r"(?i)zero|\boh\b|nought|one|two|three|four|five|six|seven|eight|nine")
+_MAIL_CUE, _SPELLED_CUE = re.compile(r"(?i)@|\bat\b|arroba"), re.compile(rf"(?i)\b(?:{'|'.join(DIGIT_WORDS)})[\s,-]+(?:(?:double|triple)[\s-]?)?(?:{'|'.join(DIGIT_WORDS)})\b")
 #: Where the form stands among the patterns of a number.
 FORM_AT = 0
 _DATE = re.compile(r"(?:19|20)\d\d([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2(?:19|20)\d\d")
@@ -79,7 +79,7 @@ _MAYBE = r"(?i)\d|@|\bat\b|\barroba\b|zero|\boh\b|five|seven|eight|nine|three|fo
 _SENTENCE = re.compile(r"[!?]\s|\n|(?<=[^\W\d_]{4})\.\s|\.\s+(?=[A-Z])")
 _STREET = re.compile(rf"(?i)^(?:{STREET_WORDS})$")
 #: Characters beside a word that make it a part of an address or a code.
-_CODE = re.compile(r"\S*[@_+\d]\S*|\w+(?:[.-][a-z0-9]\w*)+")
+_CODE, _CODE_CUE = re.compile(r"(?<!\S)[^\s@_+\d]*[@_+\d]\S*|\b\w+(?:[.-][a-z0-9]\w*)+"), re.compile(r"[@_+\d]|\w[.-][a-z0-9]")
 _JOINED = set("@_+0123456789")
 
 #: Before the keys made for rows that have none.
@@ -241,7 +241,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     beside += ["", ""]
             words = _WORD.findall(text)
             # the parts of addresses and codes are no words
-            uses.update(_WORD.findall(_CODE.sub(" ", text)) if _CODE.search(text) else words)
+            uses.update(_WORD.findall(_CODE.sub(" ", text)) if _CODE_CUE.search(text) else words)
             for a, b, word, own, left, right, barred in _capitals(_Text(text, words)):
                 rows.append((key, "word", a, b, None, barred))
                 items.append(f"word {word}")
