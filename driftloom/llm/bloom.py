@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Bits of a filter of very many hashes, such as all endings; filters of words and the like take fewer.
 BITS = 1 << 25
 _PAGE = 4096
+#: Tasks that fill a filter at most, so that what is put together doesn't grow with the input's partitions.
+BUILDERS = 256
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -62,7 +64,7 @@ def build(df: DataFrame, *columns: str, size: int = BITS) -> np.ndarray:
     def both(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"page": pdf["page"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["bits"]]).tobytes()]})
 
-    own = df.select(*(F.col(c) for c in columns)).dropna()
+    own = df.select(*(F.col(c) for c in columns)).dropna().coalesce(BUILDERS)
     pages = own.mapInPandas(fill, "page long, bits binary").groupBy("page").applyInPandas(both, "page long, bits binary")
     out = np.zeros((size // 8 // _PAGE, _PAGE), dtype=np.uint8)
     for r in pages.collect():  # size / 8 bytes at most
