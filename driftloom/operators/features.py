@@ -60,6 +60,8 @@ class Feature:
     description: str = ""
     tables: tuple[str, ...] = ()
     params: tuple[str, ...] = ()
+    #: Access paths to secondary tables it uses, as table.name.
+    strategies: tuple[str, ...] = ()
     row: Callable | None = None
     batch: Callable[[pd.DataFrame], pd.Series] | None = None
     question: str | None = None
@@ -101,7 +103,7 @@ class Feature:
     @staticmethod
     def from_dict(d: dict) -> "Feature":
         d = {k: v for k, v in d.items() if k != "type"}
-        return Feature(**d | {k: tuple(d.get(k, ())) for k in ("categories", "tables", "params")})
+        return Feature(**d | {k: tuple(d.get(k, ())) for k in ("categories", "tables", "params", "strategies")})
 
 
 def sql_feature(df: DataFrame, name: str, query: str, key: str, tables: dict[str, DataFrame] | None = None, categories: Sequence[str] = ()) -> Feature:

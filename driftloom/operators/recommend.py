@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.prompts import recommendation_request
 from driftloom.functions.text import fenced_json, token_estimate
 from driftloom.operators import sampling
-from driftloom.operators.features import TextOracle
+from driftloom.operators.features import Feature, TextOracle
 from driftloom.session import placed
 
 
@@ -79,6 +81,14 @@ def dashboard(explained: DataFrame, stats: DataFrame) -> DataFrame:
     return r2.join(F.broadcast(kinds), F.lit(True))
 
 
+def conversation_sources(features: Sequence[Feature], conversations: set[str]) -> dict[str, str]:
+    """The conversation access path of each feature that uses one; a feature with several is an error."""
+    used = {f.name: [s for s in f.strategies if s in conversations] for f in features}
+    if several := sorted(n for n, s in used.items() if len(s) > 1):
+        raise ValueError(f"features with several conversation tables: {several}")
+    return {n: s[0] for n, s in used.items() if s}
+
+
 def of_conversations(explained: DataFrame, sources: dict[str, str]) -> DataFrame:
     """Features drawn from conversations, from the most explained variance down. ``sources``: the conversation table of each such feature; they
     must have one.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.operators import participants, recommend, sampling, similar, simulate, stats
-from driftloom.operators.features import TextOracle, keyword_oracle
+from driftloom.operators.features import Feature, TextOracle, keyword_oracle
 from driftloom.plans.common import MESSAGES_SQL, hash_sql, messages
 from driftloom.plans.registry import query
 from driftloom.operators.simulation_session import Session, load
@@ -176,7 +176,8 @@ def conversation_features(spark: SparkSession, d: str) -> DataFrame:
     """Only the features that come from the one conversation table."""
     df = table(spark, d, "telco_main").where("churn_status IS NOT NULL")
     explained = stats.explained(df, {"age": F.col("age"), "customer": F.col("customer_id")}, [("churn_status", F.col("churn_status").cast("double"))])
-    return recommend.of_conversations(explained, {"age": "talks"}).select("feature", F.round("r_squared", 6).alias("r_squared"))
+    made = [Feature("age", "int", "age", strategies=("turns.talks",)), Feature("customer", "int", "customer_id", strategies=("billing.rows",))]
+    return recommend.of_conversations(explained, recommend.conversation_sources(made, {"turns.talks"})).select("feature", F.round("r_squared", 6).alias("r_squared"))
 
 
 @query("""

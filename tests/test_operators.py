@@ -618,5 +618,7 @@ def test_conversation_tables_must_be_one(spark):
     e = spark.createDataFrame([("a", 0.1)], "feature string, r_squared double")
     with pytest.raises(ValueError):
         recommend.of_conversations(e, {"a": "x", "b": "y"})
+    with pytest.raises(ValueError):
+        recommend.conversation_sources([ft.Feature("a", "int", "1", strategies=("t.x", "t.y"))], {"t.x", "t.y"})
     for bad in ("no block", "```json\n[]\n``` ```json\n[]\n```"):
         assert recommend.parse_report(spark.createDataFrame([(bad,)], "answer string"), "answer").count() == 0
