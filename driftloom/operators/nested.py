@@ -215,7 +215,7 @@ def flat_table(df: DataFrame, key: str, payload: str, root: Level, name: str = "
     """One flat table: the records themselves (``name`` empty) or the objects of one list.
 
     Columns: ``key``, and for a list ``node_path``, ``parent_path`` (null right below the record) and ``ordinal``; then
-    every scalar field as text, joined names for fields of nested objects.
+    every scalar field as text, joined names for fields of nested objects; a field that holds an object is null itself.
     """
     chain = _find(root, name)
     if not chain:
@@ -233,7 +233,10 @@ def flat_table(df: DataFrame, key: str, payload: str, root: Level, name: str = "
         while label.lower() in taken:
             label += "_"
         taken.add(label.lower())
-        out.append(F.expr(f"try_variant_get({_step('_node', route)}, '$', 'string')").alias(label))
+        value, deeper = _step("_node", route), any(other[: len(route)] == route and len(other) > len(route) for other in chain[-1].scalars)
+        text = f"try_variant_get({value}, '$', 'string')"
+        # where some records hold an object, its fields are columns of their own
+        out.append(F.expr(f"if({_object(value)} IS NOT NULL, NULL, {text})" if deeper else text).alias(label))
     return rows.select(*out)
 
 

@@ -42,7 +42,9 @@ def _flat_sql(name: str, fields: list[str]) -> str:
     return f"{_NODES} SELECT record_id, path AS node_path, parent AS parent_path, CAST(n AS INT) AS ordinal, {values} FROM {name}"
 
 
+_RECORD_FIELDS = ["conversation.lang", "dialogue_id", "meta.client.os", "meta.client.v", "meta.turns", "outcome", "outcome.detail.by", "outcome.detail.score", "outcome.name", "source"]
 _FLAT_SQL = {
+    "": _NODES + " SELECT record_id, " + ", ".join(f"CASE WHEN json_type(json_extract(node, '$.{f}')) <> 'OBJECT' THEN json_extract_string(node, '$.{f}') END AS {f.replace('.', '_')}" for f in _RECORD_FIELDS) + " FROM root",
     "turns": _flat_sql("turns", ["sender", "text", "timestamp"]),
     "attachments": _flat_sql("attachments", ["bytes", "kind", "name"]),
     "labels": _flat_sql("labels", ["label", "score"]),

@@ -103,7 +103,10 @@ def adversarial_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return simulate.accuracy(table(spark, d, "responses"), F.col("should_respond")).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query()
+@query(f"""
+WITH {MESSAGES_SQL}, o AS (SELECT dialogue_id AS key, arg_min(text, struct_pack(s := sent_at, m := msg_id)) AS c0 FROM messages WHERE role = 'customer' GROUP BY 1),
+a AS (SELECT *, 'agent answers to ' || length(c0) || ' characters' AS c1 FROM o), b AS (SELECT *, 'customer answers to ' || length(c1) || ' characters' AS c2 FROM a), c AS (SELECT *, 'agent answers to ' || length(c2) || ' characters' AS c3 FROM b)
+SELECT key, CAST(n AS INT) AS "at", CASE WHEN n % 2 = 0 THEN 'customer' ELSE 'agent' END AS role, [c0, c1, c2, c3][n + 1] AS content FROM c, (SELECT unnest(range(4)) AS n)""")
 def simulate_turns(spark: SparkSession, d: str) -> DataFrame:
     openings = messages(spark, d).where("role = 'customer'").groupBy("dialogue_id").agg(F.min_by("text", F.struct("sent_at", "msg_id")).alias("opening"))
 

@@ -508,7 +508,7 @@ def test_python_features_fail_or_are_null(spark):
     df = spark.createDataFrame([(1, 4, "a"), (2, 0, "b"), (3, None, None)], "id int, n int, t string")
     div = ft.Feature("d", "float", params=("n",), row=lambda n: 8 / n)
     assert [r["d"] for r in ft.enrich(df, [div], keep=["id"], safe=True).orderBy("id").collect()] == [2.0, None, None]
-    with pytest.raises(Exception, match="division"):
+    with pytest.raises(Exception, match="division|unsupported operand"):
         ft.enrich(df, [div], keep=["id"]).collect()
     short = ft.Feature("s", "int", params=("n",), batch=lambda frame: frame["n"].head(0))
     with pytest.raises(Exception, match="height"):
