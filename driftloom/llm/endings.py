@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from driftloom.llm import bloom
 from driftloom.llm.bloom import mixed
+from driftloom.llm.textunits import in_pieces
 from driftloom.session import cut_lineage
 
 #: Notes that mark a cut, in brackets at the end (fixed values).
@@ -107,7 +108,7 @@ def _hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The marks at the end of each text and the n-grams of its last tokens: g0 of three, g1 of two, g2 of one, g3 of the two before the last."""
     names = [c.split()[0] for c in _ENDING.split(", ")]
-    for pdf in batches:
+    for pdf in in_pieces(batches, "text"):
         rows, last = [], []
         for key, text in zip(pdf["key"], pdf["text"]):
             whole = text.rstrip()
@@ -136,7 +137,7 @@ def ngram_counts(texts: DataFrame, text: str, wanted: np.ndarray | None = None)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared.value
-        for pdf in batches:
+        for pdf in in_pieces(batches, "text"):
             tokens, lengths = [], []
             for t in pdf["text"]:
                 own = ["\n", "\n", *_TOKEN.findall(_NUMBER.sub("0", _bare(t).lower()))]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm import bloom
+from driftloom.llm.textunits import in_pieces
 from driftloom.session import broadcast_if_small, cut_lineage, drop_checkpoint
 
 #: Rounds of scoring; share of a pattern's labelled instances that must agree; distinct instances it needs.
@@ -228,7 +229,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All mentions of the texts, and how often each word stands in each case."""
     names = [c.split()[0] for c in _MENTION.split(", ")]
     maybe = re.compile(_MAYBE)
-    for pdf in batches:
+    for pdf in in_pieces(batches, "text"):
         rows, items, patterns, sizes, beside = [], [], [], [], []
         uses: Counter = Counter()
         for key, text in zip(pdf["key"], pdf["text"]):
@@ -365,7 +366,7 @@ def name_items(texts: DataFrame, mentions: DataFrame, patterns: DataFrame, insta
 
     def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value[1]
-        for pdf in batches:
+        for pdf in in_pieces(batches, "text"):
             found = [_WORD.findall(text) for text in pdf["text"]]
             forms = [w for w in {w for words in found for w in words} if w[0].isalpha() and not w[0].isupper()]
             h = bloom.text_hashes([f"word {w.lower()}" for w in forms]).view(np.int64)

@@ -44,3 +44,14 @@ def with_token_counts(df: DataFrame, text: str, out: str, tokenizer_path: str |
             yield pd.Series([len(e.ids) for e in tok.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
 
     return df.withColumn(out, sizes(F.col(text)))
+
+
+def in_pieces(batches: Iterator[pd.DataFrame], text: str, characters: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of rows whose texts have about so many characters together, so that what is made of a piece is bounded; a longer
+    text is a piece by itself.
+    """
+    for pdf in batches:
+        if len(pdf):
+            piece = pdf[text].str.len().fillna(0).cumsum() // characters
+            for _, part in pdf.groupby(piece.to_numpy(), sort=False):
+                yield part

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from driftloom.llm import bloom
 
@@ -17,3 +18,12 @@ def test_hashes_of_texts_are_the_same_everywhere():
     assert (bloom.text_hashes(["a", "b", "a"]) == bloom.text_hashes(["b", "a"])[[1, 0, 1]]).all() and len(bloom.text_hashes([])) == 0
     a, b = bloom.text_hashes(["x", "y"]), bloom.text_hashes(["y", "x"])
     assert (bloom.mixed(a, b) != bloom.mixed(b, a)).all()
+
+
+def test_pieces_are_bounded_and_whole():
+    from driftloom.llm.textunits import in_pieces
+
+    texts = ["x" * n for n in (5, 50, 400, 1, 1, 99, 0)] + [None]
+    got = list(in_pieces(iter([pd.DataFrame({"text": texts}), pd.DataFrame({"text": []})]), "text", 100))
+    assert [t for p in got for t in p["text"]] == texts and max(len(p) for p in got) < len(texts)
+    assert all(sum(len(t or "") for t in p["text"]) <= 200 or len(p) == 1 for p in got)
