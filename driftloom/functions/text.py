@@ -79,11 +79,12 @@ def markdown_schema(df: DataFrame, title: str, sample_rows: int = 5, limit: int
 
 def unique_names(names: list[str], taken: set[str] = frozenset()) -> list[str]:
     """Each name with as many ``_`` as keep it apart from the earlier ones and from ``taken``."""
-    out: list[str] = []
+    out, used = list[str](), set(taken)
     for n in names:
-        while n in out or n in taken:
+        while n in used:
             n += "_"
         out.append(n)
+        used.add(n)
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import portable_hash
+from driftloom.operators import similar
 from driftloom.operators.joins import with_next
 from driftloom.session import placed, prefix_sums
 
@@ -90,54 +91,15 @@ def dense_scenarios(df: DataFrame, order: str, keep: Column) -> DataFrame:
     return numbered.withColumn("scenario_id", F.concat(F.lit("scenario_"), F.col("_at").cast("string"))).drop("_at")
 
 
-def top_similar(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, keep: Column | None = None, block: int = 1024) -> DataFrame:
+def top_similar(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, keep: Column | None = None) -> DataFrame:
     """(query, key, score): the ``k`` rows of ``base`` most like each query by cosine, ties by key; the filter goes first.
 
-    The exact search, for few queries and to measure ``similar.top_similar`` by, which asks an index.
-    Queries are taken in blocks of bounded size; every partition of the base scores a block with one matrix product and
-    sends its own best ``k`` only. Null vectors and vectors of zeros are left out.
+    The exact search, for few queries and to measure ``similar.top_similar`` by, which asks an index: blocks of rows meet blocks of
+    queries, both of bounded size, and each pair of blocks sends its best ``k`` only. Null vectors and vectors of zeros are left out.
     """
-    rows = (base.where(keep) if keep is not None else base).where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("exists(vector, x -> x <> 0)")
-    out = None
-    for block_keys, matrix in _blocks(asked, block):
-        found = rows.mapInPandas(_scorer(block_keys, matrix, k), "query long, key long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return base.sparkSession.createDataFrame([], "query long, key long, score double")
-    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
-    return out.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
-
-
-def _blocks(asked: DataFrame, block: int):
-    """Queries in key order, ``block`` at a time, so that the driver never holds more than one."""
-    last = None
-    while True:
-        part = asked if last is None else asked.where(F.col("key") > last)
-        rows = part.orderBy("key").limit(block).collect()
-        if not rows:
-            return
-        m = np.array([r["vector"] for r in rows], dtype=np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        yield np.array([r["key"] for r in rows]), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        last = rows[-1]["key"]
-
-
-def _scorer(keys: np.ndarray, matrix: np.ndarray, k: int) -> Callable:
-    def score(batches):
-        best_s, best_k = np.full((len(keys), 0), 0.0), np.full((len(keys), 0), 0, dtype=np.int64)
-        for pdf in batches:
-            v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(v, axis=1)
-            v, ids = v[n > 0] / n[n > 0, None], pdf["key"].to_numpy()[n > 0].astype(np.int64)
-            s = np.concatenate([best_s, np.round(matrix @ v.T, 9)], axis=1)
-            i = np.concatenate([best_k, np.broadcast_to(ids, (len(keys), len(ids)))], axis=1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        if best_s.size:
-            yield pd.DataFrame({"query": np.repeat(keys, best_s.shape[1]), "key": best_k.ravel(), "score": best_s.ravel()})
-
-    return score
+    first = queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    one_list = np.zeros((1, first[0] if first else 0))
+    return similar.search(similar.index(base.where(keep) if keep is not None else base, key, vector, one_list), queries, key, vector, one_list if first else one_list[:0], k, 1)
 
 
 def best_per_conversation(hits: DataFrame, query: str, conversation: str, score: str, tie: str) -> DataFrame:
