@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,7 +79,6 @@ _MAYBE = r"(?i)\d|@|\bat\b|\barroba\b|zero|\boh\b|five|seven|eight|nine|three|fo
 _SENTENCE = re.compile(r"[!?]\s|\n|(?<=[^\W\d_]{4})\.\s|\.\s+(?=[A-Z])")
 _STREET = re.compile(rf"(?i)^(?:{STREET_WORDS})$")
 #: Characters beside a word that make it a part of an address or a code.
-_CODE, _CODE_CUE = re.compile(r"(?<!\S)[^\s@_+\d]*[@_+\d]\S*|\b\w+(?:[.-][a-z0-9]\w*)+"), re.compile(r"[@_+\d]|\w[.-][a-z0-9]")
 _JOINED = set("@_+0123456789")
 
 #: Before the keys made for rows that have none.
@@ -196,20 +194,6 @@ def _near_words(mark: str, words: list[str]) -> list[str]:
     return list(dict.fromkeys([f"{mark} {a} {b}" for a, b in zip(words, words[1:])] + [f"{mark} {w}" for w in words if len(w) >= LONG_WORD]))
 
 
-def _capitals(words: _Text) -> Iterator[tuple[int, int, str, list[str], str, str, bool]]:
-    """(start, end, word, patterns, word before, word after, barred) of the capitalised words; ``barred``: beside a house number, a street word or an &."""
-    text, ws = words.text, ["|", "|", *words.words, "|", "|"]
-    for i, w in enumerate(words.words, 2):
-        if not w[0].isupper():
-            continue
-        a, b = words.starts[i - 2], words.ends[i - 2]
-        if _joined(text, a, b):
-            continue
-        near = [_plain(ws[i - 2]), _plain(ws[i - 1]), _plain(ws[i + 1]), _plain(ws[i + 2])]
-        barred = near[1] == "0" or near[1] == "&" or near[2] == "&" or _STREET.match(near[2]) is not None
-        yield a, b, w.lower(), [f"< {near[0]} {near[1]}", f"> {near[2]} {near[3]}"], near[1], near[2], barred
-
-
 def _joined(text: str, a: int, b: int) -> bool:
     """The word is a part of an address or a code."""
     left, right = text[a - 1] if a else "", text[b : b + 1]
@@ -225,47 +209,80 @@ def _barred(words: _Text, i: int) -> bool:
     return bool(_STREET.match(after)) or before == "0" or "&" in (before, after)
 
 
+def _table(**columns) -> pd.DataFrame:
+    n = len(columns["item"])
+    nothing = {"seed": pd.Series([None] * n, dtype=object), "left1": np.zeros(n, np.int64), "right1": np.zeros(n, np.int64), "barred": np.zeros(n, bool)}
+    out = pd.DataFrame({**nothing, **columns})[[c.split()[0] for c in _MENTION.split(", ")]]
+    return out.astype({"key": object, "kind": object, "seed": object, "start": "int32", "end": "int32", "barred": bool})
+
+
+def _form_mentions(keys: list, texts: list[str]) -> pd.DataFrame:
+    rows, items, patterns, sizes = [], [], [], [0]
+    maybe = re.compile(_MAYBE)
+    for key, text in zip(keys, texts):
+        if maybe.search(text):
+            for kind, a, b, item, seed, own in mentions_of(text):
+                rows.append((key, kind, a, b, seed))
+                items.append(f"{kind} {item}")
+                patterns += [f"{kind} {p}" for p in own]
+                sizes.append(sizes[-1] + len(own))
+    key, kind, start, end, seed = zip(*rows) if rows else ([],) * 5
+    hashes = bloom.text_hashes(patterns).view(np.int64)
+    return _table(key=list(key), kind=list(kind), start=list(start), end=list(end), seed=pd.Series(seed, dtype=object), item=bloom.text_hashes(items).view(np.int64), patterns=[hashes[i:j] for i, j in zip(sizes, sizes[1:])])
+
+
+def _word_mentions(keys: list, texts: list[str]) -> list[pd.DataFrame]:
+    """The capitalised words of all texts with their patterns (the two words before, the two after), and how often each word stands in each
+    case; parts of addresses and codes are no words. ``barred``: beside a house number, a street word or an &.
+    """
+    whole = "\n".join(texts)
+    words = _WORD.findall(whole)
+    if not words:
+        return []
+    starts = np.fromiter((m.start() for m in _WORD.finditer(whole)), np.int64, len(words))
+    ends = starts + np.fromiter(map(len, words), np.int64, len(words))
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+    of = np.searchsorted(begins, starts, side="right") - 1
+    codes, forms = pd.factorize(np.array(words, dtype=object))
+    plain = [_plain(w) for w in forms]
+    mark = lambda test: np.fromiter(map(test, forms), bool, len(forms))
+    hashes, letters, upper = bloom.text_hashes([f"word {w}" for w in plain]), mark(lambda w: w[0].isalpha()), mark(lambda w: w[0].isupper())
+    chars = np.frombuffer(("\n\n" + whole + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = lambda place: chars[place + 2]
+    among = lambda c, kinds: np.isin(c, [ord(k) for k in kinds])
+    low = "abcdefghijklmnopqrstuvwxyz0123456789"
+    left, right = at(starts - 1), at(ends)
+    joined = among(left, _JOINED) | among(right, _JOINED) | among(left, ".-") & among(at(starts - 2), low + "@") | among(right, ".-") & among(at(ends + 1), low)
+
+    def near(values: np.ndarray, by: int, beyond) -> np.ndarray:
+        """The value of the word so many places on in the same text."""
+        out = np.full(len(values), beyond, dtype=values.dtype)
+        a, b = (slice(None, -by), slice(by, None)) if by > 0 else (slice(-by, None), slice(None, by))
+        out[a] = np.where(of[a] == of[b], values[b], beyond)
+        return out
+
+    own, edge = hashes[codes], bloom.text_hashes(["word |"])[0]
+    l1, l2, r1, r2 = (near(own, by, edge) for by in (-1, -2, 1, 2))
+    number, amp, street = (mark(t)[codes] for t in (lambda w: w[0].isdigit(), lambda w: w == "&", lambda w: _STREET.match(w) is not None))
+    barred = near(number, -1, False) | near(amp, -1, False) | near(amp, 1, False) | near(street, 1, False)
+    cap = upper[codes] & ~joined
+    side = lambda k: np.full(int(cap.sum()), k, np.uint64)
+    patterns = np.stack([bloom.mixed(side(1), l2[cap], l1[cap]), bloom.mixed(side(2), r1[cap], r2[cap])], axis=1).view(np.int64)
+    capitals = _table(
+        key=np.array(keys, dtype=object)[of[cap]], kind="word", start=(starts - begins[of])[cap], end=(ends - begins[of])[cap], item=own[cap].view(np.int64), patterns=list(patterns), left1=l1[cap].view(np.int64), right1=r1[cap].view(np.int64), barred=barred[cap]
+    )
+    counted = letters[codes] & ~joined
+    item, which = np.unique(own[counted], return_inverse=True)
+    uses, lower = (np.bincount(which, weights=w, minlength=len(item)).astype(np.int64) for w in (np.ones(len(which)), ~upper[codes][counted]))
+    return [capitals, _table(key=[None] * len(item), kind="count", start=uses, end=lower, item=item.view(np.int64), patterns=[np.zeros(0, np.int64)] * len(item))]
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All mentions of the texts, and how often each word stands in each case."""
-    names = [c.split()[0] for c in _MENTION.split(", ")]
-    maybe = re.compile(_MAYBE)
     for pdf in in_pieces(batches, "text"):
-        rows, items, patterns, sizes, beside = [], [], [], [], []
-        uses: Counter = Counter()
-        for key, text in zip(pdf["key"], pdf["text"]):
-            if maybe.search(text):
-                for kind, a, b, item, seed, own in mentions_of(text):
-                    rows.append((key, kind, a, b, seed, False))
-                    items.append(f"{kind} {item}")
-                    patterns += [f"{kind} {p}" for p in own]
-                    sizes.append(len(own))
-                    beside += ["", ""]
-            words = _WORD.findall(text)
-            # the parts of addresses and codes are no words
-            uses.update(_WORD.findall(_CODE.sub(" ", text)) if _CODE_CUE.search(text) else words)
-            for a, b, word, own, left, right, barred in _capitals(_Text(text, words)):
-                rows.append((key, "word", a, b, None, barred))
-                items.append(f"word {word}")
-                patterns += [f"word {p}" for p in own]
-                sizes.append(2)
-                beside += [f"word {left}", f"word {right}"]
-        counts: dict[str, list[int]] = {}
-        for form, n in uses.items():
-            if form[0].isalpha():
-                count = counts.setdefault(form.lower(), [0, 0])
-                count[0] += n
-                count[1] += 0 if form[0].isupper() else n
-        for word, (n, low) in counts.items():
-            rows.append((None, "count", n, low, None, False))
-            items.append(f"word {word}")
-            sizes.append(0)
-            beside += ["", ""]
-        out = pd.DataFrame(rows, columns=["key", "kind", "start", "end", "seed", "barred"]).astype({"key": object, "kind": object, "seed": object, "start": "int32", "end": "int32", "barred": bool})
-        out["item"] = bloom.text_hashes(items).view(np.int64)
-        out["patterns"] = np.split(bloom.text_hashes(patterns).view(np.int64), np.cumsum(sizes)[:-1]) if sizes else []
-        near = bloom.text_hashes(beside).view(np.int64).reshape(-1, 2)
-        out["left1"], out["right1"] = near[:, 0], near[:, 1]
-        yield out[names]
+        keys, texts = pdf["key"].tolist(), pdf["text"].tolist()
+        yield _form_mentions(keys, texts)
+        yield from _word_mentions(keys, texts)
 
 
 def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

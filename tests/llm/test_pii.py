@@ -84,3 +84,14 @@ def test_rows_without_key_and_clashing_columns(spark):
     assert (None, "identity") in got and (1001, "email") in got
     masked = pii.masked(odd, "msg_id", "said", listed).collect()
     assert len(masked) == odd.count() and sorted(str(r["said"]) for r in masked if r["msg_id"] is None) == ["None", "SSN: [IDENTITY]", "SSN: [IDENTITY]"]
+
+
+def test_words_of_texts_taken_apart_together():
+    texts = ["", "Anna", "x Bo.\nCy and a.Dot-x", "Ü\U0001f44d Dan Eve & Flo", "9 Ida Street", "Anna", "mail an-na@Mail.example _X Y1"]
+    words, counts = pii._word_mentions(list("abcdefg"), texts)
+    got = [(r["key"], texts["abcdefg".index(r["key"])][r["start"] : r["end"]], r["barred"]) for _, r in words.iterrows()]
+    assert got == [("b", "Anna", False), ("c", "Bo", False), ("c", "Cy", False), ("d", "Ü", False), ("d", "Dan", False), ("d", "Eve", True), ("d", "Flo", True), ("e", "Ida", True), ("e", "Street", False), ("f", "Anna", False)]
+    # what stands in other texts is no neighbour
+    alone = words[words["key"].isin(["b", "f"])]
+    assert len({tuple(p) for p in alone["patterns"]}) == 1 and alone["left1"].nunique() == 1 and (alone["left1"] == alone["right1"]).all()
+    assert counts["start"].sum() == 14 and pii._word_mentions([], []) == [] and pii._word_mentions(["a"], [""]) == []
