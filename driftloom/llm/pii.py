@@ -212,8 +212,9 @@ def _barred(words: _Text, i: int) -> bool:
 def _table(**columns) -> pd.DataFrame:
     n = len(columns["item"])
     nothing = {"seed": pd.Series([None] * n, dtype=object), "left1": np.zeros(n, np.int64), "right1": np.zeros(n, np.int64), "barred": np.zeros(n, bool)}
+    columns["patterns"] = pd.Series(columns["patterns"], dtype=object)
     out = pd.DataFrame({**nothing, **columns})[[c.split()[0] for c in _MENTION.split(", ")]]
-    return out.astype({"key": object, "kind": object, "seed": object, "start": "int32", "end": "int32", "barred": bool})
+    return out.astype({"key": object, "kind": object, "seed": object, "start": "int32", "end": "int32", "item": "int64", "barred": bool})
 
 
 def _form_mentions(keys: list, texts: list[str]) -> pd.DataFrame:
