@@ -47,8 +47,8 @@ def with_token_counts(df: DataFrame, text: str, out: str, tokenizer_path: str |
 
 
 def in_pieces(batches: Iterator[pd.DataFrame], text: str, characters: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """The batches in pieces of rows whose texts have about so many characters together, so that what is made of a piece is bounded; a longer
-    text is a piece by itself.
+    """The batches in pieces of rows whose texts have fewer than so many characters together beside the longest of them, so that what is made of a
+    piece is bounded.
     """
     for pdf in batches:
         if len(pdf):

@@ -26,4 +26,4 @@ def test_pieces_are_bounded_and_whole():
     texts = ["x" * n for n in (5, 50, 400, 1, 1, 99, 0)] + [None]
     got = list(in_pieces(iter([pd.DataFrame({"text": texts}), pd.DataFrame({"text": []})]), "text", 100))
     assert [t for p in got for t in p["text"]] == texts and max(len(p) for p in got) < len(texts)
-    assert all(sum(len(t or "") for t in p["text"]) <= 200 or len(p) == 1 for p in got)
+    assert all(sum(sizes) < 100 + max(sizes) for sizes in ([len(t or "") for t in p["text"]] for p in got))
