@@ -387,13 +387,16 @@ def test_inferred_kinds(spark):
     assert got == {"b": "bool", "i": "int", "f": "float", "c": "category", "t": "str", "e": "str"}
 
 
-def test_similar_by_brute_force(spark):
+def test_similar_by_brute_force(spark, monkeypatch):
+    from driftloom.operators import similar
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 30)
     rng = np.random.default_rng(3)
     v = rng.normal(size=(200, 8))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [0.0] * 8)], "id long, v array<double>")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(q, int(k)) for q in range(0, 200, 20) for k in np.argsort(-(u @ u[q]))[:5]}
-    got = simulate.top_similar(df, df.where("id % 20 = 0 AND id < 200"), "id", "v", 5, block=3)
+    got = simulate.top_similar(df, df.where("id % 20 = 0 AND id < 200"), "id", "v", 5)
     assert {(r["query"], r["key"]) for r in got.collect()} == want
 
 
