@@ -7,7 +7,7 @@ plan for all talks.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -16,15 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftloom.functions.hashing import portable_hash
 from driftloom.functions.text import match_outcome, search
 from driftloom.operators import similar
 from driftloom.operators.features import TextOracle
 from driftloom.operators.simulate import coin
-from driftloom.session import cut_lineage
+from driftloom.session import cut_lineage, drop_checkpoint, least_rows
 
-#: Length of the vectors of ``text_vectors``.
+#: Length of the vectors of ``word_counts``.
 DIMENSIONS = 128
 
+#: A text with a word, by the same white space as ``str.split``.
+_HAS_WORD = "[^\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+
 
 def detect_outcomes(talks: DataFrame, text: str, outcomes: list[str], oracle: TextOracle, out: str = "outcome") -> DataFrame:
     """``talks`` with the outcome the oracle names for each text, null where it names none of them."""
@@ -48,19 +52,11 @@ def extract_intents(messages: DataFrame, conversation: str, at: str, tie: str, r
     return oracle.column(first, "opening", "What is wanted: " + ", ".join(kinds), "intent")
 
 
-def text_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, vector): word counts hashed to a fixed number of places, an embedding that needs no model."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = np.zeros((len(pdf), DIMENSIONS))
-            for i, t in enumerate(pdf["text"]):
-                for w in t.lower().split():
-                    rows[i, zlib.crc32(w.encode()) % DIMENSIONS] += 1
-            yield pd.DataFrame({"key": pdf["key"], "vector": list(rows)})
-
-    own = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return own.mapInPandas(run, "key long, vector array<double>")
+def word_counts(texts: pd.Series) -> np.ndarray:
+    """Word counts hashed to a fixed number of places, a row per text: an embedding that needs no model."""
+    places = [[zlib.crc32(w.encode()) % DIMENSIONS for w in t.lower().split()] for t in texts]
+    own = np.repeat(np.arange(len(places)), np.array([len(p) for p in places], "int64")) * DIMENSIONS + np.fromiter(chain.from_iterable(places), "int64")
+    return np.bincount(own, minlength=len(places) * DIMENSIONS).reshape(-1, DIMENSIONS).astype("float64")
 
 
 class Participant(Protocol):
@@ -82,22 +78,39 @@ class OracleParticipant:
 class RetrievalParticipant:
     """Says what was said next to the most similar message in real conversations.
 
-    ``pairs``: id (long), last, reply, of this role's real replies. All of them are indexed.
+    ``pairs``: id (long), last, reply, of this role's real replies. All of them are searched; a message met often is indexed once, with
+    the reply of its least id, as that is the one to win among equals. ``rows``: no less than the pairs there are, where that is known
+    without counting them.
     """
 
-    def __init__(self, pairs: DataFrame, lists: int = 64, probes: int = 16) -> None:
-        self.pairs, self.probes = pairs.select("id", "last", "reply"), probes
-        vectors = cut_lineage(text_vectors(self.pairs, "id", "last"))
-        self.centres = similar.fit_centres(vectors, "key", "vector", lists)
-        self.indexed = cut_lineage(similar.index(vectors, "key", "vector", self.centres)) if len(self.centres) else None
+    def __init__(self, pairs: DataFrame, lists: int = 64, probes: int = 16, rows: int | None = None) -> None:
+        self.probes = probes
+        own = pairs.select(F.col("id").cast("long").alias("id"), "last", "reply").where(F.col("id").isNotNull() & F.col("last").rlike(_HAS_WORD))
+        hash = portable_hash(F.col("id"))
+        # ids of low hashes are kept with their message: four times the sample, if all rows are this role's
+        low = hash < int(min(1.0, 4 * similar.SAMPLE_ROWS / max(1, own.count() if rows is None else rows)) * 2**60)
+        known = cut_lineage(own.groupBy("last").agg(F.min(F.struct("id", "reply")).alias("first"), F.collect_list(F.when(low, F.col("id"))).alias("low")))
+        texts = self._sample(known.select(F.explode("low").alias("id"), "last"))
+        if len(texts) < similar.SAMPLE_ROWS:  # few of the rows are of this role, or there are no more
+            texts = self._sample(least_rows(own.withColumn("_h", hash), "_h", "id", similar.SAMPLE_ROWS))
+        self.centres = similar.centres_of(word_counts(texts), lists)
+        self.indexed = cut_lineage(similar.index(known.select("first.id", "first.reply", "last"), "id", "last", self.centres, word_counts, ["reply"])) if len(self.centres) else None
+        drop_checkpoint(known)
+
+    @staticmethod
+    def _sample(rows: DataFrame) -> pd.Series:
+        """Messages of the least hashes of ids."""
+        first = rows.orderBy(portable_hash(F.col("id")), "id").limit(similar.SAMPLE_ROWS).collect()
+        return pd.Series([r["last"] for r in first], dtype=object)
 
     def reply(self, waiting: DataFrame) -> DataFrame:
-        numbered = cut_lineage(waiting.withColumn("_id", F.xxhash64("key")))
         if self.indexed is None:
-            return numbered.select("key", F.lit(None).cast("string").alias("reply"))
-        hits = similar.search(self.indexed, text_vectors(numbered, "_id", "last"), "key", "vector", self.centres, 1, self.probes)
-        said = hits.join(self.pairs.select(F.col("id").alias("_i"), "reply"), F.col("key") == F.col("_i")).select(F.col("query").alias("_id"), "reply")
-        return numbered.join(said, "_id", "left").select("key", "reply")
+            return waiting.select("key", F.lit(None).cast("string").alias("reply"))
+        # what is asked by many is looked up once
+        asked = cut_lineage(waiting.where("last IS NOT NULL").select("last").distinct().withColumn("_id", F.monotonically_increasing_id()))
+        hits = similar.search(self.indexed, asked, "_id", "last", self.centres, 1, self.probes, word_counts)
+        said = hits.join(self.indexed.select("key", "reply"), "key").select(F.col("query").alias("_id"), "reply").join(asked, "_id").select("last", "reply")
+        return waiting.join(said, "last", "left").select("key", "reply")
 
 
 class RealParticipant:
@@ -117,15 +130,16 @@ def converse(scenarios: DataFrame, key: str, opening: str, agent: Participant, c
     """
     open_ones = cut_lineage(scenarios.where(F.col(opening).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(opening).alias("last"), F.lit(1).alias("said"), F.lit(0).alias("passed")))
     said = [open_ones.select("key", F.lit(0).alias("at"), F.lit("customer").alias("role"), F.col("last").alias("content"))]
+    answered = F.col("reply").isNotNull()
     for turn in range(2 * most):
         role, who = ("agent", agent) if turn % 2 == 0 else ("customer", customer)
         waiting = open_ones.where((F.col("said") < most) & (F.col("passed") < 2))
         if waiting.limit(1).count() == 0:
             break
-        both = cut_lineage(waiting.join(who.reply(waiting.select("key", "last", "said")), "key", "left"))
-        said.append(both.where("reply IS NOT NULL").select("key", F.col("said").alias("at"), F.lit(role).alias("role"), F.col("reply").alias("content")))
-        answered = F.col("reply").isNotNull()
-        open_ones = both.select("key", F.coalesce("reply", "last").alias("last"), (F.col("said") + answered.cast("int")).alias("said"), F.when(answered, 0).otherwise(F.col("passed") + 1).alias("passed"))
+        both = waiting.join(who.reply(waiting.select("key", "last", "said")), "key", "left")
+        # one text a row is kept: the reply, or what still waits for one
+        open_ones = cut_lineage(both.select("key", F.coalesce("reply", "last").alias("last"), (F.col("said") + answered.cast("int")).alias("said"), F.when(answered, 0).otherwise(F.col("passed") + 1).alias("passed")))
+        said.append(open_ones.where("passed = 0").select("key", (F.col("said") - 1).alias("at"), F.lit(role).alias("role"), F.col("last").alias("content")))
     out = said[0]
     for part in said[1:]:
         out = out.unionByName(part)

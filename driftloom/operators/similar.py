@@ -1,12 +1,13 @@
 """Nearest vectors through an index of lists: every row lies in the list of its nearest centre, a query looks into a few lists.
 
 Centres are fitted on a bounded sample (``SAMPLE_ROWS``); all rows are indexed. A list of any size is searched in blocks of bounded
-size, and so are its queries, so a hot list is many small tasks. ``simulate.top_similar`` is the exact search to measure recall by.
+size, and so are its queries, so a hot list is many small tasks; scores are worked out for ``CELLS`` pairs at a time. Vectors travel
+packed. ``simulate.top_similar`` is the exact search to measure recall by.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,9 @@ from driftloom.session import least_rows
 #: Rows the centres are fitted on at most, rounds of the fit, rows of a list and queries to it that meet in one task.
 SAMPLE_ROWS, FIT_ROUNDS, BLOCK_ROWS = 20_000, 12, 8192
 
+#: Scores a task holds at a time.
+CELLS = 1 << 20
+
 
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
@@ -35,11 +39,14 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def fit_centres(base: DataFrame, key: str, vector: str, lists: int, seed: int = 42) -> np.ndarray:
     """Unit vectors of at most ``lists`` centres, by k-means on directions of a sample of the least hashes."""
     sample = least_rows(usable(base, key, vector).withColumn("_h", portable_hash(F.col("key"), seed)), "_h", "key", SAMPLE_ROWS).orderBy("_h", "key").collect()
-    if not sample:
-        return np.zeros((0, 0))
-    m = _unit(np.array([r["vector"] for r in sample]))
+    return centres_of(np.array([r["vector"] for r in sample]) if sample else np.zeros((0, 0)), lists)
+
+
+def centres_of(sample: np.ndarray, lists: int) -> np.ndarray:
+    """Centres of the rows of a sample, the first of which are the centres to begin with."""
+    m = _unit(sample)
     centres = m[: min(lists, len(m))].copy()
-    for _ in range(FIT_ROUNDS):
+    for _ in range(FIT_ROUNDS if len(m) else 0):
         own = (m @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, m)
@@ -47,46 +54,108 @@ def fit_centres(base: DataFrame, key: str, vector: str, lists: int, seed: int =
     return centres
 
 
-def _nearest(centres: np.ndarray, most: int):
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy())
+
+
+def pack(m: np.ndarray) -> list[bytes]:
+    """Each row of a matrix in few bytes, exactly: small counts or numbers at the places that aren't zero, or all numbers where that is shorter."""
+    place = np.min_scalar_type(max(m.shape[1] - 1, 0))
+    counts = ((m >= 0) & (m <= 255) & (m == np.rint(m))).all(axis=1)
+    rows, places = np.nonzero(m)
+    values, ends = m[rows, places], np.searchsorted(rows, np.arange(len(m) + 1))
+    places, small = places.astype(place), np.where(counts[rows], values, 0).astype("uint8")
+    out = []
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        if counts[i]:
+            out.append(b"c" + places[a:b].tobytes() + small[a:b].tobytes())
+        elif (b - a) * (place.itemsize + 8) < m.shape[1] * 8:
+            out.append(b"s" + places[a:b].tobytes() + values[a:b].tobytes())
+        else:
+            out.append(b"a" + m[i].tobytes())
+    return out
+
+
+def unpack(packed: Sequence[bytes], width: int) -> np.ndarray:
+    """The matrix that was packed."""
+    m, place = np.zeros((len(packed), width)), np.min_scalar_type(max(width - 1, 0))
+    for i, x in enumerate(packed):
+        if x[:1] == b"a":
+            m[i] = np.frombuffer(x, "float64", offset=1)
+            continue
+        value = np.dtype("uint8" if x[:1] == b"c" else "float64")
+        n = (len(x) - 1) // (place.itemsize + value.itemsize)
+        m[i, np.frombuffer(x, place, n, 1)] = np.frombuffer(x, value, n, 1 + n * place.itemsize)
+    return m
+
+
+def _listed(df: DataFrame, key: str, vector: str, centres: np.ndarray, most: int, matrix: Callable[[pd.Series], np.ndarray] | None, keep: Sequence[str] = ()) -> DataFrame:
+    """(list, key, vector, …): every row in the lists of its ``most`` nearest centres, its vector packed.
+
+    ``matrix`` makes vectors of a column of something else, such as texts; rows with a vector of zeros are left out.
+    """
+    make = matrix or _stacked
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = _unit(np.stack(pdf["vector"].to_numpy()))
-            lists = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :most]
-            yield pd.DataFrame({"list": lists.ravel().astype("int32"), "key": np.repeat(pdf["key"].to_numpy(), lists.shape[1]), "vector": [v[i] for i in range(len(v)) for _ in range(lists.shape[1])]})
-
-    return run
-
-
-_SCHEMA = "list int, key long, vector array<double>"
-
-
-def index(base: DataFrame, key: str, vector: str, centres: np.ndarray) -> DataFrame:
-    """(list, key, vector): every row in the list of its nearest centre."""
-    return usable(base, key, vector).mapInPandas(_nearest(centres, 1), _SCHEMA)
-
-
-def search(indexed: DataFrame, queries: DataFrame, key: str, vector: str, centres: np.ndarray, k: int, probes: int) -> DataFrame:
+            m = make(pdf["vector"])
+            some = m.any(axis=1)
+            m, pdf = m[some], pdf[some]
+            # rounded, so that the same vector has the same lists in any batch
+            lists = np.argsort(-np.round(_unit(m) @ centres.T, 9), axis=1, kind="stable")[:, :most]
+            again = np.repeat(np.arange(len(m)), lists.shape[1])
+            packed = np.empty(len(m), dtype=object)
+            packed[:] = pack(m)
+            yield pd.DataFrame({"list": lists.ravel().astype("int32"), "key": pdf["key"].to_numpy()[again], "vector": packed[again]} | {c: pdf[c].to_numpy()[again] for c in keep})
+
+    own = df if matrix is not None else df.withColumn(vector, F.col(vector).cast("array<double>"))
+    rows = own.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), *keep).where("key IS NOT NULL AND vector IS NOT NULL")
+    return rows.mapInPandas(run, ", ".join(["list int, key long, vector binary", *(f"{c} {t}" for c, t in df.select(*keep).dtypes)]))
+
+
+def index(base: DataFrame, key: str, vector: str, centres: np.ndarray, matrix: Callable[[pd.Series], np.ndarray] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(list, key, vector, …): every row in the list of its nearest centre, with the columns of ``keep``."""
+    return _listed(base, key, vector, centres, 1, matrix, keep)
+
+
+def _best(a: np.ndarray, ids: np.ndarray, b: np.ndarray, names: np.ndarray, k: int) -> pd.DataFrame:
+    """(query, key, score): the ``k`` best rows of ``a`` for each row of ``b``, by score rounded to nine digits, ties by key."""
+    found = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
+    step = max(1, CELLS // max(1, len(a)))
+    for at in range(0, len(b) if len(a) else 0, step):
+        s = b[at : at + step] @ a.T
+        s[np.isnan(s)] = -np.inf
+        worst = s.max(axis=1) if k == 1 else np.partition(s, -k, axis=1)[:, -k] if k < len(a) else s.min(axis=1)
+        q, r = np.nonzero(s >= worst[:, None] - 2e-9)  # all that may be among them once rounded
+        score = np.round(s[q, r], 9)
+        order = np.lexsort((ids[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((names[at + q[first]], ids[r[first]], np.where(np.isneginf(score[first]), np.nan, score[first])))
+    query, key, score = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"query": query, "key": key, "score": score})
+
+
+def search(indexed: DataFrame, queries: DataFrame, key: str, vector: str, centres: np.ndarray, k: int, probes: int, matrix: Callable[[pd.Series], np.ndarray] | None = None) -> DataFrame:
     """(query, key, score): of each query the ``k`` most similar rows of its ``probes`` nearest lists, by cosine, ties by key."""
     spark = indexed.sparkSession
     if not len(centres):
         return spark.createDataFrame([], "query long, key long, score double")
-    asked = usable(queries, key, vector).mapInPandas(_nearest(centres, min(probes, len(centres))), _SCHEMA)
+    asked = _listed(queries, key, vector, centres, min(probes, len(centres)), matrix)
+    indexed = indexed.select("list", "key", "vector")
     blocks = [_blocks(d) for d in (indexed, asked)]
     number = lambda counts: F.element_at(F.array(*(F.lit(counts.get(i, 1)) for i in range(len(centres)))), F.col("list") + 1)
     own = lambda d, counts: F.pmod(F.xxhash64("key"), number(counts)).cast("int")
     every = lambda counts: F.explode(F.sequence(F.lit(0), number(counts) - 1))
     rows = indexed.withColumn("block", own(indexed, blocks[0])).withColumn("part", every(blocks[1]))
     asking = asked.withColumn("part", own(asked, blocks[1])).withColumn("block", every(blocks[0]))
+    width = centres.shape[1]
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "key": [], "score": []}).astype({"query": "int64", "key": "int64", "score": "float64"})
-        ids, names = a["key"].to_numpy(), b["key"].to_numpy()
-        s = np.round(np.stack(b["vector"].to_numpy()) @ np.stack(a["vector"].to_numpy()).T, 9)
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        return pd.DataFrame({"query": np.repeat(names, order.shape[1]), "key": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+        own, asking = (_unit(unpack(d["vector"], width)) if len(a) and len(b) else np.zeros((0, width)) for d in (a, b))
+        return _best(own, a["key"].to_numpy(), asking, b["key"].to_numpy(), k)
 
     keys = ["list", "block", "part"]
     found = rows.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(best, "query long, key long, score double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import participants, recommend, sampling, similar, simulate, stats
 from driftloom.operators.features import Feature, TextOracle, keyword_oracle
+from driftloom.operators.joins import with_next
 from driftloom.plans.common import MESSAGES_SQL, hash_sql, messages
 from driftloom.plans.registry import query
 from driftloom.operators.simulation_session import Session, load
@@ -61,9 +62,10 @@ def simulate_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def talks_by_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Both sides answer with what really followed the most similar message."""
-    following = simulate.prefix_lengths(messages(spark, d), "dialogue_id", "sent_at", "msg_id", "role", "text").where("next_role IS NOT NULL")
-    pairs = following.join(messages(spark, d).select("msg_id", F.col("text").alias("last")), "msg_id").select(F.col("msg_id").alias("id"), "last", F.col("next_content").alias("reply"), "next_role")
-    agent, customer = (participants.RetrievalParticipant(pairs.where(F.col("next_role") == r), 32, 4) for r in ("agent", "customer"))
+    following = with_next(messages(spark, d), ["dialogue_id"], "sent_at", "msg_id", ["role", "text"])
+    pairs = following.select(F.col("msg_id").alias("id"), F.col("text").alias("last"), F.col("next_text").alias("reply"), "next_role")
+    rows = table(spark, d, "turns").count()
+    agent, customer = (participants.RetrievalParticipant(pairs.where(F.col("next_role") == r), 32, 4, rows) for r in ("agent", "customer"))
     openings = messages(spark, d).where("role = 'customer'").groupBy("dialogue_id").agg(F.min_by("text", F.struct("sent_at", "msg_id")).alias("opening"))
     return participants.converse(openings, "dialogue_id", "opening", agent, customer, 4)
 

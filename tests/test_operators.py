@@ -617,6 +617,55 @@ def test_talks_with_participants(spark):
     assert r["u"] == "User: a\nUser: c" and r["l"]["content"] == "c"
 
 
+def test_repeated_messages_are_searched_once(spark, monkeypatch):
+    from driftloom.operators import participants as pt
+    from driftloom.operators import similar
+
+    pairs = spark.createDataFrame([(i, "  the router IS broken" if i % 2 else "I want\u00a0to cancel", f"reply {i}") for i in range(9, 109)] + [(1, "\u00a0\u2003", "x"), (None, "the router is broken", "y")], "id long, last string, reply string")
+    talks = spark.createDataFrame([(f"k{i}", "my router is broken" if i % 3 else "cancel", 1) for i in range(40)] + [("blank", " ", 1), ("none", None, 1)], "key string, last string, said int")
+    for rows, sample in ((None, 20_000), (102, 20_000), (1_000_000, 60)):
+        monkeypatch.setattr(similar, "SAMPLE_ROWS", sample)
+        one = pt.RetrievalParticipant(pairs, 2, 2, rows)
+        assert one.indexed.count() == 2
+        got = {r["key"]: r["reply"] for r in one.reply(talks).collect()}
+        # among equals the least id
+        assert got == {f"k{i}": "reply 9" if i % 3 else "reply 10" for i in range(40)} | {"blank": None, "none": None}
+    assert pt.RetrievalParticipant(pairs.where("id = 1"), 2, 2).reply(talks).where("reply IS NULL").count() == 42
+
+
+def test_best_scores_in_bounded_pieces(monkeypatch):
+    import tracemalloc
+
+    from driftloom.operators import similar
+
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    a, b = unit(rng.integers(1, 4, (300, 3)).astype(float)), unit(rng.integers(1, 4, (70, 3)).astype(float))  # many ties
+    ids, names = rng.permutation(300), np.arange(70)
+    s = np.round(b @ a.T, 9)
+    for k, cells in ((1, 1 << 20), (1, 900), (7, 900), (300, 900), (400, 1)):
+        monkeypatch.setattr(similar, "CELLS", cells)
+        want = [(q, ids[r], s[q, r]) for q in names for r in np.lexsort((ids, -s[q]))[:k]]
+        assert list(similar._best(a, ids, b, names, k).itertuples(index=False, name=None)) == want
+    monkeypatch.undo()
+    many = unit(rng.normal(size=(4096, 16)))
+    tracemalloc.start()
+    assert (similar._best(many, np.arange(4096), many, np.arange(4096), 1)["key"] == np.arange(4096)).all()
+    assert tracemalloc.get_traced_memory()[1] < 64e6  # all scores at once are 134 MB
+    tracemalloc.stop()
+
+
+def test_packed_vectors_are_the_same():
+    from driftloom.operators import similar
+
+    rng = np.random.default_rng(5)
+    for width in (1, 8, 128, 300):
+        m = rng.normal(size=(40, width)) * (rng.random((40, width)) < np.linspace(0, 1, 40)[:, None])
+        m[::3] = np.abs(np.rint(m[::3] * 60))
+        m[5], m[6, 0], m[7, 0] = 255, 256, np.nan
+        assert np.array_equal(similar.unpack(similar.pack(m), width), m, equal_nan=True)
+
+
 def test_conversation_tables_must_be_one(spark):
     e = spark.createDataFrame([("a", 0.1)], "feature string, r_squared double")
     with pytest.raises(ValueError):
