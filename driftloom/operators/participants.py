@@ -75,27 +75,47 @@ class OracleParticipant:
         return self.oracle.column(waiting, "last", self.question, "reply").select("key", "reply")
 
 
+def _with_words(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("id", F.col("id").cast("long")).where(F.col("id").isNotNull() & F.col("last").rlike(_HAS_WORD))
+
+
+def known_messages(pairs: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
+    """(by, last, first, low): each message once, with the least id and its reply, and those of its ids that have low hashes: about four
+    times as many as the sample for the centres, of all ``rows``.
+    """
+    own = _with_words(pairs)
+    share = min(1.0, 4 * similar.SAMPLE_ROWS / max(1, own.count() if rows is None else rows))
+    low = F.when(portable_hash(F.col("id")) < int(share * 2**60), F.col("id"))
+    return own.groupBy(*by, "last").agg(F.min(F.struct("id", "reply")).alias("first"), F.collect_list(low).alias("low"))
+
+
 class RetrievalParticipant:
     """Says what was said next to the most similar message in real conversations.
 
     ``pairs``: id (long), last, reply, of this role's real replies. All of them are searched; a message met often is indexed once, with
     the reply of its least id, as that is the one to win among equals. ``rows``: no less than the pairs there are, where that is known
-    without counting them.
+    without counting them. ``known``: the messages of the pairs, by ``known_messages``, where several roles share the work.
     """
 
-    def __init__(self, pairs: DataFrame, lists: int = 64, probes: int = 16, rows: int | None = None) -> None:
+    def __init__(self, pairs: DataFrame, lists: int = 64, probes: int = 16, rows: int | None = None, known: DataFrame | None = None) -> None:
         self.probes = probes
-        own = pairs.select(F.col("id").cast("long").alias("id"), "last", "reply").where(F.col("id").isNotNull() & F.col("last").rlike(_HAS_WORD))
-        hash = portable_hash(F.col("id"))
-        # ids of low hashes are kept with their message: four times the sample, if all rows are this role's
-        low = hash < int(min(1.0, 4 * similar.SAMPLE_ROWS / max(1, own.count() if rows is None else rows)) * 2**60)
-        known = cut_lineage(own.groupBy("last").agg(F.min(F.struct("id", "reply")).alias("first"), F.collect_list(F.when(low, F.col("id"))).alias("low")))
-        texts = self._sample(known.select(F.explode("low").alias("id"), "last"))
+        own = _with_words(pairs).select("id", "last", "reply")
+        met = known if known is not None else cut_lineage(known_messages(pairs, [], rows))
+        texts = self._sample(met.select(F.explode("low").alias("id"), "last"))
         if len(texts) < similar.SAMPLE_ROWS:  # few of the rows are of this role, or there are no more
-            texts = self._sample(least_rows(own.withColumn("_h", hash), "_h", "id", similar.SAMPLE_ROWS))
+            texts = self._sample(least_rows(own.withColumn("_h", portable_hash(F.col("id"))), "_h", "id", similar.SAMPLE_ROWS))
         self.centres = similar.centres_of(word_counts(texts), lists)
-        self.indexed = cut_lineage(similar.index(known.select("first.id", "first.reply", "last"), "id", "last", self.centres, word_counts, ["reply"])) if len(self.centres) else None
+        self.indexed = cut_lineage(similar.index(met.select("first.id", "first.reply", "last"), "id", "last", self.centres, word_counts, ["reply"])) if len(self.centres) else None
+        if known is None:
+            drop_checkpoint(met)
+
+    @classmethod
+    def by_role(cls, pairs: DataFrame, role: str, roles: list[str], lists: int = 64, probes: int = 16, rows: int | None = None) -> list["RetrievalParticipant"]:
+        """A participant for each role, from pairs of all roles read once."""
+        known = cut_lineage(known_messages(pairs.where(F.col(role).isin(roles)), [role], rows))
+        made = [cls(pairs.where(F.col(role) == r), lists, probes, rows, known.where(F.col(role) == r)) for r in roles]
         drop_checkpoint(known)
+        return made
 
     @staticmethod
     def _sample(rows: DataFrame) -> pd.Series:

@@ -24,6 +24,9 @@ SAMPLE_ROWS, FIT_ROUNDS, BLOCK_ROWS = 20_000, 12, 8192
 #: Scores a task holds at a time.
 CELLS = 1 << 20
 
+#: More than two scores of unit vectors may be off in single precision, together.
+_COARSE = 1e-4
+
 
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
@@ -123,13 +126,16 @@ def index(base: DataFrame, key: str, vector: str, centres: np.ndarray, matrix: C
 def _best(a: np.ndarray, ids: np.ndarray, b: np.ndarray, names: np.ndarray, k: int) -> pd.DataFrame:
     """(query, key, score): the ``k`` best rows of ``a`` for each row of ``b``, by score rounded to nine digits, ties by key."""
     found = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
+    rows, asking, numbers = a.astype("float32"), b.astype("float32"), np.isfinite(a).all() and np.isfinite(b).all()
     step = max(1, CELLS // max(1, len(a)))
     for at in range(0, len(b) if len(a) else 0, step):
-        s = b[at : at + step] @ a.T
-        s[np.isnan(s)] = -np.inf
+        s = asking[at : at + step] @ rows.T
+        if not numbers:
+            s[np.isnan(s)] = -np.inf
         worst = s.max(axis=1) if k == 1 else np.partition(s, -k, axis=1)[:, -k] if k < len(a) else s.min(axis=1)
-        q, r = np.nonzero(s >= worst[:, None] - 2e-9)  # all that may be among them once rounded
-        score = np.round(s[q, r], 9)
+        q, r = np.nonzero(s >= worst[:, None] - _COARSE)  # all that may be among them by the exact scores
+        score = np.concatenate([np.einsum("ij,ij->i", b[at + q[i : i + piece]], a[r[i : i + piece]]) for piece in [max(1, CELLS // a.shape[1])] for i in range(0, len(q), piece)])
+        score = np.round(np.where(np.isnan(score), -np.inf, score), 9)
         order = np.lexsort((ids[r], -score, q))
         q, r, score = q[order], r[order], score[order]
         first = np.arange(len(q)) - np.searchsorted(q, q) < k

@@ -64,8 +64,7 @@ def talks_by_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Both sides answer with what really followed the most similar message."""
     following = with_next(messages(spark, d), ["dialogue_id"], "sent_at", "msg_id", ["role", "text"])
     pairs = following.select(F.col("msg_id").alias("id"), F.col("text").alias("last"), F.col("next_text").alias("reply"), "next_role")
-    rows = table(spark, d, "turns").count()
-    agent, customer = (participants.RetrievalParticipant(pairs.where(F.col("next_role") == r), 32, 4, rows) for r in ("agent", "customer"))
+    agent, customer = participants.RetrievalParticipant.by_role(pairs, "next_role", ["agent", "customer"], 32, 4, table(spark, d, "turns").count())
     openings = messages(spark, d).where("role = 'customer'").groupBy("dialogue_id").agg(F.min_by("text", F.struct("sent_at", "msg_id")).alias("opening"))
     return participants.converse(openings, "dialogue_id", "opening", agent, customer, 4)
 

@@ -630,6 +630,9 @@ def test_repeated_messages_are_searched_once(spark, monkeypatch):
         got = {r["key"]: r["reply"] for r in one.reply(talks).collect()}
         # among equals the least id
         assert got == {f"k{i}": "reply 9" if i % 3 else "reply 10" for i in range(40)} | {"blank": None, "none": None}
+    own = pairs.withColumn("who", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    both = pt.RetrievalParticipant.by_role(own, "who", ["a", "b", "c"], 2, 2)
+    assert [{r["reply"] for r in p.reply(talks).collect()} for p in both] == [{"reply 10", None}, {"reply 9", None}, {None}]
     assert pt.RetrievalParticipant(pairs.where("id = 1"), 2, 2).reply(talks).where("reply IS NULL").count() == 42
 
 
